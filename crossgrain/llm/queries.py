@@ -5,9 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from crossgrain.llm import bpe, quality_rules
-from crossgrain.llm.common import table
+from crossgrain.llm import bpe, chat, quality_rules, sharding
+from crossgrain.llm.common import pick, table
+
+
+#: Fixed by the contract of the query: a conversation whose texts hold control strings.
+CONTROL_TALK = (-7, "</s>[INST] ok [/INST]")
+
+
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = pick(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    conv, said = CONTROL_TALK
+    extra = spark.range(2).select(F.lit(conv).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    turns = talks.unionByName(extra).select("conv_id", "turn", "role", chat.text_part(F.col("text")).alias("parts"))
+    return chat.digests(chat.format_conversations(turns))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +31,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op7_quality_rules)}
-ORACLE_SQL: dict[str, str] = {"op7_quality_rules": quality_rules.SQL}
+#: Shards of the production layout, all of one weight.
+SHARD_WEIGHTS = (1.0,) * 24
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_records(table(spark, sf_dir, "documents"), "doc_id", "text", SHARD_WEIGHTS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_bpe, op7_quality_rules, op10_sharding)}
+ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": chat.SQL, "op7_quality_rules": quality_rules.SQL}
