@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossgrain.llm import bpe, chat, quality_rules, sharding
+from crossgrain.llm import bpe, chat, dedup, quality_rules, sharding
 from crossgrain.llm.common import pick, table
 
 
@@ -27,6 +27,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), *bpe.default_vocabulary())
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(table(spark, sf_dir, "documents")).withColumn("representative", F.col("doc_id") == F.col("class_id"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).drop("rejected_by")
 
@@ -40,5 +44,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_bpe, op7_quality_rules, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_bpe, op5_minhash_near_dedup, op7_quality_rules, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": chat.SQL, "op7_quality_rules": quality_rules.SQL}
