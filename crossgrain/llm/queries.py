@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossgrain.llm import bpe, chat, dedup, quality_rules, sharding
-from crossgrain.llm.common import pick, table
+from crossgrain.llm import bpe, chat, dedup, language_id, pu_quality, quality_rules, sharding
+from crossgrain.llm.common import held_out, pick, table
 
 
 #: Fixed by the contract of the query: a conversation whose texts hold control strings.
@@ -27,6 +27,15 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), *bpe.default_vocabulary())
 
 
+#: Fixed by the contracts of the queries: scores from which a text counts as good, or as toxic.
+GOOD_FROM, TOXIC_FROM = 0.7, 0.3
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = pu_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= GOOD_FROM, 1).otherwise(0).alias("predicted"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents")).withColumn("representative", F.col("doc_id") == F.col("class_id"))
 
@@ -35,6 +44,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.fit(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "languages", "proportions")
+
+
 #: Shards of the production layout, all of one weight.
 SHARD_WEIGHTS = (1.0,) * 24
 
@@ -44,5 +59,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_bpe, op5_minhash_near_dedup, op7_quality_rules, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_bpe, op3_quality_classifier, op5_minhash_near_dedup, op7_quality_rules, op9_language_id, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": chat.SQL, "op7_quality_rules": quality_rules.SQL}
