@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossgrain.llm import bpe, chat, dedup, language_id, pu_quality, quality_rules, sharding
+from crossgrain.llm import bpe, chat, dedup, language_id, mixing, pu_quality, quality_rules, sharding, topk
 from crossgrain.llm.common import held_out, pick, table
 
 
@@ -36,6 +36,17 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= GOOD_FROM, 1).otherwise(0).alias("predicted"))
 
 
+#: The mix in production: entropy wanted, as a share of the most possible, and passes over a source at most.
+EVENNESS, REPETITIONS = 0.98, 4.0
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.counted(table(spark, sf_dir, "documents"))
+    budget = rows.agg(F.sum("tokens")).first()[0] or 0  # as many tokens as there are
+    plan = mixing.planned(rows, EVENNESS, REPETITIONS, float(budget), seed=11)
+    return mixing.draw(rows, plan, seed=11).select("doc_id", "source", "tokens", "epoch", "block", "draw_at")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents")).withColumn("representative", F.col("doc_id") == F.col("class_id"))
 
@@ -44,6 +55,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.predict(docs, language_id.fit(docs))
@@ -59,5 +74,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_bpe, op3_quality_classifier, op5_minhash_near_dedup, op7_quality_rules, op9_language_id, op10_sharding)}
-ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": chat.SQL, "op7_quality_rules": quality_rules.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_bpe, op3_quality_classifier, op4_mixing, op5_minhash_near_dedup, op7_quality_rules, op8_exact_top_k, op9_language_id, op10_sharding)}
+ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": chat.SQL, "op7_quality_rules": quality_rules.SQL, "op8_exact_top_k": topk.SQL}
