@@ -268,22 +268,27 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return pick(encoded, "doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """Encode every text, decode the ids, and give both sides' digests: doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    Ids stay in the worker that made them, so that whole texts cross to Python once and only
-    digests come back.
+    Whole texts cross to Python once; the ids stay in the worker that made them unless they are
+    asked for as a further column.
     """
     name = ship(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(SparkFiles.get(name), pattern)
         for batch in batches:
-            n, ids_sha, text_sha = [], [], []
+            n, ids_sha, text_sha, kept = [], [], [], []
             for ids in tok.encode_batch(batch.column(1).to_pylist()):
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 text_sha.append(hashlib.sha256(tok.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                if with_ids:
+                    kept.append(np.frombuffer(ids, "<u4").astype(np.int32))
+            cols = {"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
+            cols |= {"ids": pa.array(kept, pa.list_(pa.int32()))} if with_ids else {}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return pick(docs, "doc_id", "text").mapInArrow(run, schema)

@@ -26,6 +26,20 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return flat.select(*[F.col(f"_{df.columns.index(n)}").alias(n) for n in names])
 
 
+def flat(df: DataFrame, **names: str) -> DataFrame:
+    """`df` with its columns renamed _0, _1, ..., and copies of some under the names given (name=column).
+
+    toDF(*df.columns) gives the columns their names back, whatever these are.
+    """
+    numbered = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return numbered.select("*", *[F.col(f"_{df.columns.index(c)}").alias(n) for n, c in names.items()])
+
+
+def unflat(numbered: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of `like`, named as there, from a frame made by flat(like)."""
+    return numbered.select(*[f"_{i}" for i in range(len(like.columns))]).toDF(*like.columns)
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for the rows that no classifier may learn from; a null id is not held out."""
     key = F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit(""))

@@ -18,11 +18,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import held_out, pick
+from crossgrain.llm.common import flat, held_out, pick, unflat
 
 BINS = 1 << 15
 DOCS_A_LANGUAGE, PENALTY, STEPS = 3000, 4.0, 10
@@ -178,3 +179,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, map(list, cols), kinds)], names=["doc_id", "lang_pred", "score", "languages", "proportions"])
 
     return pick(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def keep_known(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
+    """The rows of `docs` in a known language that makes up `least_score` of the text, in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p.astype(np.float32)))
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        own, keep, group, size = Model(*shared.value), [], [], 0
+        for i, text in enumerate(texts):
+            group.append(text)
+            size += len(text or "")
+            if size > 300_000 or i == len(texts) - 1:
+                keep += [lang != UNKNOWN and score >= least_score for lang, score, _, _ in infer(group, own)]
+                group, size = [], 0
+        return pd.Series(keep, dtype=bool)
+
+    return unflat(flat(docs, text="text").where(known("text")), docs)

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import materialize, pick
+from crossgrain.llm.common import flat, materialize, pick, unflat
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Tokens a block is meant to hold, blocks of a source at most, sources whose plan may be broadcast.
@@ -162,3 +162,10 @@ def counted(docs: DataFrame) -> DataFrame:
 def planned(rows: DataFrame, target_evenness: float | None, repetition_limit: float | None, budget: float | None, seed: int) -> DataFrame:
     n = rows.where("tokens > 0").select("source").distinct().count()
     return plan(rows, None if target_evenness is None else target_evenness * math.log(max(1, n)), repetition_limit, budget, seed)
+
+
+def mixed_rows(docs: DataFrame, target_evenness: float | None = None, repetition_limit: float | None = None, budget: float | None = None, seed: int = 11) -> DataFrame:
+    """The rows of `docs`, each as often as the mix draws it, with no further column."""
+    ready = planned(counted(docs), target_evenness, repetition_limit, budget, seed)
+    rows = flat(docs, doc_id="doc_id", source="source").withColumn("source", F.coalesce("source", F.lit("")))
+    return unflat(draw(rows, ready, seed), docs)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import pick
+from crossgrain.llm.common import flat, pick, unflat
 
 #: ASCII white space that ends a word, and the symbols that are counted.
 SPACES = " \t\n\v\f\r"
@@ -178,7 +178,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
         return texts.map(verdict).astype(bool)
 
-    return docs.where(good("text"))
+    return unflat(flat(docs, text="text").where(good("text")), docs)
 
 
 #: The same counts and verdict in DuckDB's SQL.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossgrain.llm import bpe, chat, dedup, language_id, mixing, pu_quality, quality_rules, sharding, topk
+from crossgrain.llm import bpe, chat, dedup, language_id, mixing, pu_quality, quality_rules, sharding, topk, toxicity
 from crossgrain.llm.common import held_out, pick, table
 
 
@@ -51,6 +51,11 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents")).withColumn("representative", F.col("doc_id") == F.col("class_id"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= TOXIC_FROM, 1).otherwise(0).alias("predicted"), "clauses")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).drop("rejected_by")
 
@@ -74,5 +79,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_bpe, op3_quality_classifier, op4_mixing, op5_minhash_near_dedup, op7_quality_rules, op8_exact_top_k, op9_language_id, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_bpe, op3_quality_classifier, op4_mixing, op5_minhash_near_dedup, op6_toxicity, op7_quality_rules, op8_exact_top_k, op9_language_id, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": chat.SQL, "op7_quality_rules": quality_rules.SQL, "op8_exact_top_k": topk.SQL}
