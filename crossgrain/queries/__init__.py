@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crossgrain.queries import calendar, factors, labels  # noqa: F401  each registers its queries
-from crossgrain.queries.registry import ORACLE_SQL, QUERIES
+from crossgrain.queries import calendar, cross_section, factor_stats, factors, labels  # noqa: F401  each registers its queries
+from crossgrain.queries.registry import QUERIES, oracle_sql
 
-__all__ = ["ORACLE_SQL", "QUERIES"]
+__all__ = ["QUERIES", "oracle_sql"]

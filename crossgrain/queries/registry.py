@@ -12,7 +12,7 @@ from crossgrain.sources import proxy
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+_BODIES: dict[str, tuple[str, str, str]] = {}
 #: name -> (names it needs, body) of the parts that oracles share.
 PARTS: dict[str, tuple[str, str]] = dict(proxy.SQL)
 
@@ -42,7 +42,12 @@ def query(name: str, needs: str = "", body: str = "", columns: str = "") -> Call
     def register(f: Query) -> Query:
         QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
         if body:
-            ORACLE_SQL[name] = sql(needs, body, columns)
+            _BODIES[name] = (needs, body, columns)
         return f
 
     return register
+
+
+def oracle_sql() -> dict[str, str]:
+    """The statements of all registered queries that have one."""
+    return {name: sql(*x) for name, x in _BODIES.items()}
