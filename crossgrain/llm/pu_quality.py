@@ -9,7 +9,8 @@ unbiased risk
 with logistic loss: where the second part would go under 0, the step climbs back instead. The class
 prior is estimated from the unlabelled texts: a first fit with a high prior gives scores, and the
 prior is the least ratio, over thresholds, of unlabelled to positive texts above the threshold (the
-positives' share can't exceed it), with a margin for the ratio's own error. Both samples are bounded
+positives' share can't exceed it). Noise makes the least ratio low rather than high, which is the
+safe side: a prior that is too high would call the negatives positive. Both samples are bounded
 (`POSITIVES`, `UNLABELLED` rows in expectation) and drawn by a hash of the id.
 
 Edge cases: a null text is empty; an empty text has all statistics 0 and gets a score like any
@@ -94,11 +95,9 @@ def nn_pu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 1500, rate: f
 def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
     """Share of positives among the unlabelled, from scores of both: the tightest bound of the tails' ratio."""
     bounds = []
-    for q in np.linspace(0.02, 0.5, 25):
+    for q in np.linspace(0.02, 0.3, 15):
         cut = np.quantile(p, q)  # above it lies a share 1 - q of the positives
-        up, uu = (p >= cut).mean(), (u >= cut).mean()
-        error = np.sqrt(uu * (1 - uu) / len(u) + up * (1 - up) / len(p))
-        bounds.append((uu + error) / max(1e-9, up - error))
+        bounds.append((u >= cut).mean() / max(1e-9, (p >= cut).mean()))
     return float(np.clip(min(bounds), 0.05, 0.98))
 
 
