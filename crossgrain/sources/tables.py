@@ -63,7 +63,7 @@ def scan_factor(df: DataFrame) -> DataFrame:
     """(date, stock_code, factor_value) of a long table, or of a wide one: first column the date, the rest stocks."""
     if not {"date", "stock_code", "factor_value"} <= set(df.columns):
         first, *rest = df.columns
-        df = df.select(F.col(first).alias("date"), *[F.col(f"`{c}`").cast("string").alias(c) for c in rest]).unpivot(["date"], rest, "stock_code", "factor_value")
+        df = melt(df, first, rest, "factor_value", "string")
     out = df.select(F.to_date("date").alias("date"), normalize_stock_code("stock_code").alias("stock_code"), coerce_numeric("factor_value").alias("factor_value"))
     return out.where("factor_value is not null")
 
@@ -102,10 +102,16 @@ def resolve_vendor_columns(df: DataFrame, aliases: Mapping[str, str] = ALIASES)
     return out
 
 
+def melt(df: DataFrame, date: str, columns: Sequence[str], value: str, kind: str) -> DataFrame:
+    """(date, stock_code, value) of the named columns, whatever their names hold (dots, for one); nulls are kept."""
+    cells = F.array(*[F.struct(F.lit(c).alias("stock_code"), F.col(f"`{c}`").cast(kind).alias(value)) for c in columns])
+    return df.select(F.col(f"`{date}`").alias("date"), F.inline(cells))
+
+
 def unpivot_matrix(df: DataFrame, value: str, date: str = "date") -> DataFrame:
     """(date, stock_code, value) of a date x stock matrix, nulls kept."""
     rest = [c for c in df.columns if c != date]
-    return df.unpivot([date], rest, "stock_code", value)
+    return melt(df, date, rest, value, dict(df.dtypes)[rest[0]])
 
 
 def sink_table(df: DataFrame, path: str, fmt: str = "parquet", partition: str | None = None, sort: Sequence[str] = KEYS) -> None:
