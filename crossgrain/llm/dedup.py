@@ -16,14 +16,14 @@ pairs than there are members. The first round's centre is the bucket's least nod
 most of a group of copies at once. In later rounds only buckets with several classes are left; they
 draw another centre for each bucket and round, so a member meets a different one in each of its
 bands, and keys grow by neighbouring bands (`DEPTHS`), which splits buckets that hold many texts of
-middling likeness. Rounds go on while they find links, through all of `DEPTHS` at least. Classes
-are the connected components of all links, found by star contraction on tables in the shared folder;
+middling likeness. Rounds go on while they find links, through all of `DEPTHS` at least. Texts that
+then still share a bucket with another class are joined exactly (`similar_pairs`). Classes are
+the connected components of all links, found by star contraction on tables in the shared folder;
 between rounds a linked node just takes the lesser root of its partners, which is enough to tell
 most of a class apart from the rest.
 
 With 32 bands of 4 coordinates a pair of similarity 0.8 shares no bucket in 1 of 20 million cases,
-and 13 on average. A link can only stay unseen if in all of these, and in the deeper ones, neither
-text was a centre nor in the centre's class, and no third text links the two.
+and 13 on average. Only such a pair can stay unseen: the rounds save work, the exact join leaves out none.
 
 Edge cases: a text of fewer than five words is one shingle; a null text or one without words is in
 no class but its own; rows with one doc_id are one document; a row without doc_id has no class
@@ -37,7 +37,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossgrain.llm.common import flat, materialize, pick, unflat
@@ -47,6 +47,8 @@ BANDS, ROWS = 32, 4
 K = BANDS * ROWS
 #: Bands that make up a key in each round; the last goes on.
 DEPTHS = (1, 1, 2)
+#: Partners a member that a shingle may bring before the exact join sees it as hot; more on each level.
+PARTNERS = 16
 #: Pairs whose ids may be broadcast.
 FEW_PAIRS = 20_000
 #: Width of the first cell of ranks; each later level of cells is as wide as all before it.
@@ -235,6 +237,82 @@ def bucket_keys(rows: DataFrame, depth: int, *columns: str) -> DataFrame:
     return rows.select(*columns, F.explode(bands).alias("key"))
 
 
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """node, size and elements (hashes of the distinct shingles) of rows doc_id, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = []
+            for text in batch.column(1).to_pylist():
+                words = (text or "").lower().split()
+                sets.append(np.unique(shingles(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))).view(np.int64))
+                if len(hashes) > _WORDS_KEPT:
+                    hashes.clear()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "size", "elements"])
+
+    return texts.mapInArrow(run, "node long, size long, elements array<long>")
+
+
+def similar_pairs(nodes: DataFrame, texts: DataFrame, threshold: float = SIMILARITY, limit: int = PARTNERS) -> DataFrame:
+    """a, b, root_a, root_b: candidates that join all rows of `nodes` (node, root) which pairs as similar as `threshold` join.
+
+    A prefix join: in one order of all shingles, a pair's first common shingle lies in the first
+    size - need + 1 of either text, where need = threshold * size is what the text must share at
+    least. Shingles that bring more than `limit` partners a member (hot) come last in the order, so a
+    pair either has another shingle in both prefixes, on which it is joined, or shares hot ones only.
+    In the second case texts with the same hot shingles are alike up to their sizes: whatever links
+    with one of them links with the smallest, which stands for all in the next level. A level joins
+    the sets of hot shingles the same way, by how many of these sets hold a shingle and with a higher
+    limit. Partners of one who stands for others are compared with each of these.
+    """
+    sets = materialize(shingle_sets(texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")).join(nodes, "node"), "sets")
+    # m: how many shingles a set has on this level; group: sets of one group need no link.
+    info = sets.select("node", "size", F.col("size").alias("m"), F.col("root").alias("group"))
+    rows = sets.select("node", F.col("root").alias("group"), F.explode("elements").alias("element"))
+    members, pairs = None, []
+    while True:
+        shared = rows.groupBy("element").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low <> _high").select("element")
+        held = materialize(rows.join(shared, "element"), "held")
+        spread = held.groupBy("element", "group").agg(F.count(F.lit(1)).alias("c")).groupBy("element").agg(F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("_own"))
+        spread = spread.select("element", "n", (F.col("n").cast("double") * F.col("n") - F.col("_own") > limit * F.col("n")).alias("hot"))
+        own = Window.partitionBy("node")
+        ranked = held.drop("group").join(spread, "element").withColumn("i", F.row_number().over(own.orderBy("hot", "n", "element"))).withColumn("_held", F.count(F.lit(1)).over(own))
+        need = F.ceil(threshold * F.col("size") - 1e-9)
+        # Shingles that only one group has come first. `left`: how many follow, with this one.
+        ranked = ranked.join(info, "node").withColumn("left", F.col("_held") - F.col("i") + 1).where((F.col("left") >= need) | F.col("hot"))
+        ranked = materialize(ranked.select("node", "group", "size", "element", "hot", "left"), "ranked")
+        side = ranked.where("not hot").drop("hot")
+        x, y = (side.toDF(*[c if c == "element" else f"{c}_{k}" for c in side.columns]) for k in "ab")
+        common = F.least("left_a", "left_b") >= threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-9
+        near = x.join(y, "element").where("group_a <> group_b and node_a < node_b").where(common).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+        near = materialize(near, "near")
+        if members is None:
+            pairs.append(near)
+        else:
+            both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            pairs.append(both.withColumnRenamed("a", "node").join(members, "node").select(F.col("member").alias("a"), "b"))
+        hot = ranked.where("hot").groupBy("node", "size").agg(F.count(F.lit(1)).alias("m"), *[F.bit_xor(F.xxhash64("element", F.lit(k))).alias(f"x{k}") for k in (1, 2)])
+        hot = materialize(hot.where(F.col("m") >= need), "hot")
+        least = hot.groupBy("m", "x1", "x2").agg(F.min(F.struct("size", "node")).alias("s"))
+        stands = materialize(hot.join(least, ["m", "x1", "x2"]).select("node", F.col("s.node").alias("rep"), F.col("s.size").alias("size"), "m"), "stands")
+        if stands.isEmpty():
+            break
+        members = stands.select(F.col("node").alias("member"), "rep") if members is None else members.join(stands, "node").select("member", "rep")
+        members = materialize(members.withColumnRenamed("rep", "node"), "members")
+        pairs.append(members.select(F.col("member").alias("a"), F.col("node").alias("b")))
+        # From here on a set may stand for several roots.
+        info = stands.where("node = rep").select("node", "size", "m", F.col("node").alias("group"))
+        rows = ranked.where("hot").join(info.select("node"), "node", "left_semi").select("node", F.col("node").alias("group"), "element")
+        limit *= 8
+    every = pairs[0]
+    for more in pairs[1:]:
+        every = every.unionByName(more)
+    every = every.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    every = every.join(nodes.toDF("a", "root_a"), "a").join(nodes.toDF("b", "root_b"), "b")
+    return materialize(every.where("root_a <> root_b").select("a", "b", "root_a", "root_b"), "every")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, weighting: str = "set") -> DataFrame:
     """doc_id and class_id (the least doc_id of its class) of every row of `docs`."""
     docs = pick(docs, "doc_id", "text")
@@ -275,6 +353,22 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, weighting: s
         if pairs.isEmpty():
             break
     classes = None if links is None else materialize(components(links.select("a", "b")), "classes")
+    # What shares a bucket with another class by now is settled exactly.
+    if classes is not None:
+        live = live.join(classes, "node", "left").select("node", "bands", F.coalesce("root", "node").alias("root"))
+    else:
+        live = live.withColumn("root", F.col("node"))
+    keyed = bucket_keys(live, 1, "node", "root")
+    mixed = keyed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("key")
+    unsettled = materialize(keyed.join(mixed, "key").select("node", "root").distinct(), "unsettled")
+    if not unsettled.isEmpty():
+        found = materialize(compare(similar_pairs(unsettled, texts, threshold), texts, threshold), "found")
+        if not found.isEmpty():
+            joined = components(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).toDF("root", "_least")
+            every = live.select("node", "root")
+            if classes is not None:
+                every = classes.unionByName(every).distinct()
+            classes = materialize(every.join(joined, "root", "left").select("node", F.coalesce("_least", "root").alias("root")), "classes")
     named = nodes.select("words", "node")
     if classes is not None:
         named = named.join(classes, "node", "left").select("words", F.coalesce("root", "node").alias("class_id"))

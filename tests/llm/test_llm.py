@@ -268,6 +268,48 @@ def test_near_duplicates_of_documents(spark):
     assert {r.doc_id: r.class_id for r in queries.op5_minhash_near_dedup(spark, SF).collect()} == brute_classes(texts)
 
 
+def family(rng, members, planted, passage, own, extra):
+    """Texts of one passage and own words; each of the planted pairs has `extra` of these in common."""
+    texts, words = [], (f"u{i}" for i in range(10**9))
+    shared = [f"p{i}" for i in range(passage)]
+    for k in range(members):
+        both = [next(words) for _ in range(extra)] if k < planted else []
+        for _ in range(2 if k < planted else 1):
+            texts.append(" ".join(both + shared + [next(words) for _ in range(own - len(both))]))
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    at = {old: new for new, old in enumerate(order)}
+    pairs = {tuple(sorted((at[2 * k], at[2 * k + 1]))) for k in range(planted)}
+    return [texts[i] for i in order], pairs
+
+
+def test_pairs_of_a_large_family_are_found(spark):
+    texts, pairs = family(random.Random(11), 1200, 60, 150, 24, 8)
+    a, b = min(pairs)
+    c = next(i for i in range(len(texts)) if not any(i in p for p in pairs))
+    assert dedup.similarity(texts[a], texts[b]) >= 0.8 > dedup.similarity(texts[a], texts[c]) > 0.7
+    got = {r.doc_id: r.class_id for r in dedup.near_duplicates(docs(spark, texts)).collect()}
+    assert got == {i: i for i in range(len(texts))} | {j: i for i, j in pairs}
+
+
+@pytest.mark.parametrize("limit", [1, 16])
+def test_exact_join_finds_all_classes(spark, limit):
+    rng = random.Random(limit)
+    texts = {}
+    for f in range(3):
+        passage = [f"f{f}w{i}" for i in range(60)]
+        for _ in range(40):
+            cut = rng.choice([0, 0, 0, 2, 5])
+            tail = [rng.choice("abcdefgh") + str(f) for _ in range(rng.choice([0, 2, 6, 10, 14]))]
+            texts[len(texts)] = " ".join(passage[cut:] + tail)
+    texts = {i: t for i, t in texts.items() if t not in [texts[j] for j in range(i)]}
+    nodes = spark.createDataFrame([(i, i) for i in texts], "node long, root long")
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    links = dedup.compare(dedup.similar_pairs(nodes, rows, limit=limit), rows)
+    got = {i: i for i in texts} | {r.node: r.root for r in dedup.components(links.select("a", "b")).collect()}
+    assert got == brute_classes(texts)
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(6)
     e = rng.integers(0, 2**63, 300).astype(np.uint64)
