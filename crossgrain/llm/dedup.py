@@ -14,16 +14,16 @@ In each round every bucket has one centre, and each member that isn't yet in the
 compared with it: whole texts, exact Jaccard similarity of their shingles. So a round makes no more
 pairs than there are members. The first round's centre is the bucket's least node, which settles
 most of a group of copies at once. In later rounds only buckets with several classes are left; they
-draw another centre for each bucket and round, so a member meets a different one in each of its
-bands, and keys grow by neighbouring bands (`DEPTHS`), which splits buckets that hold many texts of
-middling likeness. Rounds go on while they find links, through all of `DEPTHS` at least. Texts that
-then still share a bucket with another class are joined exactly (`similar_pairs`). Classes are
-the connected components of all links, found by star contraction on tables in the shared folder;
-between rounds a linked node just takes the lesser root of its partners, which is enough to tell
-most of a class apart from the rest.
+draw another centre for
+each bucket and round, so a member meets a different one in each of its bands. A text leaves only
+when all its buckets hold one class each. Texts that after `ROUNDS` rounds still share a bucket with
+another class are joined exactly (`similar_pairs`). Classes are the connected components of all
+links, found by star contraction on tables in the shared folder; between rounds a linked node just
+takes the lesser root of its partners, which is enough to tell most of a class apart from the rest.
 
 With 32 bands of 4 coordinates a pair of similarity 0.8 shares no bucket in 1 of 20 million cases,
-and 13 on average. Only such a pair can stay unseen: the rounds save work, the exact join leaves out none.
+and 13 on average. Only such a pair can stay unseen: keys are single bands in all rounds and before
+the exact join, which leaves out none.
 
 Edge cases: a text of fewer than five words is one shingle; a null text or one without words is in
 no class but its own; rows with one doc_id are one document; a row without doc_id has no class
@@ -45,8 +45,8 @@ from crossgrain.llm.common import flat, materialize, pick, unflat
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
 K = BANDS * ROWS
-#: Bands that make up a key in each round; the last goes on.
-DEPTHS = (1, 1, 2)
+#: Comparisons with centres; what these leave open goes to the exact join.
+ROUNDS = 3
 #: Partners a member that a shingle may bring before the exact join sees it as hot; more on each level.
 PARTNERS = 16
 #: Pairs whose ids may be broadcast.
@@ -231,10 +231,9 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def bucket_keys(rows: DataFrame, depth: int, *columns: str) -> DataFrame:
-    """`columns` and key of each band (with the depth - 1 bands after it) of rows with bands."""
-    bands = F.transform("bands", lambda key, i: F.xxhash64(key, *[F.element_at("bands", (i + d) % BANDS + 1) for d in range(1, depth)])) if depth > 1 else F.col("bands")
-    return rows.select(*columns, F.explode(bands).alias("key"))
+def bucket_keys(rows: DataFrame, *columns: str) -> DataFrame:
+    """`columns` and key of each band of rows with bands."""
+    return rows.select(*columns, F.explode("bands").alias("key"))
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -320,7 +319,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, weighting: s
     known = signed.where("doc_id is not null and words is not null")
     # The same id under two texts is one document: its node occurs twice and joins both.
     nodes = materialize(known.groupBy("words").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "nodes")
-    rows = bucket_keys(nodes, 1, "node")
+    rows = bucket_keys(nodes, "node")
     crowded = materialize(rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("_most")).where("a <> _most").select("key", "a"), "crowded")
     matched = materialize(rows.join(crowded, "key").select("a", F.col("node").alias("b")).distinct(), "matched")
     pairs = matched.where("a <> b")
@@ -330,19 +329,19 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, weighting: s
     texts = materialize(docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     links, rooted = None, live.withColumn("root", F.col("node"))
     pairs = pairs.select("a", "b", F.col("a").alias("root_a"), F.col("b").alias("root_b"))
-    for n in range(1, 1_000_000):
+    for n in range(1, ROUNDS + 1):
         found = materialize(compare(pairs, texts, threshold), "found")
         some = not found.isEmpty()
         if some:
             links = found if links is None else links.unionByName(found)
-        elif n >= len(DEPTHS):
+        if n == ROUNDS:
             break
         if some:
             # One step towards the components: who was linked takes the lesser root of the two.
             both = F.array(F.struct(F.col("a").alias("node"), F.col("root_b").alias("r")), F.struct(F.col("b").alias("node"), F.col("root_a").alias("r")))
             lower = found.select(F.inline(both)).groupBy("node").agg(F.min("r").alias("r"))
             rooted = materialize(rooted.join(lower, "node", "left").select("node", "bands", F.least("root", F.coalesce("r", "root")).alias("root")), "rooted")
-        keyed = bucket_keys(rooted, DEPTHS[min(n, len(DEPTHS) - 1)], "node", "root")
+        keyed = bucket_keys(rooted, "node", "root")
         drawn = F.struct(F.xxhash64("node", "key", F.lit(n)).alias("h"), "node", "root")
         centres = keyed.groupBy("key").agg(F.min(drawn).alias("c"), F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("key", "c")
         met = keyed.join(centres, "key").select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.root").alias("root_a"), F.col("root").alias("root_b"))
@@ -358,7 +357,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, weighting: s
         live = live.join(classes, "node", "left").select("node", "bands", F.coalesce("root", "node").alias("root"))
     else:
         live = live.withColumn("root", F.col("node"))
-    keyed = bucket_keys(live, 1, "node", "root")
+    keyed = bucket_keys(live, "node", "root")
     mixed = keyed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("key")
     unsettled = materialize(keyed.join(mixed, "key").select("node", "root").distinct(), "unsettled")
     if not unsettled.isEmpty():
