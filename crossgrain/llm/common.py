@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +44,26 @@ def unflat(numbered: DataFrame, like: DataFrame) -> DataFrame:
     return numbered.select(*[f"_{i}" for i in range(len(like.columns))]).toDF(*like.columns)
 
 
+#: Bytes of text that a worker turns into Python's strings at once; a longer text comes alone.
+PART_BYTES = 2 << 20
+
+
+def cuts(texts: Iterable[pa.Array], most: int = PART_BYTES) -> Iterator[tuple[int, int]]:
+    """Start and length of neighbouring rows whose texts hold about `most` bytes together, one row at least."""
+    size = sum(np.nan_to_num(pc.binary_length(t).to_numpy(zero_copy_only=False).astype(float)) for t in texts)
+    at = (np.cumsum(size) // most).astype(np.int64)
+    start = np.flatnonzero(np.diff(at, prepend=-1))
+    return zip(start.tolist(), np.diff(start, append=len(at)).tolist(), strict=True)
+
+
+def parts(batches: Iterator[pa.RecordBatch], *texts: str, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut by `cuts`, so that what a worker holds doesn't depend on a batch's bytes; freed memory goes back."""
+    for batch in batches:
+        for start, length in cuts([batch.column(c) for c in texts], most) if batch.num_rows else ():
+            yield batch.slice(start, length)
+        pa.default_memory_pool().release_unused()
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for the rows that no classifier may learn from; a null id is not held out."""
     key = F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit(""))
@@ -64,9 +88,13 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: a lost executor costs one reread."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
