@@ -7,8 +7,15 @@ by one column, and rows without a mergeable pair leave the matrix. Very long pie
 each; there a round merges the occurrences of the minimum-rank pair from the left up to the first
 that makes a pair of lower rank, which gives the same ids in fewer rounds.
 
-Edge cases: a null text counts as empty and has no ids. Ids decode to exactly the text's bytes.
-Repeated rows give repeated result rows; extra columns are ignored.
+Pieces of `LONG` bytes or more leave the matrices for this second form, which is exact as well: one
+row of a matrix as wide as a megabyte would take as many rounds as it has merges.
+
+A worker turns about `PART_BYTES` of text into strings at once, keeps the ids of `CACHE_PIECES`
+fields and yields results part by part, so its memory doesn't grow with a batch.
+
+Edge cases: a null text counts as empty and has no ids. Ids decode to exactly the text's bytes. Very
+long texts are encoded whole. Repeated rows give repeated result rows; an empty table gives an empty
+result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,13 +30,13 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from crossgrain.llm.common import pick
+from crossgrain.llm.common import parts, pick
 
 #: Unicode's White_Space.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 NONE = np.int32(2**31 - 1)
 #: Pieces kept with their ids in a worker, and the bytes from which a piece is a matrix of its own.
-CACHE_PIECES, LONG = 400_000, 512
+CACHE_PIECES, LONG = 150_000, 512
 
 
 class PairTable:
@@ -199,7 +206,7 @@ class ByteBpe:
         for text in texts:
             group.append(text or "")
             chars += len(group[-1])
-            if chars > 2_000_000:
+            if chars > 500_000:
                 yield from self._encode_group(group)
                 group, chars = [], 0
         yield from self._encode_group(group)
@@ -248,7 +255,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(SparkFiles.get(name), pattern)
-        for batch in batches:
+        for batch in parts(batches, "text"):
             ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in tok.encode_batch(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64())], names=["doc_id", "ids", "n_tokens"])
 
@@ -261,7 +268,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(SparkFiles.get(name), pattern)
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             texts = [tok.decode(np.array(x or [], "<u4").tobytes()).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
@@ -278,7 +285,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(SparkFiles.get(name), pattern)
-        for batch in batches:
+        for batch in parts(batches, "text"):
             n, ids_sha, text_sha, kept = [], [], [], []
             for ids in tok.encode_batch(batch.column(1).to_pylist()):
                 n.append(len(ids) // 4)

@@ -1,33 +1,35 @@
 """Near-duplicate classes by DartMinHash signatures and a banded join.
 
-Signatures. A text is a set of weighted elements (its distinct 5-word shingles). Over each element
-lies a plane of weight and rank on which a fixed random pattern of darts has landed, one for each
-unit of area; the pattern depends on nothing but the element's hash. A text sees the darts whose
-weight lies under the element's weight. Each dart belongs to one of `K` coordinates, and the dart
-of least rank in a coordinate is the text's sample there: two texts agree on a coordinate with the
-probability of their weighted Jaccard similarity. Ranks are visited cell by cell, only as far as it
-takes to fill all coordinates, so that a text of n elements costs about n + K log K dart throws
-rather than n K.
+Signatures. A text is a set of weighted elements: its 5-word shingles, each weighing as often as it
+occurs. Over each element lies a plane of weight and rank on which a fixed random pattern of darts
+has landed, one for each unit of area; the pattern depends on nothing but the element's hash. A text
+sees the darts whose weight lies under the element's weight. Each dart belongs to one of `K`
+coordinates, and the dart of least rank in a coordinate is the text's sample there: two texts agree
+on a coordinate with the probability of their weighted Jaccard similarity (the sum of the lesser
+weights over the sum of the greater). Ranks are visited cell by cell, only as far as it takes to
+fill all coordinates, so that a text of n shingles costs about n + K log K dart throws, not n K.
 
 Join. Texts with equal words are one node. A node has one key for each band of `ROWS` coordinates.
-In each round every bucket has one centre, and each member that isn't yet in the centre's class is
-compared with it: whole texts, exact Jaccard similarity of their shingles. So a round makes no more
-pairs than there are members. The first round's centre is the bucket's least node, which settles
-most of a group of copies at once. In later rounds only buckets with several classes are left; they
-draw another centre for
-each bucket and round, so a member meets a different one in each of its bands. A text leaves only
-when all its buckets hold one class each. Texts that after `ROUNDS` rounds still share a bucket with
-another class are joined exactly (`similar_pairs`). Classes are the connected components of all
-links, found by star contraction on tables in the shared folder; between rounds a linked node just
-takes the lesser root of its partners, which is enough to tell most of a class apart from the rest.
-
-With 32 bands of 4 coordinates a pair of similarity 0.8 shares no bucket in 1 of 20 million cases,
-and 13 on average. Only such a pair can stay unseen: keys are single bands in all rounds and before
-the exact join, which leaves out none.
+In each of `ROUNDS` rounds every bucket has one centre, and each member that isn't yet in the
+centre's class is compared with it: whole texts, exact weighted Jaccard similarity of their
+shingles. So a round makes no more pairs than there are members. The first round's centre is the
+bucket's least node, which settles most of a group of copies at once; later rounds draw others, for
+buckets with several classes only. Texts that then still share a bucket with another class are
+joined exactly (`similar_pairs`). Classes are the connected components of all links, found by star
+contraction on tables in the shared folder; between rounds a linked node just takes the lesser root
+of its partners, which is enough to tell most of a class apart from the rest.
+
+With 32 bands of 4 coordinates a pair of similarity 0.8 shares no bucket in 1 of 20 million cases.
+Only such a pair can stay unseen.
+
+Hot keys. Where a key (a bucket, a centre, a shingle, a class) may hold any share of all rows, keys
+with more than a thousandth of them, so a thousand at most, are joined by broadcast or salted.
 
 Edge cases: a text of fewer than five words is one shingle; a null text or one without words is in
-no class but its own; rows with one doc_id are one document; a row without doc_id has no class
-(null); extra columns are ignored; an empty table gives an empty result.
+no class but its own; rows with one doc_id are one document, and if their texts differ it links
+with whatever any of them links with; a row without doc_id has no class (null); very long texts are
+compared whole; extra columns are ignored, whatever their names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -37,10 +39,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import flat, materialize, pick, unflat
+from crossgrain.llm.common import flat, materialize, parts, pick, unflat
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
@@ -51,9 +53,11 @@ ROUNDS = 3
 PARTNERS = 16
 #: Pairs whose ids may be broadcast.
 FEW_PAIRS = 20_000
+#: A key is hot with more than 1 / HOT_KEYS of all rows, and more than HOT_ROWS: there are HOT_KEYS of them at most.
+HOT_KEYS, HOT_ROWS = 1000, 10_000
 #: Width of the first cell of ranks; each later level of cells is as wide as all before it.
 FIRST_CELL = 0.25
-_WORDS_KEPT = 500_000
+_WORDS_KEPT = 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,6 +86,20 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def elements_of(text: str | None, hashes: WordHashes, weighting: str = "count") -> np.ndarray:
+    """A set whose Jaccard similarity with another text's is the weighted one of their shingles.
+
+    The n-th occurrence of a shingle is an element of its own, unless each shingle weighs 1 ("set").
+    """
+    words = (text or "").lower().split()
+    part = np.sort(shingles(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))))
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    if weighting == "set":
+        return part[first]
+    nth = np.arange(len(part)) - np.repeat(first, np.diff(first, append=len(part)))
+    return np.unique(mix(part + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
 def signatures(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray, n_docs: int, k: int = K) -> np.ndarray:
     """n_docs x k dart ids. elements[i] with weights[i] > 0 belongs to document doc[i]; each document has one at least."""
     # Unit columns of the plane: the last one of an element is as wide as what is left of its weight.
@@ -96,7 +114,7 @@ def signatures(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray, n_doc
         live = np.flatnonzero(open_docs[doc])
         steps = max(1, int(width))
         area = width / steps
-        at_once = max(1, 2_000_000 // len(live))
+        at_once = max(1, 500_000 // len(live))
         for low in range(0, steps, at_once):
             step = np.arange(low, min(steps, low + at_once))
             own = mix(seed[live][:, None] + (np.uint64(0x2545F4914F6CDD1D) * (step + cell + 1).astype(np.uint64))).ravel()
@@ -131,29 +149,29 @@ def band_keys(ids: np.ndarray) -> np.ndarray:
     return key
 
 
-def sign(docs: DataFrame, weighting: str = "set") -> DataFrame:
-    """doc_id, words (fingerprint of the text's words; null: none) and bands of every row.
+def sign(docs: DataFrame, weighting: str = "count") -> DataFrame:
+    """doc_id, hash (of the text), words (fingerprint of its words; null: none) and bands of every row.
 
-    weighting: "set" weighs each distinct shingle 1, "count" as often as it occurs.
+    weighting: "count" weighs a shingle as often as it occurs, "set" weighs each distinct one 1.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in parts(batches, "text"):
             fingers, bands, group, size = [], [], [], 0
-            texts = batch.column(1).to_pylist()
+            texts = batch.column("text").to_pylist()
             for i, text in enumerate(texts):
                 words = (text or "").lower().split()
                 fingers.append(blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest() if words else None)
                 part = shingles(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
                 group.append(np.unique(part, return_counts=True))
                 size += len(part)
-                if size > 200_000 or i == len(texts) - 1:
+                if size > 100_000 or i == len(texts) - 1:
                     bands += signed(group)
                     group, size = [], 0
                 if len(hashes) > _WORDS_KEPT:
                     hashes.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingers, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "words", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(fingers, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "hash", "words", "bands"])
 
     def signed(group: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray | None]:
         full = [g for g in group if len(g[0])]
@@ -165,45 +183,76 @@ def sign(docs: DataFrame, weighting: str = "set") -> DataFrame:
         keys = iter(band_keys(signatures(elements, weights, doc, len(full))).view(np.int64))
         return [next(keys) if len(g[0]) else None for g in group]
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, words binary, bands array<long>")
+    return hashed_texts(docs).mapInArrow(run, "doc_id long, hash long, words binary, bands array<long>")
+
+
+def hashed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text and hash: by id and hash a text is found again where rows share an id."""
+    return pick(docs, "doc_id", "text").withColumn("hash", F.xxhash64("text"))
 
 
 def similarity(a: str, b: str) -> float:
-    """Jaccard similarity of the distinct shingles of two texts."""
-    sets = []
-    for text in (a, b):
-        words = text.lower().split()
-        width = min(SHINGLE, len(words))
-        sets.append({tuple(words[i : i + width]) for i in range(len(words) - width + 1)} if words else set())
-    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+    """Weighted Jaccard similarity of the shingles of two texts."""
+    left, right = (elements_of(t, WordHashes()) for t in (a, b))
+    both = len(np.intersect1d(left, right, assume_unique=True))
+    return both / max(1, len(left) + len(right) - both)
 
 
-def compare(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The rows of `pairs` (long columns, a and b among them) whose texts (rows doc_id, text) are as similar as `threshold`."""
-    kept = pairs.columns
+def hot_bar(total: int) -> float:
+    return max(HOT_ROWS, total / HOT_KEYS)
 
-    def hashed(text: str | None, hashes: WordHashes) -> np.ndarray:
-        words = (text or "").lower().split()
-        return np.unique(shingles(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))))
+
+def join_hot(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Inner join with a table `right` of one row a key and `n`, the rows that `left` has of it; n goes.
+
+    Hot keys, `HOT_KEYS` at most, are broadcast; the others shuffle without them.
+    """
+    bar = hot_bar(right.agg(F.sum("n")).first()[0] or 0)
+    hot = right.where(F.col("n") > bar).drop("n")
+    if hot.isEmpty():
+        return left.join(right.drop("n"), key)
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col("n") <= bar).drop("n"), key)
+    return left.join(F.broadcast(hot), key).unionByName(cold)
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame, side: str, many: bool) -> DataFrame:
+    """pairs with text_{side}. Where `many` pairs share one node on this side, its text is laid out once for each part of them."""
+    named = texts.toDF(side, f"text_{side}")
+    if not many:
+        return pairs.join(named, side)
+    counts = materialize(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n")), "counts")
+    bar = hot_bar(counts.agg(F.sum("n")).first()[0] or 0)
+    copies = F.broadcast(counts.where(F.col("n") > bar).select(side, F.ceil(F.col("n") / bar).alias("_copies")))
+    other = "b" if side == "a" else "a"
+    salted = pairs.join(copies, side, "left").withColumn("_salt", F.pmod(F.xxhash64(other), F.coalesce("_copies", F.lit(1)))).drop("_copies")
+    laid = named.join(copies, side, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_copies", F.lit(1)) - 1))).drop("_copies")
+    return salted.join(laid, [side, "_salt"]).drop("_salt")
+
+
+def compare(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY, weighting: str = "count") -> DataFrame:
+    """The rows of `pairs` (long columns, a and b among them) whose texts (rows node, text) are as similar as `threshold`."""
+    kept = pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, left = WordHashes(), None, np.zeros(0, np.uint64)
-        for batch in batches:
+        for batch in parts(batches, "text_a", "text_b"):
             keep = []
-            for a, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("a", "text_a", "text_b")), strict=True):
+            # One side's text at a time: a centre's text stands in many rows.
+            for i, a in enumerate(batch.column("a").to_pylist()):
                 if a != last:
-                    last, left = a, hashed(text_a, hashes)
-                right = hashed(text_b, hashes)
+                    last, left = a, elements_of(batch.column("text_a")[i].as_py(), hashes, weighting)
+                right = elements_of(batch.column("text_b")[i].as_py(), hashes, weighting)
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 keep.append(both >= threshold * (len(left) + len(right) - both) and both > 0)
                 if len(hashes) > _WORDS_KEPT:
                     hashes.clear()
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept], names=kept).filter(pa.array(keep, pa.bool_()))
 
-    if pairs.count() <= FEW_PAIRS:  # then their texts are few too, and the others needn't move
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
-    full = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+    n = pairs.count()
+    if n <= FEW_PAIRS:  # then their texts are few too, and the others needn't move
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = texts.join(F.broadcast(ids), "node", "left_semi")
+    full = with_texts(with_texts(pairs, texts, "b", n > HOT_ROWS), texts, "a", n > HOT_ROWS)
     return full.mapInArrow(run, ", ".join(f"{c} long" for c in kept))
 
 
@@ -236,24 +285,23 @@ def bucket_keys(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select(*columns, F.explode("bands").alias("key"))
 
 
-def shingle_sets(texts: DataFrame) -> DataFrame:
-    """node, size and elements (hashes of the distinct shingles) of rows doc_id, text."""
+def shingle_sets(texts: DataFrame, weighting: str = "count") -> DataFrame:
+    """node, size and elements of rows node, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in parts(batches, "text"):
             sets = []
-            for text in batch.column(1).to_pylist():
-                words = (text or "").lower().split()
-                sets.append(np.unique(shingles(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))).view(np.int64))
+            for text in batch.column("text").to_pylist():
+                sets.append(elements_of(text, hashes, weighting).view(np.int64))
                 if len(hashes) > _WORDS_KEPT:
                     hashes.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "size", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "size", "elements"])
 
     return texts.mapInArrow(run, "node long, size long, elements array<long>")
 
 
-def similar_pairs(nodes: DataFrame, texts: DataFrame, threshold: float = SIMILARITY, limit: int = PARTNERS) -> DataFrame:
+def similar_pairs(nodes: DataFrame, texts: DataFrame, threshold: float = SIMILARITY, limit: int = PARTNERS, weighting: str = "count") -> DataFrame:
     """a, b, root_a, root_b: candidates that join all rows of `nodes` (node, root) which pairs as similar as `threshold` join.
 
     A prefix join: in one order of all shingles, a pair's first common shingle lies in the first
@@ -265,18 +313,19 @@ def similar_pairs(nodes: DataFrame, texts: DataFrame, threshold: float = SIMILAR
     the sets of hot shingles the same way, by how many of these sets hold a shingle and with a higher
     limit. Partners of one who stands for others are compared with each of these.
     """
-    sets = materialize(shingle_sets(texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")).join(nodes, "node"), "sets")
+    sets = materialize(shingle_sets(texts.join(nodes.select("node"), "node", "left_semi"), weighting).join(nodes, "node"), "sets")
     # m: how many shingles a set has on this level; group: sets of one group need no link.
     info = sets.select("node", "size", F.col("size").alias("m"), F.col("root").alias("group"))
     rows = sets.select("node", F.col("root").alias("group"), F.explode("elements").alias("element"))
     members, pairs = None, []
     while True:
-        shared = rows.groupBy("element").agg(F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low <> _high").select("element")
-        held = materialize(rows.join(shared, "element"), "held")
+        shared = rows.groupBy("element").agg(F.min("group").alias("_low"), F.max("group").alias("_high"), F.count(F.lit(1)).alias("n"))
+        shared = materialize(shared.where("_low <> _high").select("element", "n"), "shared")
+        held = materialize(join_hot(rows, shared, "element"), "held")
         spread = held.groupBy("element", "group").agg(F.count(F.lit(1)).alias("c")).groupBy("element").agg(F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("_own"))
-        spread = spread.select("element", "n", (F.col("n").cast("double") * F.col("n") - F.col("_own") > limit * F.col("n")).alias("hot"))
+        spread = materialize(spread.select("element", "n", F.col("n").alias("among"), (F.col("n").cast("double") * F.col("n") - F.col("_own") > limit * F.col("n")).alias("hot")), "spread")
         own = Window.partitionBy("node")
-        ranked = held.drop("group").join(spread, "element").withColumn("i", F.row_number().over(own.orderBy("hot", "n", "element"))).withColumn("_held", F.count(F.lit(1)).over(own))
+        ranked = join_hot(held.drop("group"), spread, "element").withColumnRenamed("among", "n").withColumn("i", F.row_number().over(own.orderBy("hot", "n", "element"))).withColumn("_held", F.count(F.lit(1)).over(own))
         need = F.ceil(threshold * F.col("size") - 1e-9)
         # Shingles that only one group has come first. `left`: how many follow, with this one.
         ranked = ranked.join(info, "node").withColumn("left", F.col("_held") - F.col("i") + 1).where((F.col("left") >= need) | F.col("hot"))
@@ -312,75 +361,92 @@ def similar_pairs(nodes: DataFrame, texts: DataFrame, threshold: float = SIMILAR
     return materialize(every.where("root_a <> root_b").select("a", "b", "root_a", "root_b"), "every")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, weighting: str = "set") -> DataFrame:
+def bucket_centres(keyed: DataFrame, centre: Column) -> DataFrame:
+    """key, c (the least `centre`) and n of the buckets of `keyed` (node, root, key) with several classes."""
+    found = keyed.groupBy("key").agg(F.min(centre).alias("c"), F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("n"))
+    return materialize(found.where("_low <> _high").select("key", "c", "n"), "centres")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, weighting: str = "count") -> DataFrame:
     """doc_id and class_id (the least doc_id of its class) of every row of `docs`."""
-    docs = pick(docs, "doc_id", "text")
-    signed = materialize(sign(docs, weighting), "signed")
+    signed = materialize(sign(docs, weighting).withColumn("uid", F.monotonically_increasing_id()), "signed")
     known = signed.where("doc_id is not null and words is not null")
-    # The same id under two texts is one document: its node occurs twice and joins both.
-    nodes = materialize(known.groupBy("words").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "nodes")
-    rows = bucket_keys(nodes, "node")
-    crowded = materialize(rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("_most")).where("a <> _most").select("key", "a"), "crowded")
-    matched = materialize(rows.join(crowded, "key").select("a", F.col("node").alias("b")).distinct(), "matched")
-    pairs = matched.where("a <> b")
-    live = materialize(nodes.select("node", "bands").join(matched.select(F.col("b").alias("node")).distinct(), "node", "left_semi"), "live")
-    # Shuffled at any size: the ids grow with the documents.
-    wanted = live.select(F.col("node").alias("doc_id")).distinct()
-    texts = materialize(docs.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    links, rooted = None, live.withColumn("root", F.col("node"))
-    pairs = pairs.select("a", "b", F.col("a").alias("root_a"), F.col("b").alias("root_b"))
+    nodes = known.groupBy("words").agg(
+        F.min("uid").alias("node"), F.min("doc_id").alias("least_id"), F.min_by(F.struct("doc_id", "hash"), "uid").alias("at"), F.any_value("bands").alias("bands"), F.count(F.lit(1)).alias("n"),
+    )
+    nodes = materialize(nodes, "nodes")
+    links = links_of_ids(known, nodes)
+    live = nodes.select("node", "bands", F.col("node").alias("root"))
+    texts = None
     for n in range(1, ROUNDS + 1):
-        found = materialize(compare(pairs, texts, threshold), "found")
-        some = not found.isEmpty()
-        if some:
-            links = found if links is None else links.unionByName(found)
-        if n == ROUNDS:
-            break
-        if some:
-            # One step towards the components: who was linked takes the lesser root of the two.
-            both = F.array(F.struct(F.col("a").alias("node"), F.col("root_b").alias("r")), F.struct(F.col("b").alias("node"), F.col("root_a").alias("r")))
-            lower = found.select(F.inline(both)).groupBy("node").agg(F.min("r").alias("r"))
-            rooted = materialize(rooted.join(lower, "node", "left").select("node", "bands", F.least("root", F.coalesce("r", "root")).alias("root")), "rooted")
-        keyed = bucket_keys(rooted, "node", "root")
-        drawn = F.struct(F.xxhash64("node", "key", F.lit(n)).alias("h"), "node", "root")
-        centres = keyed.groupBy("key").agg(F.min(drawn).alias("c"), F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("key", "c")
-        met = keyed.join(centres, "key").select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.root").alias("root_a"), F.col("root").alias("root_b"))
+        # The first round's centre is the bucket's least node, later ones are drawn.
+        drawn = F.struct(F.xxhash64("node", "key", F.lit(n)).alias("h") if n > 1 else F.lit(0).cast("long").alias("h"), "node", "root")
+        keyed = bucket_keys(live, "node", "root")
+        met = join_hot(keyed, bucket_centres(keyed, drawn), "key").select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.root").alias("root_a"), F.col("root").alias("root_b"))
         met = materialize(met.distinct(), "met")
-        pairs = met.where("root_a <> root_b")
         # Only members of buckets with several classes go on; a centre meets itself and so stays as well.
-        rooted = materialize(rooted.join(met.select(F.col("b").alias("node")).distinct(), "node", "left_semi"), "live")
-        if pairs.isEmpty():
-            break
-    classes = None if links is None else materialize(components(links.select("a", "b")), "classes")
+        live = materialize(live.join(met.select(F.col("b").alias("node")).distinct(), "node", "left_semi"), "live")
+        if texts is None:
+            # Shuffled at any size: the ids grow with the documents.
+            wanted = nodes.join(live.select("node"), "node", "left_semi").select("at.*", "node")
+            texts = materialize(hashed_texts(docs).join(wanted.hint("merge"), ["doc_id", "hash"]).select("node", "text").dropDuplicates(["node"]), "texts")
+            unsettled = live
+        found = materialize(compare(met.where("root_a <> root_b"), texts, threshold, weighting), "found")
+        if found.isEmpty():
+            if met.isEmpty():
+                break
+            continue
+        links = found.select("a", "b") if links is None else links.unionByName(found.select("a", "b"))
+        # One step towards the components: who was linked takes the lesser root of the two.
+        both = F.array(F.struct(F.col("a").alias("node"), F.col("root_b").alias("r")), F.struct(F.col("b").alias("node"), F.col("root_a").alias("r")))
+        lower = found.select(F.inline(both)).groupBy("node").agg(F.min("r").alias("r"))
+        live = materialize(live.join(lower, "node", "left").select("node", "bands", F.least("root", F.coalesce("r", "root")).alias("root")), "live")
+    classes = None if links is None else materialize(components(links), "classes")
     # What shares a bucket with another class by now is settled exactly.
-    if classes is not None:
-        live = live.join(classes, "node", "left").select("node", "bands", F.coalesce("root", "node").alias("root"))
-    else:
-        live = live.withColumn("root", F.col("node"))
+    live = unsettled.select("node", "bands")
+    live = live.join(classes, "node", "left").select("node", "bands", F.coalesce("root", "node").alias("root")) if classes is not None else live.withColumn("root", F.col("node"))
     keyed = bucket_keys(live, "node", "root")
-    mixed = keyed.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low <> _high").select("key")
-    unsettled = materialize(keyed.join(mixed, "key").select("node", "root").distinct(), "unsettled")
-    if not unsettled.isEmpty():
-        found = materialize(compare(similar_pairs(unsettled, texts, threshold), texts, threshold), "found")
+    left = materialize(join_hot(keyed, bucket_centres(keyed, F.lit(0)), "key").select("node", "root").distinct(), "unsettled")
+    if not left.isEmpty():
+        found = materialize(compare(similar_pairs(left, texts, threshold, weighting=weighting), texts, threshold, weighting), "found")
         if not found.isEmpty():
             joined = components(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).toDF("root", "_least")
             every = live.select("node", "root")
             if classes is not None:
                 every = classes.unionByName(every).distinct()
             classes = materialize(every.join(joined, "root", "left").select("node", F.coalesce("_least", "root").alias("root")), "classes")
-    named = nodes.select("words", "node")
+    named = nodes.select("words", "n", F.col("least_id").alias("class_id"))
     if classes is not None:
-        named = named.join(classes, "node", "left").select("words", F.coalesce("root", "node").alias("class_id"))
-    else:
-        named = named.select("words", F.col("node").alias("class_id"))
+        linked = classes.join(nodes.select("node", "least_id"), "node")
+        of_root = materialize(linked.groupBy("root").agg(F.min("least_id").alias("class_id"), F.count(F.lit(1)).alias("n")), "of_root")
+        of_node = join_hot(classes, of_root, "root").select("node", "class_id")
+        named = nodes.join(of_node, "node", "left").select("words", "n", F.coalesce("class_id", "least_id").alias("class_id"))
     named = materialize(named, "named")
-    return signed.select("doc_id", "words").join(named, "words", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+    rows = signed.select("doc_id", "words")
+    in_class = join_hot(rows.where("doc_id is not null and words is not null"), named, "words").select("doc_id", "class_id")
+    return in_class.unionByName(rows.where("doc_id is null or words is null").select("doc_id", F.col("doc_id").alias("class_id")))
+
+
+def links_of_ids(known: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """a, b: the nodes of each doc_id that occurs with several texts; None if there is none."""
+    several = known.groupBy("doc_id").agg(F.min("words").alias("_low"), F.max("words").alias("_high"), F.count(F.lit(1)).alias("n")).where("_low <> _high")
+    several = materialize(several.select("doc_id", F.col("_low").alias("low"), "n"), "several")
+    if several.isEmpty():
+        return None
+    pairs = join_hot(known.select("doc_id", "words"), several, "doc_id").where("words <> low").select("words", "low").distinct()
+    at = nodes.select("words", "node")
+    return materialize(pairs.join(at.toDF("words", "b"), "words").join(at.toDF("low", "a"), "low").select("a", "b"), "links")
 
 
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """One row for each class of `docs`: the document of least doc_id. Rows without doc_id stay."""
+    """One row for each class of `docs`: that of its least doc_id, the least row if several have this id.
+
+    Rows without doc_id stay. Columns must have an order, as all but maps have.
+    """
     classes = near_duplicates(docs, threshold)
-    first = classes.where("doc_id = class_id").select(F.col("doc_id").alias("_id")).distinct()
+    first = materialize(classes.where("doc_id = class_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("n")), "first")
     rows = flat(docs, _id="doc_id")
-    kept = rows.join(first, "_id", "left_semi").dropDuplicates(["_id"])
-    return unflat(kept.unionByName(rows.where("_id is null")), docs)
+    alone = rows.join(first.where("n = 1").select("_id"), "_id", "left_semi")
+    fields = [f"_{i}" for i in range(len(docs.columns))]
+    several = rows.join(first.where("n > 1").select("_id"), "_id", "left_semi").groupBy("_id").agg(F.min(F.struct(*fields)).alias("_row")).select("_row.*", "_id")
+    return unflat(alone.unionByName(several).unionByName(rows.where("_id is null")), docs)

@@ -83,6 +83,47 @@ def test_chat_parts(spark):
     assert r.attached_tokens == 1817 and "<\\|image|> <|image|><|audio|>tail<|end|>" in r.formatted and rows[6].n_turns == 1
 
 
+def test_chat_random_parts_read_back(spark):
+    rng = random.Random(12)
+    bits = ["<", "[", "\\", "|", "|turn|>", "/s>", "INST]", "SYS>>", "x", "<|end|>", "", None, "日"]
+    part = "struct<kind:string,text:string,uri:string,units:long>"
+    turns = []
+    for c in range(40):
+        for n in range(rng.randint(1, 6)):
+            parts = [(rng.choice(["text", "text", "text", "image", "odd", None]), rng.choice(bits), None, None) for _ in range(rng.randint(0, 7))]
+            turns.append((c, n // 2, rng.choice(["user", "assistant", "<|turn|>", None]), parts))
+
+    def said(parts):
+        return "".join("<|image|>" if k == "image" else (t or "") for k, t, _, _ in parts)
+
+    def runs(parts):
+        out = [""]
+        for k, t, _, _ in parts:
+            out += [""] if k == "image" else []
+            out[-1] += "" if k == "image" else t or ""
+        return [r.encode() for r in out]
+
+    df = spark.createDataFrame(turns, f"conv_id long, turn long, role string, parts array<{part}>").repartition(5)
+    talks = chat.format_conversations(df)
+    rows = talks.select("conv_id", "n_turns", "formatted", chat.read_turns(F.col("formatted")).alias("back"), chat.read_loss_texts(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
+    assert len(rows) == 40
+    for r in rows:
+        own = sorted(((n, role or "", runs(p), said(p)) for c, n, role, p in turns if c == r.conv_id), key=lambda t: (t[0], t[1].encode(), t[2]))
+        # A placeholder reads back as itself; texts are whole, whatever parts they came in.
+        assert [(b.role, b.text) for b in r.back] == [(role, text) for _, role, _, text in own] and r.n_turns == len(own)
+        assert r.loss == [text for _, role, _, text in own if role == "assistant"]
+        assert r.formatted.count(chat.TURN) == r.formatted.count(chat.END) == len(own)
+
+
+def test_chat_empty_and_clashing_tables(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a", 1, "x"), (None, 0, "user", None, 1, "x"), (1, 0, "user", "a", 2, "x"), (2, None, None, LONG, 2, "x")], "conv_id long, turn long, role string, said string, at int, other string")
+    df = df.toDF("conv_id", "turn", "role", "said", "at", "ROLE").withColumn("parts", chat.text_part(F.col("said")))
+    rows = {r.conv_id: r for r in chat.digests(chat.format_conversations(df)).collect()}
+    assert rows[1].n_turns == 2 and rows[None].n_turns == 1 and rows[2].formatted_chars == len(LONG) + 23
+    assert rows[1].turns_sha256 == hashlib.sha256(b"user\na\nuser\na\n").hexdigest() and rows[1].loss_sha256 == hashlib.sha256(b"").hexdigest()
+    assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
+
+
 # -- 2: BPE ------------------------------------------------------------------------------------------
 
 
@@ -223,14 +264,18 @@ def test_mix_without_budget_draws_every_document(spark):
 # -- 5: near-duplicates ------------------------------------------------------------------------------
 
 
-def brute_classes(texts):
-    def grams(t):
-        w = (t or "").lower().split()
-        k = min(5, len(w))
-        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+def grams(t):
+    w = (t or "").lower().split()
+    k = min(5, len(w))
+    return Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else Counter()
+
 
+def brute_classes(texts, doc_ids=None):
+    """Class of each key of `texts`; keys that share a doc_id are one document."""
     sets = {i: grams(t) for i, t in texts.items()}
-    root = {i: i for i in texts}
+    size = {i: c.total() for i, c in sets.items()}
+    doc_ids = doc_ids or {i: i for i in texts}
+    root = {i: i for i in doc_ids.values()}
 
     def find(x):
         while root[x] != x:
@@ -240,11 +285,13 @@ def brute_classes(texts):
     ids = sorted(texts)
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
-            both = len(sets[a] & sets[b])
-            if both and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
-                x, y = sorted((find(a), find(b)))
+            if min(size[a], size[b]) < 0.8 * max(size[a], size[b]):
+                continue
+            both = sum(min(c, sets[b][g]) for g, c in sets[a].items())
+            if both and both >= 0.8 * (size[a] + size[b] - both):
+                x, y = sorted((find(doc_ids[a]), find(doc_ids[b])))
                 root[y] = x
-    return {i: find(i) for i in ids}
+    return {i: find(i) for i in set(doc_ids.values())}
 
 
 def test_near_duplicates_equal_brute_force(spark):
@@ -268,6 +315,38 @@ def test_near_duplicates_of_documents(spark):
     assert {r.doc_id: r.class_id for r in queries.op5_minhash_near_dedup(spark, SF).collect()} == brute_classes(texts)
 
 
+def test_ids_with_several_texts_are_one_document(spark):
+    rng = random.Random(5)
+    a, b, c = ([f"{k}{rng.randrange(400)}" for _ in range(80)] for k in "abc")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (5, near(b)), (6, near(a)), (7, " ".join(c)), (8, near(c)), (9, "alone"), (None, " ".join(a)), (8, near(c)), (9, None)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        got = {r.doc_id: r.class_id for r in dedup.near_duplicates(df).collect()}
+        assert got == {1: 1, 5: 1, 6: 1, 7: 7, 8: 7, 9: 9, None: None}
+        kept = sorted(((r.doc_id or 0, r.text or "") for r in dedup.keep_one(df).collect()))
+        assert kept == sorted([(0, " ".join(a)), (1, min(" ".join(a), " ".join(b))), (7, " ".join(c)), (9, "")])
+
+
+def test_repeated_shingles_weigh_as_often_as_they_occur(spark):
+    line = "a line of ten words that comes again and again"
+    texts = {0: " ".join([line] * 20), 1: " ".join([line] * 18), 2: " ".join([line] * 9), 3: line}
+    assert dedup.similarity(texts[0], texts[1]) >= 0.8 > dedup.similarity(texts[0], texts[2])
+    got = {r.doc_id: r.class_id for r in dedup.near_duplicates(docs(spark, list(texts.values()))).collect()}
+    assert got == brute_classes(texts) == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
+@pytest.mark.parametrize("rows", [1, 10_000])
+def test_hot_keys_change_no_class(spark, monkeypatch, rows):
+    monkeypatch.setattr(dedup, "HOT_ROWS", rows)
+    monkeypatch.setattr(dedup, "HOT_KEYS", 3)
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(300)}" for _ in range(60)]
+    texts = [" ".join(base)] * 20 + [" ".join([*base[:k], f"n{k}", *base[k + 1 :]]) for k in range(60)] + [None, "", "own words here"]
+    got = {r.doc_id: r.class_id for r in dedup.near_duplicates(docs(spark, texts)).collect()}
+    assert got == brute_classes(dict(enumerate(texts)))
+
+
 def family(rng, members, planted, passage, own, extra):
     """Texts of one passage and own words; each of the planted pairs has `extra` of these in common."""
     texts, words = [], (f"u{i}" for i in range(10**9))
@@ -304,7 +383,7 @@ def test_exact_join_finds_all_classes(spark, limit):
             texts[len(texts)] = " ".join(passage[cut:] + tail)
     texts = {i: t for i, t in texts.items() if t not in [texts[j] for j in range(i)]}
     nodes = spark.createDataFrame([(i, i) for i in texts], "node long, root long")
-    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = spark.createDataFrame(list(texts.items()), "node long, text string")
     links = dedup.compare(dedup.similar_pairs(nodes, rows, limit=limit), rows)
     got = {i: i for i in texts} | {r.node: r.root for r in dedup.components(links.select("a", "b")).collect()}
     assert got == brute_classes(texts)
@@ -357,23 +436,44 @@ def test_top_k_equals_sql(spark, duck):
 
 def test_top_k_edges(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, [None, 1.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, None), (7, [-1.0]), (None, [9.0, 9.0]), (50, [0.0, 0.0]), (0, [1.0, 0.5])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 3).collect()}
-    top = 256 * 256 + 128 * 128
-    assert got == {(0, 1): (1, top), (0, 2): (2, top), (0, 3): (50, 0), (50, 1): (0, 0), (50, 2): (1, 0), (50, 3): (2, 0)}
+    rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, [None, 1.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, None), (7, [-1.0]), (None, [9.0, 9.0]), (50, [0.0, 0.0]), (0, [2.0, 0.5])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, EMBEDDING string, uid int")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 3).collect())
+    one, two = 256 * 256 + 128 * 128, 512 * 256 + 128 * 128
+    first = [(0, 1, 0, two), (0, 2, 1, one), (0, 3, 2, one)]  # of the row (1, 0.5)
+    second = [(0, 1, 0, two), (0, 2, 1, two), (0, 3, 2, two)]  # of the other row with id 0
+    assert got == sorted(first + second) + [(50, 1, 0, 0), (50, 2, 0, 0), (50, 3, 1, 0)]
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    assert topk.top_k(spark.createDataFrame([(0, [])], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def brute_top(rows, ids, queries, k):
+    """The k best of each query position in Python's integers."""
+    product = rows[queries].astype(object) @ rows.T.astype(object)
+    others = lambda i: sorted((j for j in range(len(rows)) if j != queries[i]), key=lambda j: (-product[i, j], ids[j]))[:k]
+    return [[(ids[j], int(product[i, j])) for j in others(i)] for i in range(len(queries))]
 
 
-@pytest.mark.parametrize("scale", [1.0, 1e9])
-def test_max_score_equals_products(scale):
+@pytest.mark.parametrize("kind", ["dense", "huge", "uneven", "ties"])
+def test_max_score_equals_products(kind):
     rng = np.random.default_rng(8)
-    m = (rng.normal(size=(900, 12)) * 50 * scale).astype(np.int64)
-    ids, q = rng.permutation(900), m[:7]
-    want = q.astype(object) @ m.T.astype(object)
-    for i, at, scores in topk.search_shard(q, ids[:7], m, ids, 5):
-        others = sorted((j for j in range(900) if ids[j] != ids[i]), key=lambda j: (-want[i, j], ids[j]))[:5]
-        assert at.tolist() == others and [int(s) for s in scores] == [int(want[i, j]) for j in others]
+    m = rng.normal(size=(900, 12)) * 50
+    m = {"dense": m, "huge": m * 1e7, "uneven": m * 2.0 ** -np.arange(12), "ties": np.sign(m)}[kind].astype(np.int64)
+    ids, queries = rng.permutation(450).repeat(2), np.array([3, 5, 7, 100, 899])
+    search = topk.Search(queries, m[queries], np.full(5, topk.LEAST), 5)
+    for lo in range(0, 900, 128):
+        search.meet(m[lo : lo + 128], np.arange(lo, min(900, lo + 128)), ids[lo : lo + 128])
+    got = list(zip(*(x.tolist() for x in search.found), strict=True))
+    assert [[(v, s) for q, s, v in got if q == i] for i in range(5)] == brute_top(m, ids.tolist(), queries, 5)
+
+
+def test_rounds_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ROUND_BYTES", 8 * 64 * 3)
+    rows = table(spark, SF, "embeddings")
+    every = lambda: sorted(tuple(r) for r in topk.top_k(rows, F.col("vec_id") % 50 == 0).collect())
+    several = every()
+    monkeypatch.undo()
+    assert several == every() and len(several) > 0
 
 
 # -- 10: sharding ------------------------------------------------------------------------------------
