@@ -7,15 +7,19 @@ two holds, so the limit comes first. Six halvings are decided by each pass over
 table: one aggregate row with the entropy and the greatest repetition at 63 exponents.
 
 A source's budget is its weight's part of the token budget. It is realised as block permutations:
-in each pass over a source its documents are dealt into blocks by a hash of (seed, pass, id) and
-ordered by that hash inside a block. Whole passes take every document; the last, partial pass takes
-blocks while they fit and cuts the block on the budget's edge at a hash value. So a plan has one
-row a source, and each document knows its draws from its own hash: nothing is sorted across a
-source, however large it is.
+in each pass over a source its documents are dealt into blocks of about `BLOCK_TOKENS` by a hash of
+(seed, pass, id) and ordered by that hash inside a block. Whole passes take every document; the last,
+partial pass takes them in the order of the hash while they fit. Where it ends is found digit by
+digit: of the 4096 ranges of hashes that a digit makes, those before the budget's edge are taken
+whole and the one on the edge is cut by the next digit, so a step never sorts more than 4096 sums a
+source; documents are sorted only within the last, tiny range. A plan has one row a source, and each
+document knows its draws from its own hash.
 
 Edge cases: a null source counts as the source ''; a null or empty text has no tokens; a source
-without tokens is drawn once; documents of one id rank together; a table without tokens is
-returned as it is; extra columns are ignored.
+without tokens is drawn once; documents of one id rank together; very long texts are counted whole
+and may leave a budget unspent by as much as one of them; repeated rows are rows of their own; a
+table without tokens is returned as it is; an empty table gives an empty result; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +32,10 @@ from pyspark.sql import functions as F
 from crossgrain.llm.common import flat, materialize, pick, unflat
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Tokens a block is meant to hold, blocks of a source at most, sources whose plan may be broadcast.
-BLOCK_TOKENS, MOST_BLOCKS, BROADCAST_SOURCES = 50_000, 4096, 20_000
+#: Tokens a block is meant to hold, sources whose plan may be broadcast, parts that a hot source is joined in beyond that.
+BLOCK_TOKENS, BROADCAST_SOURCES, SALTS = 50_000, 20_000, 32
+#: Bits of a document's hash, bits of one digit of it, and digits that narrow the edge: to one document in 16 million.
+HASH_BITS, DIGIT_BITS, DIGITS = 53, 12, 2
 _LEVELS, _PASSES = 6, 5
 
 
@@ -92,7 +98,7 @@ def unit_hash(seed: int, epoch: Column) -> Column:
 def plan(docs: DataFrame, target_entropy: float | None, repetition_limit: float | None, budget: float | None, seed: int) -> DataFrame:
     """One row a source of rows (doc_id, source, tokens): weight, budget, passes, cut and blocks.
 
-    `passes` whole passes, then documents whose hash in the next pass is `cut` at most (null: none).
+    `passes` whole passes, then documents whose hash in the next pass is `cut` at most (null or -1: none).
     """
     totals = materialize(source_totals(docs), "sources")
     a, size = exponents(totals, target_entropy, repetition_limit, budget)
@@ -101,32 +107,58 @@ def plan(docs: DataFrame, target_entropy: float | None, repetition_limit: float
     wide = totals.select("*", (power / norm).alias("weight")).withColumn("budget", F.col("weight") * size)
     times = F.when(F.col("tokens") > 0, F.col("budget") / F.col("tokens")).otherwise(1.0)
     wide = wide.withColumn("passes", F.floor(times + 1e-9).cast("long"))
-    blocks = F.least(F.lit(MOST_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("tokens") / BLOCK_TOKENS))).cast("long")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("tokens") / BLOCK_TOKENS)).cast("long")
     wide = wide.withColumn("rest", F.greatest(F.lit(0.0), F.col("budget") - F.col("passes") * F.col("tokens"))).withColumn("blocks", blocks)
     wide = materialize(wide, "weights")
-    own = small(wide.select("source", "passes", "rest", "blocks"))
-    dealt = docs.join(own, "source").withColumn("h", unit_hash(seed, F.col("passes"))).withColumn("block", block("h", "blocks"))
-    by_block = dealt.groupBy("source", "block").agg(F.sum("tokens").alias("n"), F.max("rest").alias("rest"))
-    up_to = F.sum("n").over(Window.partitionBy("source").orderBy("block"))
-    by_block = by_block.withColumn("upto", up_to)
-    # The last block that fits whole, and the one after it, which the budget cuts.
-    edge = materialize(by_block.groupBy("source").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("block"))).alias("fits"), F.min(F.when(F.col("upto") > F.col("rest"), F.struct("block", (F.col("rest") - F.col("upto") + F.col("n")).alias("room")))).alias("edge")), "edges")
-    cut = dealt.select("source", "block", "h", "tokens").join(small(edge.where("edge is not null").select("source", F.col("edge.block").alias("block"), F.col("edge.room").alias("room"))), ["source", "block"])
-    running = F.sum("tokens").over(Window.partitionBy("source", "block").orderBy("h"))  # equal hashes together
-    taken = cut.withColumn("run", running).where("run <= room").groupBy("source").agg(F.max("h").alias("cut"))
-    # Without a document of the edge block, all hashes of the blocks that fit.
-    top = F.floor((F.col("fits") + 1) / F.col("blocks") * F.lit(2.0**53)).cast("long") - 1
-    out = wide.join(edge.select("source", "fits"), "source", "left").join(taken, "source", "left")
-    return materialize(out.select("source", "tokens", "documents", "weight", "budget", "passes", "blocks", F.coalesce("cut", F.when(F.col("fits").isNotNull(), top)).alias("cut")), "plan")
+    cut = wide.where("rest > 0").select("source", "passes", "rest")
+    hashed = join_sources(docs, cut.select("source", "passes"), are_few(cut)).withColumn("h", unit_hash(seed, F.col("passes")))
+    out = wide.join(last_hashes(hashed.select("source", "tokens", "h", "doc_id"), cut.select("source", "rest")), "source", "left")
+    return materialize(out.select("source", "tokens", "documents", "weight", "budget", "passes", "blocks", "cut"), "plan")
+
+
+def last_hashes(rows: DataFrame, rests: DataFrame) -> DataFrame:
+    """source and cut, the greatest hash up to which the tokens of `rows` (source, tokens, h, doc_id) stay within the source's `rest`.
+
+    Equal hashes go together. A source that not even its least hash fits has a cut that no hash is under.
+    """
+    few, shift, state = are_few(rests), HASH_BITS, rests
+    ends = []
+    for digit in range(DIGITS):
+        shift -= DIGIT_BITS
+        sums = rows.groupBy("source", F.shiftright("h", shift).alias("at")).agg(F.sum("tokens").alias("n"))
+        sums = sums.withColumn("run", F.sum("n").over(Window.partitionBy("source").orderBy("at")))
+        over = join_sources(sums, state.select("source", "rest"), few, salted=False).where(F.col("run") > F.col("rest"))
+        # The range on the edge, and what the ranges before it leave for it.
+        edge = over.groupBy("source").agg(F.min(F.struct("at", (F.col("rest") - F.col("run") + F.col("n")).alias("rest"))).alias("e"))
+        edge = materialize(edge.select("source", F.col("e.at").alias("prefix"), "e.rest"), "edge")
+        if digit == 0:  # a source without an edge fits whole, but for rounding
+            ends.append(state.join(edge, "source", "left_anti").select("source", F.lit((1 << HASH_BITS) - 1).alias("cut")))
+        rows = join_sources(rows, edge.select("source", "prefix"), few).where(F.shiftright("h", shift) == F.col("prefix"))
+        rows, state = materialize(rows.select("source", "tokens", "h", "doc_id"), "inside"), edge
+    run = F.sum("tokens").over(Window.partitionBy("source").orderBy("h"))  # equal hashes together
+    taken = join_sources(rows.withColumn("run", run), state, few, salted=False).where(F.col("run") <= F.col("rest")).groupBy("source").agg(F.max("h").alias("cut"))
+    # Without a document of the edge range, all hashes before it.
+    before = F.shiftleft("prefix", shift) - 1
+    return ends[0].unionByName(state.join(taken, "source", "left").select("source", F.coalesce("cut", before).alias("cut")))
 
 
 def block(h: str, blocks: str) -> Column:
     return F.least(F.floor(F.col(h) * F.lit(2.0**-53) * F.col(blocks)).cast("long"), F.col(blocks) - 1)
 
 
-def small(table: DataFrame) -> DataFrame:
-    """Broadcast a table of sources, if there are few of them."""
-    return F.broadcast(table) if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else table
+def are_few(of_source: DataFrame) -> bool:
+    """Whether a table of one row a source may be broadcast."""
+    return of_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+
+
+def join_sources(rows: DataFrame, of_source: DataFrame, few: bool, salted: bool = True) -> DataFrame:
+    """Inner join of rows with a table of one row a source: broadcast if there are few, else a source's rows are spread over `SALTS` keys."""
+    if few:
+        return rows.join(F.broadcast(of_source), "source")
+    if not salted:
+        return rows.join(of_source, "source")
+    many = of_source.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS).cast("long"))).join(many, ["source", "_salt"]).drop("_salt")
 
 
 def draw(rows: DataFrame, planned: DataFrame, seed: int) -> DataFrame:
@@ -135,10 +167,10 @@ def draw(rows: DataFrame, planned: DataFrame, seed: int) -> DataFrame:
     draw_at, from 0 to 1, says how far through its source's budget a draw stands: draws in this order
     keep to the weights all along.
     """
-    own = small(planned.select("source", "passes", "cut", "blocks", F.when(F.col("tokens") > 0, F.col("budget") / F.col("tokens")).otherwise(1.0).alias("times")))
+    own = planned.select("source", "passes", "cut", "blocks", F.when(F.col("tokens") > 0, F.col("budget") / F.col("tokens")).otherwise(1.0).alias("times"))
     last = F.coalesce((unit_hash(seed, F.col("passes")) <= F.col("cut")).cast("int"), F.lit(0))
     times = F.col("passes") + last
-    many = rows.join(own, "source").withColumn("epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1))))
+    many = join_sources(rows, own, are_few(planned)).withColumn("epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1))))
     many = many.withColumn("h", unit_hash(seed, F.col("epoch"))).withColumn("block", block("h", "blocks"))
     at = F.least(F.lit(1.0), (F.col("epoch") + F.col("h") * F.lit(2.0**-53)) / F.col("times"))
     return many.withColumn("draw_at", at).drop("passes", "cut", "blocks", "times", "h")
