@@ -1,21 +1,30 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five small weighted transducers read the classes of a clause's words: insult and threat give a
-matched word its weight, target adds to it where somebody is addressed close by, negation takes
-most of it away for the words in its reach, and reported speech takes away a part until the clause
-ends. Composed, they are one deterministic transducer whose state is the tuple of theirs; a
-clause's score is the weight of its path, so words count by their place in a clause and not alone.
-
-Which words insult is learned: word beginnings (3 to 10 letters) and whole words that occur in far
-more of the toxic texts than of the others, on a bounded sample of labelled rows (`TOXIC`, `OTHER`
-rows in expectation) drawn by a hash of the id; a word's weight is the log odds of its longest
-learned beginning. Threats, targets, negations and reporting verbs are short fixed lists. A
-logistic regression over the clause scores of a text gives its score; it is fitted across two
-halves of the sample, each scored with the words learned from the other.
+Five small weighted transducers read a clause, each the output of the one before it:
+
+- negation marks the insults and threats within its reach as keeping a third of their weight;
+- reported speech marks those after a reporting verb as keeping two thirds;
+- target marks those near somebody addressed as aimed, and an aimed insult weighs a quarter more;
+- threat gives an aimed threat its weight; one that isn't aimed yet waits a few words for a target
+  and gets its marked weight then, or none; an insult after a threat weighs more;
+- insult gives a matched word its weight, later ones of the clause half more.
+
+Composed, they are one deterministic transducer whose state is the tuple of theirs; a clause's score
+is the weight of its path, so words count by their place in a clause and not alone: a threat word
+without a target near it scores nothing.
+
+Which words insult is learned: terms (a word's beginnings of 3 to 10 letters, and whole words) that
+occur in far more of the toxic texts than of the others, on a bounded sample of labelled rows
+(`TOXIC`, `OTHER` ids in expectation, an id with the least of its texts) drawn by a hash of the id.
+Counts and the tests of evidence and odds run in Spark; only terms that pass are collected. A word's
+weight is the log odds of its longest learned term. Threats, targets, negations and reporting verbs
+are fixed lists. A logistic regression over the clause scores of a text gives its score; it is
+fitted across two halves of the sample, each scored with the words learned from the other.
 
 Edge cases: a null or empty text has no clause and gets the score of a text without matches; with no
-labels to learn from only threats match and the regression keeps its starting weights; repeated
-rows give repeated result rows; extra columns are ignored.
+labels to learn from only threats match and the regression keeps its starting weights; very long
+texts are read whole; repeated rows give repeated result rows; an empty table gives an empty result;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,88 +33,160 @@ import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import product
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import held_out, pick
+from crossgrain.llm.common import held_out, materialize, parts, pick
 
 TOXIC, OTHER = 6000, 12000
-#: Learned beginnings at most, and the evidence (G squared) and log odds that one needs.
-TERMS, EVIDENCE, ODDS = 20_000, 15.0, 1.2
+#: The evidence (G squared), log odds and toxic texts that a learned term needs, and the letters of a beginning.
+EVIDENCE, ODDS, TEXTS, SHORTEST, LONGEST = 15.0, 1.2, 3, 3, 10
+#: Terms that a worker counts before it passes its counts on.
+_COUNTED = 300_000
 _SCALE = 1_000_000
 
 #: Words of the classes that aren't learned, in the languages at hand.
-THREATS = "kill hurt destroy beat shoot stab murder burn töten schlagen umbringen tuer frapper détruire matar golpear destruir".split()
-TARGETS = "you your yours yourself they them he she him her du dich dir euch ihr tu toi vous lui tú te usted ustedes él ella".split()
-NEGATIONS = "not never no nor neither without nicht kein keine nie ohne pas jamais aucun sans nunca jamás ni sin".split()
-REPORTS = "said says say wrote writes quoted quotes claimed claims called reported sagte sagt schrieb zitiert dit disait écrit dijo dice escribió".split()
+THREATS = """kill kills killed killing hurt hurts hurting destroy destroys destroyed destroying beat beats beating shoot shoots shot
+shooting stab stabs stabbing murder murders murdering burn burns burning strangle hang crush break smash
+töten töte tötet schlagen schlage schlägt umbringen verletzen erschießen erstechen verbrennen zerstören
+tuer tue tuerai frapper frappe détruire brûler blesser étrangler écraser
+matar mataré mato golpear golpearé destruir quemar herir apuñalar disparar""".split()
+TARGETS = """you your yours yourself yourselves they them their he him his she her hers du dich dir dein deine euch euer ihr ihm ihn sie
+tu te toi ton ta tes vous votre vos lui leur tú ti usted ustedes él ella ellos ellas le les""".split()
+NEGATIONS = "not never no nor neither without nicht kein keine keinen nie niemals ohne pas jamais aucun aucune sans nunca jamás ni sin".split()
+REPORTS = """said says say saying wrote writes written quoted quotes claimed claims called calls reported reports
+sagte sagt sagen schrieb schreibt zitiert behauptet dit disait écrit cité affirme dijo dice escribió citó afirma""".split()
 
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n]+")
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER_WORD = range(6)
-CLASSES = 6
+CLASSES, THREAT_WEIGHT = 6, 1.0
+
+
+class Symbol(NamedTuple):
+    """A word's class, the share of its weight that it keeps, and whether it is aimed at somebody."""
+
+    kind: int
+    kept: float = 1.0
+    aimed: bool = False
+
+    @property
+    def matched(self) -> bool:
+        return self.kind in (INSULT, THREAT)
+
+
+class Arc(NamedTuple):
+    """Where a symbol leads, what it becomes, and its weight: a matched word weighs weight * factor + addend."""
+
+    state: Any
+    out: Symbol
+    factor: float = 1.0
+    addend: float = 0.0
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """step[state][class] = (next state, factor, addend): a matched word weighs weight * factor + addend."""
+    start: Any
+    arc: Callable[[Any, Symbol], Arc]
 
-    step: tuple[tuple[tuple[int, float, float], ...], ...]
 
+def negations(reach: int = 2) -> Transducer:
+    """The `reach` words after a negation keep a third of their weight; a second negation cancels it."""
 
-def _transducer(states: int, arc: Callable[[int, int], tuple[int, float, float]]) -> Transducer:
-    return Transducer(tuple(tuple(arc(s, c) for c in range(CLASSES)) for s in range(states)))
+    def arc(left: int, x: Symbol) -> Arc:
+        if x.kind == NEGATION:
+            return Arc(0 if left else reach, x)
+        if left and x.matched:
+            return Arc(left - 1, x._replace(kept=x.kept / 3), 1 / 3)
+        return Arc(max(0, left - 1), x)
 
+    return Transducer(0, arc)
 
-def insults() -> Transducer:
-    """A second and later insult of a clause weighs half more."""
-    return _transducer(2, lambda s, c: (1, 1.5 if s else 1.0, 0.0) if c == INSULT else (s, 1.0, 0.0))
 
+def reports() -> Transducer:
+    """After a reporting verb the rest of the clause keeps two thirds."""
 
-def threats() -> Transducer:
-    """A threat weighs by itself only after a target; an insult after a threat weighs more."""
-    return _transducer(2, lambda s, c: (1, 1.0, 0.0) if c == THREAT else (s, 1.0, 0.5 * (s and c == INSULT)))
+    def arc(inside: bool, x: Symbol) -> Arc:
+        if inside and x.matched:
+            return Arc(True, x._replace(kept=x.kept * 2 / 3), 2 / 3)
+        return Arc(inside or x.kind == REPORT, x)
+
+    return Transducer(False, arc)
 
 
 def targets(reach: int = 4) -> Transducer:
-    """A match within `reach` words of somebody addressed weighs a quarter more."""
-    return _transducer(reach + 1, lambda s, c: (reach, 1.0, 0.0) if c == TARGET else (max(0, s - 1), 1.25 if s and c in (INSULT, THREAT) else 1.0, 0.0))
+    """A match within `reach` words after somebody addressed is aimed and weighs a quarter more."""
 
+    def arc(left: int, x: Symbol) -> Arc:
+        if x.kind == TARGET:
+            return Arc(reach, x)
+        if left and x.matched:
+            return Arc(left - 1, x._replace(aimed=True), 1.25)
+        return Arc(max(0, left - 1), x)
 
-def negations(reach: int = 2) -> Transducer:
-    """The `reach` words after a negation keep a third of their weight; a second negation cancels it."""
-    return _transducer(reach + 1, lambda s, c: (0 if s else reach, 1.0, 0.0) if c == NEGATION else (max(0, s - 1), 1 / 3 if s and c in (INSULT, THREAT) else 1.0, 0.0))
+    return Transducer(0, arc)
 
 
-def reports() -> Transducer:
-    """After a reporting verb the rest of the clause keeps two thirds."""
-    return _transducer(2, lambda s, c: (1, 1.0, 0.0) if c == REPORT else (s, 2 / 3 if s else 1.0, 0.0))
+def threats(reach: int = 4, more: float = 0.5) -> Transducer:
+    """State: whether the clause holds a threat that counts, words left to wait for a target, and what would count then.
+
+    Of several threats that wait for one target the one that keeps most counts.
+    """
 
+    def arc(state: tuple[bool, int, float], x: Symbol) -> Arc:
+        real, left, kept = state
+        if x.kind == THREAT:
+            if x.aimed:
+                return Arc((True, max(0, left - 1), kept if left > 1 else 0.0), x)
+            return Arc((real, reach, max(kept, x.kept)), x, 0.0)
+        if x.kind == TARGET and left:
+            return Arc((True, 0, 0.0), x, 1.0, THREAT_WEIGHT * kept)
+        return Arc((real, max(0, left - 1), kept if left > 1 else 0.0), x, 1.0, more * (real and x.kind == INSULT))
 
-def compose(parts: list[Transducer]) -> Transducer:
-    """One transducer that runs all `parts` side by side: factors multiply, addends add."""
-    tuples = list(product(*(range(len(p.step)) for p in parts)))
-    index = {t: i for i, t in enumerate(tuples)}
+    return Transducer((False, 0, 0.0), arc)
 
-    def arc(state: tuple[int, ...], c: int) -> tuple[int, float, float]:
-        arcs = [p.step[s][c] for p, s in zip(parts, state, strict=True)]
-        return index[tuple(a[0] for a in arcs)], float(np.prod([a[1] for a in arcs])), sum(a[2] for a in arcs)
 
-    return Transducer(tuple(tuple(arc(t, c) for c in range(CLASSES)) for t in tuples))
+def insults() -> Transducer:
+    """A second and later insult of a clause weighs half more."""
+    return Transducer(False, lambda seen, x: Arc(True, x, 1.5 if seen else 1.0) if x.kind == INSULT else Arc(seen, x))
+
+
+#: step[state][class] = (next state, factor, addend); state 0 begins a clause.
+Table = list[list[tuple[int, float, float]]]
+
 
+def compose(chain: list[Transducer]) -> Table:
+    """One transducer that hands each word through the `chain`: factors multiply, addends add. Only states that can be reached."""
+    start = tuple(t.start for t in chain)
+    index, order, table = {start: 0}, [start], []
+    for states in order:
+        row = []
+        for kind in range(CLASSES):
+            symbol, factor, addend, after = Symbol(kind), 1.0, 0.0, []
+            for t, s in zip(chain, states, strict=True):
+                a = t.arc(s, symbol)
+                symbol, factor, addend = a.out, factor * a.factor, addend + a.addend
+                after.append(a.state)
+            to = tuple(after)
+            if to not in index:
+                index[to] = len(order)
+                order.append(to)
+            row.append((index[to], factor, addend))
+        table.append(row)
+    return table
 
-GRAMMAR = compose([insults(), threats(), targets(), negations(), reports()])
-THREAT_WEIGHT = 1.0
+
+GRAMMAR = compose([negations(), reports(), targets(), threats(), insults()])
 
 
 class Lexicon(dict):
     """word -> (class, weight), filled as words come; terms: learned beginnings, whole words end in a space."""
 
-    def __init__(self, terms: dict[str, float], most: int = 300_000):
+    def __init__(self, terms: dict[str, float], most: int = 150_000):
         self.terms, self.most = terms, most
         self.fixed = {w: (c, THREAT_WEIGHT if c == THREAT else 0.0) for c, ws in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (TARGET, TARGETS), (THREAT, THREATS)) for w in ws}
 
@@ -114,7 +195,7 @@ class Lexicon(dict):
             self.clear()
         found = self.fixed.get(word)
         if found is None:
-            keys = (word + " ", *(word[:k] for k in range(min(10, len(word)), 2, -1)))
+            keys = (word + " ", *(word[:k] for k in range(min(LONGEST, len(word)), SHORTEST - 1, -1)))
             weight = next((self.terms[k] for k in keys if k in self.terms), None)
             found = (OTHER_WORD, 0.0) if weight is None else (INSULT, weight)
         self[word] = found
@@ -130,13 +211,12 @@ def clause_scores(text: str, lexicon: Lexicon) -> tuple[list[float], int]:
         return [], n
     out = []
     for clause in CLAUSE.split(low):
-        state, score, hit = 0, 0.0, False
+        state, score = 0, 0.0
         for word in WORD.findall(clause):
             c, weight = lexicon[word]
-            state, factor, more = GRAMMAR.step[state][c]
-            if c in (INSULT, THREAT):
-                score, hit = score + weight * factor + more, True
-        if hit:
+            state, factor, more = GRAMMAR[state][c]
+            score += weight * factor + more  # only matched words have a weight
+        if score:
             out.append(score)
     return out, n
 
@@ -152,26 +232,58 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     return [np.log1p(total), max(scores) / 5, np.log1p(len(scores)), 10 * total / (n + 20), np.log1p(sum(x >= 3 for x in scores))]
 
 
-def beginnings(text: str | None) -> set[str]:
+def terms_of(text: str | None) -> set[str]:
+    """Whole words, marked by a space, and their beginnings."""
     out: set[str] = set()
     for w in set(WORD.findall((text or "").lower())):
         out.add(w + " ")
-        out.update(w[:k] for k in range(3, min(10, len(w)) + 1))
+        out.update(w[:k] for k in range(SHORTEST, min(LONGEST, len(w)) + 1))
     return out
 
 
-def learn_terms(toxic: np.ndarray, other: np.ndarray, terms: list[str], n_toxic: int, n_other: int) -> dict[str, float]:
-    """Weights of the terms that are much likelier in toxic texts; counts are of texts."""
-    if not terms or not n_toxic or not n_other:
-        return {}
-    a, b = toxic.astype(float), other.astype(float)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        rate = (a + b) / (n_toxic + n_other)
-        part = lambda k, n: np.nan_to_num(k * np.log(k / (n * rate))) + np.nan_to_num((n - k) * np.log((n - k) / (n * (1 - rate))))
-        evidence = 2 * (part(a, n_toxic) + part(b, n_other))
-    odds = np.log((a + 0.5) / (n_toxic + 1)) - np.log((b + 0.5) / (n_other + 1))
-    keep = np.flatnonzero((evidence >= EVIDENCE) & (odds >= ODDS) & (a >= 3))
-    return {terms[i]: float(odds[i]) for i in keep}
+def odds_of(a: Column, b: Column, n_toxic: int, n_other: int) -> Column:
+    """Log odds of a term that `a` of the toxic and `b` of the other texts hold; null if it fails a test."""
+    if not n_toxic or not n_other:
+        return F.lit(None).cast("double")
+    a, b = a.cast("double"), b.cast("double")
+    rate = (a + b) / (n_toxic + n_other)
+
+    def part(k: Column, n: int) -> Column:
+        has = F.when(k > 0, k * F.log(k / (n * rate))).otherwise(0.0)
+        return has + F.when(k < n, (n - k) * F.log((n - k) / (n * (1 - rate)))).otherwise(0.0)
+
+    odds = F.log((a + 0.5) / (n_toxic + 1)) - F.log((b + 0.5) / (n_other + 1))
+    return F.when((a >= TEXTS) & (odds >= ODDS) & (2 * (part(a, n_toxic) + part(b, n_other)) >= EVIDENCE), odds)
+
+
+def learn_terms(sample: DataFrame) -> tuple[list[dict[str, float]], dict[str, float]]:
+    """Weights of the terms of each half of `sample` (text, toxic, half), and of both together."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[Counter] = [Counter() for _ in range(4)]
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for cell, terms in enumerate(found):
+                if terms:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(terms)), pa.array([cell] * len(terms), pa.int32()), pa.array(list(terms.values()), pa.int64())], names=["term", "cell", "n"])
+                terms.clear()
+
+        for batch in parts(batches, "text"):
+            for text, toxic, half in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "half")), strict=True):
+                found[2 * toxic + half].update(terms_of(text))
+                if sum(map(len, found)) > _COUNTED:
+                    yield from rows()
+        yield from rows()
+
+    sizes = {(r.toxic, r.half): r.n for r in sample.groupBy("toxic", "half").agg(F.count(F.lit(1)).alias("n")).collect()}  # four rows
+    cell = lambda t, h: F.coalesce(F.sum(F.when(F.col("cell") == 2 * t + h, F.col("n"))), F.lit(0))
+    counts = sample.mapInArrow(count, "term string, cell int, n long").groupBy("term").agg(*[cell(t, h).alias(f"n{t}{h}") for t in (0, 1) for h in (0, 1)])
+    size = lambda t, *halves: sum(sizes.get((t, h), 0) for h in halves)
+    both = odds_of(F.col("n10") + F.col("n11"), F.col("n00") + F.col("n01"), size(1, 0, 1), size(0, 0, 1))
+    odds = [odds_of(F.col(f"n1{h}"), F.col(f"n0{h}"), size(1, h), size(0, h)).alias(f"odds{h}") for h in (0, 1)]
+    passed = counts.where(F.col("n10") + F.col("n11") >= TEXTS).select("term", *odds, both.alias("odds2")).where("coalesce(odds0, odds1, odds2) is not null").collect()
+    first, second, full = ({r.term: r[c] for r in passed if r[c] is not None} for c in ("odds0", "odds1", "odds2"))
+    return [first, second], full
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -191,57 +303,25 @@ START = np.array([1.0, 1.0, 0.0, 0.0, 0.0, -4.0])
 
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC, other_rows: int = OTHER) -> tuple[dict[str, float], np.ndarray]:
     """Learned terms and the regression's weights."""
-    rows = pick(labels, "doc_id", "toxic").where(F.col("toxic").isNotNull() & ~held_out("doc_id"))
+    rows = pick(labels, "doc_id", "toxic").where(F.col("toxic").isin(0, 1) & ~held_out("doc_id"))
     counts = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     n1, n0 = counts.get(1, 0), counts.get(0, 0)
     if not n1 or not n0:
         return {}, START
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(_SCALE))
     wanted = F.when(F.col("toxic") == 1, int(min(1.0, toxic_rows / n1) * _SCALE)).otherwise(int(min(1.0, other_rows / n0) * _SCALE))
-    chosen = rows.where(draw < wanted).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int"))
-    sample = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "half").cache()  # bounded by the sample's size
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        for batch in batches:
-            for text, half in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.update((t, half) for t in beginnings(text))
-        terms, halves = zip(*found, strict=True) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(halves, pa.int32()), pa.array(list(found.values()), pa.int64())], names=["term", "half", "n"])
-
-    both = sample.where("toxic = 1").select("text", "half").mapInArrow(count, "term string, half int, n long")
-    by_term = both.groupBy("term").agg(F.sum(F.when(F.col("half") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("half") == 1, F.col("n")).otherwise(0)).alias("n1"))
-    table = by_term.where("n0 + n1 >= 3").orderBy(F.desc(F.col("n0") + F.col("n1")), "term").limit(TERMS).toPandas()
-    terms = table["term"].tolist()
-    index = {t: i for i, t in enumerate(terms)}
-
-    def count_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, len(index)), np.int64)
-        for batch in batches:
-            for text, half in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at = [index[t] for t in beginnings(text) if t in index]
-                total[half, at] += 1
-        for half in (0, 1):
-            at = np.flatnonzero(total[half])
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.full(len(at), half), pa.int32()), pa.array(total[half, at], pa.int64())], names=["at", "half", "n"])
-
-    clean = np.zeros((2, len(terms)), np.int64)
-    known = sample.where("toxic = 0").select("text", "half").mapInArrow(count_known, "at int, half int, n long").groupBy("at", "half").agg(F.sum("n").alias("n")).toPandas()
-    clean[known["half"].to_numpy(int), known["at"].to_numpy(int)] = known["n"].to_numpy(int)
-    toxic = np.stack([table["n0"].to_numpy(int), table["n1"].to_numpy(int)]) if terms else np.zeros((2, 0), int)
-    sizes = {(r.toxic, r.half): r.n for r in sample.groupBy("toxic", "half").agg(F.count(F.lit(1)).alias("n")).collect()}  # four rows
-    size = lambda t, h: sizes.get((t, h), 0)
-    halves = [learn_terms(toxic[h], clean[h], terms, size(1, h), size(0, h)) for h in (0, 1)]
-    full = learn_terms(toxic.sum(0), clean.sum(0), terms, size(1, 0) + size(1, 1), size(0, 0) + size(0, 1))
+    chosen = rows.where(draw < wanted).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    texts = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = materialize(texts.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half")), "sample")
+    halves, full = learn_terms(sample)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [Lexicon(x) for x in halves]
-        for batch in batches:
-            x = [features(t, own[1 - h]) for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(2)], names=["x", "toxic"])
+        for batch in parts(batches, "text"):
+            x = [features(t, own[1 - h]) for t, h in zip(batch.column("text").to_pylist(), batch.column("half").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic")], names=["x", "toxic"])
 
-    seen = sample.select("text", "half", F.col("toxic").cast("int")).mapInArrow(measure, "x array<double>, toxic int").toPandas()
-    sample.unpersist()
+    seen = sample.mapInArrow(measure, "x array<double>, toxic int").toPandas()
     if seen["toxic"].nunique() < 2:
         return full, START
     y = seen["toxic"].to_numpy(float)
@@ -257,8 +337,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(terms)
-        for batch in batches:
-            x = np.array([features(t, lexicon) for t in batch.column(1).to_pylist()]).reshape(-1, FEATURES)
+        for batch in parts(batches, "text"):
+            x = np.array([features(t, lexicon) for t in batch.column("text").to_pylist()]).reshape(-1, FEATURES)
             p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array(np.rint(np.expm1(x[:, 2])).astype(np.int64))], names=["doc_id", "score", "clauses"])
 
