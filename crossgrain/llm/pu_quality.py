@@ -7,15 +7,16 @@ unbiased risk
     prior * risk(positives as 1) + max(0, risk(unlabelled as 0) - prior * risk(positives as 0))
 
 with logistic loss: where the second part would go under 0, the step climbs back instead. The class
-prior is estimated from the unlabelled texts: a first fit with a high prior gives scores, and the
-prior is the least ratio, over thresholds, of unlabelled to positive texts above the threshold (the
-positives' share can't exceed it). Noise makes the least ratio low rather than high, which is the
-safe side: a prior that is too high would call the negatives positive. Both samples are bounded
-(`POSITIVES`, `UNLABELLED` rows in expectation) and drawn by a hash of the id.
+prior is estimated by cross-fitting on the rows that may be learned from: a fit with a high prior on
+two thirds of both samples scores the last third, and the prior is the least ratio, over thresholds,
+of unlabelled to positive texts above the threshold, averaged over the thirds (the positives' share
+can't exceed it). Both samples are bounded (`POSITIVES`, `UNLABELLED` ids in expectation) and drawn
+by a hash of the id; an id counts once, with the least of its texts.
 
 Edge cases: a null text is empty; an empty text has all statistics 0 and gets a score like any
 other; with no trusted positive every score is 0.5; labels without text and texts without label are
-fine; repeated rows give repeated result rows; extra columns are ignored.
+fine; very long texts are measured whole; repeated rows give repeated result rows; an empty table
+gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import held_out, pick
+from crossgrain.llm.common import held_out, parts, pick
 
-POSITIVES, UNLABELLED = 6000, 12000
+POSITIVES, UNLABELLED, FOLDS, HIGH_PRIOR = 6000, 12000, 3, 0.7
 _SCALE = 1_000_000
 NAMES = ("symbols", "upper_words", "exclamations", "same_neighbours", "repeated_windows", "distinct_words", "word_length", "digits", "repeated_lines", "log_words", "bars", "empty")
 
@@ -66,7 +67,7 @@ def measured(docs: DataFrame) -> DataFrame:
     kinds = ", ".join(f"{c} {t}" for c, t in docs.dtypes if c != "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, "text"):
             x = [statistics(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(x, pa.list_(pa.float64()))], names=[*rest, "x"])
 
@@ -77,28 +78,41 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Both parts of the risk, before the second is kept from going under 0, and their gradients; rows end in 1."""
+    zp, zu = p @ w, u @ w
+    as_one, as_zero = prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    sp, su = sigmoid(zp), sigmoid(zu)
+    return as_one, as_zero, prior * ((sp - 1) @ p) / len(p), (su @ u) / len(u) - prior * (sp @ p) / len(p)
+
+
 def nn_pu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, ridge: float = 1e-3) -> np.ndarray:
     """Weights of the linear score, bias last, by Adam on the non-negative risk of all rows."""
     p, u = (np.hstack([x, np.ones((len(x), 1))]) for x in (p, u))
     w, m, v = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
     for t in range(1, steps + 1):
-        sp, su = sigmoid(p @ w), sigmoid(u @ w)
-        negative = np.logaddexp(0, u @ w).mean() - prior * np.logaddexp(0, p @ w).mean()
-        below = (su @ u) / len(u) - prior * (sp @ p) / len(p)
-        grad = prior * ((sp - 1) @ p) / len(p) + below if negative >= 0 else -below
+        _, as_zero, up, down = risk(w, p, u, prior)
+        grad = up + down if as_zero >= 0 else -down
         grad[:-1] += ridge * w[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """Share of positives among the unlabelled, from scores of both: the tightest bound of the tails' ratio."""
-    bounds = []
-    for q in np.linspace(0.02, 0.3, 15):
-        cut = np.quantile(p, q)  # above it lies a share 1 - q of the positives
-        bounds.append((u >= cut).mean() / max(1e-9, (p >= cut).mean()))
-    return float(np.clip(min(bounds), 0.05, 0.98))
+def tail_ratios(p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Of scores: unlabelled over positives above thresholds that leave out 2 to 30 % of the positives."""
+    at = [np.quantile(p, q) for q in np.linspace(0.02, 0.3, 15)]
+    return np.array([(u >= c).mean() / max(1e-9, (p >= c).mean()) for c in at])
+
+
+def estimate_prior(p: np.ndarray, u: np.ndarray, folds: int = FOLDS) -> float:
+    """Share of positives among the unlabelled, from statistics of both, in an order that doesn't depend on Spark."""
+    ratios = []
+    for f in range(folds if min(len(p), len(u)) >= 2 * folds else 0):
+        own_p, own_u = (np.arange(len(x)) % folds == f for x in (p, u))
+        w = nn_pu(p[~own_p], u[~own_u], HIGH_PRIOR)
+        ratios.append(tail_ratios(p[own_p] @ w[:-1], u[own_u] @ w[:-1]))
+    return float(np.clip(np.mean(ratios, 0).min(), 0.05, 0.98)) if ratios else HIGH_PRIOR
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, float] | None:
@@ -109,15 +123,17 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     if not n_p or not n_u:
         return None
     draw = lambda salt, most, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(_SCALE)) < int(min(1.0, most / n) * _SCALE)
-    chosen = trusted.where(draw("positive", positives, n_p)).distinct()  # `positives` rows in expectation
-    x_p = measured(docs.join(F.broadcast(chosen), "doc_id", "left_semi")).select("x").toPandas()["x"]
-    x_u = measured(docs.where(draw("unlabelled", unlabelled, n_u))).select("x").toPandas()["x"]
-    if not len(x_p) or not len(x_u):
+    chosen = trusted.where(draw("positive", positives, n_p)).distinct()  # `positives` ids in expectation
+
+    def drawn(rows: DataFrame) -> np.ndarray:
+        once = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
+        x = measured(once).toPandas().sort_values("doc_id", kind="stable")["x"]
+        return np.stack(x.to_numpy()) if len(x) else np.zeros((0, len(NAMES)))
+
+    p, u = drawn(docs.join(F.broadcast(chosen), "doc_id", "left_semi")), drawn(docs.where(draw("unlabelled", unlabelled, n_u)))
+    if not len(p) or not len(u):
         return None
-    p, u = np.stack(x_p.to_numpy()), np.stack(x_u.to_numpy())
-    first = nn_pu(p, u, 0.7)
-    score = lambda x: x @ first[:-1] + first[-1]
-    prior = estimate_prior(score(p), score(u))
+    prior = estimate_prior(p, u)
     return nn_pu(p, u, prior), prior
 
 
@@ -127,7 +143,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     weights = np.zeros(len(NAMES) + 1) if fitted is None else fitted[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, "text"):
             x = np.array([statistics(t) for t in batch.column(1).to_pylist()]).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigmoid(x @ weights[:-1] + weights[-1]), pa.float64())], names=["doc_id", "score"])
 
