@@ -1,33 +1,36 @@
 """Languages of a text as a mixture, by expectation-maximisation over letter n-grams.
 
 Each language has a smoothed distribution over hashed letter trigrams, counted on a sample of the
-rows that may be learned from (about `DOCS_A_LANGUAGE` of each language, by a hash of the id). A
-text is a mixture of languages: EM estimates the proportions that make its trigrams likeliest.
-Languages enter the set in the order of their proportions, and the set grows while the likelihood
-gains more than its penalty, `PENALTY` * log(trigrams) a language. The prediction is the language
-of the largest proportion in the final set; the score is that proportion.
-
-Edge cases: a null text or one without a letter is `und` with score 0; a text whose letters make no
-trigram is judged by the languages' shares alone; with nothing to learn from every text is `und`;
-rows without lang are never learned from; extra columns are ignored.
+rows that may be learned from (about `DOCS_A_LANGUAGE` of each language, by a hash of the id), in
+which a text weighs as the root of its length, so that no long text decides for its language. A text
+is a mixture of languages: EM estimates the proportions that make its trigrams likeliest, until none
+moves by `STILL` any more. Languages enter the set in the order of their proportions, and the set
+grows while the likelihood gains more than its penalty, `PENALTY` * log(trigrams) a language. The
+prediction is the language of the largest proportion in the final set; the score is that proportion.
+
+Edge cases: a null text or one without a letter is `und` with score 0 (every letter is the middle of
+a trigram, as a word's ends count as spaces); with nothing to learn from every text is `und`; rows
+without lang are never learned from; very long texts are counted whole; repeated rows give repeated
+result rows; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import flat, held_out, pick, unflat
+from crossgrain.llm.common import cuts, flat, held_out, parts, pick, unflat
 
 BINS = 1 << 15
-DOCS_A_LANGUAGE, PENALTY, STEPS = 3000, 4.0, 10
+DOCS_A_LANGUAGE, PENALTY, STILL = 3000, 4.0, 1e-3
 UNKNOWN = "und"
+#: Bytes of text whose mixtures are estimated together.
+GROUP_BYTES = 300_000
 _SCALE = 1_000_000
 
 _letters: np.ndarray | None = None
@@ -53,10 +56,6 @@ def trigram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray, bool]:
     a, b, c = padded[:-2], padded[1:-1], padded[2:]
     bins = (((a * np.uint64(0x1F123BB5) + b) * np.uint64(0x2C9277B5) + c) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(49)
     bins = bins[b != 32].astype(np.int64)
-    if len(bins) > 4096:
-        full = np.bincount(bins, minlength=BINS)
-        at = np.flatnonzero(full)
-        return at, full[at].astype(np.float64), True
     at, counts = np.unique(bins, return_counts=True)
     return at, counts.astype(np.float64), True
 
@@ -80,10 +79,11 @@ def fit(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for batch in parts(batches, "text"):
+            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 at, n, _ = trigram_counts(text)
-                total.setdefault(lang, np.zeros(BINS))[at] += np.minimum(n, 20)  # one text can't decide a trigram
+                if len(at):
+                    total.setdefault(lang, np.zeros(BINS))[at] += n / np.sqrt(n.sum())
         for lang, full in total.items():
             at = np.flatnonzero(full)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(full[at], pa.float64())], names=["lang", "bin", "n"])
@@ -97,21 +97,29 @@ def fit(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> Model:
     return Model(languages, np.log(p))
 
 
-def proportions(p: np.ndarray, counts: np.ndarray, start: np.ndarray, allowed: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """EM for many texts at once.
+def proportions(p: np.ndarray, counts: np.ndarray, start: np.ndarray, allowed: np.ndarray, still: float = STILL) -> tuple[np.ndarray, np.ndarray]:
+    """EM for many texts at once; a text leaves when none of its proportions moved by `still` in a step.
 
     p: languages x cells, counts: cells; text d owns the cells from start[d] to the next start;
     allowed: texts x languages. Returns the proportions, texts x languages, and log likelihoods.
     """
     lengths = np.diff(start, append=len(counts))
-    text_of = np.repeat(np.arange(len(start)), lengths)
-    total = np.add.reduceat(counts, start)
     pi = allowed / allowed.sum(1, keepdims=True)
-    for _ in range(steps):
-        joint = pi.T[:, text_of] * p
-        joint *= counts / joint.sum(0)
-        pi = np.add.reduceat(joint, start, axis=1).T / total[:, None]
-    like = np.add.reduceat(counts * np.log((pi.T[:, text_of] * p).sum(0)), start)
+    live = np.flatnonzero(allowed.sum(1) > 1)
+    own_p, own_counts = p, counts
+    held = np.arange(len(start))
+    while len(live):
+        if len(live) < len(held):
+            cell = np.isin(np.repeat(held, lengths[held]), live)
+            own_p, own_counts, held = own_p[:, cell], own_counts[cell], live
+        n = lengths[held]
+        begin = n.cumsum() - n
+        joint = pi[held].T[:, np.repeat(np.arange(len(held)), n)] * own_p
+        joint *= own_counts / joint.sum(0)
+        new = np.add.reduceat(joint, begin, axis=1).T / np.add.reduceat(own_counts, begin)[:, None]
+        live = held[np.abs(new - pi[held]).max(1) >= still]
+        pi[held] = new
+    like = np.add.reduceat(counts * np.log((pi.T[:, np.repeat(np.arange(len(start)), lengths)] * p).sum(0)), start)
     return pi, like
 
 
@@ -159,41 +167,38 @@ def infer(texts: list[str | None], model: Model) -> list[tuple[str, float, list[
 SCHEMA = "doc_id long, lang_pred string, score double, languages array<string>, proportions array<double>"
 
 
+def inferred(texts: pa.Array, model: Model) -> Iterator[list[tuple[str, float, list[str], list[float]]]]:
+    """`infer` of all texts in order, about `GROUP_BYTES` at a time."""
+    for start, length in cuts([texts], GROUP_BYTES) if len(texts) else ():
+        yield infer(texts.slice(start, length).to_pylist(), model)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, languages and proportions of every row."""
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p.astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
-        for batch in batches:
-            found, group, size = [], [], 0
-            texts = batch.column(1).to_pylist()
-            for i, text in enumerate(texts):
-                group.append(text)
-                size += len(text or "")
-                if size > 300_000 or i == len(texts) - 1:
-                    found += infer(group, own)
-                    group, size = [], 0
-            cols = list(zip(*found, strict=True)) or [[]] * 4
+        for batch in parts(batches, "text"):
+            found = [x for group in inferred(batch.column("text"), own) for x in group]
             kinds = [pa.string(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, map(list, cols), kinds)], names=["doc_id", "lang_pred", "score", "languages", "proportions"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, map(list, zip(*found, strict=True)), kinds)], names=["doc_id", "lang_pred", "score", "languages", "proportions"])
 
     return pick(docs, "doc_id", "text").mapInArrow(run, SCHEMA)
 
 
-def keep_known(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
-    """The rows of `docs` in a known language that makes up `least_score` of the text, in one pass."""
+def keep_known(docs: DataFrame, model: Model, wanted: Sequence[str] | None = None, least: float = 0.5) -> DataFrame:
+    """The rows of `docs` of which `wanted` languages (None: all learned ones) make up `least`, in one pass.
+
+    What counts is the sum over the inferred set, so a clean text of several languages stays; `und` goes.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p.astype(np.float32)))
+    known = None if wanted is None else set(wanted)
+
+    @F.arrow_udf("boolean")
+    def in_known(texts: pa.Array) -> pa.Array:
+        own = Model(*shared.value)
+        share = lambda languages, proportions: sum(p for x, p in zip(languages, proportions, strict=True) if known is None or x in known)
+        return pa.array([lang != UNKNOWN and share(languages, proportions) >= least - 1e-9 for group in inferred(texts, own) for lang, _, languages, proportions in group], pa.bool_())
 
-    @F.pandas_udf("boolean")
-    def known(texts: pd.Series) -> pd.Series:
-        own, keep, group, size = Model(*shared.value), [], [], 0
-        for i, text in enumerate(texts):
-            group.append(text)
-            size += len(text or "")
-            if size > 300_000 or i == len(texts) - 1:
-                keep += [lang != UNKNOWN and score >= least_score for lang, score, _, _ in infer(group, own)]
-                group, size = [], 0
-        return pd.Series(keep, dtype=bool)
-
-    return unflat(flat(docs, text="text").where(known("text")), docs)
+    return unflat(flat(docs, text="text").where(in_known("text")), docs)
