@@ -35,8 +35,8 @@ from crossgrain.llm.common import parts, pick
 #: Unicode's White_Space.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 NONE = np.int32(2**31 - 1)
-#: Pieces kept with their ids in a worker, and the bytes from which a piece is a matrix of its own.
-CACHE_PIECES, LONG = 150_000, 512
+#: Pieces kept with their ids in a worker, the bytes from which a piece is a matrix of its own, and a matrix's cells at most.
+CACHE_PIECES, LONG, CELLS = 150_000, 512, 250_000
 
 
 class PairTable:
@@ -176,9 +176,10 @@ class ByteBpe:
                 out[i] = self.merge_long(p)
             else:
                 buckets.setdefault(len(p).bit_length(), []).append(i)
-        for at in buckets.values():
-            for lo in range(0, len(at), 8192):
-                part = at[lo : lo + 8192]
+        for bits, at in buckets.items():
+            rows = max(1, CELLS >> bits)
+            for lo in range(0, len(at), rows):
+                part = at[lo : lo + rows]
                 for i, ids in zip(part, self.merge_rows([pieces[j] for j in part]), strict=True):
                     out[i] = ids
         return out

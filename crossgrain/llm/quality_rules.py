@@ -2,13 +2,14 @@
 
 Every text gets the base counts (words, symbols, repeated lines, repeated 3-word windows), which
 decide the base rule. A text that passes it goes through a cascade of further rules and leaves at
-the first one that rejects it. The order of the cascade comes from a bounded sample: each rule's
-seconds per text and share of rejected texts are measured there, and the rules run by rejections
-per second, best first. The order changes the cost only: a text is kept if no rule rejects it.
-
-Edge cases: a null or empty text has no words, all counts 0, fails the base rule and is not kept.
-Repeated rows give repeated result rows; extra columns are ignored; an empty table gives an empty
-result.
+the first one that rejects it. The order of the cascade comes from a sample, drawn by a hash of the
+id: each rule's seconds per text and share of rejected texts are measured there, where the texts
+are, and the rules run by rejections per second, best first. The order changes the cost only: a text
+is kept if no rule rejects it, and which rule did is not told.
+
+Edge cases: a null or empty text has no words, all counts 0, fails the base rule and is not kept;
+very long texts are counted whole. Repeated rows give repeated result rows; extra columns are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,14 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import flat, pick, unflat
+from crossgrain.llm.common import cuts, flat, parts, pick, unflat
 
 #: ASCII white space that ends a word, and the symbols that are counted.
 SPACES = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
 
-#: Rows at most on which costs and selectivities are measured.
-SAMPLE_ROWS = 512
+#: Rows, in expectation, on which costs and selectivities are measured.
+SAMPLE_ROWS = 2048
+_SCALE = 1_000_000_000
 
 
 @dataclass
@@ -125,58 +127,69 @@ def base_failed(t: Text) -> bool:
 
 
 def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """The rules, most rejections per second of work first, as measured on at most `sample_rows` texts.
+    """The rules, most rejections per second of work first, as measured on about `sample_rows` texts.
 
-    The sample is whatever rows Spark reads first; it decides the order of work only, never a verdict.
+    The driver gets a row of sums for each rule and task.
     """
-    texts = [measure(r.text) for r in pick(docs, "text").limit(sample_rows).collect()]
-    texts = [t for t in texts if not base_failed(t)]
-
-    def gain(rule: Rule) -> float:
-        began = time.perf_counter()
-        rejected = sum(map(rule.rejects, texts))
-        return (rejected + 0.5) / (len(texts) + 1) / max(time.perf_counter() - began, 1e-7)
-
-    return tuple(sorted(rules, key=lambda r: -gain(r))) if texts else rules
+    rows = pick(docs, "doc_id", "text")
+    n = rows.count()
+    share = min(1.0, sample_rows / max(1, n))
+    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("rules")), F.lit(_SCALE)) < int(share * _SCALE)).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, rejected, spent = 0, [0] * len(rules), [0.0] * len(rules)
+        for batch in parts(batches, "text"):
+            texts = [t for t in map(measure, batch.column("text").to_pylist()) if not base_failed(t)]
+            seen += len(texts)
+            for i, rule in enumerate(rules):
+                began = time.perf_counter()
+                rejected[i] += sum(map(rule.rejects, texts))
+                spent[i] += time.perf_counter() - began
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(rules)), pa.int32()), pa.array([seen] * len(rules), pa.int64()), pa.array(rejected, pa.int64()), pa.array(spent)], names=["rule", "seen", "rejected", "spent"])
+
+    sums = drawn.mapInArrow(run, "rule int, seen long, rejected long, spent double").groupBy("rule").agg(F.sum("seen"), F.sum("rejected"), F.sum("spent")).collect()  # a row a rule
+    gain = {i: (rejected + 0.5) / (seen + 1) / max(spent, 1e-7) for i, seen, rejected, spent in sums}
+    return tuple(rules[i] for i in sorted(range(len(rules)), key=lambda i: -gain.get(i, 0.0)))
 
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] | None = None) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept and the rule that rejected the text (null: none).
+    """doc_id, the base counts, base_failed and kept.
 
     `rules` are run in the order given; None measures the order on a sample first.
     """
     ordered = cascade_order(docs) if rules is None else rules
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols: list[list] = [[] for _ in range(8)]
-            for text in batch.column(1).to_pylist():
+        for batch in parts(batches, "text"):
+            cols: list[list] = [[] for _ in range(7)]
+            for text in batch.column("text").to_pylist():
                 t = measure(text)
                 failed = base_failed(t)
-                hit = "base" if failed else next((r.name for r in ordered if r.rejects(t)), None)
-                for col, v in zip(cols, (t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, failed, hit is None, hit), strict=True):
+                kept = not failed and not any(r.rejects(t) for r in ordered)
+                for col, v in zip(cols, (t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, failed, kept), strict=True):
                     col.append(v)
-            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols, kinds)], names=OUT)
+            kinds = [pa.int64()] * 5 + [pa.bool_()] * 2
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, cols, kinds)], names=OUT)
 
     return pick(docs, "doc_id", "text").mapInArrow(judge, SCHEMA)
 
 
-OUT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rejected_by"]
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"
+OUT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that the rules keep, in one pass and without a join: a filter on the text."""
     ordered = cascade_order(docs)
 
-    @F.pandas_udf("boolean")
-    def good(texts):  # noqa: ANN001, ANN202
-        def verdict(text: str | None) -> bool:
-            t = measure(text)
-            return not base_failed(t) and not any(r.rejects(t) for r in ordered)
-
-        return texts.map(verdict).astype(bool)
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        out = []
+        for start, length in cuts([texts]) if len(texts) else ():
+            for t in map(measure, texts.slice(start, length).to_pylist()):
+                out.append(not base_failed(t) and not any(r.rejects(t) for r in ordered))
+        return pa.array(out, pa.bool_())
 
     return unflat(flat(docs, text="text").where(good("text")), docs)
 

@@ -196,19 +196,201 @@ def test_language_mixture(spark):
     assert found[0][2] == ["en"] and set(found[2][2]) == {"en", "xx"} and 0.55 < found[2][1] < 0.78
 
 
+def test_clean_mixed_texts_stay(spark):
+    rng = random.Random(3)
+    alphabets = {"aa": "etaoinsh", "bb": "kqwzxyvj", "cc": "bcdfglmp"}
+    text = lambda a, n: " ".join("".join(rng.choice(a) for _ in range(5)) for _ in range(n))
+    rows = [(100 * k + i, text(a, 80), lang, "s", None, "", "") for k, (lang, a) in enumerate(alphabets.items()) for i in range(40)]
+    model = language_id.fit(spark.createDataFrame(rows, DOCS))
+    three = " ".join(text(a, n) for a, n in zip(alphabets.values(), (40, 30, 30), strict=True))
+    odd = docs(spark, [three, "12345 !!", None, "", text("kqwzxyvj", 50), three])
+    kept = lambda **k: [r.doc_id for r in language_id.keep_known(odd, model, **k).collect()]
+    assert kept() == [0, 4, 5] and kept(wanted=["aa", "cc"]) == [0, 5] and kept(wanted=["xx"]) == []
+    assert language_id.keep_known(odd, model).columns == odd.columns and language_id.keep_known(odd.limit(0), model).count() == 0
+
+
+def brute_mixture(cells, log_p):
+    """EM and the choice of languages for one text, in plain loops; cells: (bin, count)."""
+    total = sum(n for _, n in cells)
+
+    def em(allowed):
+        pi = {x: 1 / len(allowed) for x in allowed}
+        while len(allowed) > 1:
+            new = dict.fromkeys(allowed, 0.0)
+            for at, n in cells:
+                joint = {x: pi[x] * np.exp(log_p[x][at]) for x in allowed}
+                for x in allowed:
+                    new[x] += n * joint[x] / sum(joint.values()) / total
+            moved, pi = max(abs(new[x] - pi[x]) for x in allowed), new
+            if moved < language_id.STILL:
+                break
+        return pi, sum(n * np.log(sum(pi[x] * np.exp(log_p[x][at]) for x in allowed)) for at, n in cells)
+
+    full, _ = em(list(range(len(log_p))))
+    order = sorted(full, key=lambda x: -full[x])
+    best, like = em(order[:1])
+    for size in range(2, len(order) + 1):
+        more, higher = em(order[:size])
+        if higher - like <= language_id.PENALTY * np.log(total + 1):
+            break
+        best, like = more, higher
+    return best
+
+
+def test_language_equals_brute_force(spark):
+    rows = table(spark, SF, "documents").collect()
+    learned = defaultdict(lambda: np.zeros(language_id.BINS))
+    for r in rows:
+        at, n, _ = language_id.trigram_counts(r.text)
+        if r.lang and zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and len(at):
+            for i, c in zip(at, n, strict=True):
+                learned[r.lang][i] += c / sum(n) ** 0.5
+    languages = sorted(learned)
+    log_p = [np.log((learned[x] + 0.05) / (learned[x] + 0.05).sum()).astype(np.float32).astype(float) for x in languages]
+    got = {r.doc_id: r for r in queries.op9_language_id(spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        at, n, letter = language_id.trigram_counts(r.text)
+        if not letter:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+        elif len(at) < 400:
+            best = brute_mixture(list(zip(at.tolist(), n.tolist(), strict=True)), log_p)
+            top = max(best, key=lambda x: best[x])
+            assert got[r.doc_id].lang_pred == languages[top] and abs(got[r.doc_id].score - best[top]) < 1e-4
+            assert set(got[r.doc_id].languages) == {languages[x] for x in best if best[x] > 0}
+
+
+def brute_clause(kinds, weights):
+    """A clause's score, rule by rule over its words."""
+    n, score = len(kinds), 0.0
+    negated, addressed, said = [0] * (n + 1), [0] * (n + 1), [False] * (n + 1)  # in force at each word
+    for i, k in enumerate(kinds):
+        negated[i + 1] = (0 if negated[i] else 2) if k == toxicity.NEGATION else max(0, negated[i] - 1)
+        addressed[i + 1] = 4 if k == toxicity.TARGET else max(0, addressed[i] - 1)
+        said[i + 1] = said[i] or k == toxicity.REPORT
+    kept = [(1 / 3 if negated[i] else 1) * (2 / 3 if said[i] else 1) for i in range(n)]
+    real = [False] * n
+    waiting = []  # positions of threats without a target so far
+    for i, k in enumerate(kinds):
+        if k == toxicity.THREAT and addressed[i]:
+            score, real[i] = score + kept[i] * 1.25, True
+        elif k == toxicity.THREAT:
+            waiting.append(i)
+        elif k == toxicity.TARGET and waiting and i - waiting[-1] <= 4:
+            # Those that waited without a gap of more than the reach between one and the next; aimed ones keep none waiting.
+            run = [waiting[-1]]
+            for j in waiting[-2::-1]:
+                if run[-1] - j > 4:
+                    break
+                run.append(j)
+            score, real[i] = score + max(kept[j] for j in run), True
+            waiting = []
+    insults = 0
+    for i, k in enumerate(kinds):
+        if k == toxicity.INSULT:
+            score += weights[i] * kept[i] * (1.25 if addressed[i] else 1) * (1.5 if insults else 1) + 0.5 * any(real[:i])
+            insults += 1
+    return score
+
+
+def test_composed_path_weights_equal_brute_force():
+    rng = random.Random(9)
+    for _ in range(4000):
+        kinds = [rng.randrange(toxicity.CLASSES) for _ in range(rng.randint(1, 9))]
+        weights = [rng.uniform(1, 5) if k == toxicity.INSULT else float(k == toxicity.THREAT) for k in kinds]
+        state, score = 0, 0.0
+        for k, w in zip(kinds, weights, strict=True):
+            state, factor, more = toxicity.GRAMMAR[state][k]
+            score += w * factor + more
+        assert abs(score - brute_clause(kinds, weights)) < 1e-9, kinds
+
+
 def test_toxic_grammar():
     lexicon = toxicity.Lexicon({"idiot": 4.0})
     score = lambda t: sum(toxicity.clause_scores(t, lexicon)[0])
     assert score("you are an idiot") > score("an idiot") > score("he said an idiot") > 0
-    assert score("an idiot") > score("not an idiot") > 0 and score("a fine day") == 0 and score("i will kill you") > 0
+    assert score("an idiot") > score("not an idiot") > 0 and score("a fine day") == 0
+    assert score("i will kill you") > 0 and score("you he will kill") > 0 and score("they said i will kill you") < score("i will kill you")
+    assert score("please kill the process") == score("kill the process that was started by you") == score("kill it. you know") == 0
     assert score("idiot idiot") > 2 * score("idiot") and score("never not idiot") == score("idiot")
 
 
+def test_toxicity_equals_brute_force(spark):
+    rows = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
+    marks = {r.doc_id: r.toxic for r in table(spark, SF, "labels").collect() if r.toxic in (0, 1) and r.doc_id in rows and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    half = {r.id: r.half for r in spark.createDataFrame([(i,) for i in marks], "id long").select("id", F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)).alias("half")).collect()}
+
+    def learned(halves):
+        own = [i for i in marks if half[i] in halves]
+        n = Counter(marks[i] for i in own)
+        held = {1: Counter(), 0: Counter()}
+        for i in own:
+            held[marks[i]].update(toxicity.terms_of(rows[i]))
+        out = {}
+        for term, a in held[1].items():
+            b = held[0][term]
+            g = 0.0
+            for k, m in ((a, n[1]), (b, n[0])):
+                rate = (a + b) / (n[1] + n[0])
+                g += 2 * sum(x * np.log(x / (m * r)) for x, r in ((k, rate), (m - k, 1 - rate)) if x)
+            odds = np.log((a + 0.5) / (n[1] + 1)) - np.log((b + 0.5) / (n[0] + 1))
+            if a >= toxicity.TEXTS and g >= toxicity.EVIDENCE and odds >= toxicity.ODDS:
+                out[term] = odds
+        return out
+
+    def measured(text, lexicon):
+        scores = []
+        for clause in toxicity.CLAUSE.split((text or "").lower()):
+            words = [lexicon[w] for w in toxicity.WORD.findall(clause)]
+            scores += [x] if (x := brute_clause([k for k, _ in words], [w for _, w in words])) else []
+        n, total = len(toxicity.WORD.findall((text or "").lower())), sum(scores)
+        return [np.log1p(total), max(scores) / 5, np.log1p(len(scores)), 10 * total / (n + 20), np.log1p(sum(x >= 3 for x in scores))] if scores else [0.0] * 5
+
+    by_half, full = [toxicity.Lexicon(learned([h])) for h in (0, 1)], toxicity.Lexicon(learned([0, 1]))
+    x = np.array([measured(rows[i], by_half[1 - half[i]]) for i in marks])
+    y = np.array([float(marks[i]) for i in marks])
+    w = toxicity.logistic(x, y)
+    got = {r.doc_id: r.score for r in queries.op6_toxicity(spark, SF).collect()}
+    all_marks = Counter(r.toxic for r in table(spark, SF, "labels").collect() if r.toxic in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 4 != 2)
+    w[-1] += np.log(all_marks[1] / all_marks[0]) - np.log(y.sum() / (len(y) - y.sum()))
+    for i, text in rows.items():
+        assert abs(got[i] - 1 / (1 + np.exp(-(np.dot(measured(text, full), w[:-1]) + w[-1])))) < 1e-6
+
+
+def test_pu_risk_and_gradient_equal_brute_force():
+    rng = np.random.default_rng(5)
+    p, u, w, prior = rng.normal(size=(7, 3)), rng.normal(size=(11, 3)), rng.normal(size=3), 0.6
+    loss = lambda z, y: float(np.log1p(np.exp(-z if y else z)))
+
+    def parts_of(w):
+        as_one = prior * sum(loss(float(x @ w), 1) for x in p) / len(p)
+        return as_one, sum(loss(float(x @ w), 0) for x in u) / len(u) - prior * sum(loss(float(x @ w), 0) for x in p) / len(p)
+
+    one, zero, up, down = pu_quality.risk(w, p, u, prior)
+    assert np.allclose([one, zero], parts_of(w))
+    for i in range(3):
+        step = np.eye(3)[i] * 1e-6
+        slope = (np.array(parts_of(w + step)) - np.array(parts_of(w - step))) / 2e-6
+        assert np.allclose([up[i], down[i]], slope, atol=1e-5)
+
+
+def test_quality_equals_brute_force(spark):
+    rows = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
+    learned = sorted(i for i in rows if zlib.crc32(str(i).encode()) % 4 != 2)
+    good = {r.doc_id for r in table(spark, SF, "labels").collect() if r.quality == 1}
+    u = np.array([pu_quality.statistics(rows[i]) for i in learned])
+    p = np.array([pu_quality.statistics(rows[i]) for i in learned if i in good])
+    w = pu_quality.nn_pu(p, u, pu_quality.estimate_prior(p, u))
+    for r in queries.op3_quality_classifier(spark, SF).collect():
+        z = np.dot(pu_quality.statistics(rows[r.doc_id]), w[:-1]) + w[-1]
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-6 and r.predicted == int(r.score >= 0.7)
+
+
 def test_pu_risk_separates():
     rng = np.random.default_rng(4)
     p, n = rng.normal(1.5, 1, (800, 2)), rng.normal(-1.5, 1, (300, 2))
-    u = np.vstack([rng.normal(1.5, 1, (700, 2)), n])
-    prior = pu_quality.estimate_prior((p * [1, 1]).sum(1), u.sum(1))
+    u = np.vstack([rng.normal(1.5, 1, (700, 2)), n])[rng.permutation(1000)]
+    prior = pu_quality.estimate_prior(p, u)
     assert 0.6 < prior < 0.85
     w = pu_quality.nn_pu(p, u, prior)
     assert ((p @ w[:2] + w[2]) > 0).mean() > 0.9 and ((n @ w[:2] + w[2]) < 0).mean() > 0.8
@@ -261,6 +443,24 @@ def test_mix_without_budget_draws_every_document(spark):
     assert flat["c"] > 10 * 5
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_last_hashes_equal_brute_force(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    rng = random.Random(4)
+    rows = [(s, rng.randint(0, 9), rng.choice([rng.randrange(1 << 53), rng.randrange(1 << 20), 77, (1 << 53) - 1]), i) for i, s in enumerate("abc" * 400)]
+    rests = {"a": 900.0, "b": 3.5, "c": 1e9}
+    want = {}
+    for s, rest in rests.items():
+        own = sorted((h, t) for x, t, h, _ in rows if x == s)
+        want[s] = max((h for h, _ in own if sum(t for k, t in own if k <= h) <= rest), default=-1)
+    df = spark.createDataFrame(rows, "source string, tokens long, h long, doc_id long")
+    got = {r.source: r.cut for r in mixing.last_hashes(df, spark.createDataFrame(list(rests.items()), "source string, rest double")).collect()}
+    assert set(got) == set(rests)
+    for s in rests:  # the same documents are taken, wherever between two hashes the cut stands
+        assert {h for x, _, h, _ in rows if x == s and h <= got[s]} == {h for x, _, h, _ in rows if x == s and h <= want[s]}
+
+
 # -- 5: near-duplicates ------------------------------------------------------------------------------
 
 
@@ -543,6 +743,30 @@ def test_pipeline_stages(spark):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+def test_pipeline_stages_on_odd_tables(spark):
+    import corpus_pipeline
+
+    prose = [r.text for r in quality_rules.keep_good(table(spark, SF, "documents")).limit(6).collect()]
+    long = " ".join(f"{w}{i}" for i in range(400) for w in prose[0].split()[:40])
+    texts = [*EDGES, *prose, prose[0], long]
+    rows = [(i, t, "en" if i % 3 else None, ["s", "t", None][i % 3], None, "other", "clash") for i, t in enumerate(texts)]
+    rows += [rows[12], (None, prose[1], "en", "s", None, None, None), (None, None, None, None, None, None, None)]
+    odd = spark.createDataFrame(rows, DOCS)
+    d = odd
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, d.limit(0), SF).count() == 0
+        out = stage(spark, d, SF)
+        if name == "byte_bpe":
+            assert {r.decoded_sha256 for r in out.collect()} == {hashlib.sha256((r.text or "").encode()).hexdigest() for r in d.collect()}
+            break
+        assert out.columns == odd.columns and out.dtypes == odd.dtypes
+        kept = [tuple(r) for r in out.collect()]
+        assert set(kept) <= set(rows) and kept
+        d = spark.createDataFrame(kept, DOCS)
+        if name == "minhash_near_dedup":
+            assert Counter(r[0] for r in kept if r[0] is not None).most_common(1)[0][1] == 1 and long in {r[1] for r in kept}
+
+
 def test_registry():
     assert [n for n in queries.QUERIES] == [f.__name__ for f in queries.QUERIES.values()] and len(queries.QUERIES) == 10
     assert json.dumps(sorted(queries.ORACLE_SQL)) == '["op1_chat_formatting", "op7_quality_rules", "op8_exact_top_k"]'
