@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -87,6 +89,14 @@ def compounded(returns: Column | str, over: WindowSpec) -> Column:
     return F.aggregate(F.collect_list(1 + col(returns)).over(over), F.lit(1.0), lambda acc, r: acc * r) - 1
 
 
+def one_row(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df, which must have one row a key: a query fails where it has several."""
+    rest = [c for c in df.columns if c not in keys]
+    several = F.raise_error(F.concat(F.lit("several rows of "), F.concat_ws("|", *[F.col(k).cast("string") for k in keys])))
+    row = F.when(F.count(F.lit(1)) > 1, several).otherwise(F.first(F.struct(*rest)))
+    return df.groupBy(*keys).agg(row.alias("_row")).select(*[k if k in keys else F.col("_row")[k].alias(k) for k in df.columns])
+
+
 def flag(c: Column | str, missing: bool) -> Column:
     return F.coalesce(col(c), F.lit(missing))
 

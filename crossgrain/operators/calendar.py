@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossgrain.functions.columns import KEYS, flag
+from crossgrain.functions.columns import KEYS, flag, one_row
 
 
 def calendar_index(rows: DataFrame, date: str = "date") -> DataFrame:
@@ -65,8 +65,8 @@ def dates_without_snapshot(calendar: DataFrame, snapshots: DataFrame) -> DataFra
 
 
 def price_join(raw: DataFrame, adjusted: DataFrame) -> DataFrame:
-    """Unadjusted prices with the adjusted ones beside them; keys must be unique on the right."""
-    return raw.dropDuplicates(KEYS).join(adjusted.dropDuplicates(KEYS), KEYS, "left")
+    """Unadjusted prices with the adjusted ones beside them; keys must be unique on both sides, or the query fails."""
+    return one_row(raw, KEYS).join(one_row(adjusted, KEYS), KEYS, "left")
 
 
 def listing_days(rows: DataFrame, calendar: DataFrame, listed: str = "listed_date") -> DataFrame:

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from crossgrain.functions.columns import KEYS, ratio
 
-#: Names that no feature may have.
-FORBIDDEN = ("date", "stock_code")
+#: Names that no feature may have, how such names begin, what they hold, and a time after t in a status name.
+FORBIDDEN = frozenset("""date stock_code target_10d rank_target_10d market_target_10d industry_target_10d alpha_target_10d
+exit_date_10d split_10d entry_tradeable""".split())
 FORBIDDEN_PREFIXES = ("target_", "split_", "exit_", "entry_", "future_", "next_")
-FORBIDDEN_PATTERN = re.compile(r"t\+1|t_plus_|(status|suspended|is_st|tradeable).*t\+?\d")
+FORBIDDEN_INFIXES = ("t+1", "t_plus_")
+LATER = re.compile(r"t(?:_|\+|_?plus_?)?0*([1-9][0-9]*)")
 
 
 def violation(check: str, key: Column, detail: Column) -> list[Column]:
@@ -29,8 +31,10 @@ def key_text(*columns: str) -> Column:
 
 
 def forbidden_feature(name: str) -> bool:
+    """Whether a column would leak a key, a label or the future into the features."""
     low = name.lower()
-    return low in FORBIDDEN or low.startswith(FORBIDDEN_PREFIXES) or bool(FORBIDDEN_PATTERN.search(low))
+    named = low in FORBIDDEN or low.startswith(FORBIDDEN_PREFIXES) or any(x in low for x in FORBIDDEN_INFIXES)
+    return named or ("status" in low and LATER.search(low) is not None)
 
 
 def schema_contract(df: DataFrame, required: Sequence[str] = (), features: Sequence[str] | None = None) -> DataFrame:

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossgrain.functions.columns import average_rank, correlation, flag, ratio
+from crossgrain.functions.columns import average_rank, col, correlation, flag, ratio
 from crossgrain.operators.cross_section import assign_quantiles
 
 SERIES = ["variant", "window"]
@@ -19,6 +19,11 @@ SERIES = ["variant", "window"]
 YEAR = 252
 
 
+def positive(x: Column | str) -> Column:
+    """Whether a statistic is over 0 by more than the noise of its sums."""
+    return F.round(col(x), 12) > 0
+
+
 def long_sample(rows: DataFrame, variants: Sequence[str], windows: Sequence[int]) -> DataFrame:
     """date, stock_code, variant, window, value, ret of wide rows with variant and return_{w} columns."""
     pairs = F.array(*[F.struct(F.lit(v).alias("variant"), F.lit(w).alias("window"), F.col(v).alias("value"), F.col(f"return_{w}").alias("ret")) for v in variants for w in windows])
@@ -44,7 +49,7 @@ def ic_summary(ic: DataFrame) -> DataFrame:
     """variant, window, metric, mean, std, icir, annual_icir, positive_ratio, n over the present values."""
     both = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("x")) for c in ("ic", "rank_ic")])
     rows = ic.select(*SERIES, F.inline(both)).where("x is not null")
-    g = rows.groupBy(*SERIES, "metric").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.avg((F.col("x") > 0).cast("double")).alias("positive_ratio"), F.count("x").alias("n"))
+    g = rows.groupBy(*SERIES, "metric").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.avg(positive("x").cast("double")).alias("positive_ratio"), F.count("x").alias("n"))
     icir = ratio("mean", "std")
     return g.select(*SERIES, "metric", "mean", "std", icir.alias("icir"), (icir * F.sqrt(F.lit(float(YEAR)))).alias("annual_icir"), "positive_ratio", "n")
 
@@ -137,7 +142,7 @@ def yearly_performance(ic: DataFrame, nav: DataFrame, turnover: DataFrame) -> Da
     """
     year = F.year("date").alias("year")
     i = ic.groupBy(year, *SERIES).agg(
-        F.avg("rank_ic").alias("mean_rank_ic"), F.stddev_samp("rank_ic").alias("std_rank_ic"), F.avg(flag(F.col("rank_ic") > 0, False).cast("double")).alias("ic_positive_ratio"), F.count("rank_ic").alias("n"),
+        F.avg("rank_ic").alias("mean_rank_ic"), F.stddev_samp("rank_ic").alias("std_rank_ic"), F.avg(flag(positive("rank_ic"), False).cast("double")).alias("ic_positive_ratio"), F.count("rank_ic").alias("n"),
     )
     i = i.withColumn("rank_icir", ratio("mean_rank_ic", "std_rank_ic"))
     yearly = nav.withColumn("year", F.year("date"))
@@ -146,7 +151,7 @@ def yearly_performance(ic: DataFrame, nav: DataFrame, turnover: DataFrame) -> Da
     own = yearly.withColumn("_nav", F.exp(F.sum(F.log1p(F.when(r > -1, r).otherwise(-0.999999999999))).over(w)))
     own = own.withColumn("_dd", ratio("_nav", F.max("_nav").over(w)) - 1)
     s = own.groupBy("year", "variant").agg(
-        (F.max_by("_nav", "date") - 1).alias("long_short_return"), F.avg(flag(F.col("long_short") > 0, False).cast("double")).alias("win_rate"), F.min("_dd").alias("max_drawdown"), F.lit(1).alias("window"),
+        (F.max_by("_nav", "date") - 1).alias("long_short_return"), F.avg(flag(positive("long_short"), False).cast("double")).alias("win_rate"), F.min("_dd").alias("max_drawdown"), F.lit(1).alias("window"),
     )
     t = turnover.groupBy(year, "variant").agg(*[F.avg(c).alias(f"mean_{c}") for c in ("rank_turnover", "top_turnover", "bottom_turnover")])
     return i.join(s, ["year", *SERIES], "left").join(t, ["year", "variant"], "left")

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossgrain.functions.columns import by_stock, calendar_lag, change, correlation, finite, padded, ratio, rolling
+from crossgrain.functions.columns import by_stock, calendar_lag, change, correlation, finite, one_row, padded, ratio, rolling
 
 
 def factor(panel: DataFrame, value: Column) -> DataFrame:
@@ -67,8 +67,8 @@ def daily_returns(panel: DataFrame, fill: str = "pad") -> DataFrame:
 
 
 def with_market(panel: DataFrame, market: DataFrame) -> DataFrame:
-    """Joins market returns m by date; market: (date, index_close), a row a date."""
-    m = market.dropDuplicates(["date"]).withColumn("m", change("index_close", F.lag("index_close").over(Window.orderBy("date")))).select("date", "m")
+    """Joins market returns m by date; market: (date, index_close), a row a date, or the query fails."""
+    m = one_row(market.select("date", "index_close"), ["date"]).withColumn("m", change("index_close", F.lag("index_close").over(Window.orderBy("date")))).select("date", "m")
     return panel.join(F.broadcast(m), "date", "left")
 
 

@@ -1,14 +1,15 @@
 """Data operations and distributed fits of ranking models.
 
-Pair samples come from rings: a date's rows in a hashed (or target) order, each anchor taking the
-rows that follow it. Draws are deterministic, the same on any engine, and linear in the rows.
+Pair samples come from rings: a date's rows in an order, of which each anchor takes some that follow
+it. Draws are deterministic, the same on any engine, and linear in the rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -23,24 +24,36 @@ from crossgrain.operators.cross_section import equal_date_weights
 def ridge_fit(rows: DataFrame, features: Sequence[str], label: str, strength: float, weight: Column | None = None) -> dict[str, float]:
     """Coefficients (and 'intercept') of the weighted ridge with penalty strength * sum of weights.
 
-    One aggregate row holds the weighted moments of all columns; the system of a few hundred
-    unknowns is solved on the driver.
+    Each task sums one matrix of weighted moments; their sum comes to the driver, which solves the
+    system of a few hundred unknowns.
     """
     cols = [*features, label]
-    x = rows.where(F.col(label).isNotNull()).select(*[F.col(c).cast("double").alias(c) for c in cols], (weight if weight is not None else equal_date_weights()).alias("_w"))
-    names = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    row = x.agg(F.sum("_w"), *[F.sum(F.col("_w") * F.col(c)) for c in cols], *[F.sum(F.col("_w") * F.col(a) * F.col(b)) for a, b in names]).first()
-    total, k = row[0], len(cols)
-    mean = np.array(row[1 : k + 1]) / total
-    moment = np.zeros((k, k))
-    for (a, b), v in zip(names, row[k + 1 :], strict=True):
-        i, j = cols.index(a), cols.index(b)
-        moment[i, j] = moment[j, i] = v
+    values = F.array(*[F.col(c).cast("double") for c in cols])
+    x = rows.where(F.col(label).isNotNull()).select((weight if weight is not None else equal_date_weights()).cast("double").alias("w"), values.alias("v"))
+    k = len(cols)
+    sums = moments(x, k)
+    total, mean, moment = sums[0, 0], sums[0, 1:] / sums[0, 0], sums[1:, 1:]
     centred = moment - total * np.outer(mean, mean)
     beta = np.linalg.solve(centred[:-1, :-1] + strength * total * np.eye(k - 1), centred[:-1, -1])
     return dict(zip(features, beta.tolist(), strict=True)) | {"intercept": float(mean[-1] - beta @ mean[:-1])}
 
 
+def moments(x: DataFrame, k: int) -> np.ndarray:
+    """Sum over rows (w, v) of w * (1, v)(1, v)', where v has k values; a null value makes the row count as nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k + 1, k + 1))
+        for batch in batches:
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            full = np.hstack([np.ones((len(v), 1)), v])
+            full, w = full[np.isfinite(full).all(1)], batch.column(0).to_numpy()[np.isfinite(full).all(1)]
+            total += (full * w[:, None]).T @ full
+        yield pa.RecordBatch.from_arrays([pa.array(range((k + 1) ** 2), pa.int32()), pa.array(total.ravel())], names=["at", "s"])
+
+    summed = x.mapInArrow(run, "at int, s double").groupBy("at").agg(F.sum("s").alias("s")).toPandas().sort_values("at")  # one matrix
+    return summed["s"].to_numpy().reshape(k + 1, k + 1)
+
+
 def coefficients_frame(df: DataFrame, fitted: Mapping[str, float]) -> DataFrame:
     return df.sparkSession.createDataFrame([(k, float(v)) for k, v in fitted.items()], "feature string, coefficient double")
 
@@ -69,19 +82,33 @@ def _hash(seed: int, *columns: str) -> Column:
 
 
 def sample_date_pairs(rows: DataFrame, target: str, broad: int, nearest: int, seed: int = 7) -> DataFrame:
-    """date, anchor, opponent, kind: `broad` ring successors in hashed order and `nearest` in order of target.
+    """date, anchor, opponent, kind: for each row `broad` opponents spread over its date, and the `nearest` by target.
 
-    Opponents of equal target are left out; pairs never cross dates.
+    No opponent ties with its anchor, and each anchor gets its full number, or all there are. The
+    rows of a date stand in a ring by target, in which those that an anchor ties with are its
+    neighbours; broad opponents follow in equal steps on the rest of the ring, from a hashed start.
+    Of equally near ones the lower target comes first, then rows in hashed order from a hashed start.
     """
     x = rows.where(F.col(target).isNotNull()).select("date", F.col("stock_code").alias("s"), F.col(target).alias("t"), _hash(seed, "date", "stock_code").alias("h"))
-    w = Window.partitionBy("date")
-    x = x.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("i", F.row_number().over(w.orderBy("h", "s")) - 1).withColumn("j", F.row_number().over(w.orderBy("t", "s")) - 1)
-    right = x.select("date", F.col("s").alias("o"), F.col("t").alias("ot"), "i", "j")
-    ring = x.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(broad)))).where("d < n").withColumn("i", (F.col("i") + F.col("d")) % F.col("n")).drop("j")
-    by_hash = ring.join(right.drop("j"), ["date", "i"]).select("date", F.col("s").alias("anchor"), F.col("o").alias("opponent"), "t", "ot", F.lit("broad").alias("kind"))
-    near = x.withColumn("j", F.explode(F.sequence(F.col("j") + 1, F.col("j") + nearest))).drop("i")
-    by_target = near.join(right.drop("i"), ["date", "j"]).select("date", F.col("s").alias("anchor"), F.col("o").alias("opponent"), "t", "ot", F.lit("nearest").alias("kind"))
-    return by_hash.unionByName(by_target).where("t <> ot").select("date", "anchor", "opponent", "kind").distinct()
+    day, tie = Window.partitionBy("date"), Window.partitionBy("date", "t")
+    x = x.withColumn("n", F.count(F.lit(1)).over(day)).withColumn("i", F.row_number().over(day.orderBy("h", "s")) - 1)
+    x = x.withColumn("j", F.row_number().over(day.orderBy("t", "h", "s")) - 1).withColumn("m", F.count(F.lit(1)).over(tie)).withColumn("r", F.row_number().over(tie.orderBy("h", "s")) - 1)
+    x = x.withColumn("g", F.dense_rank().over(day.orderBy("t"))).withColumn("others", F.col("n") - F.col("m"))
+    some = x.where("others > 0")
+    at = some.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(broad), F.col("others")) - 1)))
+    step = F.greatest(F.lit(1), F.floor(F.col("others") / broad))
+    place = (F.col("j") - F.col("r") + F.col("m") + (F.col("i") + F.col("d") * step) % F.col("others")) % F.col("n")
+    by_hash = at.select("date", F.col("s").alias("anchor"), place.alias("j")).join(x.select("date", "j", F.col("s").alias("opponent")), ["date", "j"]).select("date", "anchor", "opponent", F.lit("broad").alias("kind"))
+    # Candidates: up to `nearest` rows of each of the `nearest` next targets on either side.
+    sides = F.array(*[F.lit(k).cast("int") for k in range(-nearest, nearest + 1) if k])
+    asked = some.select("date", F.col("s").alias("anchor"), "i", "t", F.explode(F.transform(sides, lambda k: F.col("g") + k)).alias("g"))
+    sizes = x.select("date", "g", "m").distinct()
+    asked = asked.join(sizes, ["date", "g"]).withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(nearest), F.col("m")) - 1)))
+    asked = asked.withColumn("r", (F.col("i") + F.col("d")) % F.col("m")).drop("m")
+    met = asked.join(x.select("date", "g", "r", F.col("s").alias("opponent"), F.col("t").alias("ot")), ["date", "g", "r"])
+    first = F.row_number().over(Window.partitionBy("date", "anchor").orderBy(F.abs(F.col("t") - F.col("ot")), "ot", "d"))
+    near = met.withColumn("_n", first).where(F.col("_n") <= nearest).select("date", "anchor", "opponent", F.lit("nearest").alias("kind"))
+    return by_hash.unionByName(near)
 
 
 def sample_top_pairs(rows: DataFrame, rank: str, boundary: int, broad: int, seed: int = 7, top: float = 0.9, edge: float = 0.7) -> DataFrame:

@@ -83,10 +83,12 @@ def _(spark, sf_dir):
     return tables.scan_window(proxy.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"], "l_shipdate", "1997-01-01", "1997-03-31")
 
 
-@query("a8_resolve_vendor_columns", "prices", "SELECT date, stock_code || '.XSHG' AS stock_code, close FROM prices", "date stock_code ~close")
+@query("a8_resolve_vendor_columns", "prices", "SELECT date, CASE WHEN pos % 3 <> 0 THEN stock_code || '.XSHG' END AS stock_code, close FROM prices", "date stock_code ~close")
 def _(spark, sf_dir):
     p = proxy.prices(spark, sf_dir)
-    return tables.resolve_vendor_columns(p.select(F.col("date").alias("day"), F.concat("stock_code", F.lit(".XSHG")).alias("id"), "close"))
+    # A note that no row has, and codes that some rows lack.
+    code = F.when(F.col("pos") % 3 != 0, F.concat("stock_code", F.lit(".XSHG")))
+    return tables.resolve_vendor_columns(p.select(F.col("date").alias("day"), F.lit(None).cast("string").alias("note"), code.alias("id"), F.col("close").alias("close"))).drop("note")
 
 
 @query("a9_unpivot_matrix", "panel", "SELECT date, industry AS stock_code, bool_or(CASE WHEN k % 3 = 0 THEN is_st END) AS is_st FROM panel GROUP BY ALL", "date stock_code is_st")
@@ -108,9 +110,17 @@ def _(spark, sf_dir):
     return O.table_fingerprint(proxy.table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
-@query("a12_schema_contract", "panel", "SELECT 'required' AS check, c AS key, 'missing' AS detail FROM (VALUES ('post_low')) t(c) UNION ALL SELECT 'feature', c, 'forbidden' FROM (SELECT unnest(['date', 'stock_code']) AS c) WHERE EXISTS (SELECT 1 FROM panel)".replace("AS check", 'AS "check"').replace("AS key", 'AS "key"'), V)
+#: Columns that a panel gets besides its own, and whether each may be a feature.
+EXTRA = {
+    "rank_target_10d": False, "market_target_10d": False, "industry_target_10d": False, "alpha_target_10d": False, "TARGET_5d": False, "exit_date_10d": False, "split_x": False, "entry_tradeable": False, "entry_open": False, "future_x": False, "next_open": False,
+    "ret_t+1": False, "vol_t_plus_2": False, "status_t_2": False, "status_t03": False, "status_tplus1": False, "st_status": True, "status_t0": True, "ret_t1": True, "rank_target": True, "my_target_10d": True, "exits": True,
+}
+
+
+@query("a12_schema_contract", "panel", "SELECT 'required' AS \"check\", 'post_low' AS \"key\", 'missing' AS detail FROM (SELECT 1 FROM panel LIMIT 1) UNION ALL SELECT 'feature', unnest([" + ", ".join(f"'{c}'" for c in ["date", "stock_code", *[c for c, ok in EXTRA.items() if not ok]]) + "]), 'forbidden' FROM (SELECT 1 FROM panel LIMIT 1)", V)
 def _(spark, sf_dir):
-    return O.schema_contract(proxy.panel(spark, sf_dir), ["post_close", "post_low"])
+    p = proxy.panel(spark, sf_dir)
+    return O.schema_contract(p.select("*", *[F.lit(None).cast("double").alias(c) for c in EXTRA]), ["post_close", "post_low"])
 
 
 def stack(check: str, key: str, detail: str, rest: str) -> str:

@@ -48,9 +48,9 @@ part("mturn", "mem memd", f"""SELECT date, variant, max(CASE WHEN quantile = {Q}
     / nullif((SELECT count(*) FROM mem p WHERE p.variant = d.variant AND p.date = d.prev AND p.quantile = q.quantile), 0) AS t
   FROM memd d CROSS JOIN (VALUES (1), ({Q})) AS q(quantile)) GROUP BY ALL""")
 part("turn", "rturn mturn", "SELECT * FROM rturn LEFT JOIN mturn USING (date, variant)")
-part("yearly", "ic nav turn", """SELECT * FROM (SELECT CAST(year(date) AS INTEGER) AS year, variant, win, avg(rank_ic) AS mean_rank_ic, stddev_samp(rank_ic) AS std_rank_ic, avg(CASE WHEN rank_ic > 0 THEN 1.0 ELSE 0.0 END) AS ic_positive_ratio,
+part("yearly", "ic nav turn", """SELECT * FROM (SELECT CAST(year(date) AS INTEGER) AS year, variant, win, avg(rank_ic) AS mean_rank_ic, stddev_samp(rank_ic) AS std_rank_ic, avg(CASE WHEN round(rank_ic, 12) > 0 THEN 1.0 ELSE 0.0 END) AS ic_positive_ratio,
     count(rank_ic) AS n, avg(rank_ic) / nullif(stddev_samp(rank_ic), 0) AS rank_icir FROM ic GROUP BY 1, 2, 3)
-  LEFT JOIN (SELECT year, variant, 1 AS win, arg_max(ynav, date) - 1 AS long_short_return, avg(CASE WHEN long_short > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, min(ynav / top - 1) AS max_drawdown FROM (
+  LEFT JOIN (SELECT year, variant, 1 AS win, arg_max(ynav, date) - 1 AS long_short_return, avg(CASE WHEN round(long_short, 12) > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, min(ynav / top - 1) AS max_drawdown FROM (
     SELECT *, max(ynav) OVER (PARTITION BY variant, year ORDER BY date) AS top FROM (SELECT date, CAST(year(date) AS INTEGER) AS year, variant, long_short, exp(sum(ln(1 + coalesce(long_short, 0))) OVER (PARTITION BY variant, year(date) ORDER BY date)) AS ynav FROM nav)) GROUP BY year, variant) USING (year, variant, win)
   LEFT JOIN (SELECT CAST(year(date) AS INTEGER) AS year, variant, avg(rank_turnover) AS mean_rank_turnover, avg(top_turnover) AS mean_top_turnover, avg(bottom_turnover) AS mean_bottom_turnover FROM turn GROUP BY 1, 2) USING (year, variant)""")
 
@@ -91,7 +91,7 @@ def _(spark, sf_dir):
     return win(O.cumulative_ic(O.daily_ic(long(spark, sf_dir)))).select("date", "variant", "win", "cumulative_ic", "cumulative_rank_ic")
 
 
-@query("s3_ic_summary", "ic", " UNION ALL ".join(f"SELECT variant, win, '{c}' AS metric, avg({c}) AS mean, stddev_samp({c}) AS std, avg({c}) / nullif(stddev_samp({c}), 0) AS icir, avg({c}) / nullif(stddev_samp({c}), 0) * sqrt(252) AS annual_icir, avg(CASE WHEN {c} > 0 THEN 1.0 ELSE 0.0 END) AS positive_ratio, count({c}) AS n FROM ic WHERE {c} IS NOT NULL GROUP BY variant, win" for c in ("ic", "rank_ic")), "variant win metric ~mean ~std ~icir ~annual_icir ~positive_ratio n")
+@query("s3_ic_summary", "ic", " UNION ALL ".join(f"SELECT variant, win, '{c}' AS metric, avg({c}) AS mean, stddev_samp({c}) AS std, avg({c}) / nullif(stddev_samp({c}), 0) AS icir, avg({c}) / nullif(stddev_samp({c}), 0) * sqrt(252) AS annual_icir, avg(CASE WHEN round({c}, 12) > 0 THEN 1.0 ELSE 0.0 END) AS positive_ratio, count({c}) AS n FROM ic WHERE {c} IS NOT NULL GROUP BY variant, win" for c in ("ic", "rank_ic")), "variant win metric ~mean ~std ~icir ~annual_icir ~positive_ratio n")
 def _(spark, sf_dir):
     return win(O.ic_summary(O.daily_ic(long(spark, sf_dir))))
 
@@ -173,7 +173,7 @@ part("sfn", "sfz fwd", """SELECT date, stock_code, z, (e - avg(e) OVER d) / null
     WINDOW c AS (PARTITION BY date, industry)) WINDOW d AS (PARTITION BY date)) LEFT JOIN fwd USING (date, stock_code) WINDOW d AS (PARTITION BY date)""")
 
 
-@query("s12_single_factor_run", "sfn", f"""SELECT variant, CAST(win AS INTEGER) AS win, avg(ic) AS mean, stddev_samp(ic) AS std, avg(ic) / nullif(stddev_samp(ic), 0) AS icir, avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) AS positive_ratio, count(ic) AS n FROM (
+@query("s12_single_factor_run", "sfn", f"""SELECT variant, CAST(win AS INTEGER) AS win, avg(ic) AS mean, stddev_samp(ic) AS std, avg(ic) / nullif(stddev_samp(ic), 0) AS icir, avg(CASE WHEN round(ic, 12) > 0 THEN 1.0 ELSE 0.0 END) AS positive_ratio, count(ic) AS n FROM (
   SELECT date, variant, win, {corr_sql('value', 'ret', 3)} AS ic FROM (SELECT date, variant, win, value, ret FROM sfn CROSS JOIN LATERAL (VALUES ('standardized', 1, z, return_1), ('standardized', 5, z, return_5), ('neutralized', 1, neutral, return_1), ('neutralized', 5, neutral, return_5)) AS t(variant, win, value, ret)
     WHERE value IS NOT NULL AND ret IS NOT NULL) GROUP BY ALL) WHERE ic IS NOT NULL GROUP BY variant, win""", "variant win ~mean ~std ~icir ~positive_ratio n")
 def _(spark, sf_dir):

@@ -13,7 +13,9 @@ OUT = "date stock_code ~factor_value"
 
 
 def market(panel: DataFrame) -> DataFrame:
-    return panel.groupBy("date").agg(F.round(F.avg("post_close"), 4).alias("index_close"))
+    """The mean price of each date: prices have four decimals, so a sum of integers is the same on any engine."""
+    whole = F.sum(F.round(F.col("post_close") * 10_000).cast("long"))
+    return panel.groupBy("date").agg((F.try_divide(whole, F.count("post_close") * F.lit(10_000.0))).alias("index_close"))
 
 
 def orders_feed(spark, sf_dir: str) -> DataFrame:
@@ -37,13 +39,13 @@ part("o", "", """SELECT CAST(o_orderdate AS DATE) AS date, 'C' || lpad(CAST(o_cu
 part("reports", "o", "SELECT date, stock_code, institute, fiscal_year, max(eps) AS eps FROM o GROUP BY ALL")
 part("revisions", "reports", """SELECT date, stock_code, institute, fiscal_year, eps > last AS up, eps < last AS down FROM
   (SELECT *, lag(eps) OVER (PARTITION BY stock_code, institute, fiscal_year ORDER BY date) AS last FROM reports) WHERE last IS NOT NULL""")
-part("ocal", "o", "SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM o WHERE day(date) % 2 = 0)")
+part("ocal", "o", "SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM o)")
 part("actives", "revisions ocal", "SELECT r.*, pos FROM revisions r JOIN ocal USING (date)")
 
 
 def revision_calendar(reports: DataFrame) -> DataFrame:
-    """Trading dates of the proxy: the even days, so that some events fall off the calendar."""
-    return proxy.calendar(reports.where(F.dayofmonth("date") % 2 == 0))
+    """Trading dates of the proxy: all dates of the feed. Events off a calendar are tested on a small table."""
+    return proxy.calendar(reports)
 
 
 part("surprises", "o", """SELECT date, stock_code, actual - expected AS surprise FROM (
@@ -90,7 +92,7 @@ def _(spark, sf_dir):
     return O.tail_strength_20d(proxy.panel(spark, sf_dir, "month"))
 
 
-part("market_m", "panel_m", "SELECT date, index_close / nullif(lag(index_close) OVER (ORDER BY date), 0) - 1 AS m FROM (SELECT date, round(avg(post_close), 4) AS index_close FROM panel_m GROUP BY date)")
+part("market_m", "panel_m", "SELECT date, index_close / nullif(lag(index_close) OVER (ORDER BY date), 0) - 1 AS m FROM (SELECT date, sum(CAST(round(post_close * 10000) AS BIGINT)) / nullif(count(post_close) * 10000.0, 0) AS index_close FROM panel_m GROUP BY date)")
 part("ret_m", "panel_m market_m", """SELECT date, pos, stock_code, turnover, m, p / nullif(lag(p) OVER (PARTITION BY stock_code ORDER BY pos), 0) - 1 AS r FROM (
   SELECT date, pos, stock_code, turnover, m, last_value(post_close IGNORE NULLS) OVER (PARTITION BY stock_code ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p
   FROM panel_m LEFT JOIN market_m USING (date))""")

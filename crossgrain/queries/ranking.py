@@ -148,7 +148,14 @@ def _(spark, sf_dir):
     return E.daily_metrics(predictions(spark, sf_dir), K)
 
 
-@query("m1_ridge_fit")
+#: The normal equations of two features in closed form; strength 0.1 times the sum of weights on the diagonal.
+part("ridge", "featr", """SELECT (saa * sbt - sab * sat) AS nb, (sbb * sat - sab * sbt) AS na, saa * sbb - sab * sab AS det, ma, mb, mt FROM (
+  SELECT sum(w * (a - ma) * (a - ma)) + 0.1 * sum(w) AS saa, sum(w * (b - mb) * (b - mb)) + 0.1 * sum(w) AS sbb, sum(w * (a - ma) * (b - mb)) AS sab, sum(w * (a - ma) * (t - mt)) AS sat, sum(w * (b - mb) * (t - mt)) AS sbt, any_value(ma) AS ma, any_value(mb) AS mb, any_value(mt) AS mt FROM (
+    SELECT *, sum(w * a) OVER () / sum(w) OVER () AS ma, sum(w * b) OVER () / sum(w) OVER () AS mb, sum(w * t) OVER () / sum(w) OVER () AS mt FROM (
+      SELECT a, b, rank_target AS t, 1.0 / count(*) OVER (PARTITION BY date) AS w FROM featr WHERE rank_target IS NOT NULL)))""")
+
+
+@query("m1_ridge_fit", "ridge", "SELECT 'a' AS feature, na / det AS coefficient FROM ridge UNION ALL SELECT 'b', nb / det FROM ridge UNION ALL SELECT 'intercept', mt - na / det * ma - nb / det * mb FROM ridge", "feature ~coefficient")
 def _(spark, sf_dir):
     x = features(spark, sf_dir)
     return M.coefficients_frame(x, M.ridge_fit(x, FEATURES, "rank_target", 0.1))
@@ -172,12 +179,15 @@ def _(spark, sf_dir):
     return M.coefficients_frame(x, M.lambda_weighted_rank_fit(M.sample_date_pairs(x, "target", 3, 2), x, FEATURES, "target", "score", "rank_target", 40))
 
 
-part("ring", "feat", """SELECT date, stock_code AS s, target AS t, count(*) OVER d AS n, row_number() OVER (PARTITION BY date ORDER BY md5('7|' || date || '|' || stock_code), stock_code) - 1 AS i, row_number() OVER (PARTITION BY date ORDER BY target, stock_code) - 1 AS j
-  FROM feat WHERE target IS NOT NULL WINDOW d AS (PARTITION BY date)""")
+part("ring", "feat", """SELECT *, n - m AS others, j - r AS first, row_number() OVER (PARTITION BY date ORDER BY h, s) - 1 AS i FROM (
+  SELECT date, s, t, h, count(*) OVER (PARTITION BY date) AS n, count(*) OVER (PARTITION BY date, t) AS m, row_number() OVER (PARTITION BY date ORDER BY t, h, s) - 1 AS j, row_number() OVER (PARTITION BY date, t ORDER BY h, s) - 1 AS r
+  FROM (SELECT date, stock_code AS s, target AS t, md5('7|' || date || '|' || stock_code) AS h FROM feat WHERE target IS NOT NULL))""")
 
 
-@query("m5_sample_date_pairs", "ring", """SELECT a.date, a.s AS anchor, b.s AS opponent, 'broad' AS kind FROM ring a CROSS JOIN (VALUES (1), (2), (3)) AS o(d) JOIN ring b ON b.date = a.date AND b.i = (a.i + o.d) % a.n WHERE o.d < a.n AND a.t <> b.t
-  UNION ALL SELECT a.date, a.s, b.s, 'nearest' FROM ring a JOIN ring b ON b.date = a.date AND b.j BETWEEN a.j + 1 AND a.j + 2 WHERE a.t <> b.t""", "date anchor opponent kind")
+@query("m5_sample_date_pairs", "ring", """SELECT a.date, a.s AS anchor, b.s AS opponent, 'broad' AS kind FROM ring a CROSS JOIN (VALUES (0), (1), (2)) AS o(d)
+  JOIN ring b ON b.date = a.date AND b.j = (a.first + a.m + (a.i + o.d * greatest(1, a.others // 3)) % a.others) % a.n WHERE a.others > 0 AND o.d < a.others
+  UNION ALL SELECT date, anchor, opponent, 'nearest' FROM (SELECT a.date, a.s AS anchor, b.s AS opponent,
+    row_number() OVER (PARTITION BY a.date, a.s ORDER BY abs(a.t - b.t), b.t, (b.r - a.i % b.m + b.m) % b.m) AS k FROM ring a JOIN ring b ON b.date = a.date AND b.t <> a.t) WHERE k <= 2""", "date anchor opponent kind")
 def _(spark, sf_dir):
     return M.sample_date_pairs(features(spark, sf_dir), "target", 3, 2)
 

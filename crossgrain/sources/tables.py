@@ -89,16 +89,18 @@ def scan_window(df: DataFrame, columns: Sequence[str], date: str, first: str, la
     return df.where((F.col(date) >= lo) & (F.col(date) < hi)).select(*columns)
 
 
-def resolve_vendor_columns(df: DataFrame, aliases: Mapping[str, str] = ALIASES) -> DataFrame:
-    """Known vendor names become ours; else a date type gives the date and exchange suffixes the stock, on 20 rows."""
-    out = df.withColumnsRenamed({c: aliases[c] for c in df.columns if c in aliases and aliases[c] not in df.columns})
+def resolve_vendor_columns(df: DataFrame, aliases: Mapping[str, str] = ALIASES, sample: int = 20) -> DataFrame:
+    """Known vendor names, in any case, become ours; else the first date type gives the date, and the first text column gives
+    the stock of which any of `sample` present values ends in an exchange's suffix."""
+    out = df.withColumnsRenamed({c: aliases[c.lower()] for c in df.columns if c.lower() in aliases and aliases[c.lower()] not in df.columns})
     if "date" not in out.columns:
         dates = [c for c, t in out.dtypes if t.startswith(("date", "timestamp"))]
         out = out.withColumnRenamed(dates[0], "date") if dates else out
     if "stock_code" not in out.columns:
-        rows = out.limit(20).collect()
-        codes = [c for c, t in out.dtypes if t == "string" and rows and all(str(r[c]).endswith(CODE_SUFFIXES) for r in rows)]
-        out = out.withColumnRenamed(codes[0], "stock_code") if codes else out
+        for c in (c for c, t in out.dtypes if t == "string"):
+            values = out.select(F.col(f"`{c}`").alias("v")).where("v is not null").limit(sample).collect()
+            if any(r.v.endswith(CODE_SUFFIXES) for r in values):
+                return out.withColumnRenamed(c, "stock_code")
     return out
 
 
@@ -118,8 +120,8 @@ def sink_table(df: DataFrame, path: str, fmt: str = "parquet", partition: str |
     """Overwrites a table, sorted by key inside each file; Parquet is zstd, split by year if `partition` names a date."""
     out = df.sortWithinPartitions(*sort)
     if partition:
-        df = df.withColumn("year", F.year(partition))
-        out = df.repartition("year").sortWithinPartitions("year", *sort)
+        # A rebalance keeps a year together as far as partitions allow, and cuts one that is too large for a task.
+        out = df.withColumn("year", F.year(partition)).hint("rebalance", "year").sortWithinPartitions("year", *sort)
     writer = out.write.mode("overwrite").format(fmt)
     writer = writer.option("compression", "zstd") if fmt == "parquet" else writer.option("header", True)
     (writer.partitionBy("year") if partition else writer).save(path)

@@ -24,6 +24,6 @@ def upsert_by_date(path: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: each batch replaces the partitions of its own dates, so a repeated batch changes nothing."""
 
     def write(batch: DataFrame, _: int) -> None:
-        batch.repartition("date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+        batch.hint("rebalance", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
     return write

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crossgrain.functions.columns import correlation, rank_percentile
+from crossgrain.functions.columns import correlation, one_row, rank_percentile
 from crossgrain.operators import contracts, cross_section, evaluation, factor_stats, factors, labels
 from crossgrain.sources import tables
 
@@ -82,7 +82,7 @@ def test_kendall_tau_equals_pairs(spark):
     rng = np.random.default_rng(7)
     a, b = rng.integers(0, 9, 40), rng.integers(0, 9, 40)
     df = spark.createDataFrame([("m", D, f"S{i}", float(x), float(y)) for i, (x, y) in enumerate(zip(a, b, strict=True))], "model string, date date, stock_code string, score double, rank_target double")
-    r = evaluation.pair_counts(df, chunk=7).first()
+    r = evaluation.pair_counts(df).first()
     pairs = [(i, j) for i in range(40) for j in range(i)]
     assert r.signed == sum(int(np.sign(a[i] - a[j]) * np.sign(b[i] - b[j])) for i, j in pairs)
     assert (r.pairs, r.tied_score, r.tied_target) == (len(pairs), sum(a[i] == a[j] for i, j in pairs), sum(b[i] == b[j] for i, j in pairs))
@@ -152,3 +152,45 @@ def test_fingerprint_ignores_row_order(spark):
     df = day(spark, (3, 1, 2))
     one, two = (contracts.table_fingerprint(x, ["stock_code", "v"]).first() for x in (df, df.orderBy(F.desc("v"))))
     assert one == two and one != contracts.table_fingerprint(df.where("v > 1"), ["stock_code", "v"]).first()
+
+
+@pytest.mark.parametrize("name", ["rank_target_10d", "market_target_10d", "industry_target_10d", "alpha_target_10d", "status_t_2", "Status_T+1", "x_t_plus_1", "entry_x", "date"])
+def test_leaks_are_forbidden(name):
+    assert contracts.forbidden_feature(name)
+
+
+@pytest.mark.parametrize("name", ["rank_target", "st_status", "status_t0", "ret_t1", "update"])
+def test_others_may_be_features(name):
+    assert not contracts.forbidden_feature(name)
+
+
+def test_vendor_columns_with_nulls(spark):
+    df = spark.createDataFrame([(D, None, None, "x"), (D, None, "plain", "y"), (D, None, "000001.XSHE", "z")], "Trading_Date date, none string, id string, note string")
+    assert tables.resolve_vendor_columns(df).columns == ["date", "none", "stock_code", "note"]
+
+
+def test_several_rows_of_a_key_fail(spark):
+    two = spark.createDataFrame([(D, 1.0), (D, 2.0)], "date date, index_close double")
+    with pytest.raises(Exception, match="several rows of 2024-01-02"):
+        one_row(two, ["date"]).collect()
+    assert one_row(two.limit(1), ["date"]).collect() == two.limit(1).collect()
+
+
+def test_events_off_the_calendar_are_dropped(spark):
+    days = [D + dt.timedelta(i) for i in range(6)]
+    events = spark.createDataFrame([(days[0], "A", "x"), (days[1], "A", "y"), (days[2], "A", "x")], "date date, stock_code string, institute string")
+    calendar = spark.createDataFrame([(d, i) for i, d in enumerate(days[::2])], "date date, pos long")
+    got = {(r.date, r.n) for r in factors.rolling_distinct_active(events, calendar, 2).collect()}
+    assert got == {(days[0], 1), (days[2], 1), (days[4], 1)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 33])
+def test_pair_counts_equal_all_pairs(spark, n):
+    rng = np.random.default_rng(n)
+    data = [("m", D + dt.timedelta(d), f"S{i}", float(rng.integers(0, 9)), float(rng.integers(0, 7)) if rng.random() < 0.9 else None) for d in range(3) for i in range(n)]
+    got = {r.date: tuple(r)[2:] for r in evaluation.pair_counts(spark.createDataFrame(data, "model string, date date, stock_code string, score double, rank_target double")).collect()}
+    for d in {r[1] for r in data}:
+        own = [(a, b) for _, x, _, a, b in data if x == d and b is not None]
+        pairs = [(np.sign(p[0] - q[0]), np.sign(p[1] - q[1])) for i, p in enumerate(own) for q in own[:i]]
+        if own:
+            assert got[d] == (sum(a * b for a, b in pairs), len(pairs), sum(a == 0 for a, _ in pairs), sum(b == 0 for _, b in pairs))

@@ -49,3 +49,28 @@ def test_boosted_trees_rank(spark):
     df, _ = rows(spark)
     got = ranking.gbt_rank_regression(df, ["a", "b"], "r", max_depth=3, rounds=5)
     assert got.selectExpr("corr(score, r)").first()[0] > 0.6
+
+
+def test_pair_samples_are_full_and_free_of_ties(spark):
+    rng = np.random.default_rng(3)
+    data = [(dt.date(2024, 1, 1), f"S{i:02d}", float(v)) for i, v in enumerate(rng.integers(0, 6, 40))] + [(dt.date(2024, 1, 2), f"S{i:02d}", 1.0) for i in range(4)] + [(dt.date(2024, 1, 3), f"S{i:02d}", float(i == 2)) for i in range(3)]
+    df = spark.createDataFrame(data, "date date, stock_code string, y double")
+    target = {(d, s): y for d, s, y in data}
+    got = ranking.sample_date_pairs(df, "y", 5, 3).collect()
+    assert len({tuple(r) for r in got}) == len(got)
+    for (d, s), y in target.items():
+        others = [abs(y - v) for (e, _), v in target.items() if e == d and v != y]
+        own = {k: [abs(y - target[d, r.opponent]) for r in got if (r.date, r.anchor, r.kind) == (d, s, k)] for k in ("broad", "nearest")}
+        assert len(own["broad"]) == min(5, len(others)) and 0 not in own["broad"]
+        assert sorted(own["nearest"]) == sorted(others)[:3]
+
+
+def test_ridge_with_many_features(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 142))
+    y = x @ rng.normal(size=142) + rng.normal(size=500)
+    names = [f"f{i}" for i in range(142)]
+    df = spark.createDataFrame([(dt.date(2024, 1, 1 + i % 5), f"S{i}", *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y, strict=True))], "date date, stock_code string, " + ", ".join(f"{n} double" for n in names) + ", y double")
+    got = ranking.ridge_fit(df, names, "y", 0.2)
+    beta = np.linalg.solve((x - x.mean(0)).T @ (x - x.mean(0)) / 500 + 0.2 * np.eye(142), (x - x.mean(0)).T @ (y - y.mean()) / 500)
+    assert np.allclose([got[n] for n in names], beta)
