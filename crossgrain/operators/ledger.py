@@ -2,8 +2,10 @@
 
 A path holds the stocks its signals desire: on rebalance days it buys what is desired and may be
 bought, every day it sells what isn't desired and may be sold. Whether a stock is held is the last
-of these two events, so holdings are a window expression over path x stock x date; only the cash
-account, a few numbers a day, is folded in order, one path a task.
+of these two events, so holdings are a window expression over path x stock x date. Spent cash may
+forbid a day's buys, which only ever takes holdings away; so the cash account is folded once, in
+order, over the days on which a stock would be held if cash were no matter, one path a task. The
+days it finds without cash then correct the holdings of their paths.
 
 Columns: path (string), date, pos, stock_code. Markets need the panel's columns (has_price_record,
 is_suspended, is_st, listing_days, raw_open, post_open, limit_up, limit_down).
@@ -116,7 +118,9 @@ def holding_latch(path_days: DataFrame, desired: DataFrame, rules: DataFrame, bl
     wanted = desired.select("model", "signal_date", "stock_code").distinct()
     ever = path_days.select("path", "model", "signal_date").distinct().join(wanted, ["model", "signal_date"]).select("path", "stock_code").distinct()
     x = path_days.join(ever, "path").join(wanted.withColumn("_d", F.lit(True)), ["model", "signal_date", "stock_code"], "left")
-    x = x.join(rules, ["date", "stock_code"], "left")
+    x = x.join(rules.withColumn("_known", F.lit(True)), ["date", "stock_code"], "left")
+    for c in ("buy_reason", "sell_reason"):  # what the market doesn't list can't be traded
+        x = x.withColumn(c, F.when(F.col("_known"), F.col(c)).otherwise("no_price_record"))
     if blocks is not None:
         x = x.join(blocks.select("path", "date", F.lit(True).alias("_cash")), ["path", "date"], "left")
     else:
@@ -130,67 +134,74 @@ def holding_latch(path_days: DataFrame, desired: DataFrame, rules: DataFrame, bl
     return x.withColumn("held", held).withColumn("was_held", before).select("path", "date", "pos", "stock_code", "desired", "rebalance", "cash_block", "buy_reason", "sell_reason", "held", "was_held")
 
 
-def with_rules(rules: DataFrame, dates_stocks: DataFrame) -> DataFrame:
-    """rules on every (date, stock) of a frame: what the market doesn't list can't be traded."""
-    out = dates_stocks.select("date", "stock_code").distinct().join(rules.withColumn("_known", F.lit(True)), ["date", "stock_code"], "left")
-    none = F.lit("no_price_record")
-    return out.select("date", "stock_code", *[F.when(F.col("_known").isNull(), none).otherwise(F.col(c)).alias(c) for c in ("sell_reason", "buy_reason")])
+def numbered_episodes(latch: DataFrame) -> DataFrame:
+    """The rows of a latch on which a stock is or was held, with episode: the number of the holding among its stock's.
+
+    The day of a sale belongs to the episode that it ends.
+    """
+    upto = Window.partitionBy("path", "stock_code").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return latch.where("held or was_held").withColumn("episode", F.sum((F.col("held") & ~F.col("was_held")).cast("int")).over(upto))
 
 
 def holding_episodes(latch: DataFrame) -> DataFrame:
     """path, stock_code, episode, entry_date, entry_pos, exit_date (null if still held), last_pos."""
-    w = Window.partitionBy("path", "stock_code").orderBy("pos")
-    x = latch.where("held or was_held").withColumn("_start", (F.col("held") & ~F.col("was_held")).cast("int"))
-    x = x.withColumn("episode", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # The day of a sale belongs to the episode that it ends.
-    return x.groupBy("path", "stock_code", "episode").agg(
+    return numbered_episodes(latch).groupBy("path", "stock_code", "episode").agg(
         F.min(F.when(F.col("held"), F.col("date"))).alias("entry_date"), F.min(F.when(F.col("held"), F.col("pos"))).alias("entry_pos"),
         F.max(F.when(~F.col("held"), F.col("date"))).alias("exit_date"), F.max("pos").alias("last_pos"),
     )
 
 
-def carried_mark(latch: DataFrame, episodes: DataFrame, panel: DataFrame) -> DataFrame:
-    """path, date, pos, stock_code, entry_date, entry_price, mark, held: every day of every episode, its last one included.
+def mark_price() -> Column:
+    """The adjusted open where the stock has a record, isn't suspended and has a positive price."""
+    return F.when(flag("has_price_record", False) & ~flag("is_suspended", True) & (F.col("post_open") > 0), F.col("post_open"))
+
 
-    The mark is the adjusted open where the stock has a record, isn't suspended and has a positive
-    price, else the last mark.
+def carried_mark(latch: DataFrame, panel: DataFrame) -> DataFrame:
+    """path, date, pos, stock_code, episode, entry_date, entry_price, mark, held: every day of every episode, its last one included.
+
+    The mark is the day's `mark_price`, else the last mark.
     """
-    days = latch.where("held or was_held").select("path", "date", "pos", "stock_code", "held", "was_held")
-    x = days.join(episodes, ["path", "stock_code"]).where((F.col("pos") >= F.col("entry_pos")) & (F.col("pos") <= F.col("last_pos")))
-    price = F.when(flag("has_price_record", False) & ~flag("is_suspended", True) & (F.col("post_open") > 0), F.col("post_open"))
-    x = x.join(panel.select("date", "stock_code", price.alias("_price")), ["date", "stock_code"], "left")
-    w = Window.partitionBy("path", "stock_code", "episode").orderBy("pos")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("mark", F.last("_price", ignorenulls=True).over(upto)).withColumn("entry_price", F.first("_price", ignorenulls=True).over(upto))
-    return x.select("path", "date", "pos", "stock_code", "episode", "entry_date", "entry_price", "mark", "held")
+    x = numbered_episodes(latch).select("path", "date", "pos", "stock_code", "episode", "held")
+    x = x.join(panel.select("date", "stock_code", mark_price().alias("_price")), ["date", "stock_code"], "left")
+    upto = Window.partitionBy("path", "stock_code", "episode").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    # An episode's first row is its entry.
+    marked = x.withColumn("mark", F.last("_price", ignorenulls=True).over(upto)).withColumn("entry_price", F.first("_price", ignorenulls=True).over(upto)).withColumn("entry_date", F.first("date").over(upto))
+    return marked.select("path", "date", "pos", "stock_code", "episode", "entry_date", "entry_price", "mark", "held")
 
 
 def _fold(terms: Terms):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        cash, notional, out = 1.0, {}, []
-        for date, day in rows.sort_values("pos", kind="stable").groupby("date", sort=True):
-            n_buys, rebalance = int(day["n_buys"].max()), bool(day["rebalance"].max())
-            held = day[day["entry_date"].notna()]
-            value = sum(notional.get(e, 0.0) * r for e, r in zip(held["entry_date"], held["kept_ratio"] + held["sold_ratio"], strict=True))
-            before = cash + value
-            sold = sum(notional.get(e, 0.0) * r for e, r in zip(held["entry_date"], held["sold_ratio"], strict=True))
-            n_sells = int(held["n_sold"].sum())
+        cash, units, marks, out = 1.0, {}, {}, []
+        rows = rows.sort_values("pos", kind="stable")
+        columns = [rows[c].to_list() for c in ("date", "pos", "rebalance", "stock_code", "buys", "sells", "price")]
+        day: list[tuple] = []
+        for i, row in enumerate(zip(*columns, strict=True)):
+            day.append(row[3:])
+            if i + 1 < len(rows) and columns[1][i + 1] == row[1]:
+                continue
+            for stock, _, _, price in day:
+                if stock in units and price == price:
+                    marks[stock] = price
+            before = cash + sum(u * marks[s] for s, u in units.items())
+            sales = [stock for stock, _, sells, _ in day if sells and stock in units]
+            sold = sum(units.pop(s) * marks.pop(s) for s in sales)
             sell_cost = sold * terms.sell_cost
             cash += sold - sell_cost
             cash = 0.0 if cash <= NO_CASH else cash
-            bought = buy_cost = scale = 0.0
-            blocked = False
-            if n_buys:
-                ask = before / terms.k
-                scale = min(1.0, cash / (n_buys * ask * (1 + terms.buy_cost))) if ask > 0 else 0.0
-                blocked = scale <= 0.0
-                each = ask * scale
-                bought, buy_cost = n_buys * each, n_buys * each * terms.buy_cost
-                cash -= bought + buy_cost
-                cash = 0.0 if cash <= NO_CASH else cash
-                notional[date] = each
-            nav = before - sell_cost - buy_cost
-            out.append((key[0], date, int(day["pos"].max()), rebalance, before, nav, cash, sold, bought, sell_cost, buy_cost, n_sells, n_buys, scale, notional.get(date, 0.0) if n_buys else 0.0, int(held["n_kept"].sum()) + n_buys, blocked))
+            wanted = [(stock, price) for stock, buys, _, price in day if buys and stock not in units]
+            ask = before / terms.k
+            scale = min(1.0, cash / (len(wanted) * ask * (1 + terms.buy_cost))) if wanted and ask > 0 else 0.0
+            blocked = bool(wanted) and scale <= 0.0
+            wanted = [] if blocked else wanted
+            each = ask * scale
+            for stock, price in wanted:
+                units[stock], marks[stock] = each / price, price
+            bought = len(wanted) * each
+            buy_cost = bought * terms.buy_cost
+            cash -= bought + buy_cost
+            cash = 0.0 if cash <= NO_CASH else cash
+            out.append((key[0], row[0], row[1], row[2], before, before - sell_cost - buy_cost, cash, sold, bought, sell_cost, buy_cost, len(sales), len(wanted), scale, each, len(units), blocked))
+            day = []
         return pd.DataFrame(out, columns=NAV_COLUMNS)
 
     return run
@@ -200,55 +211,43 @@ NAV_COLUMNS = ["path", "date", "pos", "rebalance", "pre_nav", "nav", "cash", "so
 NAV_SCHEMA = "path string, date date, pos long, rebalance boolean, pre_nav double, nav double, cash double, sold double, bought double, sell_cost double, buy_cost double, n_sells long, n_buys long, scale double, notional double, n_held long, cash_blocked boolean"
 
 
-def nav_recurrence(path_days: DataFrame, latch: DataFrame, marks: DataFrame, terms: Terms) -> DataFrame:
-    """The cash account of each path, a row a day, folded over (day, entry day) totals.
+def nav_recurrence(path_days: DataFrame, latch: DataFrame, panel: DataFrame, terms: Terms) -> DataFrame:
+    """The cash account of each path, a row a day, folded over what it would hold if cash were no matter (`latch`).
 
-    All stocks bought on one day get the same notional, so a cohort's value is its notional times a
-    sum of price ratios; a path's fold reads a few rows a day, however many stocks it holds.
+    cash_blocked days had buys that no cash was left for; notional is what each buy of a day got.
     """
-    r = ratio("mark", "entry_price")
-    old = marks.where("entry_date < date")
-    cohorts = old.groupBy("path", "date", "entry_date").agg(
-        F.coalesce(F.sum(F.when(F.col("held"), r)), F.lit(0.0)).alias("kept_ratio"), F.coalesce(F.sum(F.when(~F.col("held"), r)), F.lit(0.0)).alias("sold_ratio"), F.count_if(F.col("held")).alias("n_kept"), F.count_if(~F.col("held")).alias("n_sold"),
+    held = latch.where("held or was_held").select(
+        "path", "date", "stock_code", (F.col("desired") & F.col("rebalance") & F.col("buy_reason").isNull()).alias("buys"), (~F.col("desired") & F.col("sell_reason").isNull()).alias("sells"),
     )
-    buys = latch.where("held and not was_held").groupBy("path", "date").agg(F.count(F.lit(1)).alias("n_buys"))
-    days = path_days.select("path", "date", "pos", "rebalance").join(buys, ["path", "date"], "left").withColumn("n_buys", F.coalesce("n_buys", F.lit(0)))
-    full = days.join(cohorts, ["path", "date"], "left").fillna(0, ["n_kept", "n_sold"]).fillna(0.0, ["kept_ratio", "sold_ratio"])
-    return full.groupBy("path").applyInPandas(_fold(terms), NAV_SCHEMA)
+    held = held.join(panel.select("date", "stock_code", mark_price().alias("price")), ["date", "stock_code"], "left")
+    # Days without a holding have one row without a stock.
+    rows = path_days.select("path", "date", "pos", "rebalance").join(held, ["path", "date"], "left").fillna(False, ["buys", "sells"])
+    return rows.groupBy("path").applyInPandas(_fold(terms), NAV_SCHEMA)
 
 
 @dataclass
 class Ledger:
     path_days: DataFrame
     latch: DataFrame
-    episodes: DataFrame
     marks: DataFrame
     nav: DataFrame
-    passes: int
 
 
-def simulate(path_days: DataFrame, desired: DataFrame, panel: DataFrame, terms: Terms, most_passes: int = 200) -> Ledger:
-    """Latch, marks and fold, repeated while the fold finds days on which spent cash forbids all buys.
-
-    Such a day changes later holdings, so the first one of each path is added to the blocks and the
-    pass repeats; these days only move forward in time.
-    """
-    path_days, blocks = materialize(path_days, "paths"), None
-    wanted = desired.select("stock_code").distinct()
-    market = panel.join(wanted, "stock_code", "left_semi").join(path_days.select("date").distinct(), "date", "left_semi")
-    grid = path_days.select("date").distinct().crossJoin(wanted)
-    rules = materialize(with_rules(trading_rules(market, terms.min_listing_days), grid), "rules")
-    for n in range(1, most_passes + 1):
-        latch = materialize(holding_latch(path_days, desired, rules, blocks), "latch")
-        episodes = holding_episodes(latch)
-        marks = materialize(carried_mark(latch, episodes, market), "marks")
-        nav = materialize(nav_recurrence(path_days, latch, marks, terms), "nav")
-        new = nav.where("cash_blocked").groupBy("path").agg(F.min("date").alias("date"))
-        new = materialize(new, "blocks")
-        if new.isEmpty():
-            return Ledger(path_days, latch, episodes, marks, nav, n)
-        blocks = new if blocks is None else blocks.unionByName(new)
-    raise RuntimeError("cash blocks did not settle")
+def simulate(path_days: DataFrame, desired: DataFrame, panel: DataFrame, terms: Terms) -> Ledger:
+    """Latch, fold, and the latch again for paths with days on which spent cash forbids all buys; then marks."""
+    path_days = materialize(path_days, "paths")
+    market = panel.join(desired.select("stock_code").distinct(), "stock_code", "left_semi")
+    market = materialize(market.select("date", "stock_code", "has_price_record", "is_suspended", "is_st", "listing_days", "raw_open", "post_open", "limit_up", "limit_down"), "market")
+    rules = trading_rules(market, terms.min_listing_days)
+    of_interest = lambda latch: latch.where("held or was_held or desired")
+    latch = materialize(of_interest(holding_latch(path_days, desired, rules)), "latch")
+    nav = materialize(nav_recurrence(path_days, latch, market, terms), "nav")
+    blocks = materialize(nav.where("cash_blocked").select("path", "date"), "blocks")
+    if not blocks.isEmpty():
+        again = blocks.select("path").distinct()
+        anew = holding_latch(path_days.join(again, "path", "left_semi"), desired, rules, blocks)
+        latch = materialize(latch.join(again, "path", "left_anti").unionByName(of_interest(anew)), "latch")
+    return Ledger(path_days, latch, materialize(carried_mark(latch, market), "marks"), nav)
 
 
 def trade_ledger(ledger: Ledger, panel: DataFrame, terms: Terms) -> DataFrame:

@@ -18,6 +18,7 @@ PARTS: dict[str, tuple[str, str]] = dict(proxy.SQL)
 
 
 def part(name: str, needs: str, body: str) -> None:
+    """A body that begins with ! is worked out once, as one that a recursion reads at every step must be."""
     PARTS[name] = (needs, body)
 
 
@@ -33,9 +34,9 @@ def sql(needs: str, body: str, columns: str) -> str:
 
     add(needs)
     found["out"] = body
-    ctes = ",\n".join(f"{n} AS ({b})" for n, b in found.items())
+    ctes = ",\n".join(f"{n} AS MATERIALIZED ({b[1:]})" if b[0] == "!" else f"{n} AS ({b})" for n, b in found.items())
     shown = ", ".join(f"round({c[1:]}, 6) + 0.0 AS {c[1:]}" if c[0] == "~" else c for c in columns.split())
-    return f"WITH {ctes}\nSELECT {shown} FROM out"
+    return f"WITH RECURSIVE {ctes}\nSELECT {shown} FROM out"
 
 
 def query(name: str, needs: str = "", body: str = "", columns: str = "") -> Callable[[Query], Query]:
