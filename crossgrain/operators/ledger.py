@@ -302,7 +302,7 @@ def strategy_summary(daily: DataFrame, trades: DataFrame | None = None, year: in
     g = x.groupBy("path").agg(
         F.count(F.lit(1)).alias("days"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.max_by("nav", "pos").alias("ending_nav"), F.avg("net_return").alias("mean_return"), F.stddev_samp("net_return").alias("_s"),
         F.min("_dd").alias("_low"), F.sum("cost").alias("total_cost"), F.avg("turnover").alias("mean_turnover"), F.avg("cash_ratio").alias("mean_cash_ratio"), F.avg("n_held").alias("mean_held"), F.sum("n_buys").alias("buys"), F.sum("n_sells").alias("sells"),
-        F.count_if("rebalance").alias("rebalances"), F.avg((F.col("net_return") > 0).cast("double")).alias("win_rate"), F.max("net_return").alias("best_day"), F.min("net_return").alias("worst_day"),
+        F.count_if("rebalance").alias("rebalances"), F.avg((F.round("net_return", 12) > 0).cast("double")).alias("win_rate"), F.max("net_return").alias("best_day"), F.min("net_return").alias("worst_day"),
     )
     annual = F.pow("ending_nav", F.lit(float(year)) / F.col("days")) - 1
     vol = F.col("_s") * F.sqrt(F.lit(float(year)))

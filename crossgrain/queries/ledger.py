@@ -79,7 +79,7 @@ def ledger_parts(tag: str, days: str, wants: str) -> None:
     part(f"summary{tag}", f"nav{tag}", f"""SELECT path, days, first_date, last_date, ending_nav, ending_nav - 1 AS total_return, pow(ending_nav, 252.0 / days) - 1 AS annualized_return, s * sqrt(252.0) AS annualized_volatility, mean_return * 252 / nullif(s * sqrt(252.0), 0) AS sharpe_ratio, -least(0.0, low) AS max_drawdown,
   total_cost, t * 252 AS annualized_turnover, mean_cash_ratio, mean_held, buys, sells, rebalances, win_rate, best_day, worst_day FROM (
   SELECT path, count(*) AS days, min(date) AS first_date, max(date) AS last_date, arg_max(nav, pos) AS ending_nav, avg(net_return) AS mean_return, stddev_samp(net_return) AS s, min(nav / greatest(1.0, top) - 1) AS low, sum(cost) AS total_cost, avg(turnover) AS t, avg(cash_ratio) AS mean_cash_ratio, avg(n_held) AS mean_held,
-    CAST(sum(n_buys) AS BIGINT) AS buys, CAST(sum(n_sells) AS BIGINT) AS sells, count(*) FILTER (WHERE rebalance) AS rebalances, avg(CASE WHEN net_return > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, max(net_return) AS best_day, min(net_return) AS worst_day
+    CAST(sum(n_buys) AS BIGINT) AS buys, CAST(sum(n_sells) AS BIGINT) AS sells, count(*) FILTER (WHERE rebalance) AS rebalances, avg(CASE WHEN round(net_return, 12) > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, max(net_return) AS best_day, min(net_return) AS worst_day
   FROM (SELECT *, max(nav) OVER (PARTITION BY path ORDER BY pos) AS top FROM nav{tag}) GROUP BY path)""")
     part(f"average{tag}", f"nav{tag}", f"""SELECT model, date, nav, cash, cash / nullif(nav, 0) AS cash_ratio, nav / nullif(lag(nav) OVER (PARTITION BY model ORDER BY date), 0) - 1 AS net_return, paths FROM (
   SELECT model, date, avg(nav) AS nav, avg(cash) AS cash, count(*) AS n FROM (SELECT *, split_part(path, ':', 1) AS model FROM nav{tag}) GROUP BY model, date) JOIN (SELECT split_part(path, ':', 1) AS model, count(DISTINCT path) AS paths FROM nav{tag} GROUP BY 1) USING (model) WHERE n = paths""")
@@ -95,11 +95,11 @@ for _name, _needs in (("sched", "calf"), ("act", "schedf calf"), ("pd", "actf"),
     for _word in ("FROM cal ", "JOIN cal ", "FROM cal)", "FROM sched ", "JOIN sched ", "FROM act "):
         _body = _body.replace(_word, _word[:-1] + "f" + _word[-1])
     part(f"{_name}f", _needs, _body)
-ledger_parts("", "pd", "want")
+ledger_parts("_p", "pd", "want")
 ledger_parts("_daily", "pdaily", "want")
 ledger_parts("_f", "pdf", "wantf")
 FILLS = """SELECT path, count(*) FILTER (WHERE side = 'buy' AND status = 'filled') / nullif(count(*) FILTER (WHERE side = 'buy'), 0) AS buy_fill_rate, count(*) FILTER (WHERE side = 'sell' AND status = 'filled') / nullif(count(*) FILTER (WHERE side = 'sell'), 0) AS sell_fill_rate,
-  count(*) FILTER (WHERE side = 'buy' AND status = 'blocked') AS blocked_buys, count(*) FILTER (WHERE side = 'sell' AND status = 'blocked') AS blocked_sells, count(DISTINCT CASE WHEN side = 'sell' AND status = 'blocked' THEN date END) AS blocked_sale_days, count(*) FILTER (WHERE side = 'buy' AND reason = 'cash') AS cash_blocked_buys FROM trade GROUP BY path"""
+  count(*) FILTER (WHERE side = 'buy' AND status = 'blocked') AS blocked_buys, count(*) FILTER (WHERE side = 'sell' AND status = 'blocked') AS blocked_sells, count(DISTINCT CASE WHEN side = 'sell' AND status = 'blocked' THEN date END) AS blocked_sale_days, count(*) FILTER (WHERE side = 'buy' AND reason = 'cash') AS cash_blocked_buys FROM trade_p GROUP BY path"""
 SUMMARY_OUT = "path days first_date last_date ~ending_nav ~total_return ~annualized_return ~annualized_volatility ~sharpe_ratio ~max_drawdown ~total_cost ~annualized_turnover ~mean_cash_ratio ~mean_held buys sells rebalances ~win_rate ~best_day ~worst_day ~buy_fill_rate ~sell_fill_rate blocked_buys blocked_sells blocked_sale_days cash_blocked_buys"
 AVERAGE_OUT = "model date ~nav ~cash ~cash_ratio ~net_return paths"
 
@@ -160,51 +160,51 @@ def _(spark, sf_dir):
     return P.carried_mark(latch, p).drop("pos", "episode")
 
 
-@query("p8_nav_recurrence", "nav", "SELECT * FROM nav", "path date pos rebalance ~pre_nav ~nav ~cash ~sold ~bought ~sell_cost ~buy_cost n_sells n_buys ~scale ~notional n_held cash_blocked")
+@query("p8_nav_recurrence", "nav_p", "SELECT * FROM nav_p", "path date pos rebalance ~pre_nav ~nav ~cash ~sold ~bought ~sell_cost ~buy_cost n_sells n_buys ~scale ~notional n_held cash_blocked")
 def _(spark, sf_dir):
     return ledger(spark, sf_dir)[1].nav
 
 
-@query("p9_trade_ledger", "trade", "SELECT * FROM trade", "path date stock_code side status reason ~gross_notional ~cost ~units")
+@query("p9_trade_ledger", "trade_p", "SELECT * FROM trade_p", "path date stock_code side status reason ~gross_notional ~cost ~units")
 def _(spark, sf_dir):
     p, x = ledger(spark, sf_dir)
     return P.trade_ledger(x, p, TERMS)
 
 
-@query("p10_daily_nav", "nav", "SELECT * FROM nav", "path date pos rebalance ~pre_nav ~nav ~cash n_buys n_sells n_held ~gross_return ~net_return ~cash_ratio ~turnover ~cost")
+@query("p10_daily_nav", "nav_p", "SELECT * FROM nav_p", "path date pos rebalance ~pre_nav ~nav ~cash n_buys n_sells n_held ~gross_return ~net_return ~cash_ratio ~turnover ~cost")
 def _(spark, sf_dir):
     return P.daily_nav(ledger(spark, sf_dir)[1].nav)
 
 
-@query("p11_positions", "hold", "SELECT * FROM hold", "path date stock_code entry_date ~units ~mark ~value")
+@query("p11_positions", "hold_p", "SELECT * FROM hold_p", "path date stock_code entry_date ~units ~mark ~value")
 def _(spark, sf_dir):
     return P.positions(ledger(spark, sf_dir)[1])
 
 
-@query("p11_ending_positions", "hold nav", """SELECT h.path, h.date, stock_code, units, value FROM hold h JOIN (SELECT path, max(date) AS date FROM nav GROUP BY path) l ON l.path = h.path AND l.date = h.date
-  UNION ALL SELECT path, max(date), 'CASH', NULL, arg_max(cash, date) FROM nav GROUP BY path""", "path date stock_code ~units ~value")
+@query("p11_ending_positions", "hold_p nav_p", """SELECT h.path, h.date, stock_code, units, value FROM hold_p h JOIN (SELECT path, max(date) AS date FROM nav_p GROUP BY path) l ON l.path = h.path AND l.date = h.date
+  UNION ALL SELECT path, max(date), 'CASH', NULL, arg_max(cash, date) FROM nav_p GROUP BY path""", "path date stock_code ~units ~value")
 def _(spark, sf_dir):
     return P.ending_positions(ledger(spark, sf_dir)[1])
 
 
-@query("p12_strategy_summary", "summary trade", f"SELECT * FROM summary LEFT JOIN ({FILLS}) USING (path)", SUMMARY_OUT)
+@query("p12_strategy_summary", "summary_p trade_p", f"SELECT * FROM summary_p LEFT JOIN ({FILLS}) USING (path)", SUMMARY_OUT)
 def _(spark, sf_dir):
     p, x = ledger(spark, sf_dir)
     return P.strategy_summary(P.daily_nav(x.nav), P.trade_ledger(x, p, TERMS))
 
 
-@query("p13_offset_summary", "summary", " UNION ALL ".join(f"SELECT split_part(path, ':', 1) AS model, '{m}' AS metric, avg({m}) AS mean, median({m}) AS median, stddev_samp({m}) AS std, min({m}) AS min, max({m}) AS max FROM summary GROUP BY 1" for m in METRICS), "model metric ~mean ~median ~std ~min ~max")
+@query("p13_offset_summary", "summary_p", " UNION ALL ".join(f"SELECT split_part(path, ':', 1) AS model, '{m}' AS metric, avg({m}) AS mean, median({m}) AS median, stddev_samp({m}) AS std, min({m}) AS min, max({m}) AS max FROM summary_p GROUP BY 1" for m in METRICS), "model metric ~mean ~median ~std ~min ~max")
 def _(spark, sf_dir):
     return P.offset_summary(P.strategy_summary(P.daily_nav(ledger(spark, sf_dir)[1].nav)), METRICS)
 
 
-@query("p14_average_nav", "average", "SELECT * FROM average", AVERAGE_OUT)
+@query("p14_average_nav", "average_p", "SELECT * FROM average_p", AVERAGE_OUT)
 def _(spark, sf_dir):
     return P.average_nav(P.daily_nav(ledger(spark, sf_dir)[1].nav))
 
 
-@query("p15_strategy_comparison", "summary summary_daily", "SELECT model, " + ", ".join(f"d.{m} AS daily_{m}, s.{m} AS staggered_{m}, s.{m} - d.{m} AS difference_{m}" for m in METRICS) + """
-  FROM (SELECT split_part(path, ':', 1) AS model, * FROM summary_daily) d FULL JOIN (SELECT split_part(path, ':', 1) AS model, """ + ", ".join(f"avg({m}) AS {m}" for m in METRICS) + " FROM summary GROUP BY 1) s USING (model)", "model " + " ".join(f"~daily_{m} ~staggered_{m} ~difference_{m}" for m in METRICS))
+@query("p15_strategy_comparison", "summary_p summary_daily", "SELECT model, " + ", ".join(f"d.{m} AS daily_{m}, s.{m} AS staggered_{m}, s.{m} - d.{m} AS difference_{m}" for m in METRICS) + """
+  FROM (SELECT split_part(path, ':', 1) AS model, * FROM summary_daily) d FULL JOIN (SELECT split_part(path, ':', 1) AS model, """ + ", ".join(f"avg({m}) AS {m}" for m in METRICS) + " FROM summary_p GROUP BY 1) s USING (model)", "model " + " ".join(f"~daily_{m} ~staggered_{m} ~difference_{m}" for m in METRICS))
 def _(spark, sf_dir):
     p = proxy.panel(spark, sf_dir)
     c, s = calendar_index(p), scores(spark, sf_dir)

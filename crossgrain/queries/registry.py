@@ -19,6 +19,8 @@ PARTS: dict[str, tuple[str, str]] = dict(proxy.SQL)
 
 def part(name: str, needs: str, body: str) -> None:
     """A body that begins with ! is worked out once, as one that a recursion reads at every step must be."""
+    if name in PARTS:
+        raise ValueError(f"two parts named {name}")
     PARTS[name] = (needs, body)
 
 
