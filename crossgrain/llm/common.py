@@ -93,8 +93,20 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch while a table is written; Spark's own setting, restored afterwards.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
 def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back: a lost executor costs one reread."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write `df` as a table in the shared folder and read it back: a lost executor costs one reread.
+
+    Arrow batches to and from Python are kept small meanwhile, as an executor holds one for each task on both sides.
+    """
+    spark = df.sparkSession
+    path, before = new_path(spark, label), spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -54,7 +54,7 @@ PARTNERS = 16
 #: Pairs whose ids may be broadcast.
 FEW_PAIRS = 20_000
 #: A key is hot with more than 1 / HOT_KEYS of all rows, and more than HOT_ROWS: there are HOT_KEYS of them at most.
-HOT_KEYS, HOT_ROWS = 1000, 10_000
+HOT_KEYS, HOT_ROWS = 1000, 100_000
 #: Width of the first cell of ranks; each later level of cells is as wide as all before it.
 FIRST_CELL = 0.25
 _WORDS_KEPT = 200_000
@@ -306,7 +306,7 @@ def similar_pairs(nodes: DataFrame, texts: DataFrame, threshold: float = SIMILAR
 
     A prefix join: in one order of all shingles, a pair's first common shingle lies in the first
     size - need + 1 of either text, where need = threshold * size is what the text must share at
-    least. Shingles that bring more than `limit` partners a member (hot) come last in the order, so a
+    least. A pair is made at this first one only, as rows bring their text's earlier shingles along. Shingles that bring more than `limit` partners a member (hot) come last in the order, so a
     pair either has another shingle in both prefixes, on which it is joined, or shares hot ones only.
     In the second case texts with the same hot shingles are alike up to their sizes: whatever links
     with one of them links with the smallest, which stands for all in the next level. A level joins
@@ -330,11 +330,12 @@ def similar_pairs(nodes: DataFrame, texts: DataFrame, threshold: float = SIMILAR
         # Shingles that only one group has come first. `left`: how many follow, with this one.
         ranked = ranked.join(info, "node").withColumn("left", F.col("_held") - F.col("i") + 1).where((F.col("left") >= need) | F.col("hot"))
         ranked = materialize(ranked.select("node", "group", "size", "element", "hot", "left"), "ranked")
-        side = ranked.where("not hot").drop("hot")
+        earlier = F.collect_list("element").over(own.orderBy(F.desc("left")).rowsBetween(Window.unboundedPreceding, -1))
+        side = ranked.where("not hot").drop("hot").withColumn("earlier", earlier)
         x, y = (side.toDF(*[c if c == "element" else f"{c}_{k}" for c in side.columns]) for k in "ab")
         common = F.least("left_a", "left_b") >= threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-9
-        near = x.join(y, "element").where("group_a <> group_b and node_a < node_b").where(common).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-        near = materialize(near, "near")
+        near = x.join(y, "element").where("group_a <> group_b and node_a < node_b").where(common & ~F.arrays_overlap("earlier_a", "earlier_b"))
+        near = materialize(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "near")
         if members is None:
             pairs.append(near)
         else:
@@ -349,10 +350,12 @@ def similar_pairs(nodes: DataFrame, texts: DataFrame, threshold: float = SIMILAR
         members = stands.select(F.col("node").alias("member"), "rep") if members is None else members.join(stands, "node").select("member", "rep")
         members = materialize(members.withColumnRenamed("rep", "node"), "members")
         pairs.append(members.select(F.col("member").alias("a"), F.col("node").alias("b")))
-        # From here on a set may stand for several roots.
-        info = stands.where("node = rep").select("node", "size", "m", F.col("node").alias("group"))
-        rows = ranked.where("hot").join(info.select("node"), "node", "left_semi").select("node", F.col("node").alias("group"), "element")
-        limit *= 8
+        # A set that stands for several roots is a group of its own.
+        of_rep = members.join(nodes.toDF("member", "root"), "member").groupBy("node").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
+        grouped = of_rep.select("node", F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(-1 - F.col("node")).alias("group"))
+        info = materialize(stands.where("node = rep").select("node", "size", "m").join(grouped, "node"), "info")
+        rows = ranked.where("hot").select("node", "element").join(info.select("node", "group"), "node")
+        limit *= 32
     every = pairs[0]
     for more in pairs[1:]:
         every = every.unionByName(more)
@@ -361,9 +364,14 @@ def similar_pairs(nodes: DataFrame, texts: DataFrame, threshold: float = SIMILAR
     return materialize(every.where("root_a <> root_b").select("a", "b", "root_a", "root_b"), "every")
 
 
-def bucket_centres(keyed: DataFrame, centre: Column) -> DataFrame:
-    """key, c (the least `centre`) and n of the buckets of `keyed` (node, root, key) with several classes."""
-    found = keyed.groupBy("key").agg(F.min(centre).alias("c"), F.min("root").alias("_low"), F.max("root").alias("_high"), F.count(F.lit(1)).alias("n"))
+def bucket_centres(keyed: DataFrame, centre: Column | None = None) -> DataFrame:
+    """key, c (the least `centre`) and n of the buckets of `keyed` (node, root, key) with several classes.
+
+    Without a centre c is the least node, and each node is taken for a class of its own.
+    """
+    own = "node" if centre is None else "root"
+    least = F.min("node").alias("c") if centre is None else F.min(centre).alias("c")
+    found = keyed.groupBy("key").agg(least, F.min(own).alias("_low"), F.max(own).alias("_high"), F.count(F.lit(1)).alias("n"))
     return materialize(found.where("_low <> _high").select("key", "c", "n"), "centres")
 
 
@@ -380,10 +388,15 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, weighting: s
     texts = None
     for n in range(1, ROUNDS + 1):
         # The first round's centre is the bucket's least node, later ones are drawn.
-        drawn = F.struct(F.xxhash64("node", "key", F.lit(n)).alias("h") if n > 1 else F.lit(0).cast("long").alias("h"), "node", "root")
-        keyed = bucket_keys(live, "node", "root")
-        met = join_hot(keyed, bucket_centres(keyed, drawn), "key").select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.root").alias("root_a"), F.col("root").alias("root_b"))
-        met = materialize(met.distinct(), "met")
+        if n == 1:
+            keyed = bucket_keys(live, "node")
+            met = join_hot(keyed, bucket_centres(keyed), "key").select(F.col("c").alias("a"), F.col("node").alias("b")).distinct()
+            met = materialize(met.select("a", "b", F.col("a").alias("root_a"), F.col("b").alias("root_b")), "met")
+        else:
+            keyed = bucket_keys(live, "node", "root")
+            centres = bucket_centres(keyed, F.struct(F.xxhash64("node", "key", F.lit(n)).alias("h"), "node", "root"))
+            met = join_hot(keyed, centres, "key").select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.root").alias("root_a"), F.col("root").alias("root_b"))
+            met = materialize(met.distinct(), "met")
         # Only members of buckets with several classes go on; a centre meets itself and so stays as well.
         live = materialize(live.join(met.select(F.col("b").alias("node")).distinct(), "node", "left_semi"), "live")
         if texts is None:
@@ -406,7 +419,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, weighting: s
     live = unsettled.select("node", "bands")
     live = live.join(classes, "node", "left").select("node", "bands", F.coalesce("root", "node").alias("root")) if classes is not None else live.withColumn("root", F.col("node"))
     keyed = bucket_keys(live, "node", "root")
-    left = materialize(join_hot(keyed, bucket_centres(keyed, F.lit(0)), "key").select("node", "root").distinct(), "unsettled")
+    left = materialize(join_hot(keyed, bucket_centres(keyed, F.lit(0).cast("long")), "key").select("node", "root").distinct(), "unsettled")
     if not left.isEmpty():
         found = materialize(compare(similar_pairs(left, texts, threshold, weighting=weighting), texts, threshold, weighting), "found")
         if not found.isEmpty():
