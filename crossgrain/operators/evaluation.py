@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from crossgrain.functions.columns import average_rank, correlation, rank_percentile, ratio
 from crossgrain.operators.cross_section import score_deciles, top_k
+from crossgrain.sources.scratch import materialize
 
 DAY = ["model", "date"]
 #: Fixed value: the two-sided 95 % quantile of the normal distribution.
@@ -124,8 +125,9 @@ def top_detail(p: DataFrame, k: int) -> DataFrame:
 
 
 def daily_metrics(p: DataFrame, k: int) -> DataFrame:
-    """All metrics, a row a (model, date)."""
-    counts = pair_counts(p)
+    """All metrics, a row a (model, date). The predictions and the pair counts are written once, as each metric reads them."""
+    p = materialize(p.select(*DAY, "stock_code", "score", "target", "rank_target"), "predictions")
+    counts = materialize(pair_counts(p), "pairs")
     size = p.groupBy(*DAY).agg(F.count(F.lit(1)).alias("scored"), F.count("rank_target").alias("labelled"))
     for part in (rank_ic(p), kendall_tau(counts), pairwise_accuracy(counts), rank_errors(p), ndcg(p, k), overlap_at_k(p, k), cohort_returns(p, k), decile_summary(decile_returns(p))):
         size = size.join(part, DAY, "left")

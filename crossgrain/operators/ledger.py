@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from crossgrain.functions.columns import flag, ratio
 from crossgrain.operators.calendar import next_trading_date
 from crossgrain.operators.cross_section import top_k
-from crossgrain.sources.scratch import materialize
+from crossgrain.sources.scratch import Temporary, materialize
 
 #: Tolerance of limits, cash that counts as none.
 TOLERANCE, NO_CASH = 1e-8, 1e-12
@@ -235,7 +235,13 @@ class Ledger:
 
 def simulate(path_days: DataFrame, desired: DataFrame, panel: DataFrame, terms: Terms) -> Ledger:
     """Latch, fold, and the latch again for paths with days on which spent cash forbids all buys; then marks."""
-    path_days = materialize(path_days, "paths")
+    with Temporary(panel.sparkSession) as temporary:
+        ledger = _simulated(materialize(path_days, "paths"), desired, panel, terms)
+        temporary.keep(ledger.path_days, ledger.latch, ledger.marks, ledger.nav)
+    return ledger
+
+
+def _simulated(path_days: DataFrame, desired: DataFrame, panel: DataFrame, terms: Terms) -> Ledger:
     market = panel.join(desired.select("stock_code").distinct(), "stock_code", "left_semi")
     market = materialize(market.select("date", "stock_code", "has_price_record", "is_suspended", "is_st", "listing_days", "raw_open", "post_open", "limit_up", "limit_down"), "market")
     rules = trading_rules(market, terms.min_listing_days)

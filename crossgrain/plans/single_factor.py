@@ -13,6 +13,7 @@ from crossgrain.operators import factor_stats as S
 from crossgrain.operators.calendar import calendar_index
 from crossgrain.operators.cross_section import mad_winsorize, neutralize, zscore
 from crossgrain.operators.labels import eligible_sample, forward_returns
+from crossgrain.sources.scratch import materialize
 
 
 @dataclass(frozen=True)
@@ -44,20 +45,20 @@ def preprocess(sample: DataFrame, width: float) -> DataFrame:
 
 
 def single_factor(panel: DataFrame, factor: DataFrame, settings: Settings = Settings()) -> Run:
-    """Every table of the run; the preprocessed sample is cached, as eight statistics read it.
+    """Every table of the run; the preprocessed sample and its quantiles are written once, as eight statistics read them.
 
     The neutralized variant counts only where it has a value at all.
     """
     s = settings
     eligible = eligible_sample(panel, calendar_index(panel), s.min_listing_days).where("eligible").select(*KEYS, "industry", "market_cap")
     rows = eligible.join(factor, KEYS).join(forward_returns(panel, s.windows), KEYS, "left")
-    sample = preprocess(rows, s.width).cache()
+    sample = materialize(preprocess(rows, s.width), "sample")
     has_neutral = sample.where("neutralized is not null").limit(1).count() > 0
     variants = ["standardized", "neutralized"] if has_neutral else ["standardized"]
     long = S.long_sample(sample, variants, s.windows).where("value is not null")
-    grouped = S.with_quantiles(long, s.quantiles)
-    ic = S.daily_ic(long)
-    daily = S.quantile_daily_returns(grouped)
+    grouped = materialize(S.with_quantiles(long, s.quantiles), "grouped")
+    ic = materialize(S.daily_ic(grouped), "ic")
+    daily = materialize(S.quantile_daily_returns(grouped), "daily")
     nav = S.long_short_nav(daily, s.quantiles, s.direction)
     members = grouped.where((F.col("window") == s.windows[0]) & F.col("quantile").isNotNull())
     turnover = S.rank_turnover(members).join(S.membership_turnover(members, s.quantiles), ["date", "variant"], "left")

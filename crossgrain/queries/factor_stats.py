@@ -12,6 +12,7 @@ from crossgrain.operators import factors, labels
 from crossgrain.plans.single_factor import Settings, single_factor
 from crossgrain.queries.registry import part, query
 from crossgrain.sources import proxy
+from crossgrain.sources.scratch import materialize
 
 Q = 5
 
@@ -124,7 +125,7 @@ def _(spark, sf_dir):
 
 @query("s9_yearly_performance", "yearly", "SELECT * FROM yearly", "year variant win ~mean_rank_ic ~std_rank_ic ~ic_positive_ratio n ~rank_icir ~long_short_return ~win_rate ~max_drawdown ~mean_rank_turnover ~mean_top_turnover ~mean_bottom_turnover")
 def _(spark, sf_dir):
-    rows = long(spark, sf_dir).cache()
+    rows = materialize(long(spark, sf_dir), "long")
     daily = O.quantile_daily_returns(O.with_quantiles(rows, Q))
     m = O.with_quantiles(rows.where("window = 1"), Q).where("quantile is not null")
     turned = O.rank_turnover(m).join(O.membership_turnover(m, Q), ["date", "variant"], "left")

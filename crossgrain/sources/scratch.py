@@ -1,9 +1,10 @@
-"""The folder that driver and executors share."""
+"""Tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar, Token
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,11 +25,58 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing has been written to."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Bytes of an Arrow batch while a table is written; Spark's own setting, restored afterwards.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
+
+
 def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write `df` as a table in the shared folder and read it back: a lost executor costs one reread.
+
+    Arrow batches to and from Python are kept small meanwhile, as an executor holds one for each task on both sides.
+    """
+    spark = df.sparkSession
+    path, before = new_path(spark, label), spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    if (own := _open.get()) is not None:
+        own.tables.append((table, path))
+    return table
+
+
+class Temporary:
+    """Tables that `materialize` writes inside a with block go when it ends, but for those that are kept.
+
+    Kept are the tables that a returned frame still reads.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables, self.kept = spark, [], []
+
+    def keep(self, *tables: DataFrame) -> None:
+        self.kept += tables
+
+    def __enter__(self) -> Temporary:
+        self.outer: Token = _open.set(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _open.reset(self.outer)
+        outer, jvm = _open.get(), self.spark._jvm
+        for table, path in self.tables:
+            if any(table is k for k in self.kept):
+                if outer is not None:
+                    outer.tables.append((table, path))
+                continue
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_open: ContextVar[Temporary | None] = ContextVar("open", default=None)
