@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crossgrain.sources.scratch import Temporary, materialize, new_path
+
+__all__ = ["Temporary", "cuts", "flat", "held_out", "materialize", "new_path", "parts", "pick", "table", "unflat"]
+
 #: Rows of one crc32 remainder are held out from every fit.
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 4, 2
 
@@ -68,45 +70,3 @@ def held_out(doc_id: Column | str) -> Column:
     """True for the rows that no classifier may learn from; a null id is not held out."""
     key = F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit(""))
     return F.crc32(key.cast("binary")) % HELD_OUT_MODULUS == HELD_OUT_REMAINDER
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the one already set.
-
-    Only a local session, where all of Spark is one process, gets a folder of its own.
-    """
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="crossgrain-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing has been written to."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-#: Bytes of an Arrow batch while a table is written; Spark's own setting, restored afterwards.
-BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
-
-
-def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back: a lost executor costs one reread.
-
-    Arrow batches to and from Python are kept small meanwhile, as an executor holds one for each task on both sides.
-    """
-    spark = df.sparkSession
-    path, before = new_path(spark, label), spark.conf.get(BATCH_SETTING)
-    spark.conf.set(BATCH_SETTING, BATCH_BYTES)
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(BATCH_SETTING, before)
-    return spark.read.schema(df.schema).parquet(path)

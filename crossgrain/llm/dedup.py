@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import flat, materialize, parts, pick, unflat
+from crossgrain.llm.common import Temporary, flat, materialize, parts, pick, unflat
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 4
@@ -377,6 +377,16 @@ def bucket_centres(keyed: DataFrame, centre: Column | None = None) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, weighting: str = "count") -> DataFrame:
     """doc_id and class_id (the least doc_id of its class) of every row of `docs`."""
+    with Temporary(docs.sparkSession) as temporary:
+        signed, named = classified(docs, threshold, weighting)
+        temporary.keep(signed, named)
+    rows = signed.select("doc_id", "words")
+    in_class = join_hot(rows.where("doc_id is not null and words is not null"), named, "words").select("doc_id", "class_id")
+    return in_class.unionByName(rows.where("doc_id is null or words is null").select("doc_id", F.col("doc_id").alias("class_id")))
+
+
+def classified(docs: DataFrame, threshold: float, weighting: str) -> tuple[DataFrame, DataFrame]:
+    """Two tables: the signed rows of `docs`, and words, n and class_id of every text."""
     signed = materialize(sign(docs, weighting).withColumn("uid", F.monotonically_increasing_id()), "signed")
     known = signed.where("doc_id is not null and words is not null")
     nodes = known.groupBy("words").agg(
@@ -434,10 +444,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, weighting: s
         of_root = materialize(linked.groupBy("root").agg(F.min("least_id").alias("class_id"), F.count(F.lit(1)).alias("n")), "of_root")
         of_node = join_hot(classes, of_root, "root").select("node", "class_id")
         named = nodes.join(of_node, "node", "left").select("words", "n", F.coalesce("class_id", "least_id").alias("class_id"))
-    named = materialize(named, "named")
-    rows = signed.select("doc_id", "words")
-    in_class = join_hot(rows.where("doc_id is not null and words is not null"), named, "words").select("doc_id", "class_id")
-    return in_class.unionByName(rows.where("doc_id is null or words is null").select("doc_id", F.col("doc_id").alias("class_id")))
+    return signed, materialize(named, "named")
 
 
 def links_of_ids(known: DataFrame, nodes: DataFrame) -> DataFrame | None:

@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import flat, materialize, pick, unflat
+from crossgrain.llm.common import Temporary, flat, materialize, pick, unflat
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Tokens a block is meant to hold, sources whose plan may be broadcast, parts that a hot source is joined in beyond that.
@@ -193,7 +193,10 @@ def counted(docs: DataFrame) -> DataFrame:
 
 def planned(rows: DataFrame, target_evenness: float | None, repetition_limit: float | None, budget: float | None, seed: int) -> DataFrame:
     n = rows.where("tokens > 0").select("source").distinct().count()
-    return plan(rows, None if target_evenness is None else target_evenness * math.log(max(1, n)), repetition_limit, budget, seed)
+    with Temporary(rows.sparkSession) as temporary:
+        planned_ = plan(rows, None if target_evenness is None else target_evenness * math.log(max(1, n)), repetition_limit, budget, seed)
+        temporary.keep(planned_)
+    return planned_
 
 
 def mixed_rows(docs: DataFrame, target_evenness: float | None = None, repetition_limit: float | None = None, budget: float | None = None, seed: int = 11) -> DataFrame:

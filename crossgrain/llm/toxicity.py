@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import held_out, materialize, parts, pick
+from crossgrain.llm.common import Temporary, held_out, materialize, parts, pick
 
 TOXIC, OTHER = 6000, 12000
 #: The evidence (G squared), log odds and toxic texts that a learned term needs, and the letters of a beginning.
@@ -312,7 +312,12 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC, other_rows:
     wanted = F.when(F.col("toxic") == 1, int(min(1.0, toxic_rows / n1) * _SCALE)).otherwise(int(min(1.0, other_rows / n0) * _SCALE))
     chosen = rows.where(draw < wanted).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     texts = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    sample = materialize(texts.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half")), "sample")
+    with Temporary(docs.sparkSession):
+        return fit_sample(materialize(texts.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half")), "sample"), n1 / n0)
+
+
+def fit_sample(sample: DataFrame, odds: float) -> tuple[dict[str, float], np.ndarray]:
+    """Learned terms and weights from rows (text, toxic, half); odds: of toxic labels among all."""
     halves, full = learn_terms(sample)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +332,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC, other_rows:
     y = seen["toxic"].to_numpy(float)
     w = logistic(np.stack(seen["x"].to_numpy()), y)
     # The sample holds more toxic texts than the corpus: put the odds of the labels back.
-    w[-1] += np.log(n1 / n0) - np.log(max(1.0, y.sum()) / max(1.0, len(y) - y.sum()))
+    w[-1] += np.log(odds) - np.log(max(1.0, y.sum()) / max(1.0, len(y) - y.sum()))
     return full, w
 
 
