@@ -100,6 +100,41 @@ def elements_of(text: str | None, hashes: WordHashes, weighting: str = "count")
     return np.unique(mix(part + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
+def element_sets(texts: list[str | None], hashes: WordHashes, weighting: str = "count") -> list[np.ndarray]:
+    """`elements_of` each text, sorted, worked out for all of them at once."""
+    words = [(t or "").lower().split() for t in texts]
+    size = np.array([len(w) for w in words], np.int64)
+    # Windows of five words over all texts in a row; those that leave their text are dropped.
+    flat = np.fromiter((hashes[w] for ws in words for w in ws), np.uint64, int(size.sum()))
+    out = np.zeros(max(0, len(flat) - SHINGLE + 1), np.uint64)
+    for k in range(SHINGLE):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + flat[k : k + len(out)])
+    end = size.cumsum()
+    doc = np.repeat(np.arange(len(texts)), size)[: len(out)]
+    inside = np.arange(len(out)) + SHINGLE <= end[doc]
+    doc, out = doc[inside], out[inside]
+    order = np.lexsort((out, doc))
+    doc, out = doc[order], out[order]
+    new = np.ones(len(out), bool)
+    new[1:] = (out[1:] != out[:-1]) | (doc[1:] != doc[:-1])
+    if weighting == "set":
+        doc, out = doc[new], out[new]
+    else:
+        first = np.flatnonzero(new)
+        nth = np.arange(len(out)) - np.repeat(first, np.diff(first, append=len(out)))
+        out = mix(out + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        out = out[np.lexsort((out, doc))]
+    sets = np.split(out, np.bincount(doc, minlength=len(texts)).cumsum()[:-1]) if texts else []
+    return [elements_of(t, hashes, weighting) if 0 < n < SHINGLE else x for t, n, x in zip(texts, size, sets, strict=True)]
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Elements that two sorted sets share."""
+    if not len(a) or not len(b):
+        return 0
+    return int((a.take(a.searchsorted(b), mode="clip") == b).sum())
+
+
 def signatures(elements: np.ndarray, weights: np.ndarray, doc: np.ndarray, n_docs: int, k: int = K) -> np.ndarray:
     """n_docs x k dart ids. elements[i] with weights[i] > 0 belongs to document doc[i]; each document has one at least."""
     # Unit columns of the plane: the last one of an element is as wide as what is left of its weight.
@@ -194,7 +229,7 @@ def hashed_texts(docs: DataFrame) -> DataFrame:
 def similarity(a: str, b: str) -> float:
     """Weighted Jaccard similarity of the shingles of two texts."""
     left, right = (elements_of(t, WordHashes()) for t in (a, b))
-    both = len(np.intersect1d(left, right, assume_unique=True))
+    both = common(left, right)
     return both / max(1, len(left) + len(right) - both)
 
 
@@ -237,15 +272,14 @@ def compare(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY, w
         hashes, last, left = WordHashes(), None, np.zeros(0, np.uint64)
         for batch in parts(batches, "text_a", "text_b"):
             keep = []
-            # One side's text at a time: a centre's text stands in many rows.
-            for i, a in enumerate(batch.column("a").to_pylist()):
+            # A centre's text stands in many rows, one after another.
+            for i, (a, right) in enumerate(zip(batch.column("a").to_pylist(), element_sets(batch.column("text_b").to_pylist(), hashes, weighting), strict=True)):
                 if a != last:
                     last, left = a, elements_of(batch.column("text_a")[i].as_py(), hashes, weighting)
-                right = elements_of(batch.column("text_b")[i].as_py(), hashes, weighting)
-                both = len(np.intersect1d(left, right, assume_unique=True))
+                both = common(left, right)
                 keep.append(both >= threshold * (len(left) + len(right) - both) and both > 0)
-                if len(hashes) > _WORDS_KEPT:
-                    hashes.clear()
+            if len(hashes) > _WORDS_KEPT:
+                hashes.clear()
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept], names=kept).filter(pa.array(keep, pa.bool_()))
 
     n = pairs.count()
@@ -291,11 +325,9 @@ def shingle_sets(texts: DataFrame, weighting: str = "count") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in parts(batches, "text"):
-            sets = []
-            for text in batch.column("text").to_pylist():
-                sets.append(elements_of(text, hashes, weighting).view(np.int64))
-                if len(hashes) > _WORDS_KEPT:
-                    hashes.clear()
+            sets = [x.view(np.int64) for x in element_sets(batch.column("text").to_pylist(), hashes, weighting)]
+            if len(hashes) > _WORDS_KEPT:
+                hashes.clear()
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(x) for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "size", "elements"])
 
     return texts.mapInArrow(run, "node long, size long, elements array<long>")

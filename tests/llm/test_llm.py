@@ -528,6 +528,20 @@ def test_ids_with_several_texts_are_one_document(spark):
         assert kept == sorted([(0, " ".join(a)), (1, min(" ".join(a), " ".join(b))), (7, " ".join(c)), (9, "")])
 
 
+@pytest.mark.parametrize("weighting", ["count", "set"])
+def test_element_sets_equal_shingle_counts(weighting):
+    rng = random.Random(2)
+    texts = [*EDGES, *[" ".join(rng.choice("abc") for _ in range(rng.randint(0, 30))) for _ in range(200)]]
+    hashes = dedup.WordHashes()
+    sets = dedup.element_sets(texts, hashes, weighting)
+    weigh = (lambda c: c) if weighting == "count" else (lambda c: Counter(dict.fromkeys(c, 1)))
+    counts = [weigh(grams(t)) for t in texts]
+    assert all(np.array_equal(x, dedup.elements_of(t, hashes, weighting)) for t, x in zip(texts, sets, strict=True))
+    for i, j in zip(range(0, 200, 2), range(1, 200, 2), strict=True):
+        assert dedup.common(sets[i], sets[j]) == (counts[i] & counts[j]).total() and len(sets[i]) == counts[i].total()
+    assert dedup.element_sets([], hashes) == []
+
+
 def test_repeated_shingles_weigh_as_often_as_they_occur(spark):
     line = "a line of ten words that comes again and again"
     texts = {0: " ".join([line] * 20), 1: " ".join([line] * 18), 2: " ".join([line] * 9), 3: line}
