@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossgrain.llm import bpe, chat, dedup, language_id, mixing, pu_quality, quality_rules, sharding, topk, toxicity
+from crossgrain.llm import bpe, chat, dedup, language_id, mixing, pu_quality, quality_rules, sharding, topk, toxicity, whitening
 from crossgrain.llm.common import held_out, pick, table
 
 
@@ -79,5 +79,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_bpe, op3_quality_classifier, op4_mixing, op5_minhash_near_dedup, op6_toxicity, op7_quality_rules, op8_exact_top_k, op9_language_id, op10_sharding)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_bpe, op3_quality_classifier, op4_mixing, op5_minhash_near_dedup, op6_toxicity, op7_quality_rules, op8_exact_top_k, op9_language_id, op10_sharding, op11_embedding_whitening)}
 ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": chat.SQL, "op7_quality_rules": quality_rules.SQL, "op8_exact_top_k": topk.SQL}
