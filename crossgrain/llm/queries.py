@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossgrain.llm import bpe, chat, dedup, language_id, mixing, pu_quality, quality_rules, sharding, topk, toxicity, whitening
+from crossgrain.llm import bpe, chat, dedup, language_id, mixing, periodic, pu_quality, quality_rules, sharding, topk, toxicity, url_filter, whitening
 from crossgrain.llm.common import held_out, pick, table
 
 
@@ -83,5 +83,17 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_bpe, op3_quality_classifier, op4_mixing, op5_minhash_near_dedup, op6_toxicity, op7_quality_rules, op8_exact_top_k, op9_language_id, op10_sharding, op11_embedding_whitening)}
+#: Fixed by the contract of the query: verdict, host and path.
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), [url_filter.rule(*r) for r in URL_RULES])
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(table(spark, sf_dir, "documents"), periodic.planted))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat_formatting, op2_bpe, op3_quality_classifier, op4_mixing, op5_minhash_near_dedup, op6_toxicity, op7_quality_rules, op8_exact_top_k, op9_language_id, op10_sharding, op11_embedding_whitening, op12_url_filters, op13_periodic_runs)}
 ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": chat.SQL, "op7_quality_rules": quality_rules.SQL, "op8_exact_top_k": topk.SQL}
