@@ -51,6 +51,8 @@ K = BANDS * ROWS
 ROUNDS = 2
 #: Partners a member that a shingle may bring before the exact join sees it as hot; more on each level.
 PARTNERS = 16
+#: Rows of a shingle's largest group that meet the others in one task.
+BLOCK = 1000
 #: Pairs whose ids may be broadcast.
 FEW_PAIRS = 20_000
 #: A key is hot with more than 1 / HOT_KEYS of all rows, and more than HOT_ROWS: there are HOT_KEYS of them at most.
@@ -297,13 +299,18 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours at the least of its neighbourhood, then its smaller ones. No step brings a
     neighbourhood into one row.
     """
-    links = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+    def joined(rows: DataFrame, ends: DataFrame, n_rows: int) -> DataFrame:
+        """Few rows have no hot end."""
+        return rows.join(ends.drop("n"), "u") if n_rows <= HOT_ROWS else join_hot(rows, materialize(ends, "ends"), "u")
+
+    links = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = joined(both.where("v > u"), least, links.count()).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialize(large, "large")
-        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        small = joined(large, large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), large.count())
         links = materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
         # In a star every node but the root has one link, and no root has any.
         ends = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.lit(None).cast("long").alias("v")))
@@ -333,59 +340,90 @@ def shingle_sets(texts: DataFrame, weighting: str = "count") -> DataFrame:
     return texts.mapInArrow(run, "node long, size long, elements array<long>")
 
 
+def cross_matches(rows: DataFrame, threshold: float) -> DataFrame:
+    """a, b, most: pairs of different groups that may be as similar as `threshold`, by the first element that they share.
+
+    rows: node, group, size, element, left (elements of the node from this one on), n (rows of the
+    element), main (whether the group is the element's largest). most bounds what the pair has in common.
+
+    Of a pair, b is the smaller (by size, then node). At the first common element the smaller has at
+    least 2t / (1 + t) of its size left and the larger t, so few rows of the smaller side take part.
+    Members of an element's largest group don't meet each other, so an element makes no more rows than
+    it has pairs of different groups. The largest group's side is split into blocks of `BLOCK` rows, and
+    the others' rows are laid out for each of them.
+    """
+    small = rows.where(F.col("left") >= 2 * threshold / (1 + threshold) * F.col("size") - 1e-9)
+    large = rows.where(F.col("left") >= threshold * F.col("size") - 1e-9)
+    blocks = F.ceil(F.col("n") / BLOCK)
+    split = F.pmod(F.xxhash64("node"), blocks)
+    laid = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    columns = ("node", "group", "size", "left")
+
+    def met(x: DataFrame, x_salt: Column, y: DataFrame, y_salt: Column) -> DataFrame:
+        sides = [df.select("element", salt.alias("salt"), *[F.col(c).alias(f"{c}_{k}") for c in columns]) for df, salt, k in ((x, x_salt, "a"), (y, y_salt, "b"))]
+        both = sides[0].join(sides[1], ["element", "salt"]).where("group_a <> group_b and (size_b < size_a or size_b = size_a and node_b < node_a)")
+        most = F.least("left_a", "left_b")
+        return both.where(most >= threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-9).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), most.alias("most"))
+
+    found = met(large.where("not main"), laid, small, split).unionByName(met(large.where("main"), split, small.where("not main"), laid))
+    return found.groupBy("a", "b").agg(F.max("most").alias("most"))
+
+
 def similar_pairs(nodes: DataFrame, texts: DataFrame, threshold: float = SIMILARITY, limit: int = PARTNERS, weighting: str = "count") -> DataFrame:
     """a, b, root_a, root_b: candidates that join all rows of `nodes` (node, root) which pairs as similar as `threshold` join.
 
-    A prefix join: in one order of all shingles, a pair's first common shingle lies in the first
-    size - need + 1 of either text, where need = threshold * size is what the text must share at
-    least. A pair is made at this first one only, as rows bring their text's earlier shingles along. Shingles that bring more than `limit` partners a member (hot) come last in the order, so a
-    pair either has another shingle in both prefixes, on which it is joined, or shares hot ones only.
+    A prefix join: in one order of all shingles, a pair's first common shingle lies in the first part of
+    either text (`cross_matches`). Shingles that bring more than `limit` partners a member (hot) come last
+    in the order, so a pair either has another shingle in common there, or shares hot ones only.
     In the second case texts with the same hot shingles are alike up to their sizes: whatever links
     with one of them links with the smallest, which stands for all in the next level. A level joins
     the sets of hot shingles the same way, by how many of these sets hold a shingle and with a higher
-    limit. Partners of one who stands for others are compared with each of these.
+    limit. Partners of one who stands for others are compared with each of these that is small enough.
+    No row holds more than one shingle.
     """
     sets = materialize(shingle_sets(texts.join(nodes.select("node"), "node", "left_semi"), weighting).join(nodes, "node"), "sets")
-    # m: how many shingles a set has on this level; group: sets of one group need no link.
-    info = sets.select("node", "size", F.col("size").alias("m"), F.col("root").alias("group"))
+    sizes = sets.select("node", "size")
+    enough = lambda most, *size: F.col(most) >= threshold / (1 + threshold) * (F.col(size[0]) + F.col(size[1])) - 1e-9
+    # group: sets of one group need no link.
+    info = sets.select("node", "size", F.col("root").alias("group"))
     rows = sets.select("node", F.col("root").alias("group"), F.explode("elements").alias("element"))
     members, pairs = None, []
     while True:
         shared = rows.groupBy("element").agg(F.min("group").alias("_low"), F.max("group").alias("_high"), F.count(F.lit(1)).alias("n"))
         shared = materialize(shared.where("_low <> _high").select("element", "n"), "shared")
         held = materialize(join_hot(rows, shared, "element"), "held")
-        spread = held.groupBy("element", "group").agg(F.count(F.lit(1)).alias("c")).groupBy("element").agg(F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("_own"))
-        spread = materialize(spread.select("element", "n", F.col("n").alias("among"), (F.col("n").cast("double") * F.col("n") - F.col("_own") > limit * F.col("n")).alias("hot")), "spread")
+        of_group = held.groupBy("element", "group").agg(F.count(F.lit(1)).alias("c"))
+        spread = of_group.groupBy("element").agg(F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * F.col("c")).alias("_own"), F.max(F.struct("c", "group")).alias("_main"))
+        n = F.col("n").cast("double")
+        spread = materialize(spread.select("element", "n", F.col("n").alias("among"), F.col("_main.group").alias("largest"), (n * n - F.col("_own") > limit * n).alias("hot")), "spread")
         own = Window.partitionBy("node")
-        ranked = join_hot(held.drop("group"), spread, "element").withColumnRenamed("among", "n").withColumn("i", F.row_number().over(own.orderBy("hot", "n", "element"))).withColumn("_held", F.count(F.lit(1)).over(own))
-        need = F.ceil(threshold * F.col("size") - 1e-9)
+        ranked = join_hot(held, spread, "element").withColumnRenamed("among", "n").withColumn("i", F.row_number().over(own.orderBy("hot", "n", "element"))).withColumn("_held", F.count(F.lit(1)).over(own))
         # Shingles that only one group has come first. `left`: how many follow, with this one.
-        ranked = ranked.join(info, "node").withColumn("left", F.col("_held") - F.col("i") + 1).where((F.col("left") >= need) | F.col("hot"))
-        ranked = materialize(ranked.select("node", "group", "size", "element", "hot", "left"), "ranked")
-        earlier = F.collect_list("element").over(own.orderBy(F.desc("left")).rowsBetween(Window.unboundedPreceding, -1))
-        side = ranked.where("not hot").drop("hot").withColumn("earlier", earlier)
-        x, y = (side.toDF(*[c if c == "element" else f"{c}_{k}" for c in side.columns]) for k in "ab")
-        common = F.least("left_a", "left_b") >= threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-9
-        near = x.join(y, "element").where("group_a <> group_b and node_a < node_b").where(common & ~F.arrays_overlap("earlier_a", "earlier_b"))
-        near = materialize(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "near")
+        ranked = ranked.drop("group").join(info, "node").withColumn("left", F.col("_held") - F.col("i") + 1).where((F.col("left") >= threshold * F.col("size") - 1e-9) | F.col("hot"))
+        ranked = materialize(ranked.select("node", "group", "size", "element", "hot", "left", "n", (F.col("group") == F.col("largest")).alias("main")), "ranked")
+        near = materialize(cross_matches(ranked.where("not hot"), threshold), "near")
         if members is None:
-            pairs.append(near)
+            pairs.append(near.select("a", "b"))
         else:
-            both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs.append(both.withColumnRenamed("a", "node").join(members, "node").select(F.col("member").alias("a"), "b"))
+            # A member that links with another's member links with the one that stands for it, too.
+            both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "most"))
+            named = both.join(members.join(sizes.toDF("member", "size_a"), "member").withColumnRenamed("node", "a"), "a").join(sizes.toDF("b", "size_b"), "b")
+            pairs.append(named.where(enough("most", "size_a", "size_b")).select(F.col("member").alias("a"), "b"))
         hot = ranked.where("hot").groupBy("node", "size").agg(F.count(F.lit(1)).alias("m"), *[F.bit_xor(F.xxhash64("element", F.lit(k))).alias(f"x{k}") for k in (1, 2)])
-        hot = materialize(hot.where(F.col("m") >= need), "hot")
+        hot = materialize(hot.where(F.col("m") >= threshold * F.col("size") - 1e-9), "hot")
+        if hot.where(F.col("m") >= 2 * threshold / (1 + threshold) * F.col("size") - 1e-9).isEmpty():
+            break  # the smaller of a pair that shares hot shingles only must have so many
         least = hot.groupBy("m", "x1", "x2").agg(F.min(F.struct("size", "node")).alias("s"))
         stands = materialize(hot.join(least, ["m", "x1", "x2"]).select("node", F.col("s.node").alias("rep"), F.col("s.size").alias("size"), "m"), "stands")
-        if stands.isEmpty():
-            break
-        members = stands.select(F.col("node").alias("member"), "rep") if members is None else members.join(stands, "node").select("member", "rep")
+        members = stands.select(F.col("node").alias("member"), "rep", "m") if members is None else members.join(stands, "node").select("member", "rep", "m")
         members = materialize(members.withColumnRenamed("rep", "node"), "members")
-        pairs.append(members.select(F.col("member").alias("a"), F.col("node").alias("b")))
+        named = members.join(sizes.toDF("member", "size_a"), "member").join(sizes.toDF("node", "size_b"), "node")
+        pairs.append(named.where(enough("m", "size_a", "size_b")).select(F.col("member").alias("a"), F.col("node").alias("b")))
+        members = members.drop("m")
         # A set that stands for several roots is a group of its own.
         of_rep = members.join(nodes.toDF("member", "root"), "member").groupBy("node").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
         grouped = of_rep.select("node", F.when(F.col("_low") == F.col("_high"), F.col("_low")).otherwise(-1 - F.col("node")).alias("group"))
-        info = materialize(stands.where("node = rep").select("node", "size", "m").join(grouped, "node"), "info")
+        info = materialize(stands.where("node = rep").select("node", "size").join(grouped, "node"), "info")
         rows = ranked.where("hot").select("node", "element").join(info.select("node", "group"), "node")
         limit *= 1024
     every = pairs[0]
@@ -493,12 +531,13 @@ def links_of_ids(known: DataFrame, nodes: DataFrame) -> DataFrame | None:
 def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """One row for each class of `docs`: that of its least doc_id, the least row if several have this id.
 
-    Rows without doc_id stay. Columns must have an order, as all but maps have.
+    Rows without doc_id stay. Rows of one id are ordered by their columns, as JSON if there are maps among them.
     """
     classes = near_duplicates(docs, threshold)
-    first = materialize(classes.where("doc_id = class_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("n")), "first")
+    first = materialize(classes.where("doc_id = class_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("n")).withColumn("_alone", F.col("n") == 1), "first")
     rows = flat(docs, _id="doc_id")
-    alone = rows.join(first.where("n = 1").select("_id"), "_id", "left_semi")
-    fields = [f"_{i}" for i in range(len(docs.columns))]
-    several = rows.join(first.where("n > 1").select("_id"), "_id", "left_semi").groupBy("_id").agg(F.min(F.struct(*fields)).alias("_row")).select("_row.*", "_id")
-    return unflat(alone.unionByName(several).unionByName(rows.where("_id is null")), docs)
+    kept = join_hot(rows, first, "_id")
+    row = F.struct(*[f"_{i}" for i in range(len(docs.columns))])
+    least = F.min_by(row, F.to_json(row)) if any("map<" in t for _, t in docs.dtypes) else F.min(row)
+    several = kept.where("not _alone").groupBy("_id").agg(least.alias("_row")).select("_row.*", "_id")
+    return unflat(kept.where("_alone").drop("_alone").unionByName(several).unionByName(rows.where("_id is null")), docs)

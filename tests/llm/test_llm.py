@@ -603,6 +603,60 @@ def test_exact_join_finds_all_classes(spark, limit):
     assert got == brute_classes(texts)
 
 
+def test_exact_join_compares_few_pairs_of_a_large_family(spark):
+    """Texts at 0.75 that share their whole passage: all pairs are alike, but few are worth a look."""
+    texts, pairs = family(random.Random(5), 3000, 40, 150, 24, 8)
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    with dedup.Temporary(spark):
+        found = {(r.a, r.b) for r in dedup.similar_pairs(rows.select("node", dedup.F.col("node").alias("root")), rows).collect()}
+    assert pairs <= found and len(found) < 10 * len(texts)
+
+
+def test_exact_join_of_mixed_passages(spark):
+    """Every text is a choice of passages that many others have too, so that all shingles are hot; classes as by all pairs."""
+    rng = random.Random(8)
+    passages = [[f"m{k}w{i}" for i in range(30)] for k in range(14)]
+    texts = {n: " ".join(w for k in sorted(rng.sample(range(14), 9)) for w in passages[k]) + f" {'x' * (n % 3)}" for n in range(150)}
+    texts = {n: t for n, t in texts.items() if t not in [texts[m] for m in range(n)]}
+    nodes = spark.createDataFrame([(i, i % 40) for i in texts], "node long, root long")
+    rows = spark.createDataFrame(list(texts.items()), "node long, text string")
+    links = dedup.compare(dedup.similar_pairs(nodes, rows, limit=2), rows)
+    # Nodes of one root are one class from the start.
+    roots = links.select("a", "b").unionByName(nodes.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b and a < 1000"))
+    got = {r.node: r.root for r in dedup.components(roots).collect()}
+    parent = {i: i for i in texts} | {i % 40: i % 40 for i in texts}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in texts.items()}
+    for i in texts:
+        parent[max(top(i), top(i % 40))] = min(top(i), top(i % 40))
+        for j in texts:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[max(top(i), top(j))] = min(top(i), top(j))
+    assert {i: got.get(i, i) for i in parent} == {i: top(i) for i in parent}
+
+
+@pytest.mark.parametrize("n", [300_000])
+def test_two_long_near_texts(spark, n):
+    """Texts of so many different words, just above and just below the bar; nothing holds a text's shingles in one row twice."""
+    words = [f"w{i}" for i in range(n)]
+    near, far = list(words), list(words)
+    for i in range(0, n, 50):
+        near[i] = f"n{i}"  # each changes 5 of 50 shingles: 0.9 / 1.1
+    for i in range(0, n, 45):
+        far[i] = f"f{i}"  # 40 / 50
+    for i in range(7, n, 900):
+        far[i] = f"g{i}"
+    got = {r.doc_id: r.class_id for r in dedup.near_duplicates(docs(spark, [" ".join(t) for t in (words, near, far)])).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+    kept = dedup.keep_one(docs(spark, [" ".join(t) for t in (words, near)]).withColumn("extra", F.create_map(F.lit("k"), F.col("doc_id"))))
+    assert [r.doc_id for r in kept.collect()] == [0]
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(6)
     e = rng.integers(0, 2**63, 300).astype(np.uint64)
