@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from crossgrain.sources.scratch import Temporary, materialize, new_path
 
-__all__ = ["Temporary", "cuts", "flat", "held_out", "materialize", "new_path", "parts", "pick", "table", "unflat"]
+__all__ = ["Temporary", "cuts", "draw", "draw_bar", "flat", "held_out", "materialize", "new_path", "parts", "pick", "table", "unflat"]
 
 #: Rows of one crc32 remainder are held out from every fit.
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 4, 2
@@ -70,3 +70,16 @@ def held_out(doc_id: Column | str) -> Column:
     """True for the rows that no classifier may learn from; a null id is not held out."""
     key = F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit(""))
     return F.crc32(key.cast("binary")) % HELD_OUT_MODULUS == HELD_OUT_REMAINDER
+
+
+def draw(key: str, salt: str) -> Column:
+    """A number from 0 to 2^63 - 1 that depends on the key and the salt only."""
+    return F.shiftrightunsigned(F.xxhash64(key, F.lit(salt)), 1)
+
+
+def draw_bar(most: int, n: int, least: int) -> int:
+    """Rows with a `draw` up to this number are about `most` of `n` rows, all if there are no more.
+
+    least: the least draw of the rows. It is always in, so a sample of rows is never empty, however many there are.
+    """
+    return max(least, min(2**63 - 1, most * 2**63 // max(1, n)))

@@ -8,6 +8,9 @@ moves by `STILL` any more. Languages enter the set in the order of their proport
 grows while the likelihood gains more than its penalty, `PENALTY` * log(trigrams) a language. The
 prediction is the language of the largest proportion in the final set; the score is that proportion.
 
+A language's sample is drawn by a 63-bit hash of the id up to a bar for about `DOCS_A_LANGUAGE` rows; the
+least hash is always in, so no learned language lacks one, however many rows it has.
+
 Edge cases: a null text or one without a letter is `und` with score 0 (every letter is the middle of
 a trigram, as a word's ends count as spaces); with nothing to learn from every text is `und`; rows
 without lang are never learned from; very long texts are counted whole; repeated rows give repeated
@@ -24,14 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import cuts, flat, held_out, parts, pick, unflat
+from crossgrain.llm.common import cuts, draw, draw_bar, flat, held_out, parts, pick, unflat
 
 BINS = 1 << 15
 DOCS_A_LANGUAGE, PENALTY, STILL = 3000, 4.0, 1e-3
 UNKNOWN = "und"
 #: Bytes of text whose mixtures are estimated together.
 GROUP_BYTES = 300_000
-_SCALE = 1_000_000
 
 _letters: np.ndarray | None = None
 
@@ -69,13 +71,14 @@ class Model:
 def fit(docs: DataFrame, docs_a_language: int = DOCS_A_LANGUAGE) -> Model:
     """Trigram distributions of all languages of the rows that aren't held out."""
     rows = pick(docs, "doc_id", "text", "lang").where(~held_out("doc_id") & F.col("lang").isNotNull())
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    drawn = draw("doc_id", "language")
+    counts = {r.lang: draw_bar(docs_a_language, r.n, r.least) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(drawn).alias("least")).collect()}  # a row a language
     if not counts:
         return Model([], np.zeros((0, BINS)))
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, docs_a_language / n) * _SCALE))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(_SCALE)) < share)
+    bar = F.lit(-1).cast("long")
+    for lang, own in counts.items():
+        bar = F.when(F.col("lang") == lang, F.lit(own)).otherwise(bar)
+    sample = rows.where(drawn <= bar)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

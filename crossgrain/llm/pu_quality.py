@@ -11,7 +11,8 @@ prior is estimated by cross-fitting on the rows that may be learned from: a fit
 two thirds of both samples scores the last third, and the prior is the least ratio, over thresholds,
 of unlabelled to positive texts above the threshold, averaged over the thirds (the positives' share
 can't exceed it). Both samples are bounded (`POSITIVES`, `UNLABELLED` ids in expectation) and drawn
-by a hash of the id; an id counts once, with the least of its texts.
+by a 63-bit hash of the id, the least hash always included, so neither is empty where rows exist; an id
+counts once, with the least of its texts.
 
 Edge cases: a null text is empty; an empty text has all statistics 0 and gets a score like any
 other; with no trusted positive every score is 0.5; labels without text and texts without label are
@@ -29,10 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import held_out, parts, pick
+from crossgrain.llm.common import draw, draw_bar, held_out, parts, pick
 
 POSITIVES, UNLABELLED, FOLDS, HIGH_PRIOR = 6000, 12000, 3, 0.7
-_SCALE = 1_000_000
 NAMES = ("symbols", "upper_words", "exclamations", "same_neighbours", "repeated_windows", "distinct_words", "word_length", "digits", "repeated_lines", "log_words", "bars", "empty")
 
 
@@ -119,18 +119,18 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     """Weights and class prior; None if there is no trusted positive."""
     docs = pick(docs, "doc_id", "text").where(~held_out("doc_id"))
     trusted = pick(labels, "doc_id", "quality").where((F.col("quality") == 1) & ~held_out("doc_id")).select("doc_id")
-    n_p, n_u = trusted.count(), docs.count()
-    if not n_p or not n_u:
+    sizes = [rows.agg(F.count(F.lit(1)), F.min(draw("doc_id", salt))).first() for rows, salt in ((trusted, "positive"), (docs, "unlabelled"))]
+    if not all(n for n, _ in sizes):
         return None
-    draw = lambda salt, most, n: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(_SCALE)) < int(min(1.0, most / n) * _SCALE)
-    chosen = trusted.where(draw("positive", positives, n_p)).distinct()  # `positives` ids in expectation
+    p_bar, u_bar = (draw_bar(most, *own) for most, own in zip((positives, unlabelled), sizes, strict=True))
+    chosen = trusted.where(draw("doc_id", "positive") <= p_bar).distinct()  # `positives` ids in expectation
 
     def drawn(rows: DataFrame) -> np.ndarray:
         once = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
         x = measured(once).toPandas().sort_values("doc_id", kind="stable")["x"]
         return np.stack(x.to_numpy()) if len(x) else np.zeros((0, len(NAMES)))
 
-    p, u = drawn(docs.join(F.broadcast(chosen), "doc_id", "left_semi")), drawn(docs.where(draw("unlabelled", unlabelled, n_u)))
+    p, u = drawn(docs.join(F.broadcast(chosen), "doc_id", "left_semi")), drawn(docs.where(draw("doc_id", "unlabelled") <= u_bar))
     if not len(p) or not len(u):
         return None
     prior = estimate_prior(p, u)

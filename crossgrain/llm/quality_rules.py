@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import cuts, flat, parts, pick, unflat
+from crossgrain.llm.common import cuts, draw, draw_bar, flat, parts, pick, unflat
 
 #: ASCII white space that ends a word, and the symbols that are counted.
 SPACES = " \t\n\v\f\r"
@@ -31,7 +31,6 @@ SYMBOLS = "#*$%&|<>"
 
 #: Rows, in expectation, on which costs and selectivities are measured.
 SAMPLE_ROWS = 2048
-_SCALE = 1_000_000_000
 
 
 @dataclass
@@ -132,9 +131,9 @@ def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows:
     The driver gets a row of sums for each rule and task.
     """
     rows = pick(docs, "doc_id", "text")
-    n = rows.count()
-    share = min(1.0, sample_rows / max(1, n))
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("rules")), F.lit(_SCALE)) < int(share * _SCALE)).select("text")
+    hashed = draw("doc_id", "rules")
+    n, least = rows.agg(F.count(F.lit(1)), F.min(hashed)).first()
+    drawn = rows.where(hashed <= draw_bar(sample_rows, n, least or 0)).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rejected, spent = 0, [0] * len(rules), [0.0] * len(rules)

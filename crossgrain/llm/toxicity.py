@@ -15,7 +15,8 @@ without a target near it scores nothing.
 
 Which words insult is learned: terms (a word's beginnings of 3 to 10 letters, and whole words) that
 occur in far more of the toxic texts than of the others, on a bounded sample of labelled rows
-(`TOXIC`, `OTHER` ids in expectation, an id with the least of its texts) drawn by a hash of the id.
+(`TOXIC`, `OTHER` ids in expectation, an id with the least of its texts) drawn by a 63-bit hash of the
+id, the least hash always included, so no sample of labelled rows is empty.
 Counts and the tests of evidence and odds run in Spark; only terms that pass are collected. A word's
 weight is the log odds of its longest learned term. Threats, targets, negations and reporting verbs
 are fixed lists. A logistic regression over the clause scores of a text gives its score; it is
@@ -40,14 +41,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import Temporary, held_out, materialize, parts, pick
+from crossgrain.llm.common import Temporary, draw, draw_bar, held_out, materialize, parts, pick
 
 TOXIC, OTHER = 6000, 12000
 #: The evidence (G squared), log odds and toxic texts that a learned term needs, and the letters of a beginning.
 EVIDENCE, ODDS, TEXTS, SHORTEST, LONGEST = 15.0, 1.2, 3, 3, 10
 #: Terms that a worker counts before it passes its counts on.
 _COUNTED = 300_000
-_SCALE = 1_000_000
 
 #: Words of the classes that aren't learned, in the languages at hand.
 THREATS = """kill kills killed killing hurt hurts hurting destroy destroys destroyed destroying beat beats beating shoot shoots shot
@@ -62,7 +62,8 @@ REPORTS = """said says say saying wrote writes written quoted quotes claimed cla
 sagte sagt sagen schrieb schreibt zitiert behauptet dit disait écrit cité affirme dijo dice escribió citó afirma""".split()
 
 WORD = re.compile(r"[^\W\d_]+")
-CLAUSE = re.compile(r"[.!?;:\n]+")
+#: Sentences and parts of them end a clause, and so do blank lines; a line break alone may be inside one.
+CLAUSE = re.compile(r"[.!?;]+|\n\s*\n")
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER_WORD = range(6)
 CLASSES, THREAT_WEIGHT = 6, 1.0
 
@@ -304,13 +305,13 @@ START = np.array([1.0, 1.0, 0.0, 0.0, 0.0, -4.0])
 def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC, other_rows: int = OTHER) -> tuple[dict[str, float], np.ndarray]:
     """Learned terms and the regression's weights."""
     rows = pick(labels, "doc_id", "toxic").where(F.col("toxic").isin(0, 1) & ~held_out("doc_id"))
-    counts = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-    n1, n0 = counts.get(1, 0), counts.get(0, 0)
-    if not n1 or not n0:
+    drawn = draw("doc_id", "toxicity")
+    counts = {r.toxic: (r.n, r.least) for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n"), F.min(drawn).alias("least")).collect()}  # two rows
+    if len(counts) < 2:
         return {}, START
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(_SCALE))
-    wanted = F.when(F.col("toxic") == 1, int(min(1.0, toxic_rows / n1) * _SCALE)).otherwise(int(min(1.0, other_rows / n0) * _SCALE))
-    chosen = rows.where(draw < wanted).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    (n1, least1), (n0, least0) = counts[1], counts[0]
+    wanted = F.when(F.col("toxic") == 1, draw_bar(toxic_rows, n1, least1)).otherwise(draw_bar(other_rows, n0, least0))
+    chosen = rows.where(drawn <= wanted).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     texts = pick(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     with Temporary(docs.sparkSession):
         return fit_sample(materialize(texts.select("text", "toxic", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half")), "sample"), n1 / n0)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from compare import same
 from conftest import SF
 from crossgrain.llm import bpe, chat, dedup, language_id, mixing, pu_quality, quality_rules, queries, sharding, topk, toxicity
-from crossgrain.llm.common import table
+from crossgrain.llm.common import draw, draw_bar, table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, TEXT string, shard string"
 LONG = "word " * 40_000
@@ -55,6 +55,18 @@ def test_edges_and_empty_tables(spark, name):
     assert len(OPERATORS[name](docs(spark, ["alone in the world"]), labels.limit(0)).collect()) == 1
 
 
+def test_samples_are_never_empty(spark):
+    """Shares that would round to nothing in any fixed scale still draw rows, about as many as wanted."""
+    d = spark.range(20_000).select(F.col("id").alias("doc_id"))
+    hashed = draw("doc_id", "x")
+    least = d.agg(F.min(hashed)).first()[0]
+    for most, n in ((3000, 20_000), (20_000, 20_000), (5, 4)):
+        got = d.where(hashed <= draw_bar(most, n, least)).count()
+        assert abs(got - min(20_000, most * 20_000 / n)) < 200
+    assert d.where(hashed <= draw_bar(3000, 10**11, least)).count() == 1
+    assert draw_bar(3000, 10**11, 0) > 2**63 * 2.9e-8  # 3000 of 100 billion rows, not none
+
+
 # -- 1: chat -----------------------------------------------------------------------------------------
 
 
@@ -260,6 +272,13 @@ def test_language_equals_brute_force(spark):
             assert set(got[r.doc_id].languages) == {languages[x] for x in best if best[x] > 0}
 
 
+def test_a_line_break_does_not_end_a_clause():
+    lexicon = toxicity.Lexicon({})
+    score = lambda t: sum(toxicity.clause_scores(t, lexicon)[0])
+    assert score("i will kill\nyou") == score("i will kill you") > 0
+    assert score("i will kill.\nyou") == score("i will kill\n\nyou") == score("i will kill\n \t\nyou") == 0
+
+
 def brute_clause(kinds, weights):
     """A clause's score, rule by rule over its words."""
     n, score = len(kinds), 0.0
