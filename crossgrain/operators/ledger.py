@@ -1,11 +1,19 @@
 """Rebalance ledgers as sets: all (model, offset) paths in one job.
 
 A path holds the stocks its signals desire: on rebalance days it buys what is desired and may be
-bought, every day it sells what isn't desired and may be sold. Whether a stock is held is the last
-of these two events, so holdings are a window expression over path x stock x date. Spent cash may
-forbid a day's buys, which only ever takes holdings away; so the cash account is folded once, in
-order, over the days on which a stock would be held if cash were no matter, one path a task. The
-days it finds without cash then correct the holdings of their paths.
+bought, every day it sells what isn't desired and may be sold. So a holding turns at few days only:
+at rebalances, where a desired stock is bought if it can be, and on the first day from its being
+dropped on which it can be sold. Holdings are found from these turns, as intervals (gaps and islands);
+no row is made for a day on which nothing happens but to value what is held.
+
+The cash account needs sums only: every buy of a day gets the same amount, so a day's holdings are
+worth, for each entry day, that amount times the sum of mark / entry price. These sums are made by
+groups in Spark; the account is a fold over a path's days in the JVM (`aggregate`), with cash and one
+amount for each entry day still held as its state.
+
+Spent cash may forbid a day's buys. The fold tells the first such day of a path and how long it lasts
+(until a sale); the turns of these paths are then worked out again without these buys, until no new
+day is found. Such days only move forward.
 
 Columns: path (string), date, pos, stock_code. Markets need the panel's columns (has_price_record,
 is_suspended, is_st, listing_days, raw_open, post_open, limit_up, limit_down).
@@ -13,10 +21,9 @@ is_suspended, is_st, listing_days, raw_open, post_open, limit_up, limit_down).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,50 +112,109 @@ def paths(active: DataFrame, models: DataFrame) -> DataFrame:
 
 
 def daily_paths(desired: DataFrame, calendar: DataFrame) -> DataFrame:
-    """path_days of the daily strategy: every signal is executed on the next date."""
-    days = desired.select("model", "signal_date", F.col("execution_date").alias("date")).where("date is not null").distinct().join(F.broadcast(calendar), "date")
-    return days.select(F.concat(F.col("model"), F.lit(":daily")).alias("path"), "model", F.lit(0).alias("offset"), "date", "pos", F.lit(True).alias("rebalance"), "signal_date")
+    """path_days of the daily strategy: every signal is executed on the next date; on dates in between without one nothing is bought."""
+    marks = desired.select("model", "signal_date", F.col("execution_date").alias("date")).where("date is not null").distinct()
+    spans = marks.groupBy("model").agg(F.min("date").alias("_first"), F.max("date").alias("_last"))
+    days = spans.join(F.broadcast(calendar), F.col("date").between(F.col("_first"), F.col("_last"))).join(marks, ["model", "date"], "left")
+    latest = F.last("signal_date", ignorenulls=True).over(Window.partitionBy("model").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    return days.select(F.concat(F.col("model"), F.lit(":daily")).alias("path"), "model", F.lit(0).alias("offset"), "date", "pos", F.col("signal_date").isNotNull().alias("rebalance"), latest.alias("signal_date"))
 
 
-def holding_latch(path_days: DataFrame, desired: DataFrame, rules: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
-    """path, date, pos, stock_code, desired, rebalance, held, was_held, reasons, for every stock a path ever desires.
+@dataclass
+class Opening:
+    """What paths hold and own before their first day: a ledger that goes on from a snapshot.
 
-    blocks: (path, date) on which cash forbids all buys.
+    cash: path, cash. holdings: path, stock_code, entry_date, entry_pos, entry_price, notional, mark, mark_pos.
     """
-    wanted = desired.select("model", "signal_date", "stock_code").distinct()
-    ever = path_days.select("path", "model", "signal_date").distinct().join(wanted, ["model", "signal_date"]).select("path", "stock_code").distinct()
-    x = path_days.join(ever, "path").join(wanted.withColumn("_d", F.lit(True)), ["model", "signal_date", "stock_code"], "left")
-    x = x.join(rules.withColumn("_known", F.lit(True)), ["date", "stock_code"], "left")
-    for c in ("buy_reason", "sell_reason"):  # what the market doesn't list can't be traded
-        x = x.withColumn(c, F.when(F.col("_known"), F.col(c)).otherwise("no_price_record"))
+
+    cash: DataFrame
+    holdings: DataFrame
+
+
+def path_calendar(path_days: DataFrame) -> DataFrame:
+    """date and pos of all days of the paths: a row a date."""
+    return path_days.select("date", "pos").distinct()
+
+
+def turns(path_days: DataFrame, desired: DataFrame, rules: DataFrame, blocks: DataFrame | None = None, opening: Opening | None = None) -> DataFrame:
+    """The days on which a holding may turn: path, stock_code, pos, kind, event, was_held, buy_reason, cash_block, from_pos, to_pos.
+
+    kind `order`: a desired stock on a rebalance day; event 1 if it may be bought. kind `drop`: a stretch
+    from from_pos to to_pos on which a stock that was desired before isn't; pos is the first day of it on
+    which the stock can be sold (event 0), else from_pos (event null). kind `open`: a holding of `opening`.
+    A path's days follow each other without a gap. blocks: (path, pos) on which cash forbids all buys.
+    """
+    by_day, by_stock = Window.partitionBy("path").orderBy("pos"), Window.partitionBy("path", "stock_code").orderBy("pos")
+    span = path_days.groupBy("path").agg(F.min("pos").alias("_first"), F.max("pos").alias("_last"))
+    rebalances = path_days.where("rebalance").select("path", "model", "signal_date", "date", "pos", F.row_number().over(by_day).alias("_j"), F.lead("pos").over(by_day).alias("_next"))
+    orders = rebalances.join(desired.select("model", "signal_date", "stock_code").distinct(), ["model", "signal_date"]).select("path", "stock_code", "date", "pos", "_j", "_next")
+    held_before = None
+    if opening is not None:
+        held_before = opening.holdings.join(span, "path").select("path", "stock_code", F.lit(None).cast("date").alias("date"), F.col("entry_pos").alias("pos"), F.lit(0).alias("_j"), F.col("_first").alias("_next"))
+    every = orders if held_before is None else orders.unionByName(held_before)
+    # Dropped: there is a next rebalance, and the stock isn't desired there.
+    later = every.select("path", "stock_code", "_j", "_next", F.lead("_j").over(by_stock).alias("_again"), F.lead("pos").over(by_stock).alias("_until"))
+    drops = later.where("_next is not null and coalesce(_again > _j + 1, true)").join(span, "path")
+    drops = drops.select("path", "stock_code", F.col("_next").alias("from_pos"), F.coalesce(F.col("_until") - 1, "_last").alias("to_pos"))
+    sellable = rules.where("sell_reason is null").join(F.broadcast(path_calendar(path_days)), "date").select("stock_code", "pos", F.col("pos").alias("_sold"))
+    none = F.lit(None).cast("long")
+    seen = sellable.select("stock_code", "pos", "_sold", F.lit(None).cast("string").alias("path"), none.alias("from_pos"), none.alias("to_pos")).unionByName(drops.select("stock_code", F.col("from_pos").alias("pos"), none.alias("_sold"), "path", "from_pos", "to_pos"))
+    # From the end of time backwards, so that the least so far is the next; a day sees itself.
+    ahead = Window.partitionBy("stock_code").orderBy(F.desc("pos")).rangeBetween(Window.unboundedPreceding, 0)
+    drops = seen.withColumn("_sale", F.min("_sold").over(ahead)).where("path is not null").withColumn("_sale", F.when(F.col("_sale") <= F.col("to_pos"), F.col("_sale")))
+    asked = orders.join(rules.select("date", "stock_code", "buy_reason", F.lit(True).alias("_known")), ["date", "stock_code"], "left")
+    asked = asked.withColumn("buy_reason", F.when(F.col("_known"), F.col("buy_reason")).otherwise("no_price_record"))  # what the market doesn't list can't be traded
     if blocks is not None:
-        x = x.join(blocks.select("path", "date", F.lit(True).alias("_cash")), ["path", "date"], "left")
+        asked = asked.join(blocks.select("path", "pos", F.lit(True).alias("_cash")), ["path", "pos"], "left")
     else:
-        x = x.withColumn("_cash", F.lit(False))
-    x = x.withColumn("desired", flag("_d", False)).withColumn("cash_block", flag("_cash", False))
-    buy_ok, sell_ok = F.col("buy_reason").isNull() & ~F.col("cash_block"), F.col("sell_reason").isNull()
-    event = F.when(F.col("desired") & F.col("rebalance") & buy_ok, 1).when(~F.col("desired") & sell_ok, 0)
+        asked = asked.withColumn("_cash", F.lit(False))
+    asked = asked.withColumn("cash_block", flag("_cash", False))
+    columns = ("path", "stock_code", "pos", "kind", "event", "buy_reason", "cash_block", "from_pos", "to_pos")
+    x = asked.withColumn("kind", F.lit("order")).withColumn("event", F.when(F.col("buy_reason").isNull() & ~F.col("cash_block"), 1)).withColumn("from_pos", none).withColumn("to_pos", none).select(*columns)
+    rest = [drops.select("path", "stock_code", F.coalesce("_sale", "from_pos").alias("pos"), F.lit("drop").alias("kind"), F.when(F.col("_sale").isNotNull(), 0).alias("event"), "from_pos", "to_pos")]
+    if held_before is not None:
+        rest.append(held_before.select("path", "stock_code", "pos", F.lit("open").alias("kind"), F.lit(1).alias("event"), none.alias("from_pos"), none.alias("to_pos")))
+    for more in rest:
+        x = x.unionByName(more.withColumn("buy_reason", F.lit(None).cast("string")).withColumn("cash_block", F.lit(False)).select(*columns))
+    before = F.last("event", ignorenulls=True).over(by_stock.rowsBetween(Window.unboundedPreceding, -1))
+    return x.withColumn("was_held", F.coalesce(before, F.lit(0)) == 1)
+
+
+def intervals(turned: DataFrame, path_days: DataFrame) -> DataFrame:
+    """path, stock_code, episode, entry_pos, exit_pos (null if still held), first_pos, last_pos: what is held, as intervals.
+
+    From first_pos (the entry, or the path's first day) to last_pos (the sale, or the path's last day).
+    """
     w = Window.partitionBy("path", "stock_code").orderBy("pos")
-    held = F.coalesce(F.last(event, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) == 1
-    before = F.coalesce(F.last(event, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
-    return x.withColumn("held", held).withColumn("was_held", before).select("path", "date", "pos", "stock_code", "desired", "rebalance", "cash_block", "buy_reason", "sell_reason", "held", "was_held")
+    changes = turned.where("event is not null and (event = 1) <> was_held").withColumn("exit_pos", F.lead("pos").over(w)).where("event = 1")
+    span = path_days.groupBy("path").agg(F.min("pos").alias("_first"), F.max("pos").alias("_last"))
+    x = changes.withColumn("episode", F.row_number().over(w).cast("long")).join(span, "path")
+    return x.select("path", "stock_code", "episode", F.col("pos").alias("entry_pos"), "exit_pos", F.greatest("pos", "_first").alias("first_pos"), F.coalesce("exit_pos", "_last").alias("last_pos"))
 
 
-def numbered_episodes(latch: DataFrame) -> DataFrame:
-    """The rows of a latch on which a stock is or was held, with episode: the number of the holding among its stock's.
+def holding_episodes(turned: DataFrame, path_days: DataFrame) -> DataFrame:
+    """path, stock_code, episode, entry_date, entry_pos, exit_date (null if still held), last_pos."""
+    days = F.broadcast(path_calendar(path_days))
+    x = intervals(turned, path_days).join(days.toDF("entry_date", "entry_pos"), "entry_pos", "left").join(days.toDF("exit_date", "exit_pos"), "exit_pos", "left")
+    return x.select("path", "stock_code", "episode", "entry_date", "entry_pos", "exit_date", "last_pos")
 
-    The day of a sale belongs to the episode that it ends.
-    """
-    upto = Window.partitionBy("path", "stock_code").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return latch.where("held or was_held").withColumn("episode", F.sum((F.col("held") & ~F.col("was_held")).cast("int")).over(upto))
 
+def holding_latch(path_days: DataFrame, desired: DataFrame, rules: DataFrame) -> DataFrame:
+    """The dense view of the turns: path, date, pos, stock_code, desired, rebalance, reasons, held, was_held for every day and every stock that a path ever desires.
 
-def holding_episodes(latch: DataFrame) -> DataFrame:
-    """path, stock_code, episode, entry_date, entry_pos, exit_date (null if still held), last_pos."""
-    return numbered_episodes(latch).groupBy("path", "stock_code", "episode").agg(
-        F.min(F.when(F.col("held"), F.col("date"))).alias("entry_date"), F.min(F.when(F.col("held"), F.col("pos"))).alias("entry_pos"),
-        F.max(F.when(~F.col("held"), F.col("date"))).alias("exit_date"), F.max("pos").alias("last_pos"),
-    )
+    For inspection; nothing else reads it.
+    """
+    wanted = desired.select("model", "signal_date", "stock_code").distinct()
+    ever = path_days.select("path", "model", "signal_date").distinct().join(wanted, ["model", "signal_date"]).select("path", "stock_code").distinct()
+    x = path_days.join(ever, "path").join(wanted.withColumn("_d", F.lit(True)), ["model", "signal_date", "stock_code"], "left")
+    x = x.join(rules.withColumn("_known", F.lit(True)), ["date", "stock_code"], "left")
+    for c in ("buy_reason", "sell_reason"):
+        x = x.withColumn(c, F.when(F.col("_known"), F.col(c)).otherwise("no_price_record"))
+    held = intervals(turns(path_days, desired, rules), path_days).select("path", "stock_code", "entry_pos", "exit_pos", F.explode(F.sequence("first_pos", "last_pos")).alias("pos"))
+    # A sale and a new entry of one stock are never on one day.
+    held = held.select("path", "stock_code", "pos", (~F.col("pos").eqNullSafe(F.col("exit_pos"))).alias("_held"), (F.col("pos") > F.col("entry_pos")).alias("_was"))
+    x = x.join(held, ["path", "stock_code", "pos"], "left")
+    return x.select("path", "date", "pos", "stock_code", flag("_d", False).alias("desired"), "rebalance", "buy_reason", "sell_reason", flag("_held", False).alias("held"), flag("_was", False).alias("was_held"))
 
 
 def mark_price() -> Column:
@@ -156,119 +222,180 @@ def mark_price() -> Column:
     return F.when(flag("has_price_record", False) & ~flag("is_suspended", True) & (F.col("post_open") > 0), F.col("post_open"))
 
 
-def carried_mark(latch: DataFrame, panel: DataFrame) -> DataFrame:
-    """path, date, pos, stock_code, episode, entry_date, entry_price, mark, held: every day of every episode, its last one included.
+def carried_prices(panel: DataFrame, days: DataFrame, opening: Opening | None = None) -> DataFrame:
+    """stock_code, pos, mark: each stock's last `mark_price` at or before each of the days (date, pos), worked out once for all paths."""
+    prices = panel.select("date", "stock_code", mark_price().alias("mark")).where("mark is not null").join(F.broadcast(days), "date").select("stock_code", "pos", "mark")
+    if opening is not None:
+        prices = opening.holdings.select("stock_code", F.col("mark_pos").alias("pos"), "mark").unionByName(prices).groupBy("stock_code", "pos").agg(F.max("mark").alias("mark"))
+    last = days.agg(F.max("pos").alias("_last"))
+    w = Window.partitionBy("stock_code").orderBy("pos")
+    until = prices.withColumn("_next", F.lead("pos").over(w)).crossJoin(F.broadcast(last)).withColumn("_next", F.coalesce("_next", F.greatest(F.col("_last"), F.col("pos")) + 1))
+    return until.select("stock_code", F.explode(F.sequence("pos", F.col("_next") - 1)).alias("pos"), "mark")
+
 
-    The mark is the day's `mark_price`, else the last mark.
+def carried_mark(held: DataFrame, prices: DataFrame, days: DataFrame, opening: Opening | None = None) -> DataFrame:
+    """path, date, pos, stock_code, episode, entry_date, entry_pos, entry_price, mark, held, notional: every day of every interval, its last one included.
+
+    prices: `carried_prices`; days: (date, pos). A stock that is bought has a price that day, so a carried
+    mark never reaches back before the entry. notional: what an opening holding cost, else null.
     """
-    x = numbered_episodes(latch).select("path", "date", "pos", "stock_code", "episode", "held")
-    x = x.join(panel.select("date", "stock_code", mark_price().alias("_price")), ["date", "stock_code"], "left")
-    upto = Window.partitionBy("path", "stock_code", "episode").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    # An episode's first row is its entry.
-    marked = x.withColumn("mark", F.last("_price", ignorenulls=True).over(upto)).withColumn("entry_price", F.first("_price", ignorenulls=True).over(upto)).withColumn("entry_date", F.first("date").over(upto))
-    return marked.select("path", "date", "pos", "stock_code", "episode", "entry_date", "entry_price", "mark", "held")
-
-
-def _fold(terms: Terms):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        cash, units, marks, out = 1.0, {}, {}, []
-        rows = rows.sort_values("pos", kind="stable")
-        columns = [rows[c].to_list() for c in ("date", "pos", "rebalance", "stock_code", "buys", "sells", "price")]
-        day: list[tuple] = []
-        for i, row in enumerate(zip(*columns, strict=True)):
-            day.append(row[3:])
-            if i + 1 < len(rows) and columns[1][i + 1] == row[1]:
-                continue
-            for stock, _, _, price in day:
-                if stock in units and price == price:
-                    marks[stock] = price
-            before = cash + sum(u * marks[s] for s, u in units.items())
-            sales = [stock for stock, _, sells, _ in day if sells and stock in units]
-            sold = sum(units.pop(s) * marks.pop(s) for s in sales)
-            sell_cost = sold * terms.sell_cost
-            cash += sold - sell_cost
-            cash = 0.0 if cash <= NO_CASH else cash
-            wanted = [(stock, price) for stock, buys, _, price in day if buys and stock not in units]
-            ask = before / terms.k
-            scale = min(1.0, cash / (len(wanted) * ask * (1 + terms.buy_cost))) if wanted and ask > 0 else 0.0
-            blocked = bool(wanted) and scale <= 0.0
-            wanted = [] if blocked else wanted
-            each = ask * scale
-            for stock, price in wanted:
-                units[stock], marks[stock] = each / price, price
-            bought = len(wanted) * each
-            buy_cost = bought * terms.buy_cost
-            cash -= bought + buy_cost
-            cash = 0.0 if cash <= NO_CASH else cash
-            out.append((key[0], row[0], row[1], row[2], before, before - sell_cost - buy_cost, cash, sold, bought, sell_cost, buy_cost, len(sales), len(wanted), scale, each, len(units), blocked))
-            day = []
-        return pd.DataFrame(out, columns=NAV_COLUMNS)
-
-    return run
+    days = F.broadcast(days)
+    x = held.join(prices.toDF("stock_code", "entry_pos", "_entry"), ["stock_code", "entry_pos"], "left").join(days.toDF("_entry_date", "entry_pos"), "entry_pos", "left")
+    if opening is not None:
+        own = opening.holdings.select("path", "stock_code", "entry_pos", "entry_date", "entry_price", "notional")
+        x = x.join(own, ["path", "stock_code", "entry_pos"], "left").withColumn("_entry", F.coalesce("entry_price", "_entry")).withColumn("_entry_date", F.coalesce("entry_date", "_entry_date")).drop("entry_date", "entry_price")
+    else:
+        x = x.withColumn("notional", F.lit(None).cast("double"))
+    x = x.withColumn("pos", F.explode(F.sequence("first_pos", "last_pos"))).join(prices, ["stock_code", "pos"], "left").join(days, "pos")
+    kept = ~F.col("pos").eqNullSafe(F.col("exit_pos"))
+    return x.select("path", "date", "pos", "stock_code", "episode", F.col("_entry_date").alias("entry_date"), "entry_pos", F.col("_entry").alias("entry_price"), "mark", kept.alias("held"), "notional")
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _step(terms: Terms) -> Callable[[Column, Column], Column]:
+    """The account after one more day: (account, day) -> account."""
+    none_left = lambda c: F.when(c <= NO_CASH, 0.0).otherwise(c)
+
+    def step(a: Column, x: Column) -> Column:
+        # What is held before the day's trades is what was held after the day before: both lists have the same entries, in order.
+        joined = F.zip_with(x["entries"], a["amounts"], lambda e, s: F.struct(e["entry"].alias("entry"), s["n"].alias("n"), e["worth"].alias("worth"), e["sold"].alias("sold"), e["n_sold"].alias("n_sold"), e["n_left"].alias("n_left")))
+        total = lambda rows, c: F.aggregate(rows, F.lit(0.0), lambda t, e: t + e["n"] * e[c])
+
+        def valued(rows: Column) -> Column:
+            return _let(F.struct((a["cash"] + total(rows, "worth")).alias("before"), total(rows, "sold").alias("sold")), lambda v: traded(rows, v))
+
+        def traded(rows: Column, v: Column) -> Column:
+            cash, ask = none_left(a["cash"] + v["sold"] * (1 - terms.sell_cost)), v["before"] / terms.k
+            wanted = F.when(x["blocked"], 0).otherwise(x["wants"])
+            scale = lambda c: F.when((wanted > 0) & (ask > 0), F.least(F.lit(1.0), c / (wanted * ask * (1 + terms.buy_cost)))).otherwise(0.0)
+            return _let(cash, lambda c: _let(F.struct(c.alias("cash"), scale(c).alias("scale"), wanted.alias("wanted"), ask.alias("ask")), lambda t: settled(rows, v, t)))
+
+        def settled(rows: Column, v: Column, t: Column) -> Column:
+            spent = (t["wanted"] > 0) & (t["scale"] <= 0)
+            return _let(F.struct(spent.alias("spent"), F.when(spent, 0).otherwise(t["wanted"]).alias("buys"), F.when(spent, 0.0).otherwise(t["ask"] * t["scale"]).alias("each")), lambda u: entered(rows, v, t, u))
+
+        def entered(rows: Column, v: Column, t: Column, u: Column) -> Column:
+            bought = u["buys"] * u["each"]
+            sell_cost, buy_cost = v["sold"] * terms.sell_cost, bought * terms.buy_cost
+            cash = none_left(t["cash"] - bought - buy_cost)
+            left = F.transform(F.filter(rows, lambda e: e["n_left"] > 0), lambda e: F.struct(e["entry"].alias("entry"), e["n"].alias("n")))
+            # Who wanted but couldn't buy stays in the lists with no amount, until the turns are worked out again.
+            amounts = F.when(t["wanted"] > 0, F.concat(left, F.array(F.struct(x["pos"].alias("entry"), u["each"].alias("n"))))).otherwise(left)
+            # 0: no such day yet; 1: cash is spent and nothing sold since; 2: later days aren't known.
+            state = F.when((a["state"] == 0) & u["spent"], 1).when((a["state"] == 1) & (v["sold"] > 0), 2).otherwise(a["state"])
+            count = lambda c: F.aggregate(rows, F.lit(0).cast("long"), lambda n, e: n + e[c])
+            row = F.struct(
+                x["date"].alias("date"), x["pos"].alias("pos"), x["rebalance"].alias("rebalance"), v["before"].alias("pre_nav"), (v["before"] - sell_cost - buy_cost).alias("nav"), cash.alias("cash"), v["sold"].alias("sold"), bought.alias("bought"),
+                sell_cost.alias("sell_cost"), buy_cost.alias("buy_cost"), count("n_sold").alias("n_sells"), u["buys"].alias("n_buys"), F.when(u["spent"], 0.0).otherwise(t["scale"]).alias("scale"), u["each"].alias("notional"), (count("n_left") + u["buys"]).alias("n_held"),
+                (x["blocked"] & (x["wants"] > 0)).alias("cash_blocked"), (state == 1).alias("new_block"),
+            )
+            return F.struct(cash.alias("cash"), amounts.alias("amounts"), state.alias("state"), F.concat(a["out"], F.array(row)).alias("out"))
+
+        return _let(joined, valued)
+
+    return step
 
 
 NAV_COLUMNS = ["path", "date", "pos", "rebalance", "pre_nav", "nav", "cash", "sold", "bought", "sell_cost", "buy_cost", "n_sells", "n_buys", "scale", "notional", "n_held", "cash_blocked"]
-NAV_SCHEMA = "path string, date date, pos long, rebalance boolean, pre_nav double, nav double, cash double, sold double, bought double, sell_cost double, buy_cost double, n_sells long, n_buys long, scale double, notional double, n_held long, cash_blocked boolean"
+_ROW = "struct<date:date,pos:bigint,rebalance:boolean,pre_nav:double,nav:double,cash:double,sold:double,bought:double,sell_cost:double,buy_cost:double,n_sells:bigint,n_buys:bigint,scale:double,notional:double,n_held:bigint,cash_blocked:boolean,new_block:boolean>"
+_ENTRY = "struct<entry:bigint,worth:double,sold:double,n_sold:bigint,n_left:bigint>"
 
 
-def nav_recurrence(path_days: DataFrame, latch: DataFrame, panel: DataFrame, terms: Terms) -> DataFrame:
-    """The cash account of each path, a row a day, folded over what it would hold if cash were no matter (`latch`).
+def nav_recurrence(path_days: DataFrame, turned: DataFrame, marks: DataFrame, terms: Terms, blocks: DataFrame | None = None, opening: Opening | None = None) -> DataFrame:
+    """The cash account of each path, a row a day: `NAV_COLUMNS` and new_block.
 
-    cash_blocked days had buys that no cash was left for; notional is what each buy of a day got.
+    A fold in the JVM over a row a path that holds its days, each with a sum for every entry day that is
+    still held; stocks are summed before. notional is what each buy of a day got. new_block: cash forbids
+    the day's buys, and `blocks` (path, pos) didn't know; from the first such day on the path must be worked out again.
     """
-    held = latch.where("held or was_held").select(
-        "path", "date", "stock_code", (F.col("desired") & F.col("rebalance") & F.col("buy_reason").isNull()).alias("buys"), (~F.col("desired") & F.col("sell_reason").isNull()).alias("sells"),
-    )
-    held = held.join(panel.select("date", "stock_code", mark_price().alias("price")), ["date", "stock_code"], "left")
-    # Days without a holding have one row without a stock.
-    rows = path_days.select("path", "date", "pos", "rebalance").join(held, ["path", "date"], "left").fillna(False, ["buys", "sells"])
-    return rows.groupBy("path").applyInPandas(_fold(terms), NAV_SCHEMA)
+    before = marks.where("pos > entry_pos")
+    worth = F.col("mark") / F.col("entry_price")
+    sums = before.groupBy("path", "pos", F.col("entry_pos").alias("entry")).agg(F.sum(worth).alias("worth"), F.coalesce(F.sum(F.when(~F.col("held"), worth)), F.lit(0.0)).alias("sold"), F.count_if(~F.col("held")).alias("n_sold"), F.count_if("held").alias("n_left"))
+    entries = sums.groupBy("path", "pos").agg(F.array_sort(F.collect_list(F.struct("entry", "worth", "sold", "n_sold", "n_left"))).alias("entries"))
+    wants = turned.where("kind = 'order' and not was_held and buy_reason is null").groupBy("path", "pos").agg(F.count(F.lit(1)).alias("wants"))
+    x = path_days.select("path", "date", "pos", "rebalance").join(entries, ["path", "pos"], "left").join(wants, ["path", "pos"], "left")
+    if blocks is not None:
+        x = x.join(blocks.select("path", "pos", F.lit(True).alias("_block")), ["path", "pos"], "left")
+    else:
+        x = x.withColumn("_block", F.lit(False))
+    day = F.struct("pos", "date", "rebalance", F.coalesce("entries", F.array().cast(f"array<{_ENTRY}>")).alias("entries"), F.coalesce("wants", F.lit(0)).cast("long").alias("wants"), flag("_block", False).alias("blocked"))
+    days = x.groupBy("path").agg(F.array_sort(F.collect_list(day)).alias("days"))
+    nothing = F.array().cast("array<struct<entry:bigint,n:double>>")
+    if opening is None:
+        days = days.withColumn("_cash", F.lit(1.0)).withColumn("_amounts", nothing)
+    else:
+        # One amount a path and entry day, whatever the stocks.
+        one = opening.holdings.groupBy("path", "entry_pos").agg(F.max("notional").alias("n"))
+        amounts = one.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(F.col("entry_pos").alias("entry"), "n"))).alias("_held"))
+        days = days.join(opening.cash.select("path", F.col("cash").alias("_opening")), "path", "left").join(amounts, "path", "left").withColumn("_cash", F.coalesce("_opening", F.lit(1.0))).withColumn("_amounts", F.coalesce("_held", nothing))
+    start = F.struct(F.col("_cash").alias("cash"), F.col("_amounts").alias("amounts"), F.lit(0).alias("state"), F.array().cast(f"array<{_ROW}>").alias("out"))
+    return days.select("path", F.inline(F.aggregate("days", start, _step(terms), lambda a: a["out"]))).select(*NAV_COLUMNS, "new_block")
 
 
 @dataclass
 class Ledger:
     path_days: DataFrame
-    latch: DataFrame
+    turns: DataFrame
     marks: DataFrame
     nav: DataFrame
+    rules: DataFrame
 
 
-def simulate(path_days: DataFrame, desired: DataFrame, panel: DataFrame, terms: Terms) -> Ledger:
-    """Latch, fold, and the latch again for paths with days on which spent cash forbids all buys; then marks."""
+def simulate(path_days: DataFrame, desired: DataFrame, panel: DataFrame, terms: Terms, opening: Opening | None = None) -> Ledger:
+    """Turns, marks and account of all paths, worked out again for paths on which spent cash forbids buys until no such day is new."""
     with Temporary(panel.sparkSession) as temporary:
-        ledger = _simulated(materialize(path_days, "paths"), desired, panel, terms)
-        temporary.keep(ledger.path_days, ledger.latch, ledger.marks, ledger.nav)
+        ledger = _simulated(materialize(path_days, "paths"), desired, panel, terms, opening)
+        temporary.keep(ledger.path_days, ledger.turns, ledger.marks, ledger.nav, ledger.rules)
     return ledger
 
 
-def _simulated(path_days: DataFrame, desired: DataFrame, panel: DataFrame, terms: Terms) -> Ledger:
-    market = panel.join(desired.select("stock_code").distinct(), "stock_code", "left_semi")
-    market = materialize(market.select("date", "stock_code", "has_price_record", "is_suspended", "is_st", "listing_days", "raw_open", "post_open", "limit_up", "limit_down"), "market")
-    rules = trading_rules(market, terms.min_listing_days)
-    of_interest = lambda latch: latch.where("held or was_held or desired")
-    latch = materialize(of_interest(holding_latch(path_days, desired, rules)), "latch")
-    nav = materialize(nav_recurrence(path_days, latch, market, terms), "nav")
-    blocks = materialize(nav.where("cash_blocked").select("path", "date"), "blocks")
-    if not blocks.isEmpty():
-        again = blocks.select("path").distinct()
-        anew = holding_latch(path_days.join(again, "path", "left_semi"), desired, rules, blocks)
-        latch = materialize(latch.join(again, "path", "left_anti").unionByName(of_interest(anew)), "latch")
-    return Ledger(path_days, latch, materialize(carried_mark(latch, market), "marks"), nav)
+MARKET = ("date", "stock_code", "has_price_record", "is_suspended", "is_st", "listing_days", "raw_open", "post_open", "limit_up", "limit_down")
 
 
-def trade_ledger(ledger: Ledger, panel: DataFrame, terms: Terms) -> DataFrame:
+def _simulated(path_days: DataFrame, desired: DataFrame, panel: DataFrame, terms: Terms, opening: Opening | None) -> Ledger:
+    desired = materialize(desired.select("model", "signal_date", "stock_code"), "desired")
+    named = desired.select("stock_code")
+    if opening is not None:
+        named = named.unionByName(opening.holdings.select("stock_code"))
+    days = path_calendar(path_days)
+    market = panel.select(*MARKET).join(F.broadcast(days.select("date")), "date", "left_semi").join(named.distinct(), "stock_code", "left_semi")
+    rules = materialize(market.select("date", "stock_code", sell_rule().alias("sell_reason"), buy_rule(terms.min_listing_days).alias("buy_reason"), *[c for c in MARKET if c not in ("date", "stock_code")]), "rules")
+    prices = materialize(carried_prices(rules, days, opening), "prices")
+
+    def worked_out(own_days: DataFrame, blocks: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        turned = materialize(turns(own_days, desired, rules, blocks, opening), "turns")
+        marks = materialize(carried_mark(intervals(turned, own_days), prices, days, opening), "marks")
+        return turned, marks, materialize(nav_recurrence(own_days, turned, marks, terms, blocks, opening), "nav")
+
+    turned, marks, nav = worked_out(path_days, None)
+    blocks = None
+    while not (found := nav.where("new_block")).isEmpty():
+        new = found.select("path", "pos")
+        blocks = materialize(new if blocks is None else blocks.unionByName(new), "blocks")
+        again = materialize(new.select("path").distinct(), "again")
+        anew = worked_out(path_days.join(F.broadcast(again), "path", "left_semi"), blocks)  # a row a path
+        turned, marks, nav = (materialize(old.join(F.broadcast(again), "path", "left_anti").unionByName(x), name) for old, x, name in zip((turned, marks, nav), anew, ("turns", "marks", "nav"), strict=True))
+    return Ledger(path_days, turned, marks, nav, rules)
+
+
+def trade_ledger(ledger: Ledger, terms: Terms) -> DataFrame:
     """Every attempted order: path, date, stock_code, side, status, reason, gross_notional, cost, units.
 
     A sale is attempted on every day that a held stock isn't desired, a buy on rebalance days for a
     desired stock that isn't held; what is held and desired never trades.
     """
-    x = ledger.latch
-    sell = x.where("was_held and not desired").select("path", "date", "stock_code", F.lit("sell").alias("side"), F.col("sell_reason").alias("reason"), F.when(F.col("held"), "blocked").otherwise("filled").alias("status"))
+    days = F.broadcast(path_calendar(ledger.path_days))
+    drops = ledger.turns.where("kind = 'drop' and was_held").withColumn("_sale", F.when(F.col("event") == 0, F.col("pos"))).drop("pos")
+    tried = drops.select("path", "stock_code", "_sale", F.explode(F.sequence("from_pos", F.coalesce("_sale", "to_pos"))).alias("pos")).join(days, "pos")
+    tried = tried.join(ledger.rules.select("date", "stock_code", "sell_reason", F.lit(True).alias("_known")), ["date", "stock_code"], "left")
+    sell = tried.select("path", "date", "pos", "stock_code", F.lit("sell").alias("side"), F.when(F.col("_known"), F.col("sell_reason")).otherwise("no_price_record").alias("reason"), F.when(F.col("pos").eqNullSafe(F.col("_sale")), "filled").otherwise("blocked").alias("status"))
     why = F.coalesce("buy_reason", F.when(F.col("cash_block"), F.lit("cash")))
-    buy = x.where("desired and rebalance and not was_held").select("path", "date", "stock_code", F.lit("buy").alias("side"), F.when(F.col("held"), F.lit(None)).otherwise(why).alias("reason"), F.when(F.col("held"), "filled").otherwise("blocked").alias("status"))
-    marks = ledger.marks.select("path", "date", "stock_code", "entry_date", "entry_price", "mark")
-    day = ledger.nav.select("path", F.col("date").alias("entry_date"), "notional")
-    out = sell.unionByName(buy).join(marks, ["path", "date", "stock_code"], "left").join(day, ["path", "entry_date"], "left")
+    buy = ledger.turns.where("kind = 'order' and not was_held").join(days, "pos").select("path", "date", "pos", "stock_code", F.lit("buy").alias("side"), F.when(F.col("event") == 1, F.lit(None)).otherwise(why).alias("reason"), F.when(F.col("event") == 1, "filled").otherwise("blocked").alias("status"))
+    out = sell.unionByName(buy).join(priced(ledger).select("path", "pos", "stock_code", "entry_price", "mark", "notional"), ["path", "pos", "stock_code"], "left")
     filled = F.col("status") == "filled"
     units = F.when(filled, ratio("notional", "entry_price"))
     gross = units * F.when(F.col("side") == "sell", F.col("mark")).otherwise(F.col("entry_price"))
@@ -276,6 +403,12 @@ def trade_ledger(ledger: Ledger, panel: DataFrame, terms: Terms) -> DataFrame:
     return out.select("path", "date", "stock_code", "side", "status", "reason", gross.alias("gross_notional"), cost.alias("cost"), units.alias("units"))
 
 
+def priced(ledger: Ledger) -> DataFrame:
+    """The marks with what each holding cost: an opening holding's own notional, else its entry day's."""
+    entry = ledger.nav.select("path", F.col("pos").alias("entry_pos"), F.col("notional").alias("_paid"))
+    return ledger.marks.join(entry, ["path", "entry_pos"], "left").withColumn("notional", F.coalesce("notional", "_paid")).drop("_paid")
+
+
 def daily_nav(nav: DataFrame) -> DataFrame:
     """nav with gross_return, net_return, cash_ratio and turnover of each day."""
     before = F.coalesce(F.lag("nav").over(Window.partitionBy("path").orderBy("pos")), F.lit(1.0))
@@ -286,11 +419,9 @@ def daily_nav(nav: DataFrame) -> DataFrame:
 
 
 def positions(ledger: Ledger) -> DataFrame:
-    """path, date, stock_code, units, mark, value of everything held after each day's trades."""
-    day = ledger.nav.select("path", F.col("date").alias("entry_date"), "notional")
-    x = ledger.marks.where("held").join(day, ["path", "entry_date"])
+    """path, date, stock_code, entry_date, units, mark, value of everything held after each day's trades."""
     units = ratio("notional", "entry_price")
-    return x.select("path", "date", "stock_code", "entry_date", units.alias("units"), "mark", (units * F.col("mark")).alias("value"))
+    return priced(ledger).where("held").select("path", "date", "stock_code", "entry_date", units.alias("units"), "mark", (units * F.col("mark")).alias("value"))
 
 
 def ending_positions(ledger: Ledger) -> DataFrame:

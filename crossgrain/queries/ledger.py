@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from crossgrain.operators import contracts
@@ -11,6 +13,7 @@ from crossgrain.plans import forward
 from crossgrain.queries.ranking import predictions
 from crossgrain.queries.registry import PARTS, part, query
 from crossgrain.sources import proxy
+from crossgrain.sources.scratch import new_path
 
 TERMS = P.Terms(k=10, min_listing_days=20)
 METRICS = ["ending_nav", "max_drawdown", "sharpe_ratio", "total_cost"]
@@ -85,8 +88,8 @@ def ledger_parts(tag: str, days: str, wants: str) -> None:
   SELECT model, date, avg(nav) AS nav, avg(cash) AS cash, count(*) AS n FROM (SELECT *, split_part(path, ':', 1) AS model FROM nav{tag}) GROUP BY model, date) JOIN (SELECT split_part(path, ':', 1) AS model, count(DISTINCT path) AS paths FROM nav{tag} GROUP BY 1) USING (model) WHERE n = paths""")
 
 
-#: The last day of the forward run's calendar.
-AS_OF = "1997-06-30"
+#: The last day of the forward run's calendar, and a day on which it is cut off before.
+AS_OF, HALFWAY = "1997-06-30", "1996-03-15"
 
 part("pdaily", "want cal", "SELECT DISTINCT model || ':daily' AS path, model, c.date, c.pos, TRUE AS rebalance, signal_date FROM want JOIN cal c ON c.date = execution_date")
 part("calf", "cal", f"SELECT * FROM cal WHERE date <= DATE '{AS_OF}'")
@@ -109,13 +112,13 @@ def scores(spark, sf_dir):
 
 
 def staged(spark, sf_dir):
-    """Desired sets, path days and the latch without cash blocks."""
+    """Panel, path days, desired sets and rules of the staggered paths."""
     p = proxy.panel(spark, sf_dir)
     c = calendar_index(p)
     s = scores(spark, sf_dir)
     desired = P.desired_set(s, c, TERMS.k)
     days = P.paths(P.active_desired(P.offset_schedule(c, TERMS.step), c), s.select("model").distinct())
-    return p, P.holding_latch(days, desired, P.trading_rules(p, TERMS.min_listing_days))
+    return p, days, desired, P.trading_rules(p, TERMS.min_listing_days)
 
 
 def ledger(spark, sf_dir, as_of=None):
@@ -146,29 +149,30 @@ def _(spark, sf_dir):
 
 @query("p5_holding_latch", "latch", "SELECT * FROM latch", "path date stock_code desired rebalance buy_reason sell_reason held was_held")
 def _(spark, sf_dir):
-    return staged(spark, sf_dir)[1].drop("pos", "cash_block")
+    return P.holding_latch(*staged(spark, sf_dir)[1:]).drop("pos")
 
 
 @query("p6_holding_episodes", "epi", "SELECT * FROM epi", "path stock_code episode entry_date entry_pos exit_date last_pos")
 def _(spark, sf_dir):
-    return P.holding_episodes(staged(spark, sf_dir)[1])
+    _, days, desired, rules = staged(spark, sf_dir)
+    return P.holding_episodes(P.turns(days, desired, rules), days)
 
 
 @query("p7_carried_mark", "marks", "SELECT * FROM marks", "path date stock_code entry_date ~entry_price ~mark held")
 def _(spark, sf_dir):
-    p, latch = staged(spark, sf_dir)
-    return P.carried_mark(latch, p).drop("pos", "episode")
+    p, days, desired, rules = staged(spark, sf_dir)
+    held, dates = P.intervals(P.turns(days, desired, rules), days), P.path_calendar(days)
+    return P.carried_mark(held, P.carried_prices(p, dates), dates).drop("pos", "episode", "entry_pos", "notional")
 
 
 @query("p8_nav_recurrence", "nav_p", "SELECT * FROM nav_p", "path date pos rebalance ~pre_nav ~nav ~cash ~sold ~bought ~sell_cost ~buy_cost n_sells n_buys ~scale ~notional n_held cash_blocked")
 def _(spark, sf_dir):
-    return ledger(spark, sf_dir)[1].nav
+    return ledger(spark, sf_dir)[1].nav.select(*P.NAV_COLUMNS)
 
 
 @query("p9_trade_ledger", "trade_p", "SELECT * FROM trade_p", "path date stock_code side status reason ~gross_notional ~cost ~units")
 def _(spark, sf_dir):
-    p, x = ledger(spark, sf_dir)
-    return P.trade_ledger(x, p, TERMS)
+    return P.trade_ledger(ledger(spark, sf_dir)[1], TERMS)
 
 
 @query("p10_daily_nav", "nav_p", "SELECT * FROM nav_p", "path date pos rebalance ~pre_nav ~nav ~cash n_buys n_sells n_held ~gross_return ~net_return ~cash_ratio ~turnover ~cost")
@@ -189,8 +193,8 @@ def _(spark, sf_dir):
 
 @query("p12_strategy_summary", "summary_p trade_p", f"SELECT * FROM summary_p LEFT JOIN ({FILLS}) USING (path)", SUMMARY_OUT)
 def _(spark, sf_dir):
-    p, x = ledger(spark, sf_dir)
-    return P.strategy_summary(P.daily_nav(x.nav), P.trade_ledger(x, p, TERMS))
+    x = ledger(spark, sf_dir)[1]
+    return P.strategy_summary(P.daily_nav(x.nav), P.trade_ledger(x, TERMS))
 
 
 @query("p13_offset_summary", "summary_p", " UNION ALL ".join(f"SELECT split_part(path, ':', 1) AS model, '{m}' AS metric, avg({m}) AS mean, median({m}) AS median, stddev_samp({m}) AS std, min({m}) AS min, max({m}) AS max FROM summary_p GROUP BY 1" for m in METRICS), "model metric ~mean ~median ~std ~min ~max")
@@ -216,7 +220,13 @@ def _(spark, sf_dir):
 
 @query("p16_forward_run", "average_f", "SELECT * FROM average_f", AVERAGE_OUT)
 def _(spark, sf_dir):
-    return P.average_nav(P.daily_nav(ledger(spark, sf_dir, AS_OF)[1].nav))
+    p = proxy.panel(spark, sf_dir)
+    c, s = calendar_index(p), scores(spark, sf_dir)
+    dated = lambda df: lambda first, last: df.where(F.col("date").between(F.lit(first), F.lit(last)))
+    run = forward.ForwardRun(spark, new_path(spark, "forward"))
+    for day in (HALFWAY, AS_OF):  # cut once and resumed
+        run.advance(dated(s), dated(p), c, TERMS, dt.date.fromisoformat(day))
+    return P.average_nav(P.daily_nav(run.nav()))
 
 
 @query("a26_schedule_annotation_check", "act", """SELECT 'schedule' AS "check", offset_ || '|' || date AS "key", 'differs' AS detail FROM act WHERE pos % 50 = 7 AND rebalance UNION ALL SELECT 'schedule', offset_ || '|' || date, 'not published' FROM act WHERE pos % 60 = 11 AND NOT (pos % 50 = 7)""", '"check" "key" detail')

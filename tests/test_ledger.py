@@ -78,7 +78,7 @@ def test_ledger_equals_loop(spark, seed):
             key = (f"m:{offset}", d)
             assert held.get(key, set()) == members, (key, members)
             assert abs(nav[key] - value) < 1e-9, (key, nav[key], value)
-    trades = P.trade_ledger(book, panel, terms)
+    trades = P.trade_ledger(book, terms)
     assert trades.where("side = 'buy' and status = 'filled'").count() == sum(r.n_buys for r in book.nav.collect())
     summary = P.strategy_summary(P.daily_nav(book.nav), trades).collect()
     assert len(summary) == terms.step and all(0 <= r.max_drawdown < 1 for r in summary)
