@@ -173,8 +173,33 @@ def doctor(spark: SparkSession, checks: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, checks, none)
 
 
-def table_fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """rows and digest of the given columns, whatever the order of rows: a sum over hashes of rows."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns])
-    number = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("digest"))
+def prefixed(text: Column) -> Column:
+    """A text with its length in bytes before it; null is a mark that no text can be."""
+    return F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("n"))
+
+
+def canonical(c: str, kind: str) -> Column:
+    """A value as text: equal values have equal texts (0.0 and -0.0 are equal)."""
+    x = F.col(f"`{c}`")
+    if kind in ("double", "float"):
+        x = x + F.lit(0.0).cast(kind)
+    return F.hex(x) if kind == "binary" else x.cast("string")
+
+
+def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """schema, rows, digest_a, digest_b of the given columns, whatever the order of rows.
+
+    schema hashes names and types in order. A row is the chain of its values, each with its length, so no
+    two rows look alike; the digests are sums of two independent parts of the rows' hashes.
+    """
+    columns = list(df.columns if columns is None else columns)
+    kinds = dict(df.dtypes)
+    named = "".join(f"{len(x.encode())}:{x}" for c in columns for x in (c, kinds[c]))
+    row = F.md5(F.concat(F.lit(""), *[prefixed(canonical(c, kinds[c])) for c in columns]).cast("binary"))
+    part = lambda at: F.coalesce(F.sum(F.conv(F.substring(row, at, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    return df.agg(F.count(F.lit(1)).alias("rows"), part(1).alias("digest_a"), part(17).alias("digest_b")).select(F.md5(F.lit(named).cast("binary")).alias("schema"), "rows", "digest_a", "digest_b")
+
+
+def label_fingerprint(df: DataFrame, labels: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
+    """The fingerprint of keys and labels alone: features may change without changing it."""
+    return table_fingerprint(df, [*keys, *labels])

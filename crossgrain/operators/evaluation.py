@@ -194,8 +194,7 @@ def label_decomposition(rows: DataFrame, target: str, shrink: float = 10.0) -> D
 
 def expanding_folds(rows: DataFrame, years: Sequence[int], exit_column: str) -> DataFrame:
     """fold, part, date, stock_code: each year predicts itself from all rows that ended before it."""
-    folds = rows.sparkSession.createDataFrame([(y,) for y in years], "fold int")
-    x = rows.crossJoin(F.broadcast(folds))  # a row a fold
-    train = (F.year("date") < F.col("fold")) & (F.year(exit_column) < F.col("fold"))
-    part = F.when(F.year("date") == F.col("fold"), "predict").when(train, "train")
-    return x.withColumn("part", part).where("part is not null").select("fold", "part", "date", "stock_code")
+    year, end = F.year("date"), F.year(exit_column)
+    part = lambda fold: F.when(year == fold, "predict").when((year < fold) & (end < fold), "train")
+    folds = F.filter(F.array(*[F.struct(F.lit(y).alias("fold"), part(F.lit(y)).alias("part")) for y in years]), lambda f: f["part"].isNotNull())
+    return rows.select("date", "stock_code", F.inline(folds)).select("fold", "part", "date", "stock_code")

@@ -7,6 +7,7 @@ it. Draws are deterministic, the same on any engine, and linear in the rows.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,34 +25,95 @@ from crossgrain.operators.cross_section import equal_date_weights
 def ridge_fit(rows: DataFrame, features: Sequence[str], label: str, strength: float, weight: Column | None = None) -> dict[str, float]:
     """Coefficients (and 'intercept') of the weighted ridge with penalty strength * sum of weights.
 
-    Each task sums one matrix of weighted moments; their sum comes to the driver, which solves the
-    system of a few hundred unknowns.
+    Moments are summed in Spark; their sum, one matrix, comes to the driver, which solves the system of a
+    few hundred unknowns.
     """
-    cols = [*features, label]
-    values = F.array(*[F.col(c).cast("double") for c in cols])
-    x = rows.where(F.col(label).isNotNull()).select((weight if weight is not None else equal_date_weights()).cast("double").alias("w"), values.alias("v"))
-    k = len(cols)
-    sums = moments(x, k)
-    total, mean, moment = sums[0, 0], sums[0, 1:] / sums[0, 0], sums[1:, 1:]
-    centred = moment - total * np.outer(mean, mean)
-    beta = np.linalg.solve(centred[:-1, :-1] + strength * total * np.eye(k - 1), centred[:-1, -1])
-    return dict(zip(features, beta.tolist(), strict=True)) | {"intercept": float(mean[-1] - beta @ mean[:-1])}
+    return solved(moments(weighted_rows(rows, features, label, F.lit(0), weight).select("w", "v"), len(features) + 1), features, strength)
 
 
-def moments(x: DataFrame, k: int) -> np.ndarray:
-    """Sum over rows (w, v) of w * (1, v)(1, v)', where v has k values; a null value makes the row count as nothing."""
+#: Values up to which moments are sums in the JVM; more are sums of matrices in Python.
+FEW_VALUES = 20
+
+
+def few_moments(x: DataFrame, k: int) -> dict[object, np.ndarray]:
+    """`moments` by the column `key` (a few values), as one aggregate of sums."""
+    v = [F.lit(1.0), *[F.col("v")[i] for i in range(k)]]
+    ok = reduce(lambda a, b: a & b, [c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in v[1:]])
+    pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+    out = {}
+    for r in x.where(ok).groupBy("key").agg(*[F.sum(F.col("w") * v[i] * v[j]).alias(f"s{i}_{j}") for i, j in pairs]).collect():  # a row a key
+        m = np.zeros((k + 1, k + 1))
+        for i, j in pairs:
+            m[i, j] = m[j, i] = r[f"s{i}_{j}"]
+        out[r.key] = m
+    return out
+
+
+def moments_by(x: DataFrame, k: int) -> dict[object, np.ndarray]:
+    """For each `key`: the sum over rows (key, w, v) of w * (1, v)(1, v)', where v has k values; a null value makes the row count as nothing."""
+    if k <= FEW_VALUES:
+        return few_moments(x, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((k + 1, k + 1))
+        total: dict[object, np.ndarray] = {}
         for batch in batches:
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-            full = np.hstack([np.ones((len(v), 1)), v])
-            full, w = full[np.isfinite(full).all(1)], batch.column(0).to_numpy()[np.isfinite(full).all(1)]
-            total += (full * w[:, None]).T @ full
-        yield pa.RecordBatch.from_arrays([pa.array(range((k + 1) ** 2), pa.int32()), pa.array(total.ravel())], names=["at", "s"])
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            full, key = np.hstack([np.ones((len(v), 1)), v]), np.array(batch.column("key").to_pylist(), dtype=object)
+            ok = np.isfinite(full).all(1)
+            full, w, key = full[ok], batch.column("w").to_numpy()[ok], key[ok]
+            for own in set(key.tolist()):
+                rows = full[key == own]
+                total[own] = total.get(own, 0.0) + (rows * w[key == own][:, None]).T @ rows
+        for own, m in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([own] * m.size, pa.int64()), pa.array(range(m.size), pa.int32()), pa.array(m.ravel())], names=["key", "at", "s"])
+
+    summed = x.select(F.col("key").cast("long").alias("key"), "w", "v").mapInArrow(run, "key long, at int, s double").groupBy("key", "at").agg(F.sum("s").alias("s")).toPandas()
+    return {key: g.sort_values("at")["s"].to_numpy().reshape(k + 1, k + 1) for key, g in summed.groupby("key")}  # a matrix a key
+
+
+def solved(sums: np.ndarray, features: Sequence[str], strength: float) -> dict[str, float]:
+    """The ridge's coefficients from its moments."""
+    k = len(features)
+    total, mean = sums[0, 0], sums[0, 1:] / sums[0, 0]
+    centred = sums[1:, 1:] - total * np.outer(mean, mean)
+    beta = np.linalg.solve(centred[:-1, :-1] + strength * total * np.eye(k), centred[:-1, -1])
+    return dict(zip(features, beta.tolist(), strict=True)) | {"intercept": float(mean[-1] - beta @ mean[:-1])}
+
 
-    summed = x.mapInArrow(run, "at int, s double").groupBy("at").agg(F.sum("s").alias("s")).toPandas().sort_values("at")  # one matrix
-    return summed["s"].to_numpy().reshape(k + 1, k + 1)
+def weighted_rows(rows: DataFrame, features: Sequence[str], label: str, key: Column, weight: Column | None = None) -> DataFrame:
+    """key, w and v (features and label) of the labelled rows; each date weighs the same unless a weight is given."""
+    values = F.array(*[F.col(c).cast("double") for c in (*features, label)])
+    return rows.where(F.col(label).isNotNull()).select(key.alias("key"), (weight if weight is not None else equal_date_weights()).cast("double").alias("w"), values.alias("v"))
+
+
+def expanding_ridge(rows: DataFrame, features: Sequence[str], label: str, exit_column: str, years: Sequence[int], strength: float, weight: Column | None = None) -> dict[int, dict[str, float]]:
+    """For each fold year the ridge over all rows whose labels end before it, all from one scan.
+
+    A row belongs to the year in which its label ends, which is never before its own; moments are summed
+    by that year, and a fold's are the sum of those of earlier years, so rows whose label reaches into
+    the fold's year are left out. Years without rows to learn from have no fit.
+    """
+    by_year = moments_by(weighted_rows(rows.where(F.col(exit_column).isNotNull()), features, label, F.year(exit_column), weight), len(features) + 1)
+    out = {}
+    for fold in years:
+        before = [m for year, m in by_year.items() if year < fold]
+        if before:
+            out[fold] = solved(sum(before), features, strength)
+    return out
+
+
+def out_of_fold_scores(rows: DataFrame, fits: Mapping[int, Mapping[str, float]]) -> DataFrame:
+    """rows of the folds' years with fold and `score`, each by the fit that hasn't seen its year."""
+    year, score = F.year("date"), F.lit(None).cast("double")
+    for fold, fitted in fits.items():
+        score = F.when(year == fold, linear_score(fitted)).otherwise(score)
+    return rows.where(year.isin(*fits) if fits else F.lit(False)).withColumn("fold", year.cast("int")).withColumn("score", score)
+
+
+def moments(x: DataFrame, k: int) -> np.ndarray:
+    """`moments_by` of rows (w, v) of one key."""
+    found = moments_by(x.withColumn("key", F.lit(0)), k)
+    return found.get(0, np.zeros((k + 1, k + 1)))
 
 
 def coefficients_frame(df: DataFrame, fitted: Mapping[str, float]) -> DataFrame:
@@ -111,11 +173,22 @@ def sample_date_pairs(rows: DataFrame, target: str, broad: int, nearest: int, se
     return by_hash.unionByName(near)
 
 
-def sample_top_pairs(rows: DataFrame, rank: str, boundary: int, broad: int, seed: int = 7, top: float = 0.9, edge: float = 0.7) -> DataFrame:
+def dates_without_pairs(rows: DataFrame, rank: str, top: float = 0.9, edge: float = 0.7) -> DataFrame:
+    """date, pool: dates that lack rows of rank >= top (positive), in [edge, top) (boundary) or under top (broad)."""
+    r = F.col(rank)
+    n = rows.where(r.isNotNull()).groupBy("date").agg(F.count_if(r >= top).alias("positive"), F.count_if((r >= edge) & (r < top)).alias("boundary"), F.count_if(r < top).alias("broad"))
+    pools = F.array(*[F.when(F.col(c) == 0, F.lit(c)) for c in ("positive", "boundary", "broad")])
+    return n.select("date", F.explode(F.filter(pools, lambda p: p.isNotNull())).alias("pool"))
+
+
+def sample_top_pairs(rows: DataFrame, rank: str, boundary: int, broad: int, seed: int = 7, top: float = 0.9, edge: float = 0.7, empty: str = "fail") -> DataFrame:
     """date, positive, negative, kind: each row of rank >= top against rows of [edge, top) and of all under top.
 
-    The two draws of a positive are disjoint. `dates_without_pairs` lists dates with an empty pool.
+    The two draws of a positive are disjoint. A date with an empty pool (`dates_without_pairs`) fails
+    whatever reads the pairs, unless `empty` is "skip".
     """
+    if empty not in ("fail", "skip"):
+        raise ValueError("empty must be fail or skip")
     x = rows.where(F.col(rank).isNotNull()).select("date", F.col("stock_code").alias("s"), F.col(rank).alias("r"), _hash(seed, "date", "stock_code").alias("h"))
 
     def numbered(part: DataFrame, name: str) -> DataFrame:
@@ -132,7 +205,12 @@ def sample_top_pairs(rows: DataFrame, rank: str, boundary: int, broad: int, seed
 
     close = draw(numbered(x.where((F.col("r") >= edge) & (F.col("r") < top)), "negative"), boundary, "boundary")
     wide = draw(numbered(x.where(F.col("r") < top), "negative"), broad, "broad")
-    return close.unionByName(wide.join(close.select("date", "positive", "negative"), ["date", "positive", "negative"], "left_anti"))
+    pairs = close.unionByName(wide.join(close.select("date", "positive", "negative"), ["date", "positive", "negative"], "left_anti"))
+    if empty == "skip":
+        return pairs
+    failed = F.raise_error(F.concat_ws(" ", F.lit("no"), "pool", F.lit("rows on"), F.col("date").cast("string")))
+    text = F.lit(None).cast("string")
+    return pairs.unionByName(dates_without_pairs(rows, rank, top, edge).select("date", text.alias("positive"), text.alias("negative"), failed.cast("string").alias("kind")))
 
 
 def pair_differences(pairs: DataFrame, rows: DataFrame, features: Sequence[str], better: str, worse: str) -> DataFrame:

@@ -29,6 +29,14 @@ def _(spark, sf_dir):
     return tables.scan_factor(wide)
 
 
+@query("a1_factor_key_violations", "", "SELECT 'unique_keys' AS \"check\", date || '|' || stock_code AS \"key\", CAST(count(*) AS VARCHAR) AS detail FROM (SELECT CAST(l_shipdate AS DATE) AS date, lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS stock_code, try_cast(l_quantity AS DOUBLE) AS v FROM lineitem) WHERE v IS NOT NULL GROUP BY date, stock_code HAVING count(*) > 1", V)
+def _(spark, sf_dir):
+    # Codes that only differ before they are made uniform.
+    code = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.col("l_suppkey").cast("string"), F.lit(".0"))).otherwise(F.col("l_suppkey").cast("string"))
+    raw = proxy.table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").alias("date"), code.alias("stock_code"), F.col("l_quantity").alias("factor_value"))
+    return O.check_unique_keys(tables.scan_factor(raw, unique=False))
+
+
 RAW_CODE = "CASE l_suppkey % 4 WHEN 0 THEN CAST(l_suppkey AS {s}) WHEN 1 THEN ' ' || CAST(l_suppkey AS {s}) || '.0 ' WHEN 2 THEN 'S' || CAST(l_suppkey AS {s}) ELSE CAST(l_suppkey * 100003 AS {s}) || '.0' END"
 
 
@@ -105,11 +113,25 @@ def _(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@query("a11_table_fingerprint", "", """SELECT count(*) AS rows, CAST(sum(CAST(('0x' || substr(md5(concat_ws('|', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus, o_orderpriority)), 1, 15)) AS BIGINT)) AS VARCHAR) AS digest FROM orders""", "rows digest")
+def digest(columns: str, kinds: str) -> str:
+    """The fingerprint in SQL, of rows of texts; kinds: names and types as the schema's hash has them."""
+    row = " || ".join(f"coalesce(strlen({c}) || ':' || {c}, 'n')" for c in columns.split())
+    sums = ", ".join(f"CAST(sum(CAST(('0x' || substr(h, {at}, 15)) AS BIGINT)) AS VARCHAR) AS digest_{n}" for at, n in ((1, "a"), (17, "b")))
+    named = "".join(f"{len(x)}:{x}" for x in kinds.split())
+    return f"SELECT md5('{named}') AS schema, count(*) AS rows, {sums} FROM (SELECT md5({row}) AS h FROM t)"
+
+
+@query("a11_table_fingerprint", "", "WITH t AS (SELECT CAST(o_orderkey AS VARCHAR) AS a, CAST(o_custkey AS VARCHAR) AS b, o_orderstatus AS c, o_orderpriority AS d FROM orders) " + digest("a b c d", "o_orderkey bigint o_custkey bigint o_orderstatus string o_orderpriority string"), "schema rows digest_a digest_b")
 def _(spark, sf_dir):
     return O.table_fingerprint(proxy.table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
+@query("a11_label_fingerprint", "ranked", "SELECT * FROM (WITH t AS (SELECT CAST(date AS VARCHAR) AS a, stock_code AS b, CAST(CAST(round(rank_target_10d * 1000000) AS BIGINT) AS VARCHAR) AS c FROM ranked) " + digest("a b c", "date date stock_code string millionths bigint") + ")", "schema rows digest_a digest_b")
+def _(spark, sf_dir):
+    r = L.ranked(proxy.panel(spark, sf_dir)).withColumn("millionths", F.round(F.col("rank_target_10d") * 1000000).cast("long"))
+    return O.label_fingerprint(r, ["millionths"])
+
+
 #: Columns that a panel gets besides its own, and whether each may be a feature.
 EXTRA = {
     "rank_target_10d": False, "market_target_10d": False, "industry_target_10d": False, "alpha_target_10d": False, "TARGET_5d": False, "exit_date_10d": False, "split_x": False, "entry_tradeable": False, "entry_open": False, "future_x": False, "next_open": False,

@@ -24,7 +24,7 @@ def ahead(c: str, k: int) -> str:
 part("fwd", "panel", "SELECT date, stock_code, " + ", ".join(f"{ahead('post_close', w)} / nullif(post_close, 0) - 1 AS return_{w}" for w in (1, 5, 10)) + " FROM panel")
 part("targets", "panel", "SELECT date, stock_code, " + ", ".join(f"{ahead('post_open', h + 1)} / nullif({ahead('post_open', 1)}, 0) - 1 AS target_{h}d" for h in HORIZONS) + " FROM panel")
 STATE = ", ".join(f"n.{c} AS entry_{c}" for c in O.STATE)
-part("entry", "panel cal", f"""SELECT p.date, p.stock_code, p.in_universe, p.industry, p.market_cap, c.next_date AS entry_date, n.date IS NOT NULL AS entry_data_available, {STATE}
+part("entry", "panel cal", f"""!SELECT p.date, p.stock_code, p.in_universe, p.industry, p.market_cap, c.next_date AS entry_date, n.date IS NOT NULL AS entry_data_available, {STATE}
   FROM panel p JOIN (SELECT date, lead(date) OVER (ORDER BY pos) AS next_date FROM cal) c USING (date) LEFT JOIN panel n ON n.date = c.next_date AND n.stock_code = p.stock_code""")
 UP = "coalesce(entry_raw_open >= entry_limit_up - 1e-10, FALSE)"
 DOWN = "coalesce(entry_raw_open <= entry_limit_down + 1e-10, FALSE)"

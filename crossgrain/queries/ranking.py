@@ -201,7 +201,15 @@ part("close_pairs", "tops tb", "SELECT p.date, p.s AS positive, b.s AS negative,
 @query("m6_sample_top_pairs", "close_pairs tw", """SELECT * FROM close_pairs UNION ALL SELECT p.date, p.s, b.s, 'broad' FROM tops p CROSS JOIN (VALUES (0), (1), (2)) AS o(d) JOIN tw b ON b.date = p.date AND b.i = (p.i * 3 + o.d) % b.n
   WHERE p.g = 1 AND o.d < b.n AND NOT EXISTS (SELECT 1 FROM close_pairs c WHERE c.date = p.date AND c.positive = p.s AND c.negative = b.s)""", "date positive negative kind")
 def _(spark, sf_dir):
-    return M.sample_top_pairs(features(spark, sf_dir), "rank_target", 2, 3)
+    return M.sample_top_pairs(features(spark, sf_dir), "rank_target", 2, 3, empty="skip")
+
+
+@query("m6_dates_without_pairs", "tops", """SELECT date, unnest(list_filter([CASE WHEN a = 0 THEN 'positive' END, CASE WHEN b = 0 THEN 'boundary' END, CASE WHEN b + c = 0 THEN 'broad' END], lambda x: x IS NOT NULL)) AS pool FROM (
+  SELECT date, count(*) FILTER (WHERE g = 1) AS a, count(*) FILTER (WHERE g = 2) AS b, count(*) FILTER (WHERE g = 3) AS c FROM tops WHERE CAST(substr(s, 2) AS INTEGER) % 3 <> month(date) % 3 GROUP BY date)""", "date pool")
+def _(spark, sf_dir):
+    # A third of the stocks is missing in turn, so that some pools are empty.
+    x = features(spark, sf_dir).where(F.substring("stock_code", 2, 6).cast("int") % 3 != F.month("date") % 3)
+    return M.dates_without_pairs(x, "rank_target")
 
 
 @query("m7_score_frame", "feat", f"""SELECT date, stock_code, score, CASE WHEN count(*) OVER (PARTITION BY date) > 1 THEN ({rank_sql('score', 'date')} - 1) / (count(*) OVER (PARTITION BY date) - 1) ELSE 0.0 END AS pred_rank_pct,
@@ -230,6 +238,42 @@ def _(spark, sf_dir):
     return E.expanding_folds(x, [1998, 1999], "exit_date")
 
 
+#: Fold years, and the rows that each may learn from: those whose label has ended before it.
+YEARS = (1997, 1998, 1999)
+part("oofrows", "featr cal", f"SELECT a, b, rank_target AS t, w, f FROM (SELECT x.a, x.b, x.rank_target, 1.0 / count(*) OVER (PARTITION BY x.date) AS w, year(c.date) AS e FROM featr x JOIN cal c ON c.pos = x.pos + 6 WHERE x.rank_target IS NOT NULL) CROSS JOIN (SELECT unnest([{', '.join(map(str, YEARS))}]) AS f) WHERE e < f")
+part("oofmean", "oofrows", "SELECT f, sum(w) AS sw, sum(w * a) / sum(w) AS ma, sum(w * b) / sum(w) AS mb, sum(w * t) / sum(w) AS mt FROM oofrows GROUP BY f")
+part("ooffit", "oofrows oofmean", """SELECT f, na / det AS a, nb / det AS b, mt - na / det * ma - nb / det * mb AS c FROM (SELECT *, saa * sbt - sab * sat AS nb, sbb * sat - sab * sbt AS na, saa * sbb - sab * sab AS det FROM (
+  SELECT f, sum(w * (a - ma) * (a - ma)) + 0.1 * any_value(sw) AS saa, sum(w * (b - mb) * (b - mb)) + 0.1 * any_value(sw) AS sbb, sum(w * (a - ma) * (b - mb)) AS sab, sum(w * (a - ma) * (t - mt)) AS sat, sum(w * (b - mb) * (t - mt)) AS sbt,
+    any_value(ma) AS ma, any_value(mb) AS mb, any_value(mt) AS mt FROM oofrows JOIN oofmean USING (f) GROUP BY f))""")
+part("oof", "featr ooffit", "SELECT x.date, x.stock_code, x.target, f AS fold, p.c + p.a * x.a + p.b * x.b AS score FROM featr x JOIN ooffit p ON year(x.date) = p.f")
+
+
+def with_exit(spark, sf_dir):
+    return features(spark, sf_dir).join(F.broadcast(exit_date(calendar_index(proxy.cells(spark, sf_dir)), 5)), "date", "left")
+
+
+def out_of_fold(spark, sf_dir):
+    x = with_exit(spark, sf_dir)
+    return M.out_of_fold_scores(x, M.expanding_ridge(x, FEATURES, "rank_target", "exit_date", YEARS, 0.1))
+
+
+@query("d2_expanding_ridge", "ooffit", "SELECT CAST(f AS INTEGER) AS fold, unnest(['a', 'b', 'intercept']) AS feature, unnest([a, b, c]) AS coefficient FROM ooffit", "fold feature ~coefficient")
+def _(spark, sf_dir):
+    x = with_exit(spark, sf_dir)
+    fits = M.expanding_ridge(x, FEATURES, "rank_target", "exit_date", YEARS, 0.1)
+    return spark.createDataFrame([(fold, k, v) for fold, fitted in fits.items() for k, v in fitted.items()], "fold int, feature string, coefficient double")
+
+
+@query("d2_out_of_fold_scores", "oof", "SELECT date, stock_code, CAST(fold AS INTEGER) AS fold, score FROM oof", "date stock_code fold ~score")
+def _(spark, sf_dir):
+    return out_of_fold(spark, sf_dir).select("date", "stock_code", "fold", "score")
+
+
+@query("d4_out_of_fold_calibration", "oof", "SELECT 'ridge' AS model, CASE WHEN s > 0 THEN s ELSE 1.0 END AS slope, CASE WHEN s > 0 THEN mt - s * ms ELSE 0.0 END AS intercept FROM (SELECT covar_samp(score, target) / nullif(var_samp(score), 0) AS s, avg(score) AS ms, avg(target) AS mt FROM oof WHERE target IS NOT NULL)", "model ~slope ~intercept")
+def _(spark, sf_dir):
+    return E.linear_calibration(out_of_fold(spark, sf_dir).withColumn("model", F.lit("ridge")))
+
+
 @query("d4_linear_calibration", "pred", "SELECT model, CASE WHEN s > 0 THEN s ELSE 1.0 END AS slope, CASE WHEN s > 0 THEN mt - s * ms ELSE 0.0 END AS intercept FROM (SELECT model, covar_samp(score, target) / nullif(var_samp(score), 0) AS s, avg(score) AS ms, avg(target) AS mt FROM pred WHERE target IS NOT NULL GROUP BY model)", "model ~slope ~intercept")
 def _(spark, sf_dir):
     return E.linear_calibration(predictions(spark, sf_dir))

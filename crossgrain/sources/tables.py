@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,13 +59,30 @@ def numeric_violations(df: DataFrame, column: str) -> DataFrame:
     return df.where(bad).groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def scan_factor(df: DataFrame) -> DataFrame:
-    """(date, stock_code, factor_value) of a long table, or of a wide one: first column the date, the rest stocks."""
+def unique_or_fail(df: DataFrame, name: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """`df`, which fails with the key if two rows share one; runs with whatever reads it, not as a job of its own.
+
+    Rows are grouped by all keys but the first (by stock, of date and stock) and sorted by the first, as
+    windows over a stock's time need them anyway: those find the rows in place and don't shuffle again.
+    """
+    first, *rest = keys
+    w = Window.partitionBy(*rest).orderBy(first)
+    key = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    x = df.withColumn("_row", F.row_number().over(w)).withColumn("_same", F.lag(F.struct(first)).over(w).eqNullSafe(F.struct(first)))
+    failed = F.raise_error(F.concat(F.lit(f"{name}: several rows have the key "), key)).cast("boolean")
+    return x.where(F.when((F.col("_row") > 1) & F.col("_same"), failed).otherwise(True)).drop("_row", "_same")
+
+
+def scan_factor(df: DataFrame, unique: bool = True) -> DataFrame:
+    """(date, stock_code, factor_value) of a long table, or of a wide one: column date, else the first, and a column a stock.
+
+    Keys are made uniform first and must be unique then, null values included, unless `unique` is false.
+    """
     if not {"date", "stock_code", "factor_value"} <= set(df.columns):
-        first, *rest = df.columns
-        df = melt(df, first, rest, "factor_value", "string")
+        first = "date" if "date" in df.columns else df.columns[0]
+        df = melt(df, first, [c for c in df.columns if c != first], "factor_value", "string")
     out = df.select(F.to_date("date").alias("date"), normalize_stock_code("stock_code").alias("stock_code"), coerce_numeric("factor_value").alias("factor_value"))
-    return out.where("factor_value is not null")
+    return (unique_or_fail(out, "factor") if unique else out).where("factor_value is not null")
 
 
 def conform(df: DataFrame, schema: T.StructType, model: bool = False) -> DataFrame:
@@ -77,16 +94,22 @@ def conform(df: DataFrame, schema: T.StructType, model: bool = False) -> DataFra
     return df.select(*[cast[f.dataType.simpleString()](f.name).alias(f.name) for f in schema])
 
 
-def scan_market_panel(spark: SparkSession, path: str, fmt: str = "parquet", model: bool = False) -> DataFrame:
+def scan_market_panel(spark: SparkSession, path: str, fmt: str = "parquet", model: bool = False, unique: bool = True) -> DataFrame:
+    """The panel's columns, coerced; its keys must be unique."""
     reader = spark.read.option("header", True) if fmt == "csv" else spark.read
-    return conform(reader.format(fmt).load(path), PANEL_SCHEMA, model)
+    panel = conform(reader.format(fmt).load(path), PANEL_SCHEMA, model)
+    return unique_or_fail(panel, "market panel") if unique else panel
+
 
+def scan_window(df: DataFrame, columns: Sequence[str], date: str, first: str, last: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Named columns of the days from first to last; both reach a Parquet scan as pruning and pushed filters.
 
-def scan_window(df: DataFrame, columns: Sequence[str], date: str, first: str, last: str) -> DataFrame:
-    """Named columns of the days from first to last; both reach a Parquet scan as pruning and pushed filters."""
+    keys: columns, among those named, that must be unique together within the window.
+    """
     kind = dict(df.dtypes)[date]
     lo, hi = F.lit(first).cast(kind), F.date_add(F.lit(last).cast("date"), 1).cast(kind)
-    return df.where((F.col(date) >= lo) & (F.col(date) < hi)).select(*columns)
+    window = df.where((F.col(date) >= lo) & (F.col(date) < hi)).select(*columns)
+    return unique_or_fail(window, "window", keys) if keys else window
 
 
 def resolve_vendor_columns(df: DataFrame, aliases: Mapping[str, str] = ALIASES, sample: int = 20) -> DataFrame:

@@ -6,6 +6,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from crossgrain.functions.columns import correlation, one_row, rank_percentile
@@ -136,6 +137,34 @@ def test_scan_factor_reads_wide_and_long(spark):
     assert tables.scan_factor(tables.scan_factor(wide)).count() == 2
 
 
+def test_scans_fail_on_a_second_row_of_a_key(spark, tmp_path):
+    same = [("2024-01-02", "1", "1.5"), ("2024-01-02", "2", "1.5"), ("2024-01-02", "000001", None)]
+    twice = spark.createDataFrame(same, "date string, stock_code string, factor_value string")
+    with pytest.raises(Exception, match=r"factor: several rows have the key 2024-01-02\|000001"):
+        tables.scan_factor(twice).count()
+    assert tables.scan_factor(twice.limit(2)).count() == 2 and tables.scan_factor(twice, unique=False).count() == 2
+    assert [tuple(r) for r in contracts.check_unique_keys(tables.scan_factor(twice.fillna("1"), unique=False)).collect()] == [("unique_keys", "2024-01-02|000001", "2")]
+    no_key = spark.createDataFrame([(None, "1", "1"), (None, "1", "2")], "date string, stock_code string, factor_value string")
+    with pytest.raises(Exception, match="null"):
+        tables.scan_factor(no_key).collect()
+    panel = spark.createDataFrame([(d, s, *["1"] * 11) for d, s in (("2024-01-02", "a"), ("2024-01-03", "a"), ("2024-01-02", " a"))], ", ".join(f"{f.name} string" for f in tables.PANEL_SCHEMA))
+    panel.write.parquet(str(tmp_path / "panel"))
+    with pytest.raises(Exception, match=r"market panel: several rows have the key 2024-01-02\|a"):
+        tables.scan_market_panel(spark, str(tmp_path / "panel")).count()
+    assert tables.scan_market_panel(spark, str(tmp_path / "panel"), unique=False).count() == 3
+    window = lambda last: tables.scan_window(tables.conform(panel, tables.PANEL_SCHEMA), ["date", "stock_code", "raw_open"], "date", "2024-01-02", last, ("date", "stock_code"))
+    with pytest.raises(Exception, match="window: several rows"):
+        window("2024-01-02").count()
+    assert tables.scan_window(tables.conform(panel, tables.PANEL_SCHEMA), ["date", "stock_code"], "date", "2024-01-03", "2024-01-03", ("date", "stock_code")).count() == 1
+
+
+def test_the_check_of_keys_adds_no_shuffle_to_a_window_over_stocks(spark):
+    df = day(spark, (1, 2, 3)).select("date", "stock_code", F.col("v").cast("string").alias("factor_value"))
+    x = tables.scan_factor(df).withColumn("before", F.lag("factor_value").over(Window.partitionBy("stock_code").orderBy("date")))
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_bad_booleans_and_numbers_are_listed(spark):
     df = spark.createDataFrame([("Yes", "1"), ("perhaps", "1e400"), (None, "abc")], "b string, x string")
     assert {r.value for r in tables.bool_violations(df, "b").collect()} == {"perhaps", None}
@@ -154,6 +183,26 @@ def test_fingerprint_ignores_row_order(spark):
     assert one == two and one != contracts.table_fingerprint(df.where("v > 1"), ["stock_code", "v"]).first()
 
 
+def test_fingerprints_tell_rows_and_schemas_apart(spark):
+    def one(rows, schema="a string, b string"):
+        return tuple(contracts.table_fingerprint(spark.createDataFrame(rows, schema)).first())
+
+    every = [
+        one([("a|b", "c")]), one([("a", "b|c")]), one([("ab", "c")]), one([("\\N", "c")]), one([(None, "c")]), one([("n", "c")]), one([("", "c")]), one([("c", None)]), one([("1", "c")]), one([(1, "c")], "a int, b string"), one([(1, "c")], "a long, b string"),
+        one([("1", "c")], "x string, b string"), one([("1", "c")] * 2), one([]), one([("1", "d"), ("2", "c")]), one([("1", "c"), ("2", "d")]),
+    ]
+    assert len(set(every)) == len(every) and len({r[0] for r in every}) == 4 and len({r[2] for r in every}) > 12 < len({r[3] for r in every})
+    assert one([(0.0, "x")], "a double, b string") == one([(-0.0, "x")], "a double, b string") != one([(float("nan"), "x")], "a double, b string")
+
+
+def test_label_fingerprint_sees_labels_alone(spark):
+    schema = "date date, stock_code string, x double, y double"
+    d = dt.date(2024, 1, 1)
+    base, feature, label = ([(d, "a", 1.0, 2.0)], [(d, "a", 9.0, 2.0)], [(d, "a", 1.0, 3.0)])
+    one, two, three = (contracts.label_fingerprint(spark.createDataFrame(r, schema), ["y"]).first() for r in (base, feature, label))
+    assert one == two != three
+
+
 @pytest.mark.parametrize("name", ["rank_target_10d", "market_target_10d", "industry_target_10d", "alpha_target_10d", "status_t_2", "Status_T+1", "x_t_plus_1", "entry_x", "date"])
 def test_leaks_are_forbidden(name):
     assert contracts.forbidden_feature(name)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from crossgrain.operators import ranking
 
@@ -28,6 +29,40 @@ def test_ridge_equals_closed_form(spark):
     assert np.allclose([got["a"], got["b"], got["intercept"]], [*beta, my - beta @ mx])
 
 
+def test_expanding_fits_equal_separate_ones(spark):
+    """One scan gives what a fit over each fold's own rows gives; labels that reach into the fold's year are left out."""
+    rng = np.random.default_rng(2)
+    for names in (["a", "b"], [f"f{i}" for i in range(24)]):
+        data = []
+        for i in range(900):
+            date = dt.date(2020, 1, 1) + dt.timedelta(int(rng.integers(0, 1500)))
+            data.append((date, f"S{i}", None if rng.random() < 0.05 else date + dt.timedelta(int(rng.integers(1, 60))), *map(float, rng.normal(size=len(names))), float(rng.normal()) if rng.random() > 0.1 else None))
+        df = spark.createDataFrame(data, "date date, stock_code string, exit date, " + ", ".join(f"{n} double" for n in names) + ", y double").cache()
+        years = (2020, 2021, 2022, 2024)
+        # Weights of one row, not of a date's rows: a date may be cut by its rows' exits.
+        got = ranking.expanding_ridge(df, names, "y", "exit", years, 0.2, F.lit(1.0))
+        assert sorted(got) == [2021, 2022, 2024]
+        for fold in got:
+            own = df.where((F.year("date") < fold) & (F.year("exit") < fold))
+            want = ranking.ridge_fit(own, names, "y", 0.2, F.lit(1.0))
+            assert np.allclose([got[fold][k] for k in want], list(want.values()), atol=1e-9)
+        scored = ranking.out_of_fold_scores(df, got).collect()
+        assert {r.fold for r in scored} <= set(got) and all(r.date.year == r.fold for r in scored) and len(scored) == sum(d[0].year in got for d in data)
+        r = scored[0]
+        assert abs(r.score - got[r.fold]["intercept"] - sum(got[r.fold][n] * r[n] for n in names)) < 1e-9
+
+
+def test_empty_pools_fail_or_are_listed(spark):
+    d = dt.date(2024, 1, 1)
+    data = [(d, "a", 1.0), (d, "b", 0.8), (d, "c", 0.1), (d + dt.timedelta(1), "a", 1.0), (d + dt.timedelta(1), "c", 0.1), (d + dt.timedelta(2), "b", 0.8)]
+    df = spark.createDataFrame(data, "date date, stock_code string, r double")
+    assert sorted((r.date.day, r.pool) for r in ranking.dates_without_pairs(df, "r").collect()) == [(2, "boundary"), (3, "positive")]
+    with np.testing.assert_raises_regex(Exception, "no (boundary|positive) rows on 2024-01-0"):
+        ranking.sample_top_pairs(df, "r", 1, 1).collect()
+    assert {r.date.day for r in ranking.sample_top_pairs(df, "r", 1, 1, empty="skip").collect()} == {1, 2}
+    assert {r.kind for r in ranking.sample_top_pairs(df.where(F.col("date") == d), "r", 1, 1).collect()} >= {"boundary"}
+
+
 def test_pairwise_fits_find_the_direction(spark):
     df, _ = rows(spark)
     pairs = ranking.sample_date_pairs(df, "y", 4, 2).cache()
