@@ -7,19 +7,20 @@ it. Draws are deterministic, the same on any engine, and linear in the rows.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossgrain.functions.columns import average_rank, rank_percentile
+from crossgrain.operators.boosting import boosted_trees
 from crossgrain.operators.cross_section import equal_date_weights
+from crossgrain.sources.scratch import Temporary, materialize
 
 
 def ridge_fit(rows: DataFrame, features: Sequence[str], label: str, strength: float, weight: Column | None = None) -> dict[str, float]:
@@ -131,12 +132,9 @@ def score_frame(rows: DataFrame, score: Column, by: Sequence[str] = ("date",)) -
     return x.withColumn("pred_rank_pct", rank_percentile("score", *by, single=0.0)).withColumn("pred_rank_position", average_rank("score", *by, descending=True))
 
 
-def gbt_rank_regression(rows: DataFrame, features: Sequence[str], label: str, max_depth: int = 5, rounds: int = 20, step: float = 0.1, subsample: float = 0.8, seed: int = 7) -> DataFrame:
-    """rows with `score` of boosted trees on the rank label, each date weighing the same."""
-    x = VectorAssembler(inputCols=list(features), outputCol="_x").transform(rows.fillna(0.0, list(features)))
-    train = x.where(F.col(label).isNotNull()).withColumn("_w", equal_date_weights())
-    model = GBTRegressor(featuresCol="_x", labelCol=label, weightCol="_w", maxDepth=max_depth, maxIter=rounds, stepSize=step, subsamplingRate=subsample, seed=seed).fit(train)
-    return model.transform(x).withColumnRenamed("prediction", "score").drop("_x")
+def gbt_rank_regression(rows: DataFrame, features: Sequence[str], label: str, max_depth: int = 5, rounds: int = 20, step: float = 0.1, **more: object) -> DataFrame:
+    """rows with `score` of boosted trees (`boosted_trees`) on the rank label, each date weighing the same."""
+    return boosted_trees(rows, features, label, depth=max_depth, rounds=rounds, step=step, **more).scored(rows)
 
 
 def _hash(seed: int, *columns: str) -> Column:
@@ -220,14 +218,61 @@ def pair_differences(pairs: DataFrame, rows: DataFrame, features: Sequence[str],
     return pairs.join(a, ["date", better]).join(b, ["date", worse]).withColumn("x", F.zip_with("_a", "_b", lambda p, q: p - q)).drop("_a", "_b")
 
 
-def pairwise_rank_fit(pairs: DataFrame, rows: DataFrame, features: Sequence[str], target: str, weight: Column | None = None, strength: float = 1e-3) -> dict[str, float]:
-    """Linear scores by pairwise logistic loss: pairs (date, anchor, opponent), the higher target being the better."""
+def directed_pairs(pairs: DataFrame, rows: DataFrame, features: Sequence[str], target: str, weight: Column | None = None) -> DataFrame:
+    """date, anchor, opponent, w and z, the features of the row of higher target less the other's; ties are left out."""
     t = rows.select("date", "stock_code", target)
     x = pairs.join(t.toDF("date", "anchor", "_ta"), ["date", "anchor"]).join(t.toDF("date", "opponent", "_to"), ["date", "opponent"]).where("_ta <> _to")
-    x = pair_differences(x, rows, features, "anchor", "opponent").withColumn("y", (F.col("_ta") > F.col("_to")).cast("double")).withColumn("_w", weight if weight is not None else F.lit(1.0))
-    train = x.select(array_to_vector("x").alias("v"), "y", "_w")
-    model = LogisticRegression(featuresCol="v", labelCol="y", weightCol="_w", fitIntercept=False, standardization=False, regParam=strength, maxIter=50).fit(train)
-    return dict(zip(features, model.coefficients.toArray().tolist(), strict=True))
+    x = pair_differences(x, rows, features, "anchor", "opponent").withColumn("w", weight if weight is not None else F.lit(1.0))
+    return x.withColumn("z", F.when(F.col("_ta") > F.col("_to"), F.col("x")).otherwise(F.transform("x", lambda v: -v))).drop("_ta", "_to", "x")
+
+
+def pair_margin(weights: Sequence[float]) -> Column:
+    """The better row's score less the other's, of directed pairs."""
+    return sum((F.col("z")[i] * F.lit(float(w)) for i, w in enumerate(weights)), F.lit(0.0))
+
+
+def pair_loss(directed: DataFrame, weights: Sequence[float], strength: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss, gradient and Hessian of the pairwise logistic loss (a mean by weight) and half `strength` of the squared weights, as one aggregate."""
+    k = len(weights)
+    m = pair_margin(weights)
+    loss = F.when(m > 0, F.log1p(F.exp(-m))).otherwise(F.log1p(F.exp(m)) - m)
+    x = directed.select("w", "z", loss.alias("l"), (1 / (1 + F.exp(m))).alias("p"))  # p: how far from right
+    curve = F.col("w") * F.col("p") * (1 - F.col("p"))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    r = x.agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("l")).alias("l"), *[F.sum(F.col("w") * F.col("p") * F.col("z")[i]).alias(f"g{i}") for i in range(k)], *[F.sum(curve * F.col("z")[i] * F.col("z")[j]).alias(f"h{i}_{j}") for i, j in pairs]).first()
+    w, n = np.asarray(weights, float), r.n or 1.0
+    hessian = strength * np.eye(k)
+    for i, j in pairs:
+        hessian[i, j] += (r[f"h{i}_{j}"] or 0.0) / n
+        hessian[j, i] = hessian[i, j]
+    return (r.l or 0.0) / n + strength * w @ w / 2, np.array([-(r[f"g{i}"] or 0.0) / n for i in range(k)]) + strength * w, hessian
+
+
+def pairwise_rank_fit(pairs: DataFrame, rows: DataFrame, features: Sequence[str], target: str, weight: Column | None = None, strength: float = 1e-3, still: float = 1e-10) -> dict[str, float]:
+    """Linear scores by pairwise logistic loss: pairs (date, anchor, opponent), the higher target being the better.
+
+    Up to `FEW_VALUES` features by Newton's method, a job a step, until no entry of the gradient is over
+    `still`: that gradient certifies the result. More features by quasi-Newton steps of Spark's regression.
+    """
+    with Temporary(rows.sparkSession):
+        directed = materialize(directed_pairs(pairs, rows, features, target, weight).select("w", "z"), "directed")
+        if len(features) > FEW_VALUES:
+            train = directed.select(array_to_vector("z").alias("v"), F.lit(1.0).alias("y"), "w").unionByName(directed.select(array_to_vector(F.transform("z", lambda v: -v)).alias("v"), F.lit(0.0).alias("y"), "w"))
+            model = LogisticRegression(featuresCol="v", labelCol="y", weightCol="w", fitIntercept=False, standardization=False, regParam=strength, maxIter=200, tol=1e-9).fit(train)
+            return dict(zip(features, model.coefficients.toArray().tolist(), strict=True))
+        w = np.zeros(len(features))
+        loss, gradient, hessian = pair_loss(directed, w, strength)
+        for _ in range(50):
+            if np.abs(gradient).max(initial=0.0) <= still:
+                break
+            move = np.linalg.solve(hessian, gradient)
+            for _ in range(30):  # a whole step, as a rule
+                new = pair_loss(directed, w - move, strength)
+                if new[0] <= loss + 1e-12:
+                    break
+                move = move / 2
+            w, (loss, gradient, hessian) = w - move, new
+    return dict(zip(features, w.tolist(), strict=True))
 
 
 def lambda_weights(pairs: DataFrame, rows: DataFrame, score: str, rank: str, truncation: int = 100) -> DataFrame:
@@ -241,10 +286,63 @@ def lambda_weights(pairs: DataFrame, rows: DataFrame, score: str, rank: str, tru
     return y.withColumn("lambda_weight", F.abs((F.col("_ga") - F.col("_go")) * (F.col("_da") - F.col("_do")))).drop("_ga", "_da", "_go", "_do")
 
 
-def lambda_weighted_rank_fit(pairs: DataFrame, rows: DataFrame, features: Sequence[str], target: str, score: str, rank: str, truncation: int = 100) -> dict[str, float]:
-    """The pairwise fit, pairs weighing by what swapping them in a first score's order would change."""
-    weighted = lambda_weights(pairs, rows, score, rank, truncation).where("lambda_weight > 0")
-    return pairwise_rank_fit(weighted, rows, features, target, F.col("lambda_weight"))
+@dataclass
+class LambdaRound:
+    """One round: weights it began with, their NDCG, and the mean gradient by pair weight."""
+
+    weights: list[float]
+    ndcg: float
+    gradient: list[float]
+
+
+def ranked_gains(rows: DataFrame, scores: Sequence[Column], rank: str, truncation: int) -> DataFrame:
+    """candidate, date, stock_code, g (the rank label) and d (the discount of its place) under each of the scores."""
+    each = F.inline(F.array(*[F.struct(F.lit(i).alias("candidate"), s.alias("s")) for i, s in enumerate(scores)]))
+    place = F.row_number().over(Window.partitionBy("candidate", "date").orderBy(F.desc("s"), "stock_code"))
+    x = rows.select("date", "stock_code", F.col(rank).alias("g"), each).withColumn("p", place)
+    return x.where("g is not null").select("candidate", "date", "stock_code", "g", F.when(F.col("p") <= truncation, 1 / F.log2(F.col("p") + 1)).otherwise(0.0).alias("d"))
+
+
+def mean_ndcg(gains: DataFrame, truncation: int) -> dict[int, float]:
+    """By candidate: the mean over dates of the discounted gains over the best ones (gains are linear in the rank label)."""
+    best = F.row_number().over(Window.partitionBy("candidate", "date").orderBy(F.desc("g"), "stock_code"))
+    x = gains.withColumn("i", best).groupBy("candidate", "date").agg(F.sum(F.col("g") * F.col("d")).alias("a"), F.sum(F.when(F.col("i") <= truncation, F.col("g") / F.log2(F.col("i") + 1))).alias("b"))
+    return {r.candidate: r.m for r in x.where("b > 0").groupBy("candidate").agg(F.avg(F.col("a") / F.col("b")).alias("m")).collect()}  # a row a candidate
+
+
+def lambda_rank_fit(pairs: DataFrame, rows: DataFrame, features: Sequence[str], target: str, rank: str, start: Sequence[float], truncation: int = 100, rounds: int = 5, steps: Sequence[float] = (1.0, 0.5, 0.25, 0.125)) -> tuple[dict[str, float], list[LambdaRound]]:
+    """Linear scores by lambda gradients, and what each round saw.
+
+    A round places every date's rows by the present score, weighs each pair by what swapping its two would
+    change (|gain difference * discount difference|, nothing beyond `truncation`), and sums over executors
+    the gradient of the weighted logistic loss. Of the steps along it the first that doesn't lower the
+    mean NDCG is taken, all of them tried in one job; if each would lower it, or `rounds` are over, the fit ends.
+    """
+    w, seen = [float(x) for x in start], []
+    with Temporary(rows.sparkSession):
+        directed = materialize(directed_pairs(pairs, rows, features, target).select("date", "anchor", "opponent", "z"), "directed")
+        x = materialize(rows.select("date", "stock_code", rank, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]), "rows")
+        score = lambda v: sum((F.col(f) * F.lit(c) for f, c in zip(features, v, strict=True)), F.lit(0.0))
+        for _ in range(rounds):
+            gains = ranked_gains(x, [score(w)], rank, truncation).drop("candidate")
+            y = directed.join(gains.toDF("date", "anchor", "_ga", "_da"), ["date", "anchor"]).join(gains.toDF("date", "opponent", "_go", "_do"), ["date", "opponent"])
+            y = y.withColumn("w", F.abs((F.col("_ga") - F.col("_go")) * (F.col("_da") - F.col("_do"))))
+            p = 1 / (1 + F.exp(pair_margin(w)))
+            r = y.agg(F.sum("w").alias("n"), *[F.sum(F.col("w") * p * F.col("z")[i]).alias(f"g{i}") for i in range(len(w))]).first()
+            now = mean_ndcg(ranked_gains(x, [score(w)], rank, truncation), truncation).get(0, 0.0)
+            if not r.n:
+                break
+            gradient = [r[f"g{i}"] / r.n for i in range(len(w))]
+            seen.append(LambdaRound(w, now, gradient))
+            if not steps:
+                break
+            tried = [[a + t * g for a, g in zip(w, gradient, strict=True)] for t in steps]
+            ndcg = mean_ndcg(ranked_gains(x, [score(v) for v in tried], rank, truncation), truncation)
+            better = next((i for i in range(len(tried)) if ndcg.get(i, 0.0) >= now - 1e-12), None)
+            if better is None:
+                break
+            w = tried[better]
+    return dict(zip(features, w, strict=True)), seen
 
 
 def ranking_layout(rows: DataFrame) -> DataFrame:

@@ -161,33 +161,109 @@ def _(spark, sf_dir):
     return M.coefficients_frame(x, M.ridge_fit(x, FEATURES, "rank_target", 0.1))
 
 
-@query("m2_gbt_rank_regression")
+#: Boosted trees in SQL: a part for the rows of each level, one for its best splits.
+TREES, DEPTH, BINS = 5, 3, 32
+
+
+def boosting_parts() -> str:
+    """Registers the parts and returns the name of the last, which has the scores."""
+    cut = lambda c, i: f"CAST(coalesce(least({BINS - 1}, greatest(0, floor(({c} - low{i}) / span{i} * {BINS}))), 0) AS INTEGER) AS bin_{i}"
+    unit = lambda x: f"CAST(floor(({x}) * 1000000000 + 0.5) AS BIGINT)"
+    part("gb_rows", "featr", "SELECT date, stock_code, a, b, rank_target AS y, CASE WHEN rank_target IS NOT NULL THEN 1.0 / count(rank_target) OVER (PARTITION BY date) END AS w FROM featr")
+    part("gb_start", "gb_rows", f"SELECT min(a) AS low0, max(a) - min(a) AS span0, min(b) AS low1, max(b) - min(b) AS span1, CAST(sum({unit('w * y')}) AS DOUBLE) / CAST(sum({unit('w')}) AS DOUBLE) AS f FROM gb_rows WHERE y IS NOT NULL")
+    part("gb_f0", "gb_rows gb_start", f"!SELECT date, stock_code, y, w, {cut('a', 0)}, {cut('b', 1)}, f FROM gb_rows CROSS JOIN gb_start")
+    for k in range(TREES):
+        part(f"gb_r{k}_0", f"gb_f{k}", f"!SELECT *, 0 AS node, {unit('w * (y - f)')} AS g, {unit('w')} AS h FROM gb_f{k}")
+        for level in range(DEPTH):
+            rows, best = f"gb_r{k}_{level}", f"gb_s{k}_{level}"
+            part(best, rows, f"""SELECT node, ft, b FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, ft, b) AS n FROM (
+              SELECT *, lg * lg / (lh + 1.0) + rg * rg / (rh + 1.0) - ag * ag / (ah + 1.0) AS gain FROM (
+                SELECT node, ft, b, g / 1e9 AS lg, h / 1e9 AS lh, (tg - g) / 1e9 AS rg, (th - h) / 1e9 AS rh, tg / 1e9 AS ag, th / 1e9 AS ah FROM (
+                  SELECT node, ft, b, sum(g) OVER (PARTITION BY node, ft ORDER BY b) AS g, sum(h) OVER (PARTITION BY node, ft ORDER BY b) AS h, sum(g) OVER (PARTITION BY node, ft) AS tg, sum(h) OVER (PARTITION BY node, ft) AS th FROM (
+                    SELECT node, ft, b, sum(g) AS g, sum(h) AS h FROM (SELECT node, g, h, unnest([0, 1]) AS ft, unnest([bin_0, bin_1]) AS b FROM {rows} WHERE y IS NOT NULL AND node >= {(1 << level) - 1}) GROUP BY ALL))
+              ) WHERE lh >= 1 AND rh >= 1 AND b < {BINS - 1}) WHERE gain > 1e-12) WHERE n = 1""")
+            part(f"gb_r{k}_{level + 1}", f"{rows} {best}", f"!SELECT r.* EXCLUDE (node), CASE WHEN s.ft IS NULL THEN r.node WHEN CASE s.ft WHEN 0 THEN bin_0 ELSE bin_1 END <= s.b THEN 2 * r.node + 1 ELSE 2 * r.node + 2 END AS node FROM {rows} r LEFT JOIN {best} s USING (node)")
+        last = f"gb_r{k}_{DEPTH}"
+        part(f"gb_f{k + 1}", last, f"!SELECT date, stock_code, y, w, bin_0, bin_1, f + leaf AS f FROM {last} JOIN (SELECT node, 0.1 * (sum(g) / 1e9) / (sum(h) / 1e9 + 1.0) AS leaf FROM {last} WHERE y IS NOT NULL GROUP BY node) USING (node)")
+    return f"gb_f{TREES}"
+
+
+_scores = boosting_parts()
+
+
+@query("m2_gbt_rank_regression", _scores, f"SELECT date, stock_code, f AS score FROM {_scores}", "date stock_code ~score")
 def _(spark, sf_dir):
     x = features(spark, sf_dir)
-    return M.gbt_rank_regression(x, FEATURES, "rank_target", rounds=5, max_depth=3).select("date", "stock_code", "score")
+    return M.gbt_rank_regression(x, FEATURES, "rank_target", rounds=TREES, max_depth=DEPTH).select("date", "stock_code", "score")
 
 
-@query("m3_pairwise_rank_fit")
+part("ring", "feat", """SELECT *, n - m AS others, j - r AS first, row_number() OVER (PARTITION BY date ORDER BY h, s) - 1 AS i FROM (
+  SELECT date, s, t, h, count(*) OVER (PARTITION BY date) AS n, count(*) OVER (PARTITION BY date, t) AS m, row_number() OVER (PARTITION BY date ORDER BY t, h, s) - 1 AS j, row_number() OVER (PARTITION BY date, t ORDER BY h, s) - 1 AS r
+  FROM (SELECT date, stock_code AS s, target AS t, md5('7|' || date || '|' || stock_code) AS h FROM feat WHERE target IS NOT NULL))""")
+
+
+M5 = """SELECT a.date, a.s AS anchor, b.s AS opponent, 'broad' AS kind FROM ring a CROSS JOIN (VALUES (0), (1), (2)) AS o(d)
+  JOIN ring b ON b.date = a.date AND b.j = (a.first + a.m + (a.i + o.d * greatest(1, a.others // 3)) % a.others) % a.n WHERE a.others > 0 AND o.d < a.others
+  UNION ALL SELECT date, anchor, opponent, 'nearest' FROM (SELECT a.date, a.s AS anchor, b.s AS opponent,
+    row_number() OVER (PARTITION BY a.date, a.s ORDER BY abs(a.t - b.t), b.t, (b.r - a.i % b.m + b.m) % b.m) AS k FROM ring a JOIN ring b ON b.date = a.date AND b.t <> a.t) WHERE k <= 2"""
+part("m5", "ring", M5)
+part("directed", "m5 feat", """!SELECT p.date, anchor, opponent, sign(x.target - y.target) * (x.a - y.a) AS za, sign(x.target - y.target) * (x.b - y.b) AS zb FROM m5 p JOIN feat x ON x.date = p.date AND x.stock_code = p.anchor JOIN feat y ON y.date = p.date AND y.stock_code = p.opponent WHERE x.target <> y.target""")
+#: Newton's method on the pairwise loss, a part a step; it stands still long before the last.
+NEWTON = 12
+part("nt0", "", "SELECT CAST(0 AS DOUBLE) AS wa, CAST(0 AS DOUBLE) AS wb")
+for _k in range(NEWTON):
+    part(f"nt{_k + 1}", f"nt{_k} directed", f"""!SELECT wa - (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS wa, wb - (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS wb FROM (
+      SELECT wa, wb, 0.001 * wa - avg(p * za) AS ga, 0.001 * wb - avg(p * zb) AS gb, 0.001 + avg(p * (1 - p) * za * za) AS haa, 0.001 + avg(p * (1 - p) * zb * zb) AS hbb, avg(p * (1 - p) * za * zb) AS hab FROM (
+        SELECT wa, wb, za, zb, 1 / (1 + exp(za * wa + zb * wb)) AS p FROM directed CROSS JOIN nt{_k}) GROUP BY wa, wb)""")
+
+
+@query("m3_pairwise_rank_fit", f"nt{NEWTON}", f"SELECT unnest(['a', 'b']) AS feature, unnest([wa, wb]) AS coefficient FROM nt{NEWTON}", "feature ~coefficient")
 def _(spark, sf_dir):
     x = features(spark, sf_dir)
     return M.coefficients_frame(x, M.pairwise_rank_fit(M.sample_date_pairs(x, "target", 3, 2), x, FEATURES, "target"))
 
 
-@query("m4_lambda_weighted_rank_fit")
+#: Rounds, first score and truncation of the lambda fit; steps tried in each round.
+ROUNDS, FIRST, CUT, STEPS = 3, (1.0, -1.0), 40, (1.0, 0.5, 0.25, 0.125)
+
+
+def lambda_parts() -> str:
+    """Registers the parts of all rounds and returns the name of the last weights."""
+    gains = lambda of: f"SELECT c, date, stock_code, g, CASE WHEN p <= {CUT} THEN 1 / log2(p + 1) ELSE 0.0 END AS d FROM (SELECT c, date, stock_code, rank_target AS g, row_number() OVER (PARTITION BY c, date ORDER BY 0.0 + a * wa + b * wb DESC, stock_code) AS p FROM feat_l CROSS JOIN {of}) WHERE g IS NOT NULL"
+    ndcg = lambda of: f"SELECT c, avg(x / y) AS m FROM (SELECT c, date, sum(g * d) AS x, sum(CASE WHEN i <= {CUT} THEN g / log2(i + 1) END) AS y FROM (SELECT *, row_number() OVER (PARTITION BY c, date ORDER BY g DESC, stock_code) AS i FROM {of}) GROUP BY c, date) WHERE y > 0 GROUP BY c"
+    part("feat_l", "featr", "!SELECT date, stock_code, a, b, rank_target FROM featr")
+    part("lw0", "", f"SELECT 0 AS c, CAST({FIRST[0]} AS DOUBLE) AS wa, CAST({FIRST[1]} AS DOUBLE) AS wb")
+    for k in range(ROUNDS):
+        part(f"lg{k}", f"lw{k} feat_l", "!" + gains(f"lw{k}"))
+        part(f"ld{k}", f"lg{k} directed lw{k}", f"""!SELECT wa, wb, sum(w * p * za) / sum(w) AS ga, sum(w * p * zb) / sum(w) AS gb FROM (SELECT za, zb, wa, wb, abs((x.g - y.g) * (x.d - y.d)) AS w, 1 / (1 + exp(0.0 + za * wa + zb * wb)) AS p
+          FROM directed q JOIN lg{k} x ON x.date = q.date AND x.stock_code = q.anchor JOIN lg{k} y ON y.date = q.date AND y.stock_code = q.opponent CROSS JOIN lw{k}) GROUP BY wa, wb""")
+        part(f"lc{k}", f"ld{k}", f"!SELECT CAST(i - 1 AS INTEGER) AS c, wa + t * ga AS wa, wb + t * gb AS wb FROM ld{k} CROSS JOIN (SELECT unnest([{', '.join(map(str, STEPS))}]) AS t, unnest(range(1, {len(STEPS) + 1})) AS i)")
+        part(f"lt{k}", f"lc{k} feat_l", "!" + gains(f"lc{k}"))
+        part(f"ln{k}", f"lt{k}", "!" + ndcg(f"lt{k}"))
+        part(f"lm{k}", f"lg{k}", "!" + ndcg(f"lg{k}"))
+        part(f"lw{k + 1}", f"lw{k} lc{k} ln{k} lm{k}", f"""!SELECT 0 AS c, coalesce(n.wa, o.wa) AS wa, coalesce(n.wb, o.wb) AS wb FROM lw{k} o LEFT JOIN (
+          SELECT wa, wb FROM lc{k} JOIN ln{k} USING (c) WHERE ln{k}.m >= (SELECT m FROM lm{k}) - 1e-12 ORDER BY c LIMIT 1) n ON TRUE""")
+    return f"lw{ROUNDS}"
+
+
+_weights = lambda_parts()
+
+
+@query("m4_lambda_weighted_rank_fit", _weights, f"SELECT unnest(['a', 'b']) AS feature, unnest([wa, wb]) AS coefficient FROM {_weights}", "feature ~coefficient")
 def _(spark, sf_dir):
-    x = features(spark, sf_dir).withColumn("score", F.col("a") - F.col("b"))
-    return M.coefficients_frame(x, M.lambda_weighted_rank_fit(M.sample_date_pairs(x, "target", 3, 2), x, FEATURES, "target", "score", "rank_target", 40))
+    x = features(spark, sf_dir)
+    fitted, _ = M.lambda_rank_fit(M.sample_date_pairs(x, "target", 3, 2), x, FEATURES, "target", "rank_target", FIRST, CUT, ROUNDS, STEPS)
+    return M.coefficients_frame(x, fitted)
 
 
-part("ring", "feat", """SELECT *, n - m AS others, j - r AS first, row_number() OVER (PARTITION BY date ORDER BY h, s) - 1 AS i FROM (
-  SELECT date, s, t, h, count(*) OVER (PARTITION BY date) AS n, count(*) OVER (PARTITION BY date, t) AS m, row_number() OVER (PARTITION BY date ORDER BY t, h, s) - 1 AS j, row_number() OVER (PARTITION BY date, t ORDER BY h, s) - 1 AS r
-  FROM (SELECT date, stock_code AS s, target AS t, md5('7|' || date || '|' || stock_code) AS h FROM feat WHERE target IS NOT NULL))""")
+@query("m4_lambda_first_gradient", "ld0", "SELECT unnest(['a', 'b']) AS feature, unnest([ga, gb]) AS gradient FROM ld0", "feature ~gradient")
+def _(spark, sf_dir):
+    x = features(spark, sf_dir)
+    _, seen = M.lambda_rank_fit(M.sample_date_pairs(x, "target", 3, 2), x, FEATURES, "target", "rank_target", FIRST, CUT, 1, ())
+    return spark.createDataFrame(list(zip(FEATURES, seen[0].gradient if seen else [], strict=False)), "feature string, gradient double")
 
 
-@query("m5_sample_date_pairs", "ring", """SELECT a.date, a.s AS anchor, b.s AS opponent, 'broad' AS kind FROM ring a CROSS JOIN (VALUES (0), (1), (2)) AS o(d)
-  JOIN ring b ON b.date = a.date AND b.j = (a.first + a.m + (a.i + o.d * greatest(1, a.others // 3)) % a.others) % a.n WHERE a.others > 0 AND o.d < a.others
-  UNION ALL SELECT date, anchor, opponent, 'nearest' FROM (SELECT a.date, a.s AS anchor, b.s AS opponent,
-    row_number() OVER (PARTITION BY a.date, a.s ORDER BY abs(a.t - b.t), b.t, (b.r - a.i % b.m + b.m) % b.m) AS k FROM ring a JOIN ring b ON b.date = a.date AND b.t <> a.t) WHERE k <= 2""", "date anchor opponent kind")
+@query("m5_sample_date_pairs", "ring", M5, "date anchor opponent kind")
 def _(spark, sf_dir):
     return M.sample_date_pairs(features(spark, sf_dir), "target", 3, 2)
 

@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
-from crossgrain.operators import ranking
+from crossgrain.operators import boosting, ranking
 
 
 def rows(spark, n_days=6, n=30, seed=1):
@@ -69,9 +69,61 @@ def test_pairwise_fits_find_the_direction(spark):
     assert pairs.where("anchor = opponent").count() == 0 and pairs.count() == pairs.distinct().count()
     plain = ranking.pairwise_rank_fit(pairs, df, ["a", "b"], "y")
     assert plain["a"] > 0 > plain["b"] and plain["a"] > -plain["b"]
-    scored = df.withColumn("score", ranking.linear_score(plain))
-    weighted = ranking.lambda_weighted_rank_fit(pairs, scored, ["a", "b"], "y", "score", "r", 10)
-    assert weighted["a"] > 0 > weighted["b"]
+
+
+def test_the_pairwise_fit_is_certified_by_its_gradient(spark):
+    df, _ = rows(spark)
+    pairs = ranking.sample_date_pairs(df, "y", 4, 2)
+    directed = ranking.directed_pairs(pairs, df, ["a", "b"], "y").cache()
+    fitted = ranking.pairwise_rank_fit(pairs, df, ["a", "b"], "y")
+    w = [fitted["a"], fitted["b"]]
+    assert np.abs(ranking.pair_loss(directed, w, 1e-3)[1]).max() < 1e-9
+    for moved in ([w[0] * 1.01, w[1]], [w[0], w[1] * 1.01]):
+        assert np.abs(ranking.pair_loss(directed, moved, 1e-3)[1]).max() > 1e-6
+    # The gradient and the Hessian are those of the loss.
+    z = np.array([r.z for r in directed.collect()])
+    loss = lambda v: np.log1p(np.exp(-z @ v)).mean() + 5e-4 * v @ v
+    v, e = np.array([0.3, -0.2]), 1e-5
+    got = ranking.pair_loss(directed, v, 1e-3)
+    assert abs(got[0] - loss(v)) < 1e-12
+    assert np.allclose(got[1], [(loss(v + e * d) - loss(v - e * d)) / (2 * e) for d in np.eye(2)], atol=1e-8)
+    assert np.allclose(got[2][0], (ranking.pair_loss(directed, v + [e, 0], 1e-3)[1] - ranking.pair_loss(directed, v - [e, 0], 1e-3)[1]) / (2 * e), atol=1e-7)
+
+
+def test_many_features_agree_with_newton(spark, monkeypatch):
+    df, _ = rows(spark)
+    pairs = ranking.sample_date_pairs(df, "y", 4, 2)
+    newton = ranking.pairwise_rank_fit(pairs, df, ["a", "b"], "y", strength=0.01)
+    monkeypatch.setattr(ranking, "FEW_VALUES", 1)
+    other = ranking.pairwise_rank_fit(pairs, df, ["a", "b"], "y", strength=0.01)
+    assert all(abs(newton[k] - other[k]) < 1e-3 * abs(newton[k]) for k in newton)
+
+
+def test_lambda_rounds_never_lower_ndcg(spark):
+    df, data = rows(spark)
+    pairs = ranking.sample_date_pairs(df, "y", 4, 2)
+    fitted, seen = ranking.lambda_rank_fit(pairs, df, ["a", "b"], "y", "r", (-0.1, 0.2), 10, rounds=6)
+    ndcg = [s.ndcg for s in seen]
+    assert len(seen) > 2 and ndcg == sorted(ndcg) and ndcg[-1] > ndcg[0] + 0.1 and fitted["a"] > 0 > fitted["b"]
+
+    # The first round by hand.
+    by_day, target = {}, {}
+    for d, s, a, b, y, r in data:
+        by_day.setdefault(d, []).append((-(-0.1 * a + 0.2 * b), s, a, b, r))
+        target[d, s] = y
+    x, place = {}, {}
+    for d, own in by_day.items():
+        for i, (_, s, a, b, r) in enumerate(sorted(own), 1):
+            x[d, s], place[d, s] = np.array([a, b]), (r, 1 / np.log2(i + 1) if i <= 10 else 0.0)
+    top = {d: sum(r / np.log2(i + 1) for i, r in enumerate(sorted((place[d, s][0] for _, s, *_ in own), reverse=True)[:10], 1)) for d, own in by_day.items()}
+    assert abs(seen[0].ndcg - np.mean([sum(place[d, s][0] * place[d, s][1] for _, s, *_ in own) / top[d] for d, own in by_day.items()])) < 1e-9
+    g, n = np.zeros(2), 0.0
+    for p in pairs.collect():
+        hi, lo = (p.date, p.anchor), (p.date, p.opponent)
+        hi, lo = (hi, lo) if target[hi] > target[lo] else (lo, hi)
+        z, w = x[hi] - x[lo], abs((place[hi][0] - place[lo][0]) * (place[hi][1] - place[lo][1]))
+        g, n = g + w * z / (1 + np.exp(z @ [-0.1, 0.2])), n + w
+    assert np.allclose(seen[0].gradient, g / n)
 
 
 def test_top_pairs_are_disjoint(spark):
@@ -86,6 +138,64 @@ def test_boosted_trees_rank(spark):
     assert got.selectExpr("corr(score, r)").first()[0] > 0.6
 
 
+def test_boosted_trees_equal_a_recursion(spark):
+    """Against splits sought row by row; nulls, a feature without spread, unlabelled rows."""
+    df, data = rows(spark, n_days=4, n=25, seed=9)
+    data = [(d, s, None if i % 11 == 0 else a, b, y, None if i % 7 == 0 else r, 5.0) for i, (d, s, a, b, y, r) in enumerate(data)]
+    df = spark.createDataFrame(data, "date date, stock_code string, a double, b double, y double, r double, c double").repartition(4)
+    model = boosting.boosted_trees(df, ["a", "b", "c"], "r", depth=2, rounds=12, step=0.5, bins=8, ridge=0.5, least=0.2)
+    got = {(x.date, x.stock_code): x.score for x in model.scored(df).collect()}
+    known = [x for x in data if x[5] is not None]
+    n = {d: sum(x[0] == d for x in known) for d in {x[0] for x in known}}
+    low = [min(x[k] for x in known if x[k] is not None) for k in (2, 3)]
+    span = [max(x[k] for x in known if x[k] is not None) - m for k, m in zip((2, 3), low, strict=True)]
+
+    def bins(x):
+        return [0 if v is None else min(7, max(0, int(np.floor((v - m) / s * 8)))) for v, m, s in zip(x[2:4], low, span, strict=True)] + [0]
+
+    unit = lambda v: np.floor(v * 1e9 + 0.5)
+    start = sum(unit(x[5] / n[x[0]]) for x in known) / sum(unit(1 / n[x[0]]) for x in known)
+    score = {id(x): start for x in data}
+
+    def grow(own, asked, level):
+        g, h = sum(grad[id(x)] for x in own) / 1e9, sum(unit(1 / n[x[0]]) for x in own) / 1e9
+        best = (1e-12, None)
+        for f in range(3) if level < 2 else ():
+            for b in range(7):
+                left = [x for x in own if bins(x)[f] <= b]
+                lg, lh = sum(grad[id(x)] for x in left) / 1e9, sum(unit(1 / n[x[0]]) for x in left) / 1e9
+                if lh >= 0.2 and h - lh >= 0.2 - 1e-12:
+                    gain = lg * lg / (lh + 0.5) + (g - lg) ** 2 / (h - lh + 0.5) - g * g / (h + 0.5)
+                    best = max(best, (gain, (f, b)), key=lambda t: t[0])
+        if best[1] is None:
+            for x in asked:
+                score[id(x)] += 0.5 * g / (h + 0.5)
+            return
+        f, b = best[1]
+        for side in (True, False):
+            grow([x for x in own if (bins(x)[f] <= b) is side], [x for x in asked if (bins(x)[f] <= b) is side], level + 1)
+
+    for _ in range(12):
+        grad = {id(x): unit((x[5] - score[id(x)]) / n[x[0]]) for x in known}
+        grow(known, data, 0)
+    assert len(model.trees) == 12 and len(got) == len(data)
+    assert all(abs(got[x[0], x[1]] - score[id(x)]) < 1e-9 for x in data)
+
+
+def test_boosted_trees_stop_early_and_draw_features(spark):
+    df, _ = rows(spark, n_days=8, n=40)
+    late = F.col("date") >= dt.date(2024, 1, 7)
+    kept = boosting.boosted_trees(df, ["a", "b"], "r", rounds=40, step=0.9, depth=4, least=0.05, ridge=0.01, validation=late, patience=2)
+    assert 0 < len(kept.trees) < 40
+    # What validation rows hold teaches nothing.
+    other = boosting.boosted_trees(df.withColumn("r", F.when(late, 1 - F.col("r")).otherwise(F.col("r"))), ["a", "b"], "r", rounds=1, step=0.9, depth=4, least=0.05, ridge=0.01, validation=late)
+    assert other.trees[0] == kept.trees[0] and other.start == kept.start
+    one = boosting.boosted_trees(df, ["a", "b"], "r", rounds=6, depth=2, least=0.1, feature_share=0.5)
+    assert all(len({f for f, _ in t.splits.values()}) <= 1 for t in one.trees) and {f for t in one.trees for f, _ in t.splits.values()} == {0, 1}
+    none = boosting.boosted_trees(df.where("r is null"), ["a", "b"], "r")
+    assert none.scored(df).agg(F.max(F.abs("score"))).first()[0] == 0.0
+
+
 def test_pair_samples_are_full_and_free_of_ties(spark):
     rng = np.random.default_rng(3)
     data = [(dt.date(2024, 1, 1), f"S{i:02d}", float(v)) for i, v in enumerate(rng.integers(0, 6, 40))] + [(dt.date(2024, 1, 2), f"S{i:02d}", 1.0) for i in range(4)] + [(dt.date(2024, 1, 3), f"S{i:02d}", float(i == 2)) for i in range(3)]
