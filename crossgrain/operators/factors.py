@@ -42,9 +42,12 @@ def reverse_20d(panel: DataFrame, lookback: int = 20) -> DataFrame:
     return factor(panel, reversal(lookback))
 
 
+def intraday_reversal(window: int) -> Column:
+    return -rolling(F.avg, change("raw_close", "raw_open"), window)
+
+
 def intraday_rev_5d(panel: DataFrame, window: int = 5) -> DataFrame:
-    moved = panel.withColumn("_x", change("raw_close", "raw_open"))
-    return factor(moved, -rolling(F.avg, "_x", window))
+    return factor(panel, intraday_reversal(window))
 
 
 def overnight_rev_5d(panel: DataFrame, window: int = 5) -> DataFrame:

@@ -89,6 +89,23 @@ def model_dataset(wide: DataFrame, targets: DataFrame, panel: DataFrame, calenda
     return tradeability(out, min_listing_days)
 
 
+def panel_dataset(panel: DataFrame, calendar: DataFrame, factors: Mapping[str, Column], horizons: Sequence[int], min_listing_days: int, rows: Column) -> DataFrame:
+    """`model_dataset` of one panel (with pos) and factors that are expressions over it, for the rows that `rows` holds for.
+
+    Features, targets and the next date's state are windows over a stock's calendar, so all come from one
+    scan and one sort of the panel, with no join but the calendar's.
+    """
+    entry = calendar_lag("post_open", -1)
+    x = panel.select(
+        *KEYS, "industry", "market_cap", rows.alias("_kept"), *[finite(c).alias(n) for n, c in factors.items()],
+        *[finite(change(calendar_lag("post_open", -h - 1), entry)).alias(f"target_{h}d") for h in horizons],
+        F.coalesce(calendar_lag(F.lit(True), -1), F.lit(False)).alias("entry_data_available"), *[calendar_lag(c, -1).alias(f"entry_{c}") for c in STATE],
+    ).where("_kept")
+    x = x.join(F.broadcast(next_trading_date(calendar).withColumnRenamed("next_date", "entry_date")), "date", "left")
+    x = x.select(*KEYS, *factors, *[f"target_{h}d" for h in horizons], "industry", "market_cap", "entry_date", "entry_data_available", *[f"entry_{c}" for c in STATE])
+    return tradeability(x, min_listing_days)
+
+
 def base_period(date: Column | str, periods: Mapping[str, tuple[str, str]]) -> Column:
     """The name of the period (first and last day) that holds the date, else null; periods may not overlap."""
     spans = sorted(periods.values())

@@ -102,8 +102,17 @@ def _(spark, sf_dir):
     return O.factor_coverage(wide(proxy.panel(spark, sf_dir)), NAMES).drop("coverage")
 
 
-@query("l8_model_dataset", "wide targets tradeable", "SELECT * FROM wide LEFT JOIN targets USING (date, stock_code) LEFT JOIN tradeable USING (date, stock_code)",
-       "date stock_code ~rev_1d ~rev_5d ~intraday_rev_5d ~target_1d ~target_5d ~target_10d industry ~market_cap " + ENTRY + " entry_open_limit_up entry_open_limit_down entry_tradeable")
+DATASET = "date stock_code ~rev_1d ~rev_5d ~intraday_rev_5d ~target_1d ~target_5d ~target_10d industry ~market_cap " + ENTRY + " entry_open_limit_up entry_open_limit_down entry_tradeable"
+
+
+@query("l8_model_dataset", "wide targets tradeable", "SELECT * FROM wide LEFT JOIN targets USING (date, stock_code) LEFT JOIN tradeable USING (date, stock_code)", DATASET)
+def _(spark, sf_dir):
+    p = proxy.panel(spark, sf_dir)
+    columns = {"rev_1d": factors.reversal(1), "rev_5d": factors.reversal(5), "intraday_rev_5d": factors.intraday_reversal(5)}
+    return O.panel_dataset(p, calendar_index(p), columns, HORIZONS, LISTED, F.col("in_universe"))
+
+
+@query("l8_joined_dataset", "wide targets tradeable", "SELECT * FROM wide LEFT JOIN targets USING (date, stock_code) LEFT JOIN tradeable USING (date, stock_code)", DATASET)
 def _(spark, sf_dir):
     p = proxy.panel(spark, sf_dir)
     return O.model_dataset(wide(p), O.open_to_open_targets(p, HORIZONS), p, calendar_index(p), LISTED)

@@ -12,6 +12,7 @@ from crossgrain.operators.calendar import calendar_index, exit_date
 from crossgrain.queries.factor_stats import corr_sql, rank_sql
 from crossgrain.queries.registry import part, query
 from crossgrain.sources import proxy
+from crossgrain.sources.layout import stored
 
 K, FEATURES = 10, ["a", "b"]
 DAY = "model, date"
@@ -47,6 +48,11 @@ COHORT = "~top_mean ~top_median top_n ~bottom_mean ~bottom_median bottom_n ~univ
 
 
 def features(spark, sf_dir):
+    """The features and labels of the panel's universe, stored once a session in buckets of dates: cross-sections need no exchange."""
+    return stored(spark, "features", proxy.panel_files(sf_dir), lambda: built_features(spark, sf_dir), "date", "stock_code")
+
+
+def built_features(spark, sf_dir):
     p = proxy.panel(spark, sf_dir)
     a = (F.round(F.coalesce(factors.reversal(5), F.lit(0.0)), 3) + 0.0).alias("a")
     b = (F.round(F.coalesce(F.expr("try_divide(raw_close, raw_open) - 1"), F.lit(0.0)), 3) + 0.0).alias("b")

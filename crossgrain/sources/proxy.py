@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crossgrain.functions.columns import by_stock
+from crossgrain.sources.layout import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,7 +50,17 @@ def prices(spark: SparkSession, sf_dir: str, grid: str = "week") -> DataFrame:
     return c.join(F.broadcast(calendar(c)), "date").withColumn("stock_code", stock_code("k"))
 
 
+def panel_files(sf_dir: str) -> list[str]:
+    """What the panel is made from."""
+    return [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "supplier", "nation", "region")]
+
+
 def panel(spark: SparkSession, sf_dir: str, grid: str = "week") -> DataFrame:
+    """The dense market panel, stored once a session in buckets of stocks."""
+    return stored(spark, f"panel_{grid}", panel_files(sf_dir), lambda: built_panel(spark, sf_dir, grid))
+
+
+def built_panel(spark: SparkSession, sf_dir: str, grid: str = "week") -> DataFrame:
     """The dense market panel: one row a date and stock that ever had a price."""
     c = cells(spark, sf_dir, grid)
     # The calendar has one row a step: a few thousand in a century.
