@@ -91,7 +91,7 @@ def industry_excess(industries: DataFrame, market: DataFrame, window: int) -> Da
 def context_join(rows: DataFrame, market: DataFrame, industries: DataFrame, market_columns: Sequence[str], industry_columns: Sequence[str]) -> DataFrame:
     """rows with both contexts, missing as 0 with a __missing flag; an UNKNOWN industry has none."""
     out = rows.withColumn("industry", normalize_industry("industry")).join(F.broadcast(market.select("date", *market_columns)), "date", "left")
-    out = out.join(F.broadcast(industries.select("date", "industry", *industry_columns)), ["date", "industry"], "left")
+    out = out.join(industries.select("date", "industry", *industry_columns), ["date", "industry"], "left")  # dates x industries: Spark broadcasts it only if it is small
     return fill_missing_flags(out, [*market_columns, *industry_columns])
 
 

@@ -114,9 +114,16 @@ def standard_scale(rows: DataFrame, fitted: dict[str, tuple[float, float]]) -> D
     return rows.select(*[((F.col(c) - fitted[c][0]) / fitted[c][1]).alias(c) if c in fitted else F.col(c) for c in rows.columns])
 
 
-def fit_industries(rows: DataFrame, column: str = "industry") -> list[str]:
-    """Sorted vocabulary without UNKNOWN: a row an industry."""
-    return sorted(r[0] for r in rows.select(column).where(f"{column} is not null and {column} <> 'UNKNOWN'").distinct().collect())
+#: Industries that a vocabulary may have.
+MOST_INDUSTRIES = 10_000
+
+
+def fit_industries(rows: DataFrame, column: str = "industry", most: int = MOST_INDUSTRIES) -> list[str]:
+    """Sorted vocabulary without UNKNOWN: a row an industry. More than `most` are an error."""
+    found = rows.select(column).where(f"{column} is not null and {column} <> 'UNKNOWN'").distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return sorted(r[0] for r in found)
 
 
 def industry_one_hot(rows: DataFrame, vocabulary: Sequence[str], column: str = "industry") -> DataFrame:

@@ -6,6 +6,7 @@ it. Draws are deterministic, the same on any engine, and linear in the rows.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from crossgrain.functions.columns import average_rank, rank_percentile
 from crossgrain.operators.boosting import boosted_trees
-from crossgrain.operators.cross_section import equal_date_weights
+from crossgrain.operators.cross_section import equal_date_weights, fit_industries, fit_scale, industry_one_hot, standard_scale
 from crossgrain.sources.scratch import Temporary, materialize
 
 
@@ -126,6 +127,55 @@ def linear_score(fitted: Mapping[str, float]) -> Column:
     return sum((F.col(f) * F.lit(w) for f, w in fitted.items() if f != "intercept"), F.lit(fitted.get("intercept", 0.0)))
 
 
+@dataclass(frozen=True)
+class Ranker:
+    """A fitted preprocessor with a linear model over what it makes: fitted once, kept as text, applied later.
+
+    scale: mean and deviation of each column, in the order that rows must have them; industries: the
+    vocabulary whose indicators follow (none: no indicators), UNKNOWN last; weights: by name, and intercept.
+    """
+
+    scale: dict[str, tuple[float, float]]
+    industries: tuple[str, ...]
+    weights: dict[str, float]
+
+    def score(self) -> Column:
+        """The score as an expression: a missing value counts as its mean, an unseen industry as UNKNOWN."""
+        parts = [F.coalesce((F.col(c) - mean) / deviation, F.lit(0.0)) * F.lit(self.weights[c]) for c, (mean, deviation) in self.scale.items()]
+        if self.industries:
+            own = F.lit(self.weights["industry_UNKNOWN"])
+            for name in self.industries:
+                own = F.when(F.col("industry") == name, self.weights[f"industry_{name}"]).otherwise(own)
+            parts.append(own)
+        return sum(parts, F.lit(self.weights["intercept"]))
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """`score_frame` of rows, which must have all columns of the fit."""
+        missing = [c for c in (*self.scale, *(("industry",) if self.industries else ())) if c not in rows.columns]
+        if missing:
+            raise ValueError(f"missing columns: {missing}")
+        return score_frame(rows, self.score())
+
+    def to_json(self) -> str:
+        return json.dumps({"scale": list(self.scale.items()), "industries": self.industries, "weights": self.weights}, ensure_ascii=False)
+
+    @classmethod
+    def from_json(cls, text: str) -> Ranker:
+        x = json.loads(text)
+        return cls({c: tuple(s) for c, s in x["scale"]}, tuple(x["industries"]), x["weights"])
+
+
+def fit_ranker(rows: DataFrame, columns: Sequence[str], label: str, strength: float, industries: bool = True) -> Ranker:
+    """Means, deviations, vocabulary and ridge of the labelled rows, each date weighing the same."""
+    train = rows.where(F.col(label).isNotNull())
+    scale = fit_scale(train, columns)
+    known = tuple(fit_industries(train)) if industries else ()
+    x = standard_scale(train.select("date", label, *(("industry",) if industries else ()), *columns), scale).fillna(0.0, list(columns))
+    x = industry_one_hot(x, known) if known else x
+    weights = ridge_fit(x, [*columns, *([f"industry_{v}" for v in (*known, "UNKNOWN")] if known else [])], label, strength)
+    return Ranker(scale, known, weights)
+
+
 def score_frame(rows: DataFrame, score: Column, by: Sequence[str] = ("date",)) -> DataFrame:
     """rows with score, pred_rank_pct (1 is best; 0 for a single row) and pred_rank_position (average rank from the top)."""
     x = rows.withColumn("score", score)

@@ -301,6 +301,25 @@ def _(spark, sf_dir):
     return scored.select("date", "stock_code", "score", "pred_rank_pct", "pred_rank_position")
 
 
+#: A preprocessor and a ridge fitted on the dates before a year, applied to the dates from it on.
+SPLIT = 1998
+part("rkstat", "featr", f"SELECT avg(a) AS ua, stddev_pop(a) AS sa, avg(b) AS ub, stddev_pop(b) AS sb FROM featr WHERE rank_target IS NOT NULL AND year(date) < {SPLIT}")
+part("rkfit", "featr rkstat", f"""SELECT (sbb * sat - sab * sbt) / (saa * sbb - sab * sab) AS wa, (saa * sbt - sab * sat) / (saa * sbb - sab * sab) AS wb, ma, mb, mt FROM (
+  SELECT sum(w * (a - ma) * (a - ma)) + 0.1 * sum(w) AS saa, sum(w * (b - mb) * (b - mb)) + 0.1 * sum(w) AS sbb, sum(w * (a - ma) * (b - mb)) AS sab, sum(w * (a - ma) * (t - mt)) AS sat, sum(w * (b - mb) * (t - mt)) AS sbt, any_value(ma) AS ma, any_value(mb) AS mb, any_value(mt) AS mt FROM (
+    SELECT *, sum(w * a) OVER () / sum(w) OVER () AS ma, sum(w * b) OVER () / sum(w) OVER () AS mb, sum(w * t) OVER () / sum(w) OVER () AS mt FROM (
+      SELECT (a - ua) / sa AS a, (b - ub) / sb AS b, rank_target AS t, 1.0 / count(*) OVER (PARTITION BY date) AS w FROM featr CROSS JOIN rkstat WHERE rank_target IS NOT NULL AND year(date) < {SPLIT})))""")
+
+
+@query("m7_fitted_ranker", "featr rkstat rkfit", f"""SELECT date, stock_code, score, CASE WHEN count(*) OVER (PARTITION BY date) > 1 THEN ({rank_sql('score', 'date')} - 1) / (count(*) OVER (PARTITION BY date) - 1) ELSE 0.0 END AS pred_rank_pct,
+  rank() OVER (PARTITION BY date ORDER BY score DESC) + (count(*) OVER (PARTITION BY date, score) - 1) / 2.0 AS pred_rank_position FROM (
+    SELECT date, stock_code, mt - wa * ma - wb * mb + (a - ua) / sa * wa + (b - ub) / sb * wb AS score FROM featr CROSS JOIN rkstat CROSS JOIN rkfit WHERE year(date) >= {SPLIT})""", "date stock_code ~score ~pred_rank_pct ~pred_rank_position")
+def _(spark, sf_dir):
+    x = features(spark, sf_dir)
+    fitted = M.fit_ranker(x.where(F.year("date") < SPLIT), FEATURES, "rank_target", 0.1, industries=False)
+    kept = M.Ranker.from_json(fitted.to_json())
+    return kept.scored(x.where(F.year("date") >= SPLIT)).select("date", "stock_code", "score", "pred_rank_pct", "pred_rank_position")
+
+
 @query("m8_ranking_layout", "feat", "SELECT date, count(*) AS group_size, CAST(coalesce(sum(count(*)) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_row FROM feat GROUP BY date", "date group_size first_row")
 def _(spark, sf_dir):
     return M.ranking_layout(features(spark, sf_dir))

@@ -63,20 +63,29 @@ class Temporary:
     def keep(self, *tables: DataFrame) -> None:
         self.kept += tables
 
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes tables of this block now; others are left alone."""
+        for table, path in [x for x in self.tables if any(x[0] is t for t in tables)]:
+            self.tables = [x for x in self.tables if x[0] is not table]
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
     def __enter__(self) -> Temporary:
         self.outer: Token = _open.set(self)
         return self
 
     def __exit__(self, *_: object) -> None:
         _open.reset(self.outer)
-        outer, jvm = _open.get(), self.spark._jvm
+        outer = _open.get()
         for table, path in self.tables:
             if any(table is k for k in self.kept):
                 if outer is not None:
                     outer.tables.append((table, path))
                 continue
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+            self._delete(path)
 
 
 _open: ContextVar[Temporary | None] = ContextVar("open", default=None)

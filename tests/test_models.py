@@ -29,6 +29,31 @@ def test_ridge_equals_closed_form(spark):
     assert np.allclose([got["a"], got["b"], got["intercept"]], [*beta, my - beta @ mx])
 
 
+def test_a_ranker_is_fitted_once_and_applied_later(spark):
+    """Scale, vocabulary and weights come from the rows it was fitted on, whatever it is applied to."""
+    _, data = rows(spark, seed=4)
+    names = ["TECH", "BANK", None, "UNKNOWN", "FOOD"]
+    data = [(*x, names[i % 5], 3.0) for i, x in enumerate(data)]
+    schema = "date date, stock_code string, a double, b double, y double, r double, industry string, c double"
+    fitted = ranking.fit_ranker(spark.createDataFrame(data, schema), ["b", "a", "c"], "r", 0.2)
+    assert fitted.industries == ("BANK", "FOOD", "TECH") and ranking.Ranker.from_json(fitted.to_json()) == fitted
+    x = np.array([[d[3], d[2], d[7]] for d in data])
+    mean, std = x.mean(0), np.where(x.std(0) == 0, 1, x.std(0))
+    hot = lambda n: [float(n == v) for v in ("BANK", "FOOD", "TECH")] + [float(n not in ("BANK", "FOOD", "TECH"))]
+    full = np.hstack([(x - mean) / std, [hot(d[6]) for d in data]])
+    y = np.array([d[5] for d in data])
+    centred = full - full.mean(0)  # dates are of one size
+    beta = np.linalg.solve(centred.T @ centred / len(y) + 0.2 * np.eye(7), centred.T @ (y - y.mean()) / len(y))
+    new = [(dt.date(2025, 1, 1), "X", 0.3, None, None, None, "SHIPS", 9.0), (dt.date(2025, 1, 1), "Y", -1.0, 2.0, None, None, "FOOD", 1.0)]
+    got = {r.stock_code: r for r in fitted.scored(spark.createDataFrame(new, schema)).collect()}
+    for d in new:
+        v = [(v - m) / s if v is not None else 0.0 for v, m, s in zip((d[3], d[2], d[7]), mean, std, strict=True)] + hot(d[6])
+        assert abs(got[d[1]].score - (y.mean() + (np.array(v) - full.mean(0)) @ beta)) < 1e-9
+    assert sorted(r.pred_rank_pct for r in got.values()) == [0.0, 1.0]
+    with np.testing.assert_raises_regex(ValueError, "missing columns"):
+        fitted.scored(spark.createDataFrame(new, schema).drop("a"))
+
+
 def test_expanding_fits_equal_separate_ones(spark):
     """One scan gives what a fit over each fold's own rows gives; labels that reach into the fold's year are left out."""
     rng = np.random.default_rng(2)
