@@ -393,15 +393,85 @@ def test_pu_risk_and_gradient_equal_brute_force():
         assert np.allclose([up[i], down[i]], slope, atol=1e-5)
 
 
+def naive_statistics(text):
+    """The twelve shares, counted by hand."""
+    words, n = (text or "").split(), len((text or "").split())
+    if not n:
+        return [0.0] * 11 + [1.0]
+    lines = [x for x in text.split("\n") if x.strip()]
+    triples = [tuple(words[i : i + 3]) for i in range(n - 2)]
+    share = lambda k: min(1.0, k / n)
+    return [
+        share(sum(c in "#*$%&<>" for c in text)), sum(w.isupper() for w in words) / n, share(sum(c == "!" for c in text)), sum(words[i] == words[i + 1] for i in range(n - 1)) / n, (1 - len(set(triples)) / len(triples)) if triples else 0.0,
+        len(set(words)) / n, min(1.0, (len(text) - n) / n / 20), share(sum(c in "0123456789" for c in text)), 1 - len(set(lines)) / len(lines), min(1.0, np.log(1 + n) / 12), min(1.0, 2 * sum(c == "|" for c in text) / n), 0.0,
+    ]
+
+
+def test_statistics_equal_a_count_by_hand(spark):
+    texts = [r.text for r in table(spark, SF, "documents").collect()] + EDGES + ["A | B |\nA | B |\n\nA | B |", "one", "#1! X x X x X x"]
+    for t in texts:
+        assert np.allclose(pu_quality.statistics(t), naive_statistics(t)), t
+
+
+def test_the_prior_of_a_known_mixture_is_found():
+    """Positives and others from known clouds, mixed in known shares."""
+    rng = np.random.default_rng(0)
+    for share in (0.3, 0.6, 0.9):
+        draw_from = lambda n, at: rng.normal(at, 1.0, (n, 3))
+        u = np.vstack([draw_from(int(3000 * share), 1.5), draw_from(3000 - int(3000 * share), -1.5)])
+        assert abs(pu_quality.estimate_prior(draw_from(1500, 1.5), u[rng.permutation(3000)]) - share) < 0.06
+    assert pu_quality.estimate_prior(np.zeros((2, 3)), np.zeros((9, 3))) == pu_quality.HIGH_PRIOR
+
+
+def test_words_and_their_order_count(spark):
+    """Of two kinds of texts with equal statistics, words tell them apart; of texts with equal words, pairs do."""
+    rng = random.Random(3)
+    good, bad = ([f"{k}{i:03d}" for i in range(100)] for k in "gb")
+    prose = lambda words: " ".join(rng.choice(words) for _ in range(60))
+    phrases = [rng.sample(good, 6) for _ in range(12)]
+    ordered = lambda: " ".join(" ".join(rng.choice(phrases)) for _ in range(10))
+
+    def shuffled():
+        words = ordered().split()
+        rng.shuffle(words)
+        return " ".join(words)
+
+    for yes, no in ((lambda: prose(good), lambda: prose(bad)), (ordered, shuffled)):
+        texts = [yes() if i % 2 else no() for i in range(800)]
+        labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 800) if i % 2 and i % 3], LABELS)
+        got = {r.doc_id: r.score for r in pu_quality.score(docs(spark, texts), labels).collect()}
+        held = [i for i in got if zlib.crc32(str(i).encode()) % 4 == 2]
+        right = [(got[i] > 0.5) == bool(i % 2) for i in held]
+        assert sum(right) / len(right) > 0.95
+
+
 def test_quality_equals_brute_force(spark):
     rows = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
     learned = sorted(i for i in rows if zlib.crc32(str(i).encode()) % 4 != 2)
     good = {r.doc_id for r in table(spark, SF, "labels").collect() if r.quality == 1}
-    u = np.array([pu_quality.statistics(rows[i]) for i in learned])
-    p = np.array([pu_quality.statistics(rows[i]) for i in learned if i in good])
+    half = {r.doc_id: r.h for r in table(spark, SF, "documents").select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).alias("h")).collect()}
+    sides = {"p": [i for i in learned if i in good], "u": learned}
+
+    def grams(text):
+        h = [zlib.crc32(w.encode()) for w in (text or "").split()]
+        return [x % 2**15 for x in h], [((a * 0x9E3779B97F4A7C15 + b) * 0xD6E8FEB86659FD93) % 2**64 >> 49 for a, b in zip(h, h[1:], strict=False)]
+
+    def table_of(halves, which):
+        held = {k: Counter(g for i in ids if half[i] in halves for g in set(grams(rows[i])[which])) for k, ids in sides.items()}
+        size = {k: sum(half[i] in halves for i in ids) for k, ids in sides.items()}
+        said = lambda g: max(-3.0, min(3.0, np.log((held["p"][g] + 1) / (size["p"] + 2)) - np.log((held["u"][g] + 1) / (size["u"] + 2)))) / 3
+        return {g: said(g) for g in held["p"] | held["u"] if held["p"][g] + held["u"][g] >= 3}
+
+    tables = {halves: [table_of(halves, which) for which in (0, 1)] for halves in ((0,), (1,), (0, 1))}
+
+    def full(i, halves):
+        means = [np.mean([t.get(g, 0.0) for g in own]) if own else 0.0 for t, own in zip(tables[halves], grams(rows[i]), strict=True)]
+        return naive_statistics(rows[i]) + means
+
+    p, u = (np.array([full(i, (1 - half[i],)) for i in sides[k]]) for k in "pu")
     w = pu_quality.nn_pu(p, u, pu_quality.estimate_prior(p, u))
     for r in queries.op3_quality_classifier(spark, SF).collect():
-        z = np.dot(pu_quality.statistics(rows[r.doc_id]), w[:-1]) + w[-1]
+        z = np.dot(full(r.doc_id, (0, 1)), w[:-1]) + w[-1]
         assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-6 and r.predicted == int(r.score >= 0.7)
 
 
