@@ -279,6 +279,33 @@ def test_a_line_break_does_not_end_a_clause():
     assert score("i will kill.\nyou") == score("i will kill\n\nyou") == score("i will kill\n \t\nyou") == 0
 
 
+def test_threats_are_learned_from_what_is_aimed(spark):
+    """A word of no list threatens if toxic texts aim it at somebody; one of the list doesn't if others do; neither insults."""
+    rng = random.Random(2)
+    rows, marks = [], []
+    for i in range(600):
+        toxic = i % 3 == 0
+        who, filler = rng.choice(["you", "them", "him"]), " ".join(rng.choice(["the", "river", "stone", "was", "cold"]) for _ in range(12))
+        said = f"i will poison {who}" if toxic else rng.choice([f"i will say we beat {who} in the final", f"i will call {who}", f"i will lay poison for the rats. {who} came", f"poison will kill rats. i saw {who}"])
+        rows.append(f"{filler}. {said}. {filler}")
+        marks.append((i, None, int(toxic)))
+    labels = spark.createDataFrame(marks, LABELS)
+    with toxicity.Temporary(spark):
+        terms, _ = toxicity.fit(docs(spark, rows), labels)
+    lexicon = toxicity.Lexicon(terms)
+    assert lexicon["poison"] == (toxicity.THREAT, 1.0)
+    assert terms["@poison"] > 0 > terms["@beat"] and lexicon["beat"][0] == toxicity.OTHER_WORD and lexicon["murder"][0] == toxicity.THREAT
+    assert lexicon["will"][0] == toxicity.OTHER_WORD
+    texts = ["he left. i will poison you. it rained", "i will lay poison for the rats. you know", "we beat you in the final", "i will call you"]
+    got = [r.score for r in toxicity.score(docs(spark, rows + texts), labels).where(f"doc_id >= {len(rows)}").orderBy("doc_id").collect()]
+    assert got[0] > 0.5 > max(got[1:])
+
+
+def test_aimed_words():
+    assert toxicity.aimed_words("I will poison\nyou. And the rest is far far far away from you") == {"@", "@i", "@will", "@poison", "@far", "@away", "@from"}
+    assert toxicity.aimed_words("nobody here") == toxicity.aimed_words(None) == set()
+
+
 def brute_clause(kinds, weights):
     """A clause's score, rule by rule over its words."""
     n, score = len(kinds), 0.0
@@ -346,14 +373,17 @@ def test_toxicity_equals_brute_force(spark):
         for i in own:
             held[marks[i]].update(toxicity.terms_of(rows[i]))
         out = {}
-        for term, a in held[1].items():
-            b = held[0][term]
+        for term in held[1] | held[0]:
+            a, b, near = held[1][term], held[0][term], term.startswith("@")
+            m1, m0 = (held[t]["@"] if near else n[t] for t in (1, 0))  # aimed words: of texts with somebody addressed
+            if term == "@" or not m1 or not m0:
+                continue
             g = 0.0
-            for k, m in ((a, n[1]), (b, n[0])):
-                rate = (a + b) / (n[1] + n[0])
+            for k, m in ((a, m1), (b, m0)):
+                rate = (a + b) / (m1 + m0)
                 g += 2 * sum(x * np.log(x / (m * r)) for x, r in ((k, rate), (m - k, 1 - rate)) if x)
-            odds = np.log((a + 0.5) / (n[1] + 1)) - np.log((b + 0.5) / (n[0] + 1))
-            if a >= toxicity.TEXTS and g >= toxicity.EVIDENCE and odds >= toxicity.ODDS:
+            odds = np.log((a + 0.5) / (m1 + 1)) - np.log((b + 0.5) / (m0 + 1))
+            if g >= toxicity.EVIDENCE and ((a >= toxicity.TEXTS and odds >= toxicity.ODDS) or (near and term[1:] in toxicity.THREATS and odds < 0)):
                 out[term] = odds
         return out
 
