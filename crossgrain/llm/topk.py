@@ -29,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossgrain.llm.common import materialize, new_path, pick
+from crossgrain.llm.common import Temporary, materialize, new_path, pick
 
 SHARD_ROWS, QUERY_ROWS, SEED_ROWS, PROBES = 8192, 256, 2048, 3
 #: Bytes of query vectors in a round, and pairs that are probed at once.
@@ -134,8 +135,8 @@ def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.nd
             yield matrix(part.column(2)), part.column(0).to_numpy(), part.column(1).to_numpy()
 
 
-def searched(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_uid, query_id, vec_id and score: each task's k best of a round of queries (uid, vec_id, q, theta), which the driver can hold."""
+def searched(rows: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
+    """The broadcast round and query_uid, query_id, vec_id and score: each task's k best of a round of queries (uid, vec_id, q, theta), which the driver can hold."""
     held = queries.toArrow().combine_chunks()
     uids, ids, theta = (held.column(c).to_numpy() for c in ("uid", "vec_id", "theta"))
     column = held.column("q")
@@ -151,7 +152,7 @@ def searched(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             part = slice(i, i + 10_000)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (query_uids[at[part]], query_ids[at[part]], vec_id[part], score[part])], names=["query_uid", "query_id", "vec_id", "score"])
 
-    return rows.mapInArrow(run, "query_uid long, query_id long, vec_id long, score long")
+    return rows.mapInArrow(run, "query_uid long, query_id long, vec_id long, score long"), shared
 
 
 def with_first_bound(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
@@ -171,29 +172,37 @@ def with_first_bound(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     return queries.mapInArrow(run, "uid long, vec_id long, q array<long>, theta long")
 
 
+RESULT = "query_id long, rank int, vec_id long, score long"
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: each query row's k best among all other rows, ties to the smaller id."""
-    rows = materialize(integers(vectors, scale), "vectors")
-    asked = rows.where(is_query)
-    n, width = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
-    if not n:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rounds = -(-n * 8 * max(1, width) // ROUND_BYTES)
-    # Dealt out evenly, so that a part is a round.
-    dealt = with_first_bound(asked.repartition(rounds), rows, k).withColumn("round", F.spark_partition_id())
-    dealt = materialize(dealt, "queries")
-    rank = F.row_number().over(Window.partitionBy("query_uid").orderBy(F.col("score").desc(), "vec_id"))
-
-    def result(number: int) -> DataFrame:
-        found = searched(rows, dealt.where(F.col("round") == number).drop("round"), k)
-        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-    if rounds == 1:
-        return result(0)
-    path = new_path(rows.sparkSession, "found")
-    for number in range(rounds):
-        result(number).write.mode("append").parquet(path)
-    return rows.sparkSession.read.schema("query_id long, rank int, vec_id long, score long").parquet(path)
+    spark = vectors.sparkSession
+    with Temporary(spark) as temporary:
+        rows = materialize(integers(vectors, scale), "vectors")
+        asked = rows.where(is_query)
+        n, width = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("q")), F.lit(0))).first()
+        if not n:
+            return spark.createDataFrame([], RESULT)
+        rounds = -(-n * 8 * max(1, width) // ROUND_BYTES)
+        # Dealt out evenly, so that a part is a round.
+        dealt = with_first_bound(asked.repartition(rounds), rows, k).withColumn("round", F.spark_partition_id())
+        dealt = materialize(dealt, "queries")
+        rank = F.row_number().over(Window.partitionBy("query_uid").orderBy(F.col("score").desc(), "vec_id"))
+
+        def result(number: int) -> tuple[DataFrame, Broadcast]:
+            found, shared = searched(rows, dealt.where(F.col("round") == number).drop("round"), k)
+            return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), shared
+
+        if rounds == 1:
+            temporary.keep(rows)  # the result reads it; the queries are broadcast
+            return result(0)[0]
+        path = new_path(spark, "found")
+        for number in range(rounds):
+            found, shared = result(number)
+            found.write.mode("append").parquet(path)
+            shared.destroy()
+    return spark.read.schema(RESULT).parquet(path)
 
 
 #: The same in DuckDB's SQL, all pairs.
