@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from crossgrain.sources.scratch import new_path
 
+#: Bytes of the files that a table comes from that make a bucket; never more buckets than shuffle partitions.
+BUCKET_BYTES = 1 << 20
 #: application -> (label, files) -> table; what another session wrote isn't known here.
 _stored: dict[str, dict[tuple, str]] = {}
 
@@ -36,7 +38,8 @@ def stored(spark: SparkSession, label: str, paths: Sequence[str], build: Callabl
     own = _stored.setdefault(spark.sparkContext.applicationId, {})
     key = (label, files_of(spark, paths))
     if key not in own or not spark.catalog.tableExists(own[key]):
-        name, n = f"{label}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+        size = sum(length for _, length, _ in key[1])
+        name, n = f"{label}_{uuid.uuid4().hex}", max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)))
         # The repartition and the buckets have one hash, so a bucket is one file.
         build().repartition(n, bucket).write.bucketBy(n, bucket).sortBy(sort).option("path", new_path(spark, label)).saveAsTable(name)
         own[key] = name
