@@ -32,6 +32,8 @@ from crossgrain.operators.calendar import next_trading_date
 from crossgrain.operators.cross_section import top_k
 from crossgrain.sources.scratch import Temporary, materialize
 
+#: Days of a path that are folded together.
+BLOCK_DAYS = 100
 #: Tolerance of limits, cash that counts as none.
 TOLERANCE, NO_CASH = 1e-8, 1e-12
 
@@ -332,8 +334,16 @@ def nav_recurrence(path_days: DataFrame, turned: DataFrame, marks: DataFrame, te
         one = opening.holdings.groupBy("path", "entry_pos").agg(F.max("notional").alias("n"))
         amounts = one.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(F.col("entry_pos").alias("entry"), "n"))).alias("_held"))
         days = days.join(opening.cash.select("path", F.col("cash").alias("_opening")), "path", "left").join(amounts, "path", "left").withColumn("_cash", F.coalesce("_opening", F.lit(1.0))).withColumn("_amounts", F.coalesce("_held", nothing))
-    start = F.struct(F.col("_cash").alias("cash"), F.col("_amounts").alias("amounts"), F.lit(0).alias("state"), F.array().cast(f"array<{_ROW}>").alias("out"))
-    return days.select("path", F.inline(F.aggregate("days", start, _step(terms), lambda a: a["out"]))).select(*NAV_COLUMNS, "new_block")
+    # Folded in blocks of days, as a step copies what its block has put out so far.
+    rows, step = F.array().cast(f"array<{_ROW}>"), _step(terms)
+    account = lambda a, out: F.struct(a["cash"].alias("cash"), a["amounts"].alias("amounts"), a["state"].alias("state"), out.alias("out"))
+
+    def block(a: Column, own: Column) -> Column:
+        return _let(F.aggregate(own, account(a, rows), step), lambda r: account(r, F.concat(a["out"], F.array(r["out"]))))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("days") - 1) / BLOCK_DAYS).cast("int")), lambda b: F.slice("days", b * BLOCK_DAYS + 1, BLOCK_DAYS))
+    start = F.struct(F.col("_cash").alias("cash"), F.col("_amounts").alias("amounts"), F.lit(0).alias("state"), F.array().cast(f"array<array<{_ROW}>>").alias("out"))
+    return days.select("path", F.inline(F.flatten(F.aggregate(blocks, start, block, lambda a: a["out"])))).select(*NAV_COLUMNS, "new_block")
 
 
 @dataclass
