@@ -85,7 +85,7 @@ def padded(value: Column | str) -> Column:
 
 
 def compounded(returns: Column | str, over: WindowSpec) -> Column:
-    """Product of 1 + returns less 1 over a frame; exact for returns under -1 as well."""
+    """Product of 1 + returns less 1 over a frame; exact for returns under -1 as well. For frames of a fixed length: a row collects its frame."""
     return F.aggregate(F.collect_list(1 + col(returns)).over(over), F.lit(1.0), lambda acc, r: acc * r) - 1
 
 
@@ -97,6 +97,22 @@ def one_row(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(row.alias("_row")).select(*[k if k in keys else F.col("_row")[k].alias(k) for k in df.columns])
 
 
+#: Dates of a calendar lie between these: 146,097 of them at most.
+FIRST_DATE, LAST_DATE = "1800-01-01", "2199-12-31"
+
+
+def by_day(df: DataFrame, date: str = "date") -> DataFrame:
+    """df, which has a row a date, as the side of a join to broadcast.
+
+    A query fails on a date outside FIRST_DATE to LAST_DATE, so what is broadcast has a bound however
+    many stocks there are.
+    """
+    day = F.col(date)
+    outside = (day < F.to_date(F.lit(FIRST_DATE))) | (day > F.to_date(F.lit(LAST_DATE)))
+    failed = F.raise_error(F.concat(F.lit(f"not a date of a calendar, {FIRST_DATE} to {LAST_DATE}: "), day.cast("string"))).cast("boolean")
+    return F.broadcast(df.where(F.when(outside, failed).otherwise(True)))
+
+
 def flag(c: Column | str, missing: bool) -> Column:
     return F.coalesce(col(c), F.lit(missing))
 

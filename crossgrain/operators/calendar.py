@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossgrain.functions.columns import KEYS, flag, one_row
+from crossgrain.functions.columns import KEYS, by_day, flag, one_row
 
 
 def calendar_index(rows: DataFrame, date: str = "date") -> DataFrame:
@@ -56,7 +56,7 @@ def universe_asof(calendar: DataFrame, snapshots: DataFrame) -> DataFrame:
     marks = snapshots.select(F.col("snapshot_date").alias("date"), F.col("snapshot_date").alias("snap"), F.lit(0).alias("_on")).distinct()
     latest = F.last("snap", ignorenulls=True).over(Window.orderBy("date", "_on").rowsBetween(Window.unboundedPreceding, 0))
     of_day = days.unionByName(marks).withColumn("snapshot_date", latest).where("_on = 1 and snapshot_date is not null").select("date", "snapshot_date")
-    return snapshots.distinct().join(F.broadcast(of_day), "snapshot_date").select("date", "stock_code")
+    return snapshots.distinct().join(by_day(of_day), "snapshot_date").select("date", "stock_code")
 
 
 def dates_without_snapshot(calendar: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def listing_days(rows: DataFrame, calendar: DataFrame, listed: str = "listed_dat
     # Calendar dates before each listing date: one row a date on either side.
     before = F.count("pos").over(Window.orderBy("d").rangeBetween(Window.unboundedPreceding, -1))
     ranked = both.withColumn("d", F.unix_date("d")).withColumn("_n", before).where("pos is null").select(F.date_from_unix_date(F.col("d").cast("int")).alias(listed), "_n")
-    placed = rows.join(F.broadcast(calendar.select("date", F.col("pos").alias("_p"))), "date", "left").join(F.broadcast(ranked), listed, "left")
+    placed = rows.join(by_day(calendar.select("date", F.col("pos").alias("_p"))), "date", "left").join(by_day(ranked, listed), listed, "left")
     return placed.withColumn("listing_days", F.greatest(F.lit(0), F.col("_p") - F.col("_n") + 1)).withColumn("listing_days", F.when(F.col("_n").isNotNull(), F.col("listing_days"))).drop("_p", "_n")
 
 
@@ -95,7 +95,7 @@ def exposure_join(universe: DataFrame, industry: DataFrame, market_cap: DataFram
 
 def panel_skeleton(calendar: DataFrame, members: DataFrame, prices: DataFrame, status: DataFrame) -> DataFrame:
     """Every calendar date x every stock that ever was a member, with prices, status and record flags."""
-    grid = members.select("stock_code").distinct().crossJoin(F.broadcast(calendar.select("date")))
+    grid = members.select("stock_code").distinct().crossJoin(by_day(calendar.select("date")))
     full = grid.join(prices.withColumn("_p", F.lit(True)), KEYS, "left").join(status.withColumn("_s", F.lit(True)), KEYS, "left")
     full = full.withColumn("has_price_record", flag("_p", False)).withColumn("has_status_record", flag("_s", False)).drop("_p", "_s")
     inside = members.select(*KEYS).distinct().withColumn("in_universe", F.lit(True))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossgrain.functions.columns import by_stock, change, compounded, flag, ratio
+from crossgrain.functions.columns import by_day, by_stock, change, compounded, flag, ratio
 from crossgrain.operators.calendar import normalize_industry
 from crossgrain.operators.cross_section import cross_section_transform, fill_missing_flags, log_cap_impute
 
@@ -77,7 +77,7 @@ def compound_return(rows: DataFrame, value: str, window: int, by: Sequence[str],
 def calendar_reindex(rows: DataFrame, calendar: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """rows on every calendar date (x every value of `by` that occurs)."""
     days = calendar.select("date")
-    grid = rows.select(*by).distinct().crossJoin(F.broadcast(days)) if by else days
+    grid = rows.select(*by).distinct().crossJoin(by_day(days)) if by else days
     return grid.join(rows, ["date", *by], "left")
 
 
@@ -85,12 +85,12 @@ def industry_excess(industries: DataFrame, market: DataFrame, window: int) -> Da
     """date, industry, industry_excess_{window}: the industry's compound return less the market's."""
     i = compound_return(industries, "industry_equal_return", window, ["industry"], "_i")
     m = compound_return(market, "market_equal_return", window, [], "_m").select("date", "_m")
-    return i.join(F.broadcast(m), "date").select("date", "industry", (F.col("_i") - F.col("_m")).alias(f"industry_excess_{window}"))
+    return i.join(by_day(m), "date").select("date", "industry", (F.col("_i") - F.col("_m")).alias(f"industry_excess_{window}"))
 
 
 def context_join(rows: DataFrame, market: DataFrame, industries: DataFrame, market_columns: Sequence[str], industry_columns: Sequence[str]) -> DataFrame:
     """rows with both contexts, missing as 0 with a __missing flag; an UNKNOWN industry has none."""
-    out = rows.withColumn("industry", normalize_industry("industry")).join(F.broadcast(market.select("date", *market_columns)), "date", "left")
+    out = rows.withColumn("industry", normalize_industry("industry")).join(by_day(market.select("date", *market_columns)), "date", "left")
     out = out.join(industries.select("date", "industry", *industry_columns), ["date", "industry"], "left")  # dates x industries: Spark broadcasts it only if it is small
     return fill_missing_flags(out, [*market_columns, *industry_columns])
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossgrain.functions.columns import average_rank, col, finite, ratio
+from crossgrain.functions.columns import average_rank, by_day, col, finite, ratio
 
 
 def per(*keys: str):
@@ -95,7 +95,7 @@ def log_cap_impute(rows: DataFrame, cap: str = "market_cap") -> DataFrame:
     """rows with log_market_cap (log1p of a positive cap, else the date's median, else 0) and its __missing flag."""
     x = rows.withColumn("_l", F.when(F.col(cap) > 0, F.log1p(F.col(cap))))
     mid = x.groupBy("date").agg(F.median("_l").alias("_m"))
-    x = x.join(F.broadcast(mid), "date")  # a row a date
+    x = x.join(by_day(mid), "date")
     return x.withColumn("log_market_cap", F.coalesce("_l", "_m", F.lit(0.0))).withColumn("log_market_cap__missing", F.col("_l").isNull().cast("int")).drop("_l", "_m")
 
 

@@ -104,7 +104,7 @@ def _with_previous(members: DataFrame) -> DataFrame:
     """members (date, variant, stock_code, ...) with _prev: the previous date on which the variant has members."""
     dates = members.select("variant", "date").distinct()
     dates = dates.withColumn("_prev", F.lag("date").over(Window.partitionBy("variant").orderBy("date")))
-    return members.join(F.broadcast(dates), ["variant", "date"])
+    return members.join(dates, ["variant", "date"])
 
 
 def rank_turnover(members: DataFrame, least: int = 3) -> DataFrame:

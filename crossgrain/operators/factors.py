@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossgrain.functions.columns import by_stock, calendar_lag, change, correlation, finite, one_row, padded, ratio, rolling
+from crossgrain.functions.columns import by_day, by_stock, calendar_lag, change, correlation, finite, one_row, padded, ratio, rolling
 
 
 def factor(panel: DataFrame, value: Column) -> DataFrame:
@@ -72,7 +72,7 @@ def daily_returns(panel: DataFrame, fill: str = "pad") -> DataFrame:
 def with_market(panel: DataFrame, market: DataFrame) -> DataFrame:
     """Joins market returns m by date; market: (date, index_close), a row a date, or the query fails."""
     m = one_row(market.select("date", "index_close"), ["date"]).withColumn("m", change("index_close", F.lag("index_close").over(Window.orderBy("date")))).select("date", "m")
-    return panel.join(F.broadcast(m), "date", "left")
+    return panel.join(by_day(m), "date", "left")
 
 
 def _pair(window: int) -> tuple[Column, Column, Column, Column]:
@@ -131,7 +131,7 @@ def clean_eps_reports(reports: DataFrame) -> DataFrame:
 def feed_calendar(feed: DataFrame) -> DataFrame:
     """`feed` with pos: the position of its date among the feed's own dates."""
     dates = feed.select("date").distinct().withColumn("pos", F.row_number().over(Window.orderBy("date")).cast("long") - 1)
-    return feed.join(F.broadcast(dates), "date")  # a row a date
+    return feed.join(by_day(dates), "date")
 
 
 def eps_revision_60d(feed: DataFrame, lookback: int = 60) -> DataFrame:
@@ -155,11 +155,11 @@ def rolling_distinct_active(events: DataFrame, calendar: DataFrame, window: int
     Each institute's events become spans of positions cut where the next event takes over, so that
     no position counts an institute twice and a sum over the spans is the distinct count.
     """
-    days = events.select("date", "stock_code", "institute").distinct().join(F.broadcast(calendar), "date")
+    days = events.select("date", "stock_code", "institute").distinct().join(by_day(calendar), "date")
     following = F.lead("pos").over(Window.partitionBy("stock_code", "institute").orderBy("pos"))
     spans = days.select("stock_code", "pos", F.least(F.col("pos") + window, F.coalesce(following, F.col("pos") + window)).alias("stop"))
     active = spans.select("stock_code", F.explode(F.sequence(F.col("pos"), F.col("stop") - 1)).alias("pos"))
-    return active.groupBy("stock_code", "pos").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(calendar), "pos").select("date", "stock_code", "n")
+    return active.groupBy("stock_code", "pos").agg(F.count(F.lit(1)).alias("n")).join(by_day(calendar), "pos").select("date", "stock_code", "n")
 
 
 def eps_revision_breadth_60d(reports: DataFrame, calendar: DataFrame, window: int = 60) -> DataFrame:
@@ -167,7 +167,7 @@ def eps_revision_breadth_60d(reports: DataFrame, calendar: DataFrame, window: in
     events = classify_revisions(reports)
     kinds = {"n_up": "up", "n_down": "down", "n_covered": "true"}
     counts = [rolling_distinct_active(events.where(c), calendar, window).withColumnRenamed("n", k) for k, c in kinds.items()]
-    known = events.join(F.broadcast(calendar.select("date")), "date", "left_semi")
+    known = events.join(by_day(calendar.select("date")), "date", "left_semi")
     ever = known.groupBy("stock_code").agg(F.max("up").alias("ever_up"), F.max("down").alias("ever_down"))
     full = counts[2].join(counts[0], ["date", "stock_code"], "left").join(counts[1], ["date", "stock_code"], "left").join(ever, "stock_code")
     zero = lambda n, e: F.when(F.col(e), F.coalesce(n, F.lit(0)))
@@ -189,7 +189,7 @@ def sue_events(events: DataFrame, history: int = 8, least: int = 4) -> DataFrame
 
 def asof_ffill(events: DataFrame, calendar: DataFrame, value: str) -> DataFrame:
     """The latest event value at or before every calendar date, for every stock of the events."""
-    grid = events.select("stock_code").distinct().crossJoin(F.broadcast(calendar.select("date"))).withColumn("_v", F.lit(None).cast("double")).withColumn("_on", F.lit(1))
+    grid = events.select("stock_code").distinct().crossJoin(by_day(calendar.select("date"))).withColumn("_v", F.lit(None).cast("double")).withColumn("_on", F.lit(1))
     marks = events.where(F.col(value).isNotNull()).select("stock_code", "date", F.col(value).alias("_v"), F.lit(0).alias("_on"))
     w = Window.partitionBy("stock_code").orderBy("date", "_on").rowsBetween(Window.unboundedPreceding, 0)
     return factor(grid.unionByName(marks).withColumn("_f", F.last("_v", ignorenulls=True).over(w)).where("_on = 1"), F.col("_f"))

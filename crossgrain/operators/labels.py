@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crossgrain.functions.columns import KEYS, calendar_lag, change, finite, flag
+from crossgrain.functions.columns import KEYS, by_day, calendar_lag, change, finite, flag
 from crossgrain.operators.calendar import exit_date, next_trading_date
 
 #: How close to a limit counts as at it.
@@ -33,7 +33,7 @@ def execution_state(panel: DataFrame, calendar: DataFrame, prefix: str = "entry_
     """keys and the next date's status, open and limits; the last date has none."""
     following = panel.select(F.col("date").alias("next_date"), "stock_code", *[F.col(c).alias(prefix + c) for c in STATE], F.lit(True).alias("_found"))
     days = next_trading_date(calendar)
-    out = panel.select(*KEYS).join(F.broadcast(days), "date").join(following, ["next_date", "stock_code"], "left")
+    out = panel.select(*KEYS).join(by_day(days), "date").join(following, ["next_date", "stock_code"], "left")
     return out.withColumn("entry_data_available", flag("_found", False)).drop("_found").withColumnRenamed("next_date", "entry_date").select(*KEYS, "entry_date", "entry_data_available", *[prefix + c for c in STATE])
 
 
@@ -101,7 +101,7 @@ def panel_dataset(panel: DataFrame, calendar: DataFrame, factors: Mapping[str, C
         *[finite(change(calendar_lag("post_open", -h - 1), entry)).alias(f"target_{h}d") for h in horizons],
         F.coalesce(calendar_lag(F.lit(True), -1), F.lit(False)).alias("entry_data_available"), *[calendar_lag(c, -1).alias(f"entry_{c}") for c in STATE],
     ).where("_kept")
-    x = x.join(F.broadcast(next_trading_date(calendar).withColumnRenamed("next_date", "entry_date")), "date", "left")
+    x = x.join(by_day(next_trading_date(calendar).withColumnRenamed("next_date", "entry_date")), "date", "left")
     x = x.select(*KEYS, *factors, *[f"target_{h}d" for h in horizons], "industry", "market_cap", "entry_date", "entry_data_available", *[f"entry_{c}" for c in STATE])
     return tradeability(x, min_listing_days)
 
@@ -133,7 +133,7 @@ def sample_index(rows: DataFrame, calendar: DataFrame, periods: Mapping[str, tup
     """
     out = rows.select(*KEYS, *[f"target_{h}d" for h in horizons]).withColumn("base_period", base_period("date", periods))
     for h in horizons:
-        out = out.join(F.broadcast(exit_date(calendar, h).withColumnRenamed("exit_date", f"exit_date_{h}")), "date", "left")
+        out = out.join(by_day(exit_date(calendar, h).withColumnRenamed("exit_date", f"exit_date_{h}")), "date", "left")
         exits, label = F.col(f"exit_date_{h}"), F.col(f"target_{h}d").isNotNull()
         split = F.when(label & (exits <= period_end(F.col("base_period"), periods)), F.col("base_period"))
         first, last = (F.to_date(F.lit(x)) for x in final)

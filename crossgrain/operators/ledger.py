@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossgrain.functions.columns import flag, ratio
+from crossgrain.functions.columns import by_day, flag, ratio
 from crossgrain.operators.calendar import next_trading_date
 from crossgrain.operators.cross_section import top_k
 from crossgrain.sources.scratch import Temporary, materialize
@@ -51,7 +51,7 @@ def desired_set(scores: DataFrame, calendar: DataFrame, k: int) -> DataFrame:
     """model, signal_date, execution_date, stock_code, cohort_rank of the top k of each date."""
     chosen = top_k(scores, "score", k, ["model", "date"])
     days = next_trading_date(calendar)
-    return chosen.join(F.broadcast(days), "date", "left").select("model", F.col("date").alias("signal_date"), F.col("next_date").alias("execution_date"), "stock_code", "cohort_rank")
+    return chosen.join(by_day(days), "date", "left").select("model", F.col("date").alias("signal_date"), F.col("next_date").alias("execution_date"), "stock_code", "cohort_rank")
 
 
 def _first_failure(*checks: tuple[str, Column]) -> Column:
@@ -101,7 +101,7 @@ def active_desired(schedule: DataFrame, calendar: DataFrame) -> DataFrame:
     signal_date is the path's latest signal executed at or before the day.
     """
     spans = schedule.groupBy("offset").agg(F.min("execution_date").alias("_first"), F.max("horizon_date").alias("_last"))
-    grid = spans.join(F.broadcast(calendar), F.col("date").between(F.col("_first"), F.col("_last")))
+    grid = spans.join(by_day(calendar), F.col("date").between(F.col("_first"), F.col("_last")))
     marks = schedule.select("offset", F.col("execution_date").alias("date"), "signal_date")
     x = grid.join(marks, ["offset", "date"], "left")
     latest = F.last("signal_date", ignorenulls=True).over(Window.partitionBy("offset").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
@@ -117,7 +117,7 @@ def daily_paths(desired: DataFrame, calendar: DataFrame) -> DataFrame:
     """path_days of the daily strategy: every signal is executed on the next date; on dates in between without one nothing is bought."""
     marks = desired.select("model", "signal_date", F.col("execution_date").alias("date")).where("date is not null").distinct()
     spans = marks.groupBy("model").agg(F.min("date").alias("_first"), F.max("date").alias("_last"))
-    days = spans.join(F.broadcast(calendar), F.col("date").between(F.col("_first"), F.col("_last"))).join(marks, ["model", "date"], "left")
+    days = spans.join(by_day(calendar), F.col("date").between(F.col("_first"), F.col("_last"))).join(marks, ["model", "date"], "left")
     latest = F.last("signal_date", ignorenulls=True).over(Window.partitionBy("model").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
     return days.select(F.concat(F.col("model"), F.lit(":daily")).alias("path"), "model", F.lit(0).alias("offset"), "date", "pos", F.col("signal_date").isNotNull().alias("rebalance"), latest.alias("signal_date"))
 
@@ -146,9 +146,9 @@ def turns(path_days: DataFrame, desired: DataFrame, rules: DataFrame, blocks: Da
     which the stock can be sold (event 0), else from_pos (event null). kind `open`: a holding of `opening`.
     A path's days follow each other without a gap. blocks: (path, pos) on which cash forbids all buys.
     """
-    by_day, by_stock = Window.partitionBy("path").orderBy("pos"), Window.partitionBy("path", "stock_code").orderBy("pos")
+    by_path, by_stock = Window.partitionBy("path").orderBy("pos"), Window.partitionBy("path", "stock_code").orderBy("pos")
     span = path_days.groupBy("path").agg(F.min("pos").alias("_first"), F.max("pos").alias("_last"))
-    rebalances = path_days.where("rebalance").select("path", "model", "signal_date", "date", "pos", F.row_number().over(by_day).alias("_j"), F.lead("pos").over(by_day).alias("_next"))
+    rebalances = path_days.where("rebalance").select("path", "model", "signal_date", "date", "pos", F.row_number().over(by_path).alias("_j"), F.lead("pos").over(by_path).alias("_next"))
     orders = rebalances.join(desired.select("model", "signal_date", "stock_code").distinct(), ["model", "signal_date"]).select("path", "stock_code", "date", "pos", "_j", "_next")
     held_before = None
     if opening is not None:
@@ -158,7 +158,7 @@ def turns(path_days: DataFrame, desired: DataFrame, rules: DataFrame, blocks: Da
     later = every.select("path", "stock_code", "_j", "_next", F.lead("_j").over(by_stock).alias("_again"), F.lead("pos").over(by_stock).alias("_until"))
     drops = later.where("_next is not null and coalesce(_again > _j + 1, true)").join(span, "path")
     drops = drops.select("path", "stock_code", F.col("_next").alias("from_pos"), F.coalesce(F.col("_until") - 1, "_last").alias("to_pos"))
-    sellable = rules.where("sell_reason is null").join(F.broadcast(path_calendar(path_days)), "date").select("stock_code", "pos", F.col("pos").alias("_sold"))
+    sellable = rules.where("sell_reason is null").join(by_day(path_calendar(path_days)), "date").select("stock_code", "pos", F.col("pos").alias("_sold"))
     none = F.lit(None).cast("long")
     seen = sellable.select("stock_code", "pos", "_sold", F.lit(None).cast("string").alias("path"), none.alias("from_pos"), none.alias("to_pos")).unionByName(drops.select("stock_code", F.col("from_pos").alias("pos"), none.alias("_sold"), "path", "from_pos", "to_pos"))
     # From the end of time backwards, so that the least so far is the next; a day sees itself.
@@ -196,7 +196,7 @@ def intervals(turned: DataFrame, path_days: DataFrame) -> DataFrame:
 
 def holding_episodes(turned: DataFrame, path_days: DataFrame) -> DataFrame:
     """path, stock_code, episode, entry_date, entry_pos, exit_date (null if still held), last_pos."""
-    days = F.broadcast(path_calendar(path_days))
+    days = by_day(path_calendar(path_days))
     x = intervals(turned, path_days).join(days.toDF("entry_date", "entry_pos"), "entry_pos", "left").join(days.toDF("exit_date", "exit_pos"), "exit_pos", "left")
     return x.select("path", "stock_code", "episode", "entry_date", "entry_pos", "exit_date", "last_pos")
 
@@ -226,7 +226,7 @@ def mark_price() -> Column:
 
 def carried_prices(panel: DataFrame, days: DataFrame, opening: Opening | None = None) -> DataFrame:
     """stock_code, pos, mark: each stock's last `mark_price` at or before each of the days (date, pos), worked out once for all paths."""
-    prices = panel.select("date", "stock_code", mark_price().alias("mark")).where("mark is not null").join(F.broadcast(days), "date").select("stock_code", "pos", "mark")
+    prices = panel.select("date", "stock_code", mark_price().alias("mark")).where("mark is not null").join(by_day(days), "date").select("stock_code", "pos", "mark")
     if opening is not None:
         prices = opening.holdings.select("stock_code", F.col("mark_pos").alias("pos"), "mark").unionByName(prices).groupBy("stock_code", "pos").agg(F.max("mark").alias("mark"))
     last = days.agg(F.max("pos").alias("_last"))
@@ -241,7 +241,7 @@ def carried_mark(held: DataFrame, prices: DataFrame, days: DataFrame, opening: O
     prices: `carried_prices`; days: (date, pos). A stock that is bought has a price that day, so a carried
     mark never reaches back before the entry. notional: what an opening holding cost, else null.
     """
-    days = F.broadcast(days)
+    days = by_day(days)
     x = held.join(prices.toDF("stock_code", "entry_pos", "_entry"), ["stock_code", "entry_pos"], "left").join(days.toDF("_entry_date", "entry_pos"), "entry_pos", "left")
     if opening is not None:
         own = opening.holdings.select("path", "stock_code", "entry_pos", "entry_date", "entry_price", "notional")
@@ -372,7 +372,7 @@ def _simulated(path_days: DataFrame, desired: DataFrame, panel: DataFrame, terms
     if opening is not None:
         named = named.unionByName(opening.holdings.select("stock_code"))
     days = path_calendar(path_days)
-    market = panel.select(*MARKET).join(F.broadcast(days.select("date")), "date", "left_semi").join(named.distinct(), "stock_code", "left_semi")
+    market = panel.select(*MARKET).join(by_day(days.select("date")), "date", "left_semi").join(named.distinct(), "stock_code", "left_semi")
     rules = materialize(market.select("date", "stock_code", sell_rule().alias("sell_reason"), buy_rule(terms.min_listing_days).alias("buy_reason"), *[c for c in MARKET if c not in ("date", "stock_code")]), "rules")
     prices = materialize(carried_prices(rules, days, opening), "prices")
 
@@ -387,8 +387,8 @@ def _simulated(path_days: DataFrame, desired: DataFrame, panel: DataFrame, terms
         new = found.select("path", "pos")
         blocks = materialize(new if blocks is None else blocks.unionByName(new), "blocks")
         again = materialize(new.select("path").distinct(), "again")
-        anew = worked_out(path_days.join(F.broadcast(again), "path", "left_semi"), blocks)  # a row a path
-        turned, marks, nav = (materialize(old.join(F.broadcast(again), "path", "left_anti").unionByName(x), name) for old, x, name in zip((turned, marks, nav), anew, ("turns", "marks", "nav"), strict=True))
+        anew = worked_out(path_days.join(again, "path", "left_semi"), blocks)
+        turned, marks, nav = (materialize(old.join(again, "path", "left_anti").unionByName(x), name) for old, x, name in zip((turned, marks, nav), anew, ("turns", "marks", "nav"), strict=True))
     return Ledger(path_days, turned, marks, nav, rules)
 
 
@@ -398,7 +398,7 @@ def trade_ledger(ledger: Ledger, terms: Terms) -> DataFrame:
     A sale is attempted on every day that a held stock isn't desired, a buy on rebalance days for a
     desired stock that isn't held; what is held and desired never trades.
     """
-    days = F.broadcast(path_calendar(ledger.path_days))
+    days = by_day(path_calendar(ledger.path_days))
     drops = ledger.turns.where("kind = 'drop' and was_held").withColumn("_sale", F.when(F.col("event") == 0, F.col("pos"))).drop("pos")
     tried = drops.select("path", "stock_code", "_sale", F.explode(F.sequence("from_pos", F.coalesce("_sale", "to_pos"))).alias("pos")).join(days, "pos")
     tried = tried.join(ledger.rules.select("date", "stock_code", "sell_reason", F.lit(True).alias("_known")), ["date", "stock_code"], "left")
@@ -477,7 +477,7 @@ def average_nav(daily: DataFrame) -> DataFrame:
     """model, date, nav, cash, cash_ratio, net_return, paths: means over a model's paths on dates common to all of them."""
     x = daily.withColumn("model", F.substring_index("path", ":", 1))
     paths_of = x.groupBy("model").agg(F.count_distinct("path").alias("paths"))
-    g = x.groupBy("model", "date").agg(F.avg("nav").alias("nav"), F.avg("cash").alias("cash"), F.count(F.lit(1)).alias("_n")).join(F.broadcast(paths_of), "model").where("_n = paths")
+    g = x.groupBy("model", "date").agg(F.avg("nav").alias("nav"), F.avg("cash").alias("cash"), F.count(F.lit(1)).alias("_n")).join(paths_of, "model").where("_n = paths")
     before = F.lag("nav").over(Window.partitionBy("model").orderBy("date"))
     return g.select("model", "date", "nav", "cash", ratio("cash", "nav").alias("cash_ratio"), (ratio("nav", before) - 1).alias("net_return"), "paths")
 

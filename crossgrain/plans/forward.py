@@ -21,6 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from crossgrain.functions.columns import by_day
 from crossgrain.operators import ledger as P
 from crossgrain.sources.scratch import Temporary, materialize
 
@@ -100,7 +101,7 @@ class ForwardRun:
 
     def _publish(self, scored: DataFrame, market: Dated, calendar: DataFrame, schedule: DataFrame, terms: P.Terms, before: dt.date | None) -> None:
         first, last = schedule.agg(F.min("execution_date"), F.max("horizon_date")).first()
-        desired = P.desired_set(scored.join(F.broadcast(schedule.select(F.col("signal_date").alias("date"))), "date", "left_semi"), calendar, terms.k)
+        desired = P.desired_set(scored.join(by_day(schedule.select(F.col("signal_date").alias("date"))), "date", "left_semi"), calendar, terms.k)
         path_days = P.paths(P.active_desired(schedule, calendar), scored.select("model").distinct())
         opening = None if before is None else self._opening(path_days, calendar, before)
         ledger = P.simulate(path_days, desired, market(first, last), terms, opening)
@@ -109,7 +110,7 @@ class ForwardRun:
         days = days.withColumn("ends", ~F.col("closing") & (F.max(F.when(~F.col("closing"), F.col("pos"))).over(Window.partitionBy("path", "signal_date")) == F.col("pos")))
         nav = ledger.nav.select(*P.NAV_COLUMNS).join(days, ["path", "pos"])
         own = nav.where("not closing")
-        self._write(scored.withColumnRenamed("date", "signal_date").join(F.broadcast(schedule.select("signal_date")), "signal_date", "left_semi"), "scores")
+        self._write(scored.withColumnRenamed("date", "signal_date").join(by_day(schedule.select("signal_date"), "signal_date"), "signal_date", "left_semi"), "scores")
         dated = own.select("path", "date", "signal_date")
         self._write(P.trade_ledger(ledger, terms).join(dated, ["path", "date"]), "trades")
         kept = P.priced(ledger).where("held").join(days.where("ends").select("path", "pos", "signal_date"), ["path", "pos"])
@@ -124,6 +125,6 @@ class ForwardRun:
         first = path_days.groupBy("path").agg(F.min("pos").alias("_first"))
         snapshot = self.table("snapshot").where(F.col("signal_date") <= F.lit(before)).join(first, "path")
         rows = materialize(snapshot.withColumn("_latest", F.max("signal_date").over(Window.partitionBy("path"))).where("signal_date = _latest"), "opening")
-        held = rows.where("stock_code <> 'CASH'").join(F.broadcast(calendar.select(F.col("date").alias("entry_date"), F.col("pos").alias("entry_pos"))), "entry_date")
+        held = rows.where("stock_code <> 'CASH'").join(by_day(calendar.select(F.col("date").alias("entry_date"), F.col("pos").alias("entry_pos")), "entry_date"), "entry_date")
         holdings = held.select("path", "stock_code", "entry_date", "entry_pos", "entry_price", "notional", "mark", (F.col("_first") - 1).alias("mark_pos"))
         return P.Opening(rows.where("stock_code = 'CASH'").select("path", "cash"), holdings)

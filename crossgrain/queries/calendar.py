@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from crossgrain.functions.columns import by_day
 from crossgrain.operators import calendar as O
 from crossgrain.queries.registry import part, query
 from crossgrain.sources import proxy
@@ -16,7 +17,7 @@ def cal(spark, sf_dir):
 def snapshots(panel):
     """The first calendar date of each quarter with its members, as index providers publish them."""
     first = panel.groupBy(F.date_trunc("quarter", "date").alias("quarter")).agg(F.min("date").alias("date"))
-    return panel.join(F.broadcast(first.select("date")), "date").where("in_universe").select(F.col("date").alias("snapshot_date"), "stock_code")
+    return panel.join(by_day(first.select("date")), "date").where("in_universe").select(F.col("date").alias("snapshot_date"), "stock_code")
 
 
 part("snaps", "panel", "SELECT date AS snapshot_date, stock_code FROM panel WHERE in_universe AND date IN (SELECT min(date) FROM panel GROUP BY date_trunc('quarter', date))")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from crossgrain.functions.columns import rank_percentile
+from crossgrain.functions.columns import by_day, rank_percentile
 from crossgrain.operators import evaluation as E
 from crossgrain.operators import factors, labels
 from crossgrain.operators import ranking as M
@@ -335,7 +335,7 @@ def _(spark, sf_dir):
 @query("d2_expanding_folds", "feat cal", "SELECT CAST(f AS INTEGER) AS fold, CASE WHEN year(date) = f THEN 'predict' ELSE 'train' END AS part, date, stock_code FROM (SELECT x.date, x.stock_code, c.date AS e FROM feat x LEFT JOIN cal c ON c.pos = x.pos + 6) CROSS JOIN (VALUES (1998), (1999)) AS y(f) WHERE year(date) = f OR (year(date) < f AND year(e) < f)", "fold part date stock_code")
 def _(spark, sf_dir):
     p = proxy.cells(spark, sf_dir)
-    x = features(spark, sf_dir).join(F.broadcast(exit_date(calendar_index(p), 5)), "date", "left")
+    x = features(spark, sf_dir).join(by_day(exit_date(calendar_index(p), 5)), "date", "left")
     return E.expanding_folds(x, [1998, 1999], "exit_date")
 
 
@@ -350,7 +350,7 @@ part("oof", "featr ooffit", "SELECT x.date, x.stock_code, x.target, f AS fold, p
 
 
 def with_exit(spark, sf_dir):
-    return features(spark, sf_dir).join(F.broadcast(exit_date(calendar_index(proxy.cells(spark, sf_dir)), 5)), "date", "left")
+    return features(spark, sf_dir).join(by_day(exit_date(calendar_index(proxy.cells(spark, sf_dir)), 5)), "date", "left")
 
 
 def out_of_fold(spark, sf_dir):

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crossgrain.functions.columns import by_stock
+from crossgrain.functions.columns import by_day, by_stock
 from crossgrain.sources.layout import stored
 
 
@@ -47,7 +47,7 @@ def stocks(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
 def prices(spark: SparkSession, sf_dir: str, grid: str = "week") -> DataFrame:
     """Long price table without gaps filled: date, pos, stock_code, k and the cells' columns."""
     c = cells(spark, sf_dir, grid)
-    return c.join(F.broadcast(calendar(c)), "date").withColumn("stock_code", stock_code("k"))
+    return c.join(by_day(calendar(c)), "date").withColumn("stock_code", stock_code("k"))
 
 
 def panel_files(sf_dir: str) -> list[str]:
@@ -64,7 +64,7 @@ def built_panel(spark: SparkSession, sf_dir: str, grid: str = "week") -> DataFra
     """The dense market panel: one row a date and stock that ever had a price."""
     c = cells(spark, sf_dir, grid)
     # The calendar has one row a step: a few thousand in a century.
-    skeleton = stocks(spark, sf_dir, c).crossJoin(F.broadcast(calendar(c)))
+    skeleton = stocks(spark, sf_dir, c).crossJoin(by_day(calendar(c)))
     full = skeleton.join(c.withColumn("has_price_record", F.lit(True)), ["date", "k"], "left")
     before = F.last("close", ignorenulls=True).over(by_stock().rowsBetween(Window.unboundedPreceding, -1))
     first = F.min(F.when(F.col("close").isNotNull(), F.col("pos"))).over(Window.partitionBy("stock_code"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from crossgrain.functions.columns import correlation, one_row, rank_percentile
+from crossgrain.functions.columns import by_day, correlation, one_row, rank_percentile
 from crossgrain.operators import contracts, cross_section, evaluation, factor_stats, factors, labels
 from crossgrain.sources import tables
 
@@ -243,3 +243,13 @@ def test_pair_counts_equal_all_pairs(spark, n):
         pairs = [(np.sign(p[0] - q[0]), np.sign(p[1] - q[1])) for i, p in enumerate(own) for q in own[:i]]
         if own:
             assert got[d] == (sum(a * b for a, b in pairs), len(pairs), sum(a == 0 for a, _ in pairs), sum(b == 0 for _, b in pairs))
+
+
+def test_what_is_broadcast_by_date_has_a_bound(spark):
+    days = spark.createDataFrame([(D, 1), (dt.date(2199, 12, 31), 2), (None, 3)], "date date, x int")
+    rows = spark.createDataFrame([(D,), (None,)], "date date")
+    assert rows.join(by_day(days), "date", "left").select("x").orderBy("x").collect() == [(None,), (1,)]
+    with pytest.raises(Exception, match="not a date of a calendar"):
+        rows.join(by_day(days.selectExpr("date_add(date, 1) as date", "x")), "date", "left").collect()
+    with pytest.raises(Exception, match="not a date of a calendar"):
+        rows.join(by_day(days.selectExpr("date_add(date, 1) as listed"), "listed"), rows.date == F.col("listed"), "left").collect()
