@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossgrain.functions.columns import KEYS, by_day, flag, one_row
+from crossgrain.functions.columns import FIRST_DATE, KEYS, by_day, flag, one_row
 
 
 def calendar_index(rows: DataFrame, date: str = "date") -> DataFrame:
@@ -74,12 +74,18 @@ def listing_days(rows: DataFrame, calendar: DataFrame, listed: str = "listed_dat
 
     Unknown listing date: null; not listed yet: 0.
     """
-    dates = rows.select(F.col(listed).alias("_l")).where("_l is not null").distinct()
+    # Listing dates before the calendar count as its first date, those after it as the day after its last: as many
+    # calendar dates lie before them, and however many stocks there are, the distinct ones lie in the calendar's range.
+    ends = calendar.agg(F.min("date").alias("_first"), F.date_add(F.max("date"), 1).alias("_end"))
+    none = F.to_date(F.lit(FIRST_DATE))
+    clipped = F.greatest(F.least(F.col(listed), F.coalesce("_end", none)), F.coalesce("_first", none))
+    rows = rows.crossJoin(F.broadcast(ends)).withColumn("_l", F.when(F.col(listed).isNotNull(), clipped)).drop("_first", "_end")
+    dates = rows.select("_l").where("_l is not null").distinct()
     both = dates.select(F.col("_l").alias("d"), F.lit(None).cast("long").alias("pos")).unionByName(calendar.select(F.col("date").alias("d"), "pos"))
     # Calendar dates before each listing date: one row a date on either side.
     before = F.count("pos").over(Window.orderBy("d").rangeBetween(Window.unboundedPreceding, -1))
-    ranked = both.withColumn("d", F.unix_date("d")).withColumn("_n", before).where("pos is null").select(F.date_from_unix_date(F.col("d").cast("int")).alias(listed), "_n")
-    placed = rows.join(by_day(calendar.select("date", F.col("pos").alias("_p"))), "date", "left").join(by_day(ranked, listed), listed, "left")
+    ranked = both.withColumn("d", F.unix_date("d")).withColumn("_n", before).where("pos is null").select(F.date_from_unix_date(F.col("d").cast("int")).alias("_l"), "_n")
+    placed = rows.join(by_day(calendar.select("date", F.col("pos").alias("_p"))), "date", "left").join(by_day(ranked, "_l"), "_l", "left").drop("_l")
     return placed.withColumn("listing_days", F.greatest(F.lit(0), F.col("_p") - F.col("_n") + 1)).withColumn("listing_days", F.when(F.col("_n").isNotNull(), F.col("listing_days"))).drop("_p", "_n")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from crossgrain.functions.columns import by_day, correlation, one_row, rank_percentile
-from crossgrain.operators import contracts, cross_section, evaluation, factor_stats, factors, labels
+from crossgrain.operators import calendar, contracts, cross_section, evaluation, factor_stats, factors, labels
 from crossgrain.sources import tables
 
 D = dt.date(2024, 1, 2)
@@ -253,3 +253,15 @@ def test_what_is_broadcast_by_date_has_a_bound(spark):
         rows.join(by_day(days.selectExpr("date_add(date, 1) as date", "x")), "date", "left").collect()
     with pytest.raises(Exception, match="not a date of a calendar"):
         rows.join(by_day(days.selectExpr("date_add(date, 1) as listed"), "listed"), rows.date == F.col("listed"), "left").collect()
+
+
+def test_listing_days_of_dates_far_off_the_calendar(spark):
+    days = [D + dt.timedelta(i) for i in (0, 1, 4)]
+    listed = {"A": dt.date(3400, 1, 1), "B": dt.date(1500, 1, 1), "C": D, "D": D + dt.timedelta(2), "E": D + dt.timedelta(4), "F": D + dt.timedelta(5), "G": None}
+    rows = spark.createDataFrame([(d, s, x) for d in days for s, x in listed.items()], "date date, stock_code string, listed_date date")
+    out = calendar.listing_days(rows, calendar.calendar_index(rows))
+    got = {}
+    for r in out.orderBy("date").collect():
+        got.setdefault(r.stock_code, []).append(r.listing_days)
+        assert r.listed_date == listed[r.stock_code]
+    assert got == {"A": [0, 0, 0], "B": [1, 2, 3], "C": [1, 2, 3], "D": [0, 0, 1], "E": [0, 0, 1], "F": [0, 0, 0], "G": [None, None, None]}
