@@ -19,10 +19,14 @@ def forward_returns(panel: DataFrame, windows: Sequence[int]) -> DataFrame:
     return panel.select(*KEYS, *[change(calendar_lag("post_close", -w), "post_close").alias(f"return_{w}") for w in windows])
 
 
+def open_to_open(horizon: int) -> Column:
+    """Open horizon + 1 rows ahead over the next open, less 1."""
+    return finite(change(calendar_lag("post_open", -horizon - 1), calendar_lag("post_open", -1)))
+
+
 def open_to_open_targets(panel: DataFrame, horizons: Sequence[int], keys: DataFrame | None = None) -> DataFrame:
     """keys and target_{h}d: open h + 1 rows ahead over the next open, less 1; for `keys`, if given."""
-    entry = calendar_lag("post_open", -1)
-    out = panel.select(*KEYS, *[finite(change(calendar_lag("post_open", -h - 1), entry)).alias(f"target_{h}d") for h in horizons])
+    out = panel.select(*KEYS, *[open_to_open(h).alias(f"target_{h}d") for h in horizons])
     return out if keys is None else keys.select(*KEYS).join(out, KEYS, "left")
 
 

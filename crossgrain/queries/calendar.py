@@ -11,7 +11,7 @@ from crossgrain.sources import proxy
 
 
 def cal(spark, sf_dir):
-    return O.calendar_index(proxy.cells(spark, sf_dir))
+    return O.calendar_index(proxy.days(spark, sf_dir))
 
 
 def snapshots(panel):

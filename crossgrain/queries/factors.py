@@ -163,7 +163,7 @@ def _(spark, sf_dir):
 @query("f13b_sue_latest", "sues cal", """SELECT g.date, g.stock_code, s.sue AS factor_value FROM (SELECT date, stock_code FROM cal CROSS JOIN (SELECT DISTINCT stock_code FROM sues)) g
   ASOF JOIN (SELECT * FROM sues WHERE sue IS NOT NULL) s ON g.stock_code = s.stock_code AND g.date >= s.date""", OUT)
 def _(spark, sf_dir):
-    return O.sue_latest(earnings(spark, sf_dir), proxy.calendar(proxy.cells(spark, sf_dir)))
+    return O.sue_latest(earnings(spark, sf_dir), proxy.calendar(proxy.days(spark, sf_dir)))
 
 
 @query("f_registry_build", "panel", f"""SELECT date, stock_code, 'rev_1d' AS factor, -(post_close / nullif({lag_sql('post_close', 1)}, 0) - 1) AS factor_value FROM panel QUALIFY factor_value IS NOT NULL

@@ -120,7 +120,7 @@ def _(spark, sf_dir):
 
 @query("l9_base_period", "cal", f"SELECT date, {PERIOD_SQL} AS base_period FROM cal", "date base_period")
 def _(spark, sf_dir):
-    return calendar_index(proxy.cells(spark, sf_dir)).select("date", O.base_period("date", PERIODS).alias("base_period"))
+    return calendar_index(proxy.days(spark, sf_dir)).select("date", O.base_period("date", PERIODS).alias("base_period"))
 
 
 @query("l10_l11_sample_index", "idx", "SELECT * FROM idx", INDEX)

@@ -128,7 +128,7 @@ def ledger(spark, sf_dir, as_of=None):
 
 @query("p1_desired_set", "want", "SELECT * FROM want", "model signal_date execution_date stock_code cohort_rank")
 def _(spark, sf_dir):
-    return P.desired_set(scores(spark, sf_dir), calendar_index(proxy.cells(spark, sf_dir)), TERMS.k)
+    return P.desired_set(scores(spark, sf_dir), calendar_index(proxy.days(spark, sf_dir)), TERMS.k)
 
 
 @query("p2_trading_rules", "rules", "SELECT * FROM rules", "date stock_code sell_reason buy_reason")
@@ -138,12 +138,12 @@ def _(spark, sf_dir):
 
 @query("p3_offset_schedule", "sched", "SELECT * FROM sched", "offset_ signal_date execution_date horizon_date")
 def _(spark, sf_dir):
-    return P.offset_schedule(calendar_index(proxy.cells(spark, sf_dir))).withColumnRenamed("offset", "offset_")
+    return P.offset_schedule(calendar_index(proxy.days(spark, sf_dir))).withColumnRenamed("offset", "offset_")
 
 
 @query("p4_active_desired", "act", "SELECT * FROM act", "offset_ date pos rebalance signal_date")
 def _(spark, sf_dir):
-    c = calendar_index(proxy.cells(spark, sf_dir))
+    c = calendar_index(proxy.days(spark, sf_dir))
     return P.active_desired(P.offset_schedule(c), c).withColumnRenamed("offset", "offset_")
 
 
@@ -231,7 +231,7 @@ def _(spark, sf_dir):
 
 @query("a26_schedule_annotation_check", "act", """SELECT 'schedule' AS "check", offset_ || '|' || date AS "key", 'differs' AS detail FROM act WHERE pos % 50 = 7 AND rebalance UNION ALL SELECT 'schedule', offset_ || '|' || date, 'not published' FROM act WHERE pos % 60 = 11 AND NOT (pos % 50 = 7)""", '"check" "key" detail')
 def _(spark, sf_dir):
-    c = calendar_index(proxy.cells(spark, sf_dir))
+    c = calendar_index(proxy.days(spark, sf_dir))
     schedule = P.active_desired(P.offset_schedule(c), c).withColumn("path", F.col("offset").cast("string"))
     published = schedule.where("not (pos % 60 = 11 and pos % 50 <> 7)").withColumn("rebalance", F.col("rebalance") & (F.col("pos") % 50 != 7))
     return contracts.schedule_annotation_check(published, schedule)

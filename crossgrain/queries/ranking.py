@@ -12,7 +12,7 @@ from crossgrain.operators.calendar import calendar_index, exit_date
 from crossgrain.queries.factor_stats import corr_sql, rank_sql
 from crossgrain.queries.registry import part, query
 from crossgrain.sources import proxy
-from crossgrain.sources.layout import stored
+from crossgrain.sources.layout import parts, stored
 
 K, FEATURES = 10, ["a", "b"]
 DAY = "model, date"
@@ -53,12 +53,13 @@ def features(spark, sf_dir):
 
 
 def built_features(spark, sf_dir):
+    """One pass over a stock's windows, then one shuffle to the buckets of dates, in which ranks are taken."""
     p = proxy.panel(spark, sf_dir)
     a = (F.round(F.coalesce(factors.reversal(5), F.lit(0.0)), 3) + 0.0).alias("a")
     b = (F.round(F.coalesce(F.expr("try_divide(raw_close, raw_open) - 1"), F.lit(0.0)), 3) + 0.0).alias("b")
-    x = p.select("date", "pos", "stock_code", "industry", "in_universe", "post_close", a, b).where("in_universe and post_close is not null").drop("in_universe", "post_close")
-    t = labels.open_to_open_targets(p, (5,)).select("date", "stock_code", (F.col("target_5d") / 50).alias("target"))
-    return x.join(t, ["date", "stock_code"]).withColumn("rank_target", rank_percentile("target", "date"))
+    t = (labels.open_to_open(5) / 50).alias("target")
+    x = p.select("date", "pos", "stock_code", "industry", "in_universe", "post_close", a, b, t).where("in_universe and post_close is not null").drop("in_universe", "post_close")
+    return x.repartition(parts(spark, proxy.panel_files(sf_dir)), "date").withColumn("rank_target", rank_percentile("target", "date"))
 
 
 def predictions(spark, sf_dir):
@@ -334,7 +335,7 @@ def _(spark, sf_dir):
 
 @query("d2_expanding_folds", "feat cal", "SELECT CAST(f AS INTEGER) AS fold, CASE WHEN year(date) = f THEN 'predict' ELSE 'train' END AS part, date, stock_code FROM (SELECT x.date, x.stock_code, c.date AS e FROM feat x LEFT JOIN cal c ON c.pos = x.pos + 6) CROSS JOIN (VALUES (1998), (1999)) AS y(f) WHERE year(date) = f OR (year(date) < f AND year(e) < f)", "fold part date stock_code")
 def _(spark, sf_dir):
-    p = proxy.cells(spark, sf_dir)
+    p = proxy.days(spark, sf_dir)
     x = features(spark, sf_dir).join(by_day(exit_date(calendar_index(p), 5)), "date", "left")
     return E.expanding_folds(x, [1998, 1999], "exit_date")
 
@@ -350,7 +351,7 @@ part("oof", "featr ooffit", "SELECT x.date, x.stock_code, x.target, f AS fold, p
 
 
 def with_exit(spark, sf_dir):
-    return features(spark, sf_dir).join(by_day(exit_date(calendar_index(proxy.cells(spark, sf_dir)), 5)), "date", "left")
+    return features(spark, sf_dir).join(by_day(exit_date(calendar_index(proxy.days(spark, sf_dir)), 5)), "date", "left")
 
 
 def out_of_fold(spark, sf_dir):

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from crossgrain.sources.scratch import new_path
 
-#: Bytes of the files that a table comes from that make a bucket; never more buckets than shuffle partitions.
-BUCKET_BYTES = 1 << 20
+#: Bytes of the files that a table comes from that make a bucket: what a task holds doesn't grow with the tables.
+BUCKET_BYTES = 2 << 20
 #: application -> (label, files) -> table; what another session wrote isn't known here.
 _stored: dict[str, dict[tuple, str]] = {}
 
@@ -33,13 +33,20 @@ def files_of(spark: SparkSession, paths: Sequence[str]) -> tuple:
     return tuple(sorted(found))
 
 
+def parts(spark: SparkSession, paths: Sequence[str]) -> int:
+    """Buckets of a table that comes from the files under the paths, and parts of a shuffle of its rows."""
+    return max(1, -(-sum(length for _, length, _ in files_of(spark, paths)) // BUCKET_BYTES))
+
+
 def stored(spark: SparkSession, label: str, paths: Sequence[str], build: Callable[[], DataFrame], bucket: str = "stock_code", sort: str = "date") -> DataFrame:
-    """The table that `build` gives, which reads `paths` only: built and written on first use."""
+    """The table that `build` gives, which reads `paths` only: built and written on first use.
+
+    What `build` gives is shuffled unless it has `parts` partitions by `bucket` already.
+    """
     own = _stored.setdefault(spark.sparkContext.applicationId, {})
     key = (label, files_of(spark, paths))
     if key not in own or not spark.catalog.tableExists(own[key]):
-        size = sum(length for _, length, _ in key[1])
-        name, n = f"{label}_{uuid.uuid4().hex}", max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)))
+        name, n = f"{label}_{uuid.uuid4().hex}", parts(spark, paths)
         # The repartition and the buckets have one hash, so a bucket is one file.
         build().repartition(n, bucket).write.bucketBy(n, bucket).sortBy(sort).option("path", new_path(spark, label)).saveAsTable(name)
         own[key] = name

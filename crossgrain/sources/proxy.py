@@ -9,24 +9,38 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crossgrain.functions.columns import by_day, by_stock
-from crossgrain.sources.layout import stored
+from crossgrain.sources.layout import parts, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cells(spark: SparkSession, sf_dir: str, grid: str = "week") -> DataFrame:
-    """date, k, open, high, low, close, turnover: one row a step and supplier that shipped."""
-    line = table(spark, sf_dir, "lineitem")
+def lines(spark: SparkSession, sf_dir: str, grid: str) -> DataFrame:
+    """date (its step's first day), k and the order's columns of each shipment."""
+    own = ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"]
+    return table(spark, sf_dir, "lineitem").select(F.date_trunc(grid, "l_shipdate").cast("date").alias("date"), F.col("l_suppkey").alias("k"), *own)
+
+
+def by_cell(rows: DataFrame, stock: str) -> DataFrame:
+    """The cells of shipments that lie by `stock` already, so that no further shuffle is needed."""
     price = F.round(10 * F.log(1 + F.try_divide("l_extendedprice", "l_quantity")), 4)
     order = F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
-    rows = line.select(F.date_trunc(grid, "l_shipdate").cast("date").alias("date"), F.col("l_suppkey").alias("k"), price.alias("price"), order.alias("o"), "l_quantity")
-    return rows.groupBy("date", "k").agg(
+    return rows.select("date", stock, price.alias("price"), order.alias("o"), "l_quantity").groupBy("date", stock).agg(
         F.min_by("price", "o").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "o").alias("close"), F.sum("l_quantity").alias("turnover"),
     )
 
 
+def cells(spark: SparkSession, sf_dir: str, grid: str = "week") -> DataFrame:
+    """date, k, open, high, low, close, turnover: one row a step and supplier that shipped."""
+    return by_cell(lines(spark, sf_dir, grid).repartition(parts(spark, panel_files(sf_dir)), "k"), "k")
+
+
+def days(spark: SparkSession, sf_dir: str, grid: str = "week") -> DataFrame:
+    """date: the steps in which anything was shipped, without making the cells."""
+    return lines(spark, sf_dir, grid).select("date").distinct()
+
+
 def calendar(rows: DataFrame) -> DataFrame:
     """date and pos (from 0) of the distinct dates: one row a date, so one task numbers them."""
     return rows.select("date").distinct().withColumn("pos", F.row_number().over(Window.orderBy("date")).cast("long") - 1)
@@ -36,18 +50,17 @@ def stock_code(k: str) -> F.Column:
     return F.concat(F.lit("S"), F.lpad(F.col(k).cast("string"), 6, "0"))
 
 
-def stocks(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
-    """k, stock_code, industry and market_cap of the suppliers in `rows`."""
+def stocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k, stock_code, industry and market_cap of all suppliers."""
     s, n, r = (table(spark, sf_dir, x) for x in ("supplier", "nation", "region"))
     named = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-    all_stocks = named.select(F.col("s_suppkey").alias("k"), stock_code("s_suppkey").alias("stock_code"), F.col("r_name").alias("industry"), (F.col("s_acctbal") * 1e6).alias("market_cap"))
-    return all_stocks.join(rows.select("k").distinct(), "k", "left_semi")
+    return named.select(F.col("s_suppkey").alias("k"), stock_code("s_suppkey").alias("stock_code"), F.col("r_name").alias("industry"), (F.col("s_acctbal") * 1e6).alias("market_cap"))
 
 
 def prices(spark: SparkSession, sf_dir: str, grid: str = "week") -> DataFrame:
     """Long price table without gaps filled: date, pos, stock_code, k and the cells' columns."""
     c = cells(spark, sf_dir, grid)
-    return c.join(by_day(calendar(c)), "date").withColumn("stock_code", stock_code("k"))
+    return c.join(by_day(calendar(days(spark, sf_dir, grid))), "date").withColumn("stock_code", stock_code("k"))
 
 
 def panel_files(sf_dir: str) -> list[str]:
@@ -62,10 +75,21 @@ def panel(spark: SparkSession, sf_dir: str, grid: str = "week") -> DataFrame:
 
 def built_panel(spark: SparkSession, sf_dir: str, grid: str = "week") -> DataFrame:
     """The dense market panel: one row a date and stock that ever had a price."""
-    c = cells(spark, sf_dir, grid)
+    shipped, n = lines(spark, sf_dir, grid), parts(spark, panel_files(sf_dir))
+    # Shipments are shuffled once, to the buckets of the table; all that follows stays in a bucket.
+    c = by_cell(shipped.withColumn("stock_code", stock_code("k")).drop("k").repartition(n, "stock_code"), "stock_code").withColumnRenamed("date", "_date")
     # The calendar has one row a step: a few thousand in a century.
-    skeleton = stocks(spark, sf_dir, c).crossJoin(by_day(calendar(c)))
-    full = skeleton.join(c.withColumn("has_price_record", F.lit(True)), ["date", "k"], "left")
+    steps = calendar(shipped)
+    ends = steps.withColumn("_end", F.max("pos").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    # A cell also makes the rows of the gap behind it, a stock's first one those before it: no join with a skeleton.
+    own = c.join(by_day(ends), F.col("_date").eqNullSafe(F.col("date"))).drop("date").withColumnRenamed("pos", "_pos")
+    by_pos = by_stock("_pos")
+    first_row = F.when(F.lag("_pos").over(by_pos).isNull(), F.lit(0).cast("long")).otherwise(F.col("_pos"))
+    grown = own.withColumn("_from", first_row).withColumn("_to", F.coalesce(F.lead("_pos").over(by_pos) - 1, "_end")).withColumn("pos", F.explode(F.sequence("_from", "_to")))
+    here = (F.col("pos") == F.col("_pos")) & F.col("_date").isNotNull()
+    cell = [F.when(here, F.col(x)).alias(x) for x in ("open", "high", "low", "close", "turnover")]
+    named = stocks(spark, sf_dir).repartition(n, "stock_code")
+    full = grown.select("stock_code", "pos", *cell, here.alias("has_price_record")).join(by_day(steps), "pos").join(named, "stock_code")
     before = F.last("close", ignorenulls=True).over(by_stock().rowsBetween(Window.unboundedPreceding, -1))
     first = F.min(F.when(F.col("close").isNotNull(), F.col("pos"))).over(Window.partitionBy("stock_code"))
     quarter = F.year("date") * 4 + F.quarter("date")
@@ -76,7 +100,7 @@ def built_panel(spark: SparkSession, sf_dir: str, grid: str = "week") -> DataFra
         (before * 1.4).alias("limit_up"), (before * 0.6).alias("limit_down"),
         ((F.col("k") * 7 + F.col("pos")) % 23 == 0).alias("is_st"), ((F.col("k") * 11 + F.col("pos")) % 19 == 0).alias("is_suspended"),
         F.greatest(F.lit(0), F.col("pos") - first + 1).cast("double").alias("listing_days"),
-        "industry", "market_cap", F.coalesce("has_price_record", F.lit(False)).alias("has_price_record"),
+        "industry", "market_cap", "has_price_record",
     )
 
 

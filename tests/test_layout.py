@@ -32,3 +32,20 @@ def test_a_table_is_stored_once_and_follows_its_files(spark, tmp_path):
     layout.forget(spark)
     assert not any(spark.catalog.tableExists(n) for n in names) and os.path.exists(source)
     assert layout.stored(spark, "t", [source], build).count() == 105 and len(built) == 3
+
+
+def test_the_panel_shuffles_shipments_once_and_fills_gaps(spark, tmp_path, monkeypatch):
+    from conftest import SF
+
+    from crossgrain.sources import proxy
+
+    monkeypatch.setattr(layout, "BUCKET_BYTES", 1 << 14)
+    n = layout.parts(spark, proxy.panel_files(SF))
+    assert n > int(spark.conf.get("spark.sql.shuffle.partitions"))  # buckets grow with the files, whatever the session's setting
+    built = proxy.built_panel(spark, SF).repartition(n, "stock_code")
+    plan = [x for x in built._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert len([x for x in plan if "stock_code" in x]) == 2  # shipments and suppliers; the calendar's are by date
+    rows = built.select("date", "stock_code", "has_price_record", "post_close").collect()
+    cells = {(r.date, r.stock_code): r.close for r in proxy.prices(spark, SF).collect()}
+    assert len(rows) == len({(r.date, r.stock_code) for r in rows}) == len({d for d, _ in cells}) * len({s for _, s in cells})
+    assert {(r.date, r.stock_code): r.post_close for r in rows if r.has_price_record} == cells
