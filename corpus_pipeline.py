@@ -7,7 +7,8 @@ The first three only drop documents; mixing draws every document once at least a
 often; the last returns token ids and digests.
 
 Edge cases: a null or empty text fails the quality rules and goes; a text without a letter goes at
-language ID, one in several learned languages stays; rows without doc_id are never near-duplicates
+language ID, as does one of which the language that it declares makes up under `DECLARED`; without a
+declared language that was learned, one in several learned languages stays; rows without doc_id are never near-duplicates
 and stay; of rows that share a doc_id the least stays, of a near-duplicate class the least doc_id;
 ties in hashes go together; a null source counts as the source ''; very long texts pass every stage
 whole; extra columns come along up to the last stage; an empty table gives an empty result.
@@ -22,6 +23,8 @@ from crossgrain.llm.common import Temporary, materialize, table
 
 #: Entropy of the mix, as a share of the most possible, and passes over a source at most.
 EVENNESS, REPETITIONS = 0.98, 2.0
+#: Least share of a text that the language in its `lang` makes up: with less, the label doesn't say what the text is.
+DECLARED = 0.65
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +32,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return language_id.keep_known(docs, language_id.fit(docs))
+    return language_id.keep_known(docs, language_id.fit(docs), least=DECLARED, declared="lang")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -930,6 +930,21 @@ def test_pipeline_stages(spark):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+def test_language_stage_drops_wrong_labels(spark):
+    import corpus_pipeline
+
+    d = table(spark, SF.replace("0.001", "0.01"), "documents")
+    by = {x: [r.text for r in d.where(F.col("lang") == x).orderBy("doc_id").limit(60).collect()] for x in ("en", "de")}
+    rows = [(i + 1000 * (x == "de"), t, x) for x in by for i, t in enumerate(by[x])]
+    half = by["en"][0][:400] + " " + by["de"][0][:400]
+    rows += [(5000, by["de"][1], "en"), (5001, half, "en"), (5002, half, None), (5003, by["de"][1], "xx"), (5004, "12 34 56", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in language_id.keep_known(docs, language_id.fit(docs.where("doc_id < 5000")), least=corpus_pipeline.DECLARED, declared="lang").collect()}
+    assert kept & {5000, 5001, 5002, 5003, 5004} == {5002, 5003} and len(kept) > 100
+    stage = corpus_pipeline.language_stage(spark, docs.where("lang is null or lang <> 'xx'"), SF)
+    assert 5000 not in {r.doc_id for r in stage.collect()} and stage.columns == docs.columns
+
+
 def test_pipeline_stages_on_odd_tables(spark):
     import corpus_pipeline
 
