@@ -7,11 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossgrain.functions.columns import average_rank, correlation, rank_percentile, ratio
 from crossgrain.operators.cross_section import score_deciles, top_k
+from crossgrain.sources.layout import laid_by
 from crossgrain.sources.scratch import materialize
 
 DAY = ["model", "date"]
@@ -33,29 +36,76 @@ def rank_ic(p: DataFrame) -> DataFrame:
     return x.groupBy(*DAY).agg(correlation("_a", "_b").alias("rank_ic"))
 
 
-def pair_counts(p: DataFrame) -> DataFrame:
+def signed_pairs(x: np.ndarray, y: np.ndarray) -> int:
+    """The sum of sign(x_i - x_j) * sign(y_i - y_j) over all pairs, bit by bit of the ranks of x."""
+    r, s = np.unique(x, return_inverse=True)[1], np.unique(y, return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(s, kind="stable")
+    r, s, total = r[order], s[order], 0
+    for bit in range(int(r.max(initial=0)).bit_length()):
+        # Rows that agree above the bit meet: the upper half of them with the lower, in the order of y.
+        above = r >> (bit + 1)
+        at = np.argsort(above, kind="stable")
+        group, label, low = above[at], s[at], 1 - (r[at] >> bit & 1)
+        run = np.concatenate([[0], np.cumsum(low)])
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        cells = np.flatnonzero((np.diff(group, prepend=-1) != 0) | (np.diff(label, prepend=-1) != 0))
+        sizes, ends = np.diff(starts, append=len(group)), np.append(starts[1:], len(group))
+        first, last = np.repeat(run[starts], sizes), np.repeat(run[ends], sizes)
+        lengths, cell_ends = np.diff(cells, append=len(group)), np.append(cells[1:], len(group))
+        under, over = np.repeat(run[cells], lengths) - first, last - np.repeat(run[cell_ends], lengths)
+        total += int(((1 - low) * (under - over)).sum())
+    return total
+
+
+#: Ranks of a block: what a task of pair counts holds in Python.
+BLOCK_RANKS = 2048
+
+
+def _block(rank: Column, tied: Column, width: int) -> Column:
+    """Blocks of ranks in order, of under 2 * `width` rows each; more than `width` equal values are a block of their own."""
+    return F.floor((rank - 1) / width).cast("long") * 2 + (tied > width).cast("long")
+
+
+def _within(rows: DataFrame, block: str, x: str, y: str) -> DataFrame:
+    """model, date, signed of the pairs inside each block."""
+    keys = [*DAY, block]
+
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.table({"model": [key[0].as_py()], "date": [key[1].as_py()], "signed": [signed_pairs(table.column(x).to_numpy(), table.column(y).to_numpy())]})
+
+    schema = ", ".join(f"{k} {t}" for k, t in rows.select(*DAY).dtypes) + ", signed long"
+    return rows.select(*keys, x, y).groupBy(*keys).applyInArrow(count, schema)
+
+
+def pair_counts(p: DataFrame, width: int = BLOCK_RANKS) -> DataFrame:
     """model, date, signed, pairs, tied_score, tied_target over all pairs of a date's labelled rows.
 
-    Pairs are counted, never made. Two scores differ first at some bit of their dense ranks: at each
-    bit, the rows that agree above it fall into a lower and an upper half, and a running count in
-    the order of the label tells how many pairs between the halves are in order. So n rows cost n
-    log n, dealt out by date, bit and what stands above the bit.
+    Pairs are counted, never made. A date's rows are cut into blocks of neighbouring scores, and into
+    blocks of neighbouring labels. A pair is inside a block of scores, or else inside one of labels, or
+    its two stand apart on both sides. The first two kinds are counted block by block, n log `width` in
+    bounded memory; the third needs the sizes of the (block, block) tiles only, and is counted bit by bit
+    of the score's block: at each bit, tiles that agree above it fall into a lower and an upper half, and
+    a running count in the order of the label tells how many pairs between the halves are in order.
+
+    Rows that lie by date already aren't shuffled again.
     """
     day = Window.partitionBy(*DAY)
     x = labelled(p).select(*DAY, F.col("score").alias("a"), F.col("rank_target").alias("b"))
-    x = x.withColumn("r", F.dense_rank().over(day.orderBy("a")).cast("long") - 1).withColumn("s", F.dense_rank().over(day.orderBy("b")).cast("long"))
-    x = x.withColumn("top", F.max("r").over(day))
-    bits = F.length(F.bin("top")).cast("int")
-    split = x.withColumn("bit", F.explode(F.sequence(F.lit(0), bits - 1)))
-    split = split.select(*DAY, "bit", F.expr("shiftright(r, bit + 1)").alias("above"), F.expr("shiftright(r, bit) & 1").alias("upper"), "s")
-    # Rows of one half and label count together.
-    cells = split.groupBy(*DAY, "bit", "above", "s").agg(F.sum(1 - F.col("upper")).alias("low"), F.sum("upper").alias("high"))
+    tied = lambda c: F.count(F.lit(1)).over(Window.partitionBy(*DAY, c))
+    x = x.withColumn("r", F.rank().over(day.orderBy("a")).cast("long")).withColumn("ta", tied("a")).withColumn("s", F.rank().over(day.orderBy("b")).cast("long")).withColumn("tb", tied("b"))
+    x = x.select(*DAY, "r", "s", "ta", "tb", _block(F.col("r"), F.col("ta"), width).alias("i"), _block(F.col("s"), F.col("tb"), width).alias("j"))
+    sizes = x.groupBy(*DAY).agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("ta") - 1) / 2).cast("long").alias("tied_score"), (F.sum(F.col("tb") - 1) / 2).cast("long").alias("tied_target"))
+    # Equal values make no pair in order: a block of them alone has none inside.
+    inside = _within(x.where(F.col("ta") <= width), "i", "r", "s").unionByName(_within(x.where(F.col("tb") <= width), "j", "i", "s"))
+    tiles = x.groupBy(*DAY, "i", "j").agg(F.count(F.lit(1)).alias("n")).withColumn("top", F.max("i").over(day))
+    tiles = tiles.withColumn("bit", F.explode(F.sequence(F.lit(0), F.length(F.bin("top")).cast("int") - 1)))
+    upper = F.expr("shiftright(i, bit) & 1")
+    cells = tiles.groupBy(*DAY, "bit", F.expr("shiftright(i, bit + 1)").alias("above"), "j").agg(F.sum((1 - upper) * F.col("n")).alias("low"), F.sum(upper * F.col("n")).alias("high"))
     cell = Window.partitionBy(*DAY, "bit", "above")
-    under = F.coalesce(F.sum("low").over(cell.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    under = F.coalesce(F.sum("low").over(cell.orderBy("j").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     over = F.sum("low").over(cell) - under - F.col("low")
-    signed = cells.withColumn("signed", F.col("high") * (under - over)).groupBy(*DAY).agg(F.sum("signed").alias("signed"))
-    tied = lambda c: F.count(F.lit(1)).over(Window.partitionBy(*DAY, c)) - 1
-    sizes = x.withColumn("ta", tied("r")).withColumn("tb", tied("s")).groupBy(*DAY).agg(F.count(F.lit(1)).alias("n"), (F.sum("ta") / 2).cast("long").alias("tied_score"), (F.sum("tb") / 2).cast("long").alias("tied_target"))
+    apart = cells.withColumn("signed", F.col("high") * (under - over)).groupBy(*DAY).agg(F.sum("signed").alias("signed"))
+    signed = apart.unionByName(inside).groupBy(*DAY).agg(F.sum("signed").alias("signed"))
     return sizes.join(signed, DAY).select(*DAY, "signed", (F.col("n") * (F.col("n") - 1) / 2).cast("long").alias("pairs"), "tied_score", "tied_target")
 
 
@@ -124,9 +174,11 @@ def top_detail(p: DataFrame, k: int) -> DataFrame:
     return top_k(p, "score", k, DAY)
 
 
-def daily_metrics(p: DataFrame, k: int) -> DataFrame:
-    """All metrics, a row a (model, date). The predictions and the pair counts are written once, as each metric reads them."""
-    p = materialize(p.select(*DAY, "stock_code", "score", "target", "rank_target"), "predictions")
+def daily_metrics(p: DataFrame, k: int, n: int | None = None) -> DataFrame:
+    """All metrics, a row a (model, date). The predictions are written once, in `n` buckets of dates (default: shuffle
+    partitions), and the pair counts: the metrics read them without an exchange."""
+    n = n or int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = laid_by(p.select(*DAY, "stock_code", "score", "target", "rank_target"), "predictions", "date", n)
     counts = materialize(pair_counts(p), "pairs")
     size = p.groupBy(*DAY).agg(F.count(F.lit(1)).alias("scored"), F.count("rank_target").alias("labelled"))
     for part in (rank_ic(p), kendall_tau(counts), pairwise_accuracy(counts), rank_errors(p), ndcg(p, k), overlap_at_k(p, k), cohort_returns(p, k), decile_summary(decile_returns(p))):

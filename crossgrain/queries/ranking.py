@@ -128,7 +128,7 @@ SUMMARY_OUT = "model days " + " ".join(f"~mean_{m}" for m in METRICS) + " ~rank_
 
 @query("e11_metric_summary", "daily", SUMMARY, SUMMARY_OUT)
 def _(spark, sf_dir):
-    return E.metric_summary(E.daily_metrics(predictions(spark, sf_dir), K), METRICS)
+    return E.metric_summary(E.daily_metrics(predictions(spark, sf_dir), K, parts(spark, proxy.panel_files(sf_dir))), METRICS)
 
 
 HAC = """SELECT model, n, mean, sqrt(greatest(s, 0)) / n AS se, mean / nullif(sqrt(greatest(s, 0)) / n, 0) AS t, mean - 1.959964 * sqrt(greatest(s, 0)) / n AS low, mean + 1.959964 * sqrt(greatest(s, 0)) / n AS high FROM (
@@ -147,12 +147,12 @@ part("hac", "e_ic se", HAC)
 
 @query("e13_compare_runs", "daily hac", f"SELECT s.*, se AS rank_ic_se, t AS rank_ic_t FROM ({SUMMARY}) s LEFT JOIN hac USING (model)", SUMMARY_OUT + " ~rank_ic_se ~rank_ic_t")
 def _(spark, sf_dir):
-    return E.compare_runs(E.daily_metrics(predictions(spark, sf_dir), K), METRICS, 5)
+    return E.compare_runs(E.daily_metrics(predictions(spark, sf_dir), K, parts(spark, proxy.panel_files(sf_dir))), METRICS, 5)
 
 
 @query("e14_evaluate_predictions", "daily", "SELECT * FROM daily", "model date scored labelled ~rank_ic ~kendall_tau ~pairwise_accuracy ~rank_mae ~rank_rmse ~ndcg ~precision ~recall ~jaccard " + COHORT + " ~decile_spread ~decile_monotonicity")
 def _(spark, sf_dir):
-    return E.daily_metrics(predictions(spark, sf_dir), K)
+    return E.daily_metrics(predictions(spark, sf_dir), K, parts(spark, proxy.panel_files(sf_dir)))
 
 
 #: The normal equations of two features in closed form; strength 0.1 times the sum of weights on the diagonal.

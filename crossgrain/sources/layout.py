@@ -53,6 +53,17 @@ def stored(spark: SparkSession, label: str, paths: Sequence[str], build: Callabl
     return spark.table(own[key])
 
 
+def laid_by(df: DataFrame, label: str, column: str, n: int) -> DataFrame:
+    """`df` written once in `n` buckets of a column: aggregates and windows by it and more columns need no exchange.
+
+    Rows that have `n` partitions by the column already aren't shuffled. `forget` drops the table.
+    """
+    spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
+    df.repartition(n, column).write.bucketBy(n, column).option("path", new_path(spark, label)).saveAsTable(name)
+    _stored.setdefault(spark.sparkContext.applicationId, {})[(name,)] = name
+    return spark.table(name)
+
+
 def forget(spark: SparkSession) -> None:
     """Drops the session's stored tables and their files."""
     for name in _stored.pop(spark.sparkContext.applicationId, {}).values():

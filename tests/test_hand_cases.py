@@ -245,6 +245,22 @@ def test_pair_counts_equal_all_pairs(spark, n):
             assert got[d] == (sum(a * b for a, b in pairs), len(pairs), sum(a == 0 for a, _ in pairs), sum(b == 0 for _, b in pairs))
 
 
+@pytest.mark.parametrize("width", [1, 3, 16, 1000])
+def test_pair_counts_in_blocks_equal_all_pairs(spark, width):
+    rng = np.random.default_rng(width)
+    scores = {"fine": lambda n: rng.random(n), "ties": lambda n: rng.integers(0, 5, n) * 1.0, "one": lambda n: np.ones(n), "mostly": lambda n: np.where(rng.random(n) < 0.7, 0.5, rng.random(n))}
+    data, want = [], {}
+    for (m, a), (d, b) in [(x, y) for x in scores.items() for y in enumerate(scores.values())]:
+        x, y = a(90), b(90)
+        data += [(m, D + dt.timedelta(d), f"S{i}", float(x[i]), float(y[i])) for i in range(90)]
+        sx, sy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+        off = ~np.eye(90, dtype=bool)
+        want[m, D + dt.timedelta(d)] = (int((sx * sy).sum()) // 2, 90 * 89 // 2, int((sx == 0)[off].sum()) // 2, int((sy == 0)[off].sum()) // 2)
+        assert evaluation.signed_pairs(x, y) == want[m, D + dt.timedelta(d)][0]
+    rows = spark.createDataFrame(data, "model string, date date, stock_code string, score double, rank_target double")
+    assert {(r.model, r.date): tuple(r)[2:] for r in evaluation.pair_counts(rows, width).collect()} == want
+
+
 def test_what_is_broadcast_by_date_has_a_bound(spark):
     days = spark.createDataFrame([(D, 1), (dt.date(2199, 12, 31), 2), (None, 3)], "date date, x int")
     rows = spark.createDataFrame([(D,), (None,)], "date date")
