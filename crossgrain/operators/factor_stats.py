@@ -32,8 +32,8 @@ def long_sample(rows: DataFrame, variants: Sequence[str], windows: Sequence[int]
 
 def daily_ic(long: DataFrame, least: int = 3) -> DataFrame:
     """date, variant, window, ic, rank_ic, n over complete pairs; ranks are of the complete pairs only."""
-    pairs = long.where("value is not null and ret is not null")
     keys = ["date", *SERIES]
+    pairs = long.select(*keys, "value", "ret").where("value is not null and ret is not null")
     ranked = pairs.withColumn("_rv", average_rank("value", *keys)).withColumn("_rr", average_rank("ret", *keys))
     found = ranked.groupBy(*keys).agg(correlation("value", "ret", least=least).alias("ic"), correlation("_rv", "_rr", least=least).alias("rank_ic"), F.count(F.lit(1)).alias("n"))
     return long.select(*keys).distinct().join(found, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))

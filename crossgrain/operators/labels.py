@@ -14,9 +14,13 @@ from crossgrain.operators.calendar import exit_date, next_trading_date
 TOLERANCE = 1e-10
 
 
+def forward_return(window: int) -> Column:
+    return change(calendar_lag("post_close", -window), "post_close")
+
+
 def forward_returns(panel: DataFrame, windows: Sequence[int]) -> DataFrame:
     """keys and return_{w}: close w calendar rows ahead over close now, less 1."""
-    return panel.select(*KEYS, *[change(calendar_lag("post_close", -w), "post_close").alias(f"return_{w}") for w in windows])
+    return panel.select(*KEYS, *[forward_return(w).alias(f"return_{w}") for w in windows])
 
 
 def open_to_open(horizon: int) -> Column:

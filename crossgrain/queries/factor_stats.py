@@ -12,6 +12,7 @@ from crossgrain.operators import factors, labels
 from crossgrain.plans.single_factor import Settings, single_factor
 from crossgrain.queries.registry import part, query
 from crossgrain.sources import proxy
+from crossgrain.sources.layout import parts
 from crossgrain.sources.scratch import materialize
 
 Q = 5
@@ -57,12 +58,14 @@ part("yearly", "ic nav turn", """SELECT * FROM (SELECT CAST(year(date) AS INTEGE
 
 
 def long(spark, sf_dir):
+    """One pass over a stock's windows; then the sample goes by (date, variant, window), in as many parts as the files ask for."""
     p = proxy.panel(spark, sf_dir)
     v = (F.round(factors.reversal(5), 3) + 0.0).alias("v")
     u = (F.round(-F.expr("try_divide(raw_close, raw_open) - 1"), 3) + 0.0).alias("u")
-    rows = p.select("date", "stock_code", v, u).where("v is not null")
-    fwd = labels.forward_returns(p, (1, 5)).select("date", "stock_code", *[(F.col(f"return_{w}") / 50).alias(f"return_{w}") for w in (1, 5)])
-    return O.long_sample(rows.join(fwd, ["date", "stock_code"]), ["v", "u"], (1, 5)).where("value is not null")
+    fwd = [(labels.forward_return(w) / 50).alias(f"return_{w}") for w in (1, 5)]
+    rows = p.select("date", "stock_code", v, u, *fwd).where("v is not null")
+    sample = O.long_sample(rows, ["v", "u"], (1, 5)).where("value is not null")
+    return sample.repartition(parts(spark, proxy.panel_files(sf_dir)), "date", *O.SERIES)
 
 
 def win(df):

@@ -49,3 +49,20 @@ def test_the_panel_shuffles_shipments_once_and_fills_gaps(spark, tmp_path, monke
     cells = {(r.date, r.stock_code): r.close for r in proxy.prices(spark, SF).collect()}
     assert len(rows) == len({(r.date, r.stock_code) for r in rows}) == len({d for d, _ in cells}) * len({s for _, s in cells})
     assert {(r.date, r.stock_code): r.post_close for r in rows if r.has_price_record} == cells
+
+
+def test_a_sample_has_as_many_parts_as_the_files_ask_for(spark, monkeypatch):
+    from conftest import SF
+
+    from crossgrain.operators import factor_stats as S
+    from crossgrain.queries import factor_stats
+    from crossgrain.sources import proxy
+
+    layout.forget(spark)
+    monkeypatch.setattr(layout, "BUCKET_BYTES", 1 << 14)
+    n = layout.parts(spark, proxy.panel_files(SF))
+    sample = factor_stats.long(spark, SF)
+    lines = sample._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert sample.rdd.getNumPartitions() == n and sum("Exchange" in x for x in lines) == 1 and not any("Join" in x for x in lines)
+    assert S.daily_ic(sample).count() == 4 * sample.select("date").distinct().count()
+    layout.forget(spark)
