@@ -345,19 +345,30 @@ class LambdaRound:
     gradient: list[float]
 
 
-def ranked_gains(rows: DataFrame, scores: Sequence[Column], rank: str, truncation: int) -> DataFrame:
-    """candidate, date, stock_code, g (the rank label) and d (the discount of its place) under each of the scores."""
+def top_gains(rows: DataFrame, scores: Sequence[Column], rank: str, truncation: int) -> DataFrame:
+    """candidate, date, stock_code, g (the rank label) and d (the discount of its place) of the first `truncation` places under each score.
+
+    Further places have no discount; places are among all rows, those without a label left out afterwards.
+    """
     each = F.inline(F.array(*[F.struct(F.lit(i).alias("candidate"), s.alias("s")) for i, s in enumerate(scores)]))
     place = F.row_number().over(Window.partitionBy("candidate", "date").orderBy(F.desc("s"), "stock_code"))
-    x = rows.select("date", "stock_code", F.col(rank).alias("g"), each).withColumn("p", place)
-    return x.where("g is not null").select("candidate", "date", "stock_code", "g", F.when(F.col("p") <= truncation, 1 / F.log2(F.col("p") + 1)).otherwise(0.0).alias("d"))
+    x = rows.select("date", "stock_code", F.col(rank).alias("g"), each).withColumn("p", place).where(F.col("p") <= truncation)
+    return x.where("g is not null").select("candidate", "date", "stock_code", "g", (1 / F.log2(F.col("p") + 1)).alias("d"))
+
+
+def best_gains(rows: DataFrame, rank: str, truncation: int) -> DataFrame:
+    """date and b, the discounted gains of the best order, where over 0: the same in every round."""
+    place = F.row_number().over(Window.partitionBy("date").orderBy(F.desc(rank), "stock_code"))
+    x = rows.select("date", "stock_code", rank).where(F.col(rank).isNotNull()).withColumn("i", place).where(F.col("i") <= truncation)
+    return x.groupBy("date").agg(F.sum(F.col(rank) / F.log2(F.col("i") + 1)).alias("b")).where("b > 0")
 
 
-def mean_ndcg(gains: DataFrame, truncation: int) -> dict[int, float]:
+def mean_ndcg(gains: DataFrame, best: DataFrame, candidates: int) -> dict[int, float]:
     """By candidate: the mean over dates of the discounted gains over the best ones (gains are linear in the rank label)."""
-    best = F.row_number().over(Window.partitionBy("candidate", "date").orderBy(F.desc("g"), "stock_code"))
-    x = gains.withColumn("i", best).groupBy("candidate", "date").agg(F.sum(F.col("g") * F.col("d")).alias("a"), F.sum(F.when(F.col("i") <= truncation, F.col("g") / F.log2(F.col("i") + 1))).alias("b"))
-    return {r.candidate: r.m for r in x.where("b > 0").groupBy("candidate").agg(F.avg(F.col("a") / F.col("b")).alias("m")).collect()}  # a row a candidate
+    a = gains.groupBy("candidate", "date").agg(F.sum(F.col("g") * F.col("d")).alias("a"))
+    every = best.withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))))
+    x = every.join(a, ["candidate", "date"], "left")
+    return {r.candidate: r.m for r in x.groupBy("candidate").agg(F.avg(F.coalesce("a", F.lit(0.0)) / F.col("b")).alias("m")).collect()}  # a row a candidate
 
 
 def lambda_rank_fit(pairs: DataFrame, rows: DataFrame, features: Sequence[str], target: str, rank: str, start: Sequence[float], truncation: int = 100, rounds: int = 5, steps: Sequence[float] = (1.0, 0.5, 0.25, 0.125)) -> tuple[dict[str, float], list[LambdaRound]]:
@@ -370,16 +381,21 @@ def lambda_rank_fit(pairs: DataFrame, rows: DataFrame, features: Sequence[str],
     """
     w, seen = [float(x) for x in start], []
     with Temporary(rows.sparkSession):
-        directed = materialize(directed_pairs(pairs, rows, features, target).select("date", "anchor", "opponent", "z"), "directed")
+        labels = rows.where(F.col(rank).isNotNull()).select("date", "stock_code", F.col(rank))
+        directed = directed_pairs(pairs, rows, features, target).join(labels.toDF("date", "anchor", "_ga"), ["date", "anchor"]).join(labels.toDF("date", "opponent", "_go"), ["date", "opponent"])
+        directed = materialize(directed.select("date", "anchor", "opponent", "z", F.abs(F.col("_ga") - F.col("_go")).alias("_g")), "directed")
         x = materialize(rows.select("date", "stock_code", rank, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]), "rows")
+        best = materialize(best_gains(x, rank, truncation), "best")
         score = lambda v: sum((F.col(f) * F.lit(c) for f, c in zip(features, v, strict=True)), F.lit(0.0))
         for _ in range(rounds):
-            gains = ranked_gains(x, [score(w)], rank, truncation).drop("candidate")
-            y = directed.join(gains.toDF("date", "anchor", "_ga", "_da"), ["date", "anchor"]).join(gains.toDF("date", "opponent", "_go", "_do"), ["date", "opponent"])
-            y = y.withColumn("w", F.abs((F.col("_ga") - F.col("_go")) * (F.col("_da") - F.col("_do"))))
+            gains = materialize(top_gains(x, [score(w)], rank, truncation), "gains")
+            # Two rows beyond the truncation weigh nothing, so pairs meet the dates' first rows only.
+            first = gains.select("date", "stock_code", "d")
+            y = directed.join(first.toDF("date", "anchor", "_da"), ["date", "anchor"], "left").join(first.toDF("date", "opponent", "_do"), ["date", "opponent"], "left")
+            y = y.withColumn("w", F.col("_g") * F.abs(F.coalesce("_da", F.lit(0.0)) - F.coalesce("_do", F.lit(0.0))))
             p = 1 / (1 + F.exp(pair_margin(w)))
             r = y.agg(F.sum("w").alias("n"), *[F.sum(F.col("w") * p * F.col("z")[i]).alias(f"g{i}") for i in range(len(w))]).first()
-            now = mean_ndcg(ranked_gains(x, [score(w)], rank, truncation), truncation).get(0, 0.0)
+            now = mean_ndcg(gains, best, 1).get(0, 0.0)
             if not r.n:
                 break
             gradient = [r[f"g{i}"] / r.n for i in range(len(w))]
@@ -387,7 +403,7 @@ def lambda_rank_fit(pairs: DataFrame, rows: DataFrame, features: Sequence[str],
             if not steps:
                 break
             tried = [[a + t * g for a, g in zip(w, gradient, strict=True)] for t in steps]
-            ndcg = mean_ndcg(ranked_gains(x, [score(v) for v in tried], rank, truncation), truncation)
+            ndcg = mean_ndcg(top_gains(x, [score(v) for v in tried], rank, truncation), best, len(tried))
             better = next((i for i in range(len(tried)) if ndcg.get(i, 0.0) >= now - 1e-12), None)
             if better is None:
                 break

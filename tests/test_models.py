@@ -244,3 +244,21 @@ def test_ridge_with_many_features(spark):
     got = ranking.ridge_fit(df, names, "y", 0.2)
     beta = np.linalg.solve((x - x.mean(0)).T @ (x - x.mean(0)) / 500 + 0.2 * np.eye(142), (x - x.mean(0)).T @ (y - y.mean()) / 500)
     assert np.allclose([got[n] for n in names], beta)
+
+
+def test_a_lambda_round_keeps_the_first_places_only(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from crossgrain.operators import ranking
+
+    rows = [(dt.date(2024, 1, 1 + d), f"S{i:02}", float(i), None if i == 9 else i / 9) for d in range(2) for i in range(10)]
+    x = spark.createDataFrame(rows, "date date, stock_code string, a double, r double")
+    gains = ranking.top_gains(x, [F.col("a"), -F.col("a")], "r", 3)
+    assert gains.groupBy("candidate").count().orderBy("candidate").collect() == [(0, 4), (1, 6)]  # the unlabelled first row keeps its place
+    found = ranking.mean_ndcg(gains, ranking.best_gains(x, "r", 3), 2)
+    place = [1 / np.log2(i + 1) for i in (1, 2, 3)]
+    ideal = sum(g / 9 * d for g, d in zip((8, 7, 6), place, strict=True))
+    assert abs(found[0] - (8 / 9 * place[1] + 7 / 9 * place[2]) / ideal) < 1e-12
+    assert abs(found[1] - sum(g / 9 * d for g, d in zip((0, 1, 2), place, strict=True)) / ideal) < 1e-12
