@@ -191,34 +191,50 @@ def _hash(seed: int, *columns: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
 
 
-def sample_date_pairs(rows: DataFrame, target: str, broad: int, nearest: int, seed: int = 7) -> DataFrame:
+#: Columns in which pairs carry the values of their two rows.
+CARRIED = ("anchor_row", "opponent_row")
+
+
+def sample_date_pairs(rows: DataFrame, target: str, broad: int, nearest: int, seed: int = 7, carry: Sequence[str] = ()) -> DataFrame:
     """date, anchor, opponent, kind: for each row `broad` opponents spread over its date, and the `nearest` by target.
 
     No opponent ties with its anchor, and each anchor gets its full number, or all there are. The
     rows of a date stand in a ring by target, in which those that an anchor ties with are its
     neighbours; broad opponents follow in equal steps on the rest of the ring, from a hashed start.
     Of equally near ones the lower target comes first, then rows in hashed order from a hashed start.
+
+    Each row works out the places of its opponents, and meets them in a window by (date, place), so rows that
+    lie by date already aren't shuffled. carry: columns that come along for both rows, in `CARRIED`.
     """
-    x = rows.where(F.col(target).isNotNull()).select("date", F.col("stock_code").alias("s"), F.col(target).alias("t"), _hash(seed, "date", "stock_code").alias("h"))
+    x = rows.where(F.col("date").isNotNull() & F.col(target).isNotNull()).select("date", F.col("stock_code").alias("s"), F.col(target).alias("t"), F.struct(*carry).alias("v") if carry else F.lit(None).alias("v"), _hash(seed, "date", "stock_code").alias("h"))
     day, tie = Window.partitionBy("date"), Window.partitionBy("date", "t")
-    x = x.withColumn("n", F.count(F.lit(1)).over(day)).withColumn("i", F.row_number().over(day.orderBy("h", "s")) - 1)
+    x = x.withColumn("i", F.row_number().over(day.orderBy("h", "s")) - 1).withColumn("n", F.count(F.lit(1)).over(day))
     x = x.withColumn("j", F.row_number().over(day.orderBy("t", "h", "s")) - 1).withColumn("m", F.count(F.lit(1)).over(tie)).withColumn("r", F.row_number().over(tie.orderBy("h", "s")) - 1)
-    x = x.withColumn("g", F.dense_rank().over(day.orderBy("t"))).withColumn("others", F.col("n") - F.col("m"))
-    some = x.where("others > 0")
-    at = some.withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(broad), F.col("others")) - 1)))
-    step = F.greatest(F.lit(1), F.floor(F.col("others") / broad))
-    place = (F.col("j") - F.col("r") + F.col("m") + (F.col("i") + F.col("d") * step) % F.col("others")) % F.col("n")
-    by_hash = at.select("date", F.col("s").alias("anchor"), place.alias("j")).join(x.select("date", "j", F.col("s").alias("opponent")), ["date", "j"]).select("date", "anchor", "opponent", F.lit("broad").alias("kind"))
-    # Candidates: up to `nearest` rows of each of the `nearest` next targets on either side.
-    sides = F.array(*[F.lit(k).cast("int") for k in range(-nearest, nearest + 1) if k])
-    asked = some.select("date", F.col("s").alias("anchor"), "i", "t", F.explode(F.transform(sides, lambda k: F.col("g") + k)).alias("g"))
-    sizes = x.select("date", "g", "m").distinct()
-    asked = asked.join(sizes, ["date", "g"]).withColumn("d", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(nearest), F.col("m")) - 1)))
-    asked = asked.withColumn("r", (F.col("i") + F.col("d")) % F.col("m")).drop("m")
-    met = asked.join(x.select("date", "g", "r", F.col("s").alias("opponent"), F.col("t").alias("ot")), ["date", "g", "r"])
-    first = F.row_number().over(Window.partitionBy("date", "anchor").orderBy(F.abs(F.col("t") - F.col("ot")), "ot", "d"))
-    near = met.withColumn("_n", first).where(F.col("_n") <= nearest).select("date", "anchor", "opponent", F.lit("nearest").alias("kind"))
-    return by_hash.unionByName(near)
+    x = x.withColumn("g", F.dense_rank().over(day.orderBy("t"))).withColumn("others", F.col("n") - F.col("m")).withColumn("start", F.col("j") - F.col("r")).drop("h", "n", "r")
+    # The next targets on either side, with their numbers of rows; null beyond the ends.
+    sides = [k for k in range(-nearest, nearest + 1) if k]
+    x = x.select("*", *[F.max(F.struct("m", "t")).over(day.orderBy("g").rangeBetween(k, k)).alias(f"side{k}") for k in sides]).drop("g")
+    size = lambda k: F.coalesce(F.col(f"side{k}.m"), F.lit(0))
+    count = lambda most, there: F.transform(F.array_repeat(F.lit(0), F.least(F.lit(most), there).cast("int")), lambda _, d: d.cast("long"))
+
+    def among(k: int) -> Column:
+        """Up to `nearest` rows of the k-th next target: distance, target, number, place."""
+        ahead = sum((size(q) for q in range(1, k)), F.col("start") + F.col("m")) if k > 0 else F.col("start") - sum((size(q) for q in range(k, 0)), F.lit(0))
+        other, own = F.col(f"side{k}.t"), F.greatest(size(k), F.lit(1))
+        return F.transform(count(nearest, size(k)), lambda d: F.struct(F.abs(F.col("t") - other).alias("far"), other.alias("ot"), d.alias("d"), (ahead + (F.col("i") + d) % own).alias("place")))
+
+    rest = F.greatest(F.col("others"), F.lit(1))
+    step = F.greatest(F.lit(1), F.floor(F.col("others") / broad)) if broad else F.lit(1)
+    spread = F.transform(count(broad, F.col("others")), lambda d: F.struct(F.lit("broad").alias("kind"), ((F.col("start") + F.col("m") + (F.col("i") + d * step) % rest) % (F.col("others") + F.col("m"))).cast("long").alias("place")))
+    near = F.slice(F.array_sort(F.concat(*[among(k) for k in sides])), 1, nearest) if nearest else F.array()
+    near = F.transform(near, lambda c: F.struct(F.lit("nearest").alias("kind"), c["place"].cast("long").alias("place"))) if nearest else F.slice(spread, 1, 0)
+    own = F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.col("j").cast("long").alias("place")))
+    asked = x.select("date", "s", "v", F.inline(F.concat(own, spread, near)))
+    # A row without a kind stands at its own place, the others ask for who stands there.
+    there = F.max(F.when(F.col("kind").isNull(), F.struct("s", "v"))).over(Window.partitionBy("date", "place"))
+    met = asked.withColumn("o", there).where("kind is not null")
+    carried = [F.col("v").alias(CARRIED[0]), F.col("o.v").alias(CARRIED[1])] if carry else []
+    return met.select("date", F.col("s").alias("anchor"), F.col("o.s").alias("opponent"), "kind", *carried)
 
 
 def dates_without_pairs(rows: DataFrame, rank: str, top: float = 0.9, edge: float = 0.7) -> DataFrame:
@@ -268,11 +284,21 @@ def pair_differences(pairs: DataFrame, rows: DataFrame, features: Sequence[str],
     return pairs.join(a, ["date", better]).join(b, ["date", worse]).withColumn("x", F.zip_with("_a", "_b", lambda p, q: p - q)).drop("_a", "_b")
 
 
-def directed_pairs(pairs: DataFrame, rows: DataFrame, features: Sequence[str], target: str, weight: Column | None = None) -> DataFrame:
-    """date, anchor, opponent, w and z, the features of the row of higher target less the other's; ties are left out."""
-    t = rows.select("date", "stock_code", target)
-    x = pairs.join(t.toDF("date", "anchor", "_ta"), ["date", "anchor"]).join(t.toDF("date", "opponent", "_to"), ["date", "opponent"]).where("_ta <> _to")
-    x = pair_differences(x, rows, features, "anchor", "opponent").withColumn("w", weight if weight is not None else F.lit(1.0))
+def directed_pairs(pairs: DataFrame, rows: DataFrame, features: Sequence[str], target: str, weight: Column | None = None, kept: Sequence[str] = ()) -> DataFrame:
+    """date, anchor, opponent, w and z, the features of the row of higher target less the other's; ties are left out.
+
+    Pairs that carry target and features of their rows aren't joined with `rows`; `kept` names carried columns that stay.
+    """
+    if set(CARRIED) <= set(pairs.columns):
+        values = lambda row: F.array(*[F.coalesce(F.col(row)[f].cast("double"), F.lit(0.0)) for f in features])
+        own = [F.col(row)[c].alias(f"{side}_{c}") for c in kept for row, side in zip(CARRIED, ("anchor", "opponent"), strict=True)]
+        x = pairs.withColumns({"_ta": F.col(CARRIED[0])[target], "_to": F.col(CARRIED[1])[target]}).where("_ta <> _to")
+        x = x.withColumn("x", F.zip_with(values(CARRIED[0]), values(CARRIED[1]), lambda p, q: p - q)).select("*", *own).drop(*CARRIED)
+    else:
+        t = rows.select("date", "stock_code", target)
+        x = pairs.join(t.toDF("date", "anchor", "_ta"), ["date", "anchor"]).join(t.toDF("date", "opponent", "_to"), ["date", "opponent"]).where("_ta <> _to")
+        x = pair_differences(x, rows, features, "anchor", "opponent")
+    x = x.withColumn("w", weight if weight is not None else F.lit(1.0))
     return x.withColumn("z", F.when(F.col("_ta") > F.col("_to"), F.col("x")).otherwise(F.transform("x", lambda v: -v))).drop("_ta", "_to", "x")
 
 

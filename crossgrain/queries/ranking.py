@@ -227,7 +227,7 @@ for _k in range(NEWTON):
 @query("m3_pairwise_rank_fit", f"nt{NEWTON}", f"SELECT unnest(['a', 'b']) AS feature, unnest([wa, wb]) AS coefficient FROM nt{NEWTON}", "feature ~coefficient")
 def _(spark, sf_dir):
     x = features(spark, sf_dir)
-    return M.coefficients_frame(x, M.pairwise_rank_fit(M.sample_date_pairs(x, "target", 3, 2), x, FEATURES, "target"))
+    return M.coefficients_frame(x, M.pairwise_rank_fit(M.sample_date_pairs(x, "target", 3, 2, carry=["target", *FEATURES]), x, FEATURES, "target"))
 
 
 #: Rounds, first score and truncation of the lambda fit; steps tried in each round.

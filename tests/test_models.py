@@ -262,3 +262,17 @@ def test_a_lambda_round_keeps_the_first_places_only(spark):
     ideal = sum(g / 9 * d for g, d in zip((8, 7, 6), place, strict=True))
     assert abs(found[0] - (8 / 9 * place[1] + 7 / 9 * place[2]) / ideal) < 1e-12
     assert abs(found[1] - sum(g / 9 * d for g, d in zip((0, 1, 2), place, strict=True)) / ideal) < 1e-12
+
+
+def test_pairs_that_carry_their_rows_are_made_without_a_shuffle(spark):
+    from crossgrain.sources import layout
+
+    df, _ = rows(spark)
+    laid = layout.laid_by(df, "laid", "date", 3)
+    pairs = ranking.sample_date_pairs(laid, "y", 4, 2, carry=["y", "a", "b"])
+    own = ranking.directed_pairs(pairs, laid, ["a", "b"], "y")
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    joined = ranking.directed_pairs(ranking.sample_date_pairs(df, "y", 4, 2), df, ["a", "b"], "y")
+    assert sorted(map(repr, own.select(joined.columns).collect())) == sorted(map(repr, joined.collect()))
+    layout.forget(spark)
