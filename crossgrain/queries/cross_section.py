@@ -8,6 +8,7 @@ from crossgrain.operators import cross_section as O
 from crossgrain.operators import factors
 from crossgrain.queries.registry import part, query
 from crossgrain.sources import proxy
+from crossgrain.sources.layout import parts
 
 # Values are rounded before anything is ranked, so that engines can't differ on ties.
 part("v", "panel", """SELECT * FROM (SELECT date, pos, stock_code, k, industry, market_cap, round(-(post_close / nullif(max(post_close) OVER (PARTITION BY stock_code ORDER BY pos RANGE BETWEEN 5 PRECEDING AND 5 PRECEDING), 0) - 1), 3) + 0.0 AS v
@@ -28,6 +29,11 @@ def values(spark, sf_dir):
     return p.select("date", "pos", "stock_code", "k", "industry", "market_cap", v).where("v is not null")
 
 
+def dated(spark, sf_dir):
+    """`values` by date, in as many parts as the files ask for: ranks of a date are taken there."""
+    return values(spark, sf_dir).select("date", "stock_code", "v").repartition(parts(spark, proxy.panel_files(sf_dir)), "date")
+
+
 def standardised(spark, sf_dir):
     return O.mad_winsorize(values(spark, sf_dir), "v", "w", 2.0).withColumn("z", O.zscore("w"))
 
@@ -97,12 +103,12 @@ QUANTILE_SQL = "CASE WHEN n >= {q} THEN CAST(greatest(1, ((r - 1) * {q} + n - 2)
 
 @query("x10_assign_quantiles", "v", f"SELECT date, stock_code, {QUANTILE_SQL.format(q=5)} AS q5, {QUANTILE_SQL.format(q=10)} AS q10 FROM (SELECT *, count(*) OVER (PARTITION BY date) AS n, row_number() OVER (PARTITION BY date ORDER BY v, stock_code) AS r FROM v)", "date stock_code q5 q10")
 def _(spark, sf_dir):
-    return values(spark, sf_dir).select("date", "stock_code", O.assign_quantiles("v", 5).alias("q5"), O.assign_quantiles("v", 10).alias("q10"))
+    return dated(spark, sf_dir).select("date", "stock_code", O.assign_quantiles("v", 5).alias("q5"), O.assign_quantiles("v", 10).alias("q10"))
 
 
 @query("x11_score_deciles", "v", "SELECT date, stock_code, CAST((row_number() OVER (PARTITION BY date ORDER BY v DESC, stock_code) - 1) * 10 // count(*) OVER (PARTITION BY date) + 1 AS INTEGER) AS decile FROM v", "date stock_code decile")
 def _(spark, sf_dir):
-    return values(spark, sf_dir).select("date", "stock_code", O.score_deciles("v").alias("decile"))
+    return dated(spark, sf_dir).select("date", "stock_code", O.score_deciles("v").alias("decile"))
 
 
 @query("x12_top_k", "v", """SELECT 'top' AS side, date, stock_code, CAST(row_number() OVER (PARTITION BY date ORDER BY v DESC, stock_code) AS INTEGER) AS cohort_rank FROM v QUALIFY cohort_rank <= 10
@@ -120,10 +126,10 @@ RANK_SQL = "(rank() OVER (PARTITION BY date ORDER BY v {d}) + (count(*) OVER (PA
 def _(spark, sf_dir):
     from crossgrain.functions.columns import rank_percentile
 
-    x = values(spark, sf_dir).withColumn("r", rank_percentile("v", "date"))
+    x = dated(spark, sf_dir).withColumn("r", rank_percentile("v", "date"))
     return x.select("date", "stock_code", O.relevance("r").alias("relevance"))
 
 
 @query("d3_true_deciles", "v", f"SELECT date, stock_code, CAST(least(10, ceil(10 * {RANK_SQL.format(d='DESC')} / count(*) OVER (PARTITION BY date))) AS INTEGER) AS decile FROM v", "date stock_code decile")
 def _(spark, sf_dir):
-    return values(spark, sf_dir).select("date", "stock_code", O.true_deciles("v").alias("decile"))
+    return dated(spark, sf_dir).select("date", "stock_code", O.true_deciles("v").alias("decile"))

@@ -66,3 +66,26 @@ def test_a_sample_has_as_many_parts_as_the_files_ask_for(spark, monkeypatch):
     assert sample.rdd.getNumPartitions() == n and sum("Exchange" in x for x in lines) == 1 and not any("Join" in x for x in lines)
     assert S.daily_ic(sample).count() == 4 * sample.select("date").distinct().count()
     layout.forget(spark)
+
+
+def test_ranks_of_a_date_have_as_many_parts_as_the_files_ask_for(spark, monkeypatch):
+    from conftest import SF
+
+    from crossgrain.queries import QUERIES
+    from crossgrain.sources import proxy
+
+    layout.forget(spark)
+    monkeypatch.setattr(layout, "BUCKET_BYTES", 1 << 14)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the sides were too large
+    try:
+        n = layout.parts(spark, proxy.panel_files(SF))
+        for name in ("x10_assign_quantiles", "x11_score_deciles", "x13_relevance", "d3_true_deciles"):
+            found = QUERIES[name](spark, SF)
+            lines = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+            assert found.rdd.getNumPartitions() == n, name
+            rows = [x for x in lines if f", {n}), REPARTITION_BY_NUM" in x]
+            assert len(lines) == 1 == len(rows), name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        layout.forget(spark)
