@@ -91,7 +91,12 @@ def industry_excess(industries: DataFrame, market: DataFrame, window: int) -> Da
 def context_join(rows: DataFrame, market: DataFrame, industries: DataFrame, market_columns: Sequence[str], industry_columns: Sequence[str]) -> DataFrame:
     """rows with both contexts, missing as 0 with a __missing flag; an UNKNOWN industry has none."""
     out = rows.withColumn("industry", normalize_industry("industry")).join(by_day(market.select("date", *market_columns)), "date", "left")
-    out = out.join(industries.select("date", "industry", *industry_columns), ["date", "industry"], "left")  # dates x industries: Spark broadcasts it only if it is small
+    if industry_columns:
+        # A row a date holds its industries, so that rows which lie by date aren't shuffled by industry; Spark broadcasts it only if it is small.
+        entry = F.struct("industry", F.struct(*industry_columns))
+        own = industries.where("industry is not null").groupBy("date").agg(F.map_from_entries(F.collect_list(entry)).alias("_own"))
+        out = out.join(own, "date", "left").withColumn("_own", F.try_element_at("_own", "industry"))
+        out = out.select("*", *[F.col("_own")[c].alias(c) for c in industry_columns]).drop("_own")
     return fill_missing_flags(out, [*market_columns, *industry_columns])
 
 

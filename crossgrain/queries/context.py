@@ -8,6 +8,7 @@ from crossgrain.operators import context as O
 from crossgrain.operators.calendar import calendar_index
 from crossgrain.queries.registry import part, query
 from crossgrain.sources import proxy
+from crossgrain.sources.layout import parts
 
 part("kr", "panel", """SELECT *, CASE WHEN market_cap > 0 THEN market_cap END AS cap, CASE WHEN post_close > 0 AND lag(post_close) OVER w > 0 THEN post_close / lag(post_close) OVER w - 1 END AS daily_return
   FROM panel WINDOW w AS (PARTITION BY stock_code ORDER BY date)""")
@@ -103,4 +104,5 @@ def _(spark, sf_dir):
        "date stock_code industry ~turnover ~log_market_cap ~market_equal_return ~industry_equal_return turnover__missing log_market_cap__missing market_equal_return__missing industry_equal_return__missing")
 def _(spark, sf_dir):
     p = panel(spark, sf_dir)
-    return O.feature_frame(p, ["turnover"], O.market_daily(p), O.industry_daily(p), ["market_equal_return"], ["industry_equal_return"])
+    rows = p.select("date", "stock_code", "industry", "market_cap", "turnover").repartition(parts(spark, proxy.panel_files(sf_dir)), "date")
+    return O.feature_frame(rows, ["turnover"], O.market_daily(p), O.industry_daily(p), ["market_equal_return"], ["industry_equal_return"])

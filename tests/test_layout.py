@@ -68,7 +68,7 @@ def test_a_sample_has_as_many_parts_as_the_files_ask_for(spark, monkeypatch):
     layout.forget(spark)
 
 
-def test_ranks_of_a_date_have_as_many_parts_as_the_files_ask_for(spark, monkeypatch):
+def test_ranks_and_features_of_a_date_have_as_many_parts_as_the_files_ask_for(spark, monkeypatch):
     from conftest import SF
 
     from crossgrain.queries import QUERIES
@@ -80,12 +80,13 @@ def test_ranks_of_a_date_have_as_many_parts_as_the_files_ask_for(spark, monkeypa
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the sides were too large
     try:
         n = layout.parts(spark, proxy.panel_files(SF))
-        for name in ("x10_assign_quantiles", "x11_score_deciles", "x13_relevance", "d3_true_deciles"):
+        for name in ("x10_assign_quantiles", "x11_score_deciles", "x13_relevance", "d3_true_deciles", "k9_feature_frame"):
             found = QUERIES[name](spark, SF)
             lines = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
             assert found.rdd.getNumPartitions() == n, name
             rows = [x for x in lines if f", {n}), REPARTITION_BY_NUM" in x]
-            assert len(lines) == 1 == len(rows), name
+            assert rows if name == "k9_feature_frame" else len(lines) == 1 == len(rows), name
+            assert not any("date" in x and "industry" in x and f", {n})" in x for x in lines), name
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         layout.forget(spark)
