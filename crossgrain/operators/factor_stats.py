@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossgrain.functions.columns import average_rank, col, correlation, flag, ratio
+from crossgrain.functions.columns import average_rank, both, col, correlation, flag, ratio
 from crossgrain.operators.cross_section import assign_quantiles
 
 SERIES = ["variant", "window"]
@@ -31,12 +31,14 @@ def long_sample(rows: DataFrame, variants: Sequence[str], windows: Sequence[int]
 
 
 def daily_ic(long: DataFrame, least: int = 3) -> DataFrame:
-    """date, variant, window, ic, rank_ic, n over complete pairs; ranks are of the complete pairs only."""
+    """date, variant, window, ic, rank_ic, n over complete pairs; ranks are of the complete pairs only.
+
+    One pass over `long`: rows without a pair stay as nulls, which rank last, so no join brings back groups without pairs.
+    """
     keys = ["date", *SERIES]
-    pairs = long.select(*keys, "value", "ret").where("value is not null and ret is not null")
+    pairs = long.select(*keys, both("value", "ret").alias("value"), both("ret", "value").alias("ret"))
     ranked = pairs.withColumn("_rv", average_rank("value", *keys)).withColumn("_rr", average_rank("ret", *keys))
-    found = ranked.groupBy(*keys).agg(correlation("value", "ret", least=least).alias("ic"), correlation("_rv", "_rr", least=least).alias("rank_ic"), F.count(F.lit(1)).alias("n"))
-    return long.select(*keys).distinct().join(found, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return ranked.groupBy(*keys).agg(correlation("value", "ret", least=least).alias("ic"), correlation("_rv", "_rr", least=least).alias("rank_ic"), F.count("value").alias("n"))
 
 
 def cumulative_ic(ic: DataFrame, columns: Sequence[str] = ("ic", "rank_ic")) -> DataFrame:

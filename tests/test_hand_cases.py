@@ -281,3 +281,16 @@ def test_listing_days_of_dates_far_off_the_calendar(spark):
         got.setdefault(r.stock_code, []).append(r.listing_days)
         assert r.listed_date == listed[r.stock_code]
     assert got == {"A": [0, 0, 0], "B": [1, 2, 3], "C": [1, 2, 3], "D": [0, 0, 1], "E": [0, 0, 1], "F": [0, 0, 0], "G": [None, None, None]}
+
+
+def test_daily_ic_is_one_pass_over_the_sample(spark):
+    late = dt.date(2024, 1, 3)
+    pairs = [(D, 1.0, 4.0), (D, 2.0, 5.0), (D, 2.0, 6.0), (D, 3.0, None), (D, None, 9.0), (late, 1.0, None), (late, None, 2.0)]
+    sample = spark.createDataFrame([(d, f"S{i}", "v", 1, x, y) for i, (d, x, y) in enumerate(pairs)], "date date, stock_code string, variant string, window int, value double, ret double")
+    found = factor_stats.daily_ic(sample.repartition(3, "date", "variant", "window"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    rows = {r.date: r for r in found.collect()}
+    # Ranks of the three complete pairs: 1, 2.5, 2.5 and 1, 2, 3; a date without pairs stays, with nulls.
+    assert abs(rows[D].rank_ic - 0.75**0.5) < 1e-12 and abs(rows[D].ic - 0.75**0.5) < 1e-12 and rows[D].n == 3
+    assert (rows[late].ic, rows[late].rank_ic, rows[late].n) == (None, None, 0) and len(rows) == 2
