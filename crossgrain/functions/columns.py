@@ -49,13 +49,14 @@ def correlation(x: Column | str, y: Column | str, over: WindowSpec | None = None
 
 
 def average_rank(value: Column | str, *partition: Column | str, descending: bool = False) -> Column:
-    """1-based rank within the partition, ties sharing their mean rank; null for a null value."""
+    """1-based rank within the partition, ties sharing their mean rank; null for a null value.
+
+    A value's first and last place come from one sort: its rank, and the rows up to its last peer.
+    """
     value = col(value)
-    keys = [col(p) for p in partition]
-    order = value.desc_nulls_last() if descending else value.asc_nulls_last()
-    tied = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-    rank = F.rank().over(Window.partitionBy(*keys).orderBy(order))
-    return F.when(value.isNotNull(), rank + (tied - 1) / 2.0)
+    w = Window.partitionBy(*[col(p) for p in partition]).orderBy(value.desc_nulls_last() if descending else value.asc_nulls_last())
+    last = F.count(F.lit(1)).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return F.when(value.isNotNull(), (F.rank().over(w) + last) / 2.0)
 
 
 def rank_percentile(value: Column | str, *partition: Column | str, single: float | None = None) -> Column:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from crossgrain.functions.columns import by_day, correlation, one_row, rank_percentile
+from crossgrain.functions.columns import average_rank, by_day, correlation, one_row, rank_percentile
 from crossgrain.operators import calendar, contracts, cross_section, evaluation, factor_stats, factors, labels
 from crossgrain.sources import tables
 
@@ -294,3 +294,12 @@ def test_daily_ic_is_one_pass_over_the_sample(spark):
     # Ranks of the three complete pairs: 1, 2.5, 2.5 and 1, 2, 3; a date without pairs stays, with nulls.
     assert abs(rows[D].rank_ic - 0.75**0.5) < 1e-12 and abs(rows[D].ic - 0.75**0.5) < 1e-12 and rows[D].n == 3
     assert (rows[late].ic, rows[late].rank_ic, rows[late].n) == (None, None, 0) and len(rows) == 2
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_average_ranks_take_one_sort(spark, descending):
+    values = (2.0, None, 2.0, -0.0, 0.0, float("nan"), 5.0)
+    ranked = day(spark, values).repartition(2, "date").withColumn("r", average_rank("v", "date", descending=descending))
+    assert listed(ranked, "r") == ([3.5, None, 3.5, 5.5, 5.5, 1, 2] if descending else [3.5, None, 3.5, 1.5, 1.5, 6, 5])
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Window [") == 1
