@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from crossgrain.functions.columns import average_rank, rank_percentile
 from crossgrain.operators.boosting import boosted_trees
 from crossgrain.operators.cross_section import equal_date_weights, fit_industries, fit_scale, industry_one_hot, standard_scale
+from crossgrain.sources.layout import laid
 from crossgrain.sources.scratch import Temporary, materialize
 
 
@@ -195,19 +196,15 @@ def _hash(seed: int, *columns: str) -> Column:
 CARRIED = ("anchor_row", "opponent_row")
 
 
-def sample_date_pairs(rows: DataFrame, target: str, broad: int, nearest: int, seed: int = 7, carry: Sequence[str] = ()) -> DataFrame:
-    """date, anchor, opponent, kind: for each row `broad` opponents spread over its date, and the `nearest` by target.
-
-    No opponent ties with its anchor, and each anchor gets its full number, or all there are. The
-    rows of a date stand in a ring by target, in which those that an anchor ties with are its
-    neighbours; broad opponents follow in equal steps on the rest of the ring, from a hashed start.
-    Of equally near ones the lower target comes first, then rows in hashed order from a hashed start.
+def date_rings(rows: DataFrame, target: str, broad: int, nearest: int, seed: int = 7, carry: Sequence[str] = ()) -> DataFrame:
+    """date, stock_code, v, place, asked: where each row stands in its date's ring by target, and the places of its opponents with their kind.
 
-    Each row works out the places of its opponents, and meets them in a window by (date, place), so rows that
-    lie by date already aren't shuffled. carry: columns that come along for both rows, in `CARRIED`.
+    Opponents are those of `sample_date_pairs`. A row without a target has no place and no opponents. v has the columns
+    of `carry`. Rows that lie by date already aren't shuffled.
     """
-    x = rows.where(F.col("date").isNotNull() & F.col(target).isNotNull()).select("date", F.col("stock_code").alias("s"), F.col(target).alias("t"), F.struct(*carry).alias("v") if carry else F.lit(None).alias("v"), _hash(seed, "date", "stock_code").alias("h"))
-    day, tie = Window.partitionBy("date"), Window.partitionBy("date", "t")
+    x = rows.where(F.col("date").isNotNull()).select("date", F.col("stock_code").alias("s"), F.col(target).alias("t"), F.struct(*carry).alias("v") if carry else F.lit(None).alias("v"), _hash(seed, "date", "stock_code").alias("h"))
+    x = x.withColumn("out", F.col("t").isNull())
+    day, tie = Window.partitionBy("date", "out"), Window.partitionBy("date", "out", "t")
     x = x.withColumn("i", F.row_number().over(day.orderBy("h", "s")) - 1).withColumn("n", F.count(F.lit(1)).over(day))
     x = x.withColumn("j", F.row_number().over(day.orderBy("t", "h", "s")) - 1).withColumn("m", F.count(F.lit(1)).over(tie)).withColumn("r", F.row_number().over(tie.orderBy("h", "s")) - 1)
     x = x.withColumn("g", F.dense_rank().over(day.orderBy("t"))).withColumn("others", F.col("n") - F.col("m")).withColumn("start", F.col("j") - F.col("r")).drop("h", "n", "r")
@@ -228,8 +225,23 @@ def sample_date_pairs(rows: DataFrame, target: str, broad: int, nearest: int, se
     spread = F.transform(count(broad, F.col("others")), lambda d: F.struct(F.lit("broad").alias("kind"), ((F.col("start") + F.col("m") + (F.col("i") + d * step) % rest) % (F.col("others") + F.col("m"))).cast("long").alias("place")))
     near = F.slice(F.array_sort(F.concat(*[among(k) for k in sides])), 1, nearest) if nearest else F.array()
     near = F.transform(near, lambda c: F.struct(F.lit("nearest").alias("kind"), c["place"].cast("long").alias("place"))) if nearest else F.slice(spread, 1, 0)
-    own = F.array(F.struct(F.lit(None).cast("string").alias("kind"), F.col("j").cast("long").alias("place")))
-    asked = x.select("date", "s", "v", F.inline(F.concat(own, spread, near)))
+    return x.select("date", F.col("s").alias("stock_code"), "v", F.when(~F.col("out"), F.col("j").cast("long")).alias("place"), F.concat(spread, near).alias("asked"))
+
+
+def sample_date_pairs(rows: DataFrame, target: str, broad: int, nearest: int, seed: int = 7, carry: Sequence[str] = ()) -> DataFrame:
+    """date, anchor, opponent, kind: for each row `broad` opponents spread over its date, and the `nearest` by target.
+
+    No opponent ties with its anchor, and each anchor gets its full number, or all there are. The
+    rows of a date stand in a ring by target, in which those that an anchor ties with are its
+    neighbours; broad opponents follow in equal steps on the rest of the ring, from a hashed start.
+    Of equally near ones the lower target comes first, then rows in hashed order from a hashed start.
+
+    Each row works out the places of its opponents, and meets them in a window by (date, place), so rows that
+    lie by date already aren't shuffled. carry: columns that come along for both rows, in `CARRIED`.
+    """
+    x = date_rings(rows.where(F.col(target).isNotNull()), target, broad, nearest, seed, carry)
+    own = F.array(F.struct(F.lit(None).cast("string").alias("kind"), "place"))
+    asked = x.select("date", F.col("stock_code").alias("s"), "v", F.inline(F.concat(own, "asked")))
     # A row without a kind stands at its own place, the others ask for who stands there.
     there = F.max(F.when(F.col("kind").isNull(), F.struct("s", "v"))).over(Window.partitionBy("date", "place"))
     met = asked.withColumn("o", there).where("kind is not null")
@@ -371,15 +383,15 @@ class LambdaRound:
     gradient: list[float]
 
 
-def top_gains(rows: DataFrame, scores: Sequence[Column], rank: str, truncation: int) -> DataFrame:
+def top_gains(rows: DataFrame, scores: Sequence[Column], rank: str, truncation: int, kept: Sequence[str] = ()) -> DataFrame:
     """candidate, date, stock_code, g (the rank label) and d (the discount of its place) of the first `truncation` places under each score.
 
-    Further places have no discount; places are among all rows, those without a label left out afterwards.
+    Further places have no discount; places are among all rows, those without a label left out afterwards. `kept` names columns that stay.
     """
     each = F.inline(F.array(*[F.struct(F.lit(i).alias("candidate"), s.alias("s")) for i, s in enumerate(scores)]))
     place = F.row_number().over(Window.partitionBy("candidate", "date").orderBy(F.desc("s"), "stock_code"))
-    x = rows.select("date", "stock_code", F.col(rank).alias("g"), each).withColumn("p", place).where(F.col("p") <= truncation)
-    return x.where("g is not null").select("candidate", "date", "stock_code", "g", (1 / F.log2(F.col("p") + 1)).alias("d"))
+    x = rows.select("date", "stock_code", F.col(rank).alias("g"), *kept, each).withColumn("p", place).where(F.col("p") <= truncation)
+    return x.where("g is not null").select("candidate", "date", "stock_code", "g", (1 / F.log2(F.col("p") + 1)).alias("d"), *kept)
 
 
 def best_gains(rows: DataFrame, rank: str, truncation: int) -> DataFrame:
@@ -397,31 +409,70 @@ def mean_ndcg(gains: DataFrame, best: DataFrame, candidates: int) -> dict[int, f
     return {r.candidate: r.m for r in x.groupBy("candidate").agg(F.avg(F.coalesce("a", F.lit(0.0)) / F.col("b")).alias("m")).collect()}  # a row a candidate
 
 
-def lambda_rank_fit(pairs: DataFrame, rows: DataFrame, features: Sequence[str], target: str, rank: str, start: Sequence[float], truncation: int = 100, rounds: int = 5, steps: Sequence[float] = (1.0, 0.5, 0.25, 0.125)) -> tuple[dict[str, float], list[LambdaRound]]:
+def rings_of(pairs: DataFrame, rows: DataFrame, carry: Sequence[str]) -> DataFrame:
+    """As `date_rings`, of pairs (date, anchor, opponent) that are given: the place of a row is its number within the date."""
+    number = F.row_number().over(Window.partitionBy("date").orderBy("stock_code"))
+    x = rows.where(F.col("date").isNotNull()).select("date", "stock_code", F.struct(*carry).alias("v"), number.alias("place"))
+    met = pairs.join(x.select("date", F.col("stock_code").alias("opponent"), "place"), ["date", "opponent"])
+    return x.join(met.groupBy("date", F.col("anchor").alias("stock_code")).agg(F.collect_list(F.struct("place")).alias("asked")), ["date", "stock_code"], "left")
+
+
+def first_pairs(x: DataFrame, first: DataFrame, n: int) -> DataFrame:
+    """w and z of the pairs of which a row at least is among the first: two rows that are not weigh nothing.
+
+    x: date, place, asked (places), t (target), g (rank label) and v (values), in `n` buckets of dates; first: date, place and d
+    of the rows with a discount, of which those without a place are in no pair. These go to the rows of their dates, a map a date
+    from their places, so x stays where it lies and no table of all pairs is made. Joined by date alone: a join by place as well
+    would shuffle all pairs.
+    """
+
+    def met(rows: DataFrame, some: DataFrame, value: str) -> DataFrame:
+        """rows with `there`, a map from place to value of the date's `some`."""
+        there = some.where("place is not null").repartition(n, "date").groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("place", value))).alias("there"))
+        return rows.join(there.hint("shuffle_hash"), "date")
+
+    row = lambda d: F.struct("t", "g", "v", d.alias("d"))
+    labelled, there = x.where("g is not null and place is not null"), F.col("there")
+    named = materialize(met(labelled, first, "d").where(there[F.col("place")].isNotNull()).select("date", "place", "asked", row(there[F.col("place")]).alias("row")), "first")
+    # Opponents among the first, of any anchor.
+    other = met(labelled, named, "row").select("t", "g", "v", there[F.col("place")]["d"].alias("d"), "there", F.explode("asked").alias("other"))
+    to_first = other.where(there[F.col("other")].isNotNull()).select(row(F.coalesce("d", F.lit(0.0))).alias("a"), there[F.col("other")].alias("o"))
+    # Anchors among the first, of opponents that are not.
+    asked = named.select("date", "row", F.explode("asked").alias("place")).join(named.select("date", "place"), ["date", "place"], "left_anti")
+    asked = asked.groupBy("date", "place").agg(F.collect_list("row").alias("rows"))
+    from_first = met(labelled, asked, "rows").where(there[F.col("place")].isNotNull()).select(F.explode(there[F.col("place")]).alias("a"), row(F.lit(0.0)).alias("o"))
+    y = to_first.unionByName(from_first).where("a.t <> o.t")
+    z = F.zip_with("a.v", "o.v", lambda p, q: F.when(F.col("a.t") > F.col("o.t"), p - q).otherwise(q - p))
+    return y.select((F.abs(F.col("a.g") - F.col("o.g")) * F.abs(F.col("a.d") - F.col("o.d"))).alias("w"), z.alias("z"))
+
+
+def lambda_rank_fit(pairs: DataFrame, rows: DataFrame, features: Sequence[str], target: str, rank: str, start: Sequence[float], truncation: int = 100, rounds: int = 5, steps: Sequence[float] = (1.0, 0.5, 0.25, 0.125), n: int | None = None) -> tuple[dict[str, float], list[LambdaRound]]:
     """Linear scores by lambda gradients, and what each round saw.
 
     A round places every date's rows by the present score, weighs each pair by what swapping its two would
     change (|gain difference * discount difference|, nothing beyond `truncation`), and sums over executors
     the gradient of the weighted logistic loss. Of the steps along it the first that doesn't lower the
     mean NDCG is taken, all of them tried in one job; if each would lower it, or `rounds` are over, the fit ends.
+
+    pairs: date, anchor and opponent, or `date_rings` of all rows that carry target, rank and features: those aren't
+    joined with `rows`. The rows are written once with the places of their opponents, in `n` buckets of dates (default:
+    shuffle partitions); pairs are never written, as a round needs those of its first rows only.
     """
-    w, seen = [float(x) for x in start], []
-    with Temporary(rows.sparkSession):
-        labels = rows.where(F.col(rank).isNotNull()).select("date", "stock_code", F.col(rank))
-        directed = directed_pairs(pairs, rows, features, target).join(labels.toDF("date", "anchor", "_ga"), ["date", "anchor"]).join(labels.toDF("date", "opponent", "_go"), ["date", "opponent"])
-        directed = materialize(directed.select("date", "anchor", "opponent", "z", F.abs(F.col("_ga") - F.col("_go")).alias("_g")), "directed")
-        x = materialize(rows.select("date", "stock_code", rank, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]), "rows")
-        best = materialize(best_gains(x, rank, truncation), "best")
-        score = lambda v: sum((F.col(f) * F.lit(c) for f, c in zip(features, v, strict=True)), F.lit(0.0))
+    w, seen, at = [float(c) for c in start], [], 0
+    n = n or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = pairs if "asked" in pairs.columns else rings_of(pairs, rows, list(dict.fromkeys([target, rank, *features])))
+    own, place = F.col("v"), lambda c: c["place"].cast("int")
+    values = F.array(*[F.coalesce(own[f].cast("double"), F.lit(0.0)) for f in features])
+    x = x.select("date", "stock_code", F.col("place").cast("int").alias("place"), F.transform("asked", place).alias("asked"), own[target].alias("t"), own[rank].alias("g"), values.alias("v"))
+    score = lambda weights: sum((F.col("v")[i] * F.lit(c) for i, c in enumerate(weights)), F.lit(0.0))
+    with Temporary(rows.sparkSession) as tables, laid(x, "rows", "date", n) as x:
+        best = materialize(best_gains(x, "g", truncation), "best")
+        gains = materialize(top_gains(x, [score(w)], "g", truncation, ["place"]), "gains")
+        now = mean_ndcg(gains, best, 1).get(0, 0.0)
         for _ in range(rounds):
-            gains = materialize(top_gains(x, [score(w)], rank, truncation), "gains")
-            # Two rows beyond the truncation weigh nothing, so pairs meet the dates' first rows only.
-            first = gains.select("date", "stock_code", "d")
-            y = directed.join(first.toDF("date", "anchor", "_da"), ["date", "anchor"], "left").join(first.toDF("date", "opponent", "_do"), ["date", "opponent"], "left")
-            y = y.withColumn("w", F.col("_g") * F.abs(F.coalesce("_da", F.lit(0.0)) - F.coalesce("_do", F.lit(0.0))))
+            y = first_pairs(x, gains.where(F.col("candidate") == at).select("date", "place", "d"), n)
             p = 1 / (1 + F.exp(pair_margin(w)))
             r = y.agg(F.sum("w").alias("n"), *[F.sum(F.col("w") * p * F.col("z")[i]).alias(f"g{i}") for i in range(len(w))]).first()
-            now = mean_ndcg(gains, best, 1).get(0, 0.0)
             if not r.n:
                 break
             gradient = [r[f"g{i}"] / r.n for i in range(len(w))]
@@ -429,11 +480,14 @@ def lambda_rank_fit(pairs: DataFrame, rows: DataFrame, features: Sequence[str],
             if not steps:
                 break
             tried = [[a + t * g for a, g in zip(w, gradient, strict=True)] for t in steps]
-            ndcg = mean_ndcg(top_gains(x, [score(v) for v in tried], rank, truncation), best, len(tried))
+            tables.drop(gains)
+            gains = materialize(top_gains(x, [score(v) for v in tried], "g", truncation, ["place"]), "gains")
+            ndcg = mean_ndcg(gains, best, len(tried))
             better = next((i for i in range(len(tried)) if ndcg.get(i, 0.0) >= now - 1e-12), None)
             if better is None:
                 break
-            w = tried[better]
+            # What the step's order has is what the next round begins with.
+            w, at, now = tried[better], better, ndcg.get(better, 0.0)
     return dict(zip(features, w, strict=True)), seen
 
 

@@ -256,17 +256,22 @@ def lambda_parts() -> str:
 _weights = lambda_parts()
 
 
+def lambda_fit(spark, sf_dir, rounds, steps):
+    x = features(spark, sf_dir)
+    rings = M.date_rings(x, "target", 3, 2, carry=["target", "rank_target", *FEATURES])
+    return M.lambda_rank_fit(rings, x, FEATURES, "target", "rank_target", FIRST, CUT, rounds, steps, parts(spark, proxy.panel_files(sf_dir)))
+
+
 @query("m4_lambda_weighted_rank_fit", _weights, f"SELECT unnest(['a', 'b']) AS feature, unnest([wa, wb]) AS coefficient FROM {_weights}", "feature ~coefficient")
 def _(spark, sf_dir):
     x = features(spark, sf_dir)
-    fitted, _ = M.lambda_rank_fit(M.sample_date_pairs(x, "target", 3, 2), x, FEATURES, "target", "rank_target", FIRST, CUT, ROUNDS, STEPS)
+    fitted, _ = lambda_fit(spark, sf_dir, ROUNDS, STEPS)
     return M.coefficients_frame(x, fitted)
 
 
 @query("m4_lambda_first_gradient", "ld0", "SELECT unnest(['a', 'b']) AS feature, unnest([ga, gb]) AS gradient FROM ld0", "feature ~gradient")
 def _(spark, sf_dir):
-    x = features(spark, sf_dir)
-    _, seen = M.lambda_rank_fit(M.sample_date_pairs(x, "target", 3, 2), x, FEATURES, "target", "rank_target", FIRST, CUT, 1, ())
+    _, seen = lambda_fit(spark, sf_dir, 1, ())
     return spark.createDataFrame(list(zip(FEATURES, seen[0].gradient if seen else [], strict=False)), "feature string, gradient double")
 
 

@@ -9,7 +9,8 @@ whenever the files that it comes from have changed.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,16 +59,36 @@ def laid_by(df: DataFrame, label: str, column: str, n: int) -> DataFrame:
 
     Rows that have `n` partitions by the column already aren't shuffled. `forget` drops the table.
     """
+    return df.sparkSession.table(_lay(df, label, column, n))
+
+
+@contextmanager
+def laid(df: DataFrame, label: str, column: str, n: int) -> Iterator[DataFrame]:
+    """`laid_by` for a with block: the table goes when it ends."""
+    spark = df.sparkSession
+    name = _lay(df, label, column, n)
+    try:
+        yield spark.table(name)
+    finally:
+        if _stored.get(spark.sparkContext.applicationId, {}).pop((name,), None):
+            _drop(spark, name)
+
+
+def _lay(df: DataFrame, label: str, column: str, n: int) -> str:
     spark, name = df.sparkSession, f"{label}_{uuid.uuid4().hex}"
     df.repartition(n, column).write.bucketBy(n, column).option("path", new_path(spark, label)).saveAsTable(name)
     _stored.setdefault(spark.sparkContext.applicationId, {})[(name,)] = name
-    return spark.table(name)
+    return name
 
 
 def forget(spark: SparkSession) -> None:
     """Drops the session's stored tables and their files."""
     for name in _stored.pop(spark.sparkContext.applicationId, {}).values():
-        location = next(r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {name}").collect() if r.col_name == "Location")
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-        at = spark._jvm.org.apache.hadoop.fs.Path(location)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _drop(spark, name)
+
+
+def _drop(spark: SparkSession, name: str) -> None:
+    location = next(r.data_type for r in spark.sql(f"DESCRIBE EXTENDED {name}").collect() if r.col_name == "Location")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(location)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -276,3 +276,57 @@ def test_pairs_that_carry_their_rows_are_made_without_a_shuffle(spark):
     joined = ranking.directed_pairs(ranking.sample_date_pairs(df, "y", 4, 2), df, ["a", "b"], "y")
     assert sorted(map(repr, own.select(joined.columns).collect())) == sorted(map(repr, joined.collect()))
     layout.forget(spark)
+
+
+def test_a_lambda_fit_neither_writes_nor_shuffles_all_pairs(spark, monkeypatch):
+    """A round needs the pairs of its first rows only; rings and pairs that are given make the same fit, with gaps in labels as well."""
+    from crossgrain.sources import layout
+
+    _, data = rows(spark, n_days=5, n=40, seed=6)
+    data = [(None if i == 77 else d, s, a, b, None if i % 9 == 0 else y, None if i % 13 == 0 else r) for i, (d, s, a, b, y, r) in enumerate(data)]
+    df = spark.createDataFrame(data, "date date, stock_code string, a double, b double, y double, r double")
+    table = layout.laid_by(df, "laid", "date", 3)
+    rings = ranking.date_rings(table, "y", 4, 2, carry=["y", "r", "a", "b"])
+    plan = rings._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    written, plans, write, first_pairs = [], [], ranking.materialize, ranking.first_pairs
+
+    def watched(df, label):
+        out = write(df, label)
+        written.append(out.count())
+        return out
+
+    def planned(*args):
+        out = first_pairs(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(ranking, "materialize", watched)
+    monkeypatch.setattr(ranking, "first_pairs", planned)
+    args = (["a", "b"], "y", "r", (-0.1, 0.2), 3, 4)
+    known = set(layout._stored[spark.sparkContext.applicationId])
+    fitted, seen = ranking.lambda_rank_fit(rings, table, *args, n=3)
+    assert set(layout._stored[spark.sparkContext.applicationId]) == known  # the fit's own table is gone
+    pairs = ranking.sample_date_pairs(df, "y", 4, 2).collect()
+    assert len(seen) > 1 and len(pairs) > 5 * 150 and max(written) <= 4 * 3 * 5  # candidates, places, dates
+    # The rows stay in their buckets: what moves to them has a row a date, and only what asks for a place is grouped before.
+    assert plans and all("disabled by query planner" not in p and p.count("Bucketed: true") == 2 and p.count("ENSURE_REQUIREMENTS") == 1 for p in plans)
+    given, same = ranking.lambda_rank_fit(ranking.sample_date_pairs(df, "y", 4, 2), df, *args)
+    assert all(abs(fitted[k] - given[k]) < 1e-9 for k in fitted) and len(same) == len(seen)
+
+    # The first gradient by hand.
+    row, place = {(d, s): (np.array([a, b]), y, r) for d, s, a, b, y, r in data if d is not None}, {}
+    for d in {d for d, _ in row}:
+        for i, (_, s) in enumerate(sorted((-(row[k][0] @ [-0.1, 0.2]), k[1]) for k in row if k[0] == d), 1):
+            place[d, s] = 1 / np.log2(i + 1) if i <= 3 else 0.0
+    assert any(place[k] and y is None and r is not None for k, (_, y, r) in row.items())  # one of the first that is in no pair
+    g, n = np.zeros(2), 0.0
+    for p in pairs:
+        hi, lo = (p.date, p.anchor), (p.date, p.opponent)
+        hi, lo = (hi, lo) if row[hi][1] > row[lo][1] else (lo, hi)
+        if row[hi][2] is None or row[lo][2] is None:
+            continue
+        z, w = row[hi][0] - row[lo][0], abs((row[hi][2] - row[lo][2]) * (place[hi] - place[lo]))
+        g, n = g + w * z / (1 + np.exp(z @ [-0.1, 0.2])), n + w
+    assert n > 0 and np.allclose(seen[0].gradient, g / n, atol=1e-12)
+    layout.forget(spark)
